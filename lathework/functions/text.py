@@ -50,15 +50,6 @@ def metric_tokens(text: Column) -> Column:
     return words(text)
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """All runs of ``n`` tokens, joined by a space."""
-    if n == 1:
-        return tokens
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1)))
-    starts = F.coalesce(starts, F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
-
-
 def grade(answer: Column, pattern: str = GRADE_PATTERN) -> Column:
     """The first stated grade, NULL if the answer states none."""
     return F.regexp_extract(answer, pattern, 1).try_cast("int")

@@ -104,7 +104,7 @@ def zip_lines(left: DataFrame, right: DataFrame, left_order: Sequence[str], righ
     """Rows paired by position, cut to the shorter side (compare counts to warn)."""
     a = with_row_index(left, left_order, name="__i")
     b = with_row_index(right, right_order, name="__i")
-    return a.join(b, "__i").withColumnRenamed("__i", "line")
+    return a.join(b, "__i").withColumnRenamed("__i", "line_number")
 
 
 def clean_lines(df: DataFrame, line: str, remove_prefix: str = "") -> DataFrame:

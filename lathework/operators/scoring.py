@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lathework.functions.text import answer_key, clamp_at_zero, metric_tokens, ngrams
+from lathework.functions.text import answer_key, clamp_at_zero, contains_any, metric_tokens
 
 BLEU_ORDER = 4
 HISTOGRAM_BINS = 20
@@ -20,59 +22,56 @@ def exact_match(prediction: Column, reference: Column, **options: bool) -> Colum
     return F.when(answer_key(prediction, **options) == answer_key(reference, **options), 1.0).otherwise(0.0)
 
 
-def bleu_counts(df: DataFrame, key: str, prediction: str, references: str) -> DataFrame:
+_ORDERS = range(1, BLEU_ORDER + 1)
+_MATCHES = T.StructType([T.StructField(f"match_{n}", T.LongType()) for n in _ORDERS])
+
+
+@F.pandas_udf(_MATCHES)
+def _clipped_matches(prediction: pd.Series, references: pd.Series) -> pd.DataFrame:
+    def grams(tokens: Sequence[str], n: int) -> Counter:
+        return Counter(zip(*(tokens[i:] for i in range(n))))
+
+    rows = []
+    for tokens, others in zip(prediction, references):
+        tokens, others = list(tokens), [list(o) for o in others]
+        row = []
+        for n in _ORDERS:
+            allowed: Counter = Counter()
+            for other in others:
+                allowed |= grams(other, n)
+            row.append((grams(tokens, n) & allowed).total())
+        rows.append(row)
+    return pd.DataFrame(rows, columns=_MATCHES.names, dtype="int64")
+
+
+def bleu_counts(df: DataFrame, key: str, prediction: str, references: str, keep: Sequence[str] = ()) -> DataFrame:
     """Per row: clipped matches and possible n-grams of each order, and both lengths.
 
-    ``references`` is an array of texts. The texts are shuffled once, by row; the n-gram counts then
-    group by (row, order, gram) inside that partitioning without another shuffle.
+    ``references`` is an array of texts. Tokens are cut in the JVM; the n-grams of a row are counted in the
+    task that holds the row, so no text is shuffled. Columns in ``keep`` are carried along.
     """
-    texts = F.concat(F.array(F.col(prediction)), F.col(references))
-    tokens = (
-        df.select(F.col(key).alias("__row"), texts.alias("__texts"))
-        .repartition("__row")
-        .select("__row", F.transform("__texts", metric_tokens).alias("__tokens"))
-    )
-    sizes = F.transform("__tokens", lambda t: F.size(t))
-    lengths = tokens.select(
-        F.col("__row"),
-        F.get(sizes, F.lit(0)).cast("bigint").alias("prediction_length"),
-        F.array_min(F.slice(sizes, F.lit(2), F.size(sizes))).cast("bigint").alias("reference_length"),
-    )
-    grams = (
-        tokens.select("__row", F.posexplode("__tokens").alias("__side", "__t"))
-        .select(
-            "__row",
-            "__side",
-            F.posexplode(F.array(*[ngrams(F.col("__t"), n) for n in range(1, BLEU_ORDER + 1)])).alias("__n", "__grams"),
-        )
-        .select("__row", "__side", "__n", F.explode("__grams").alias("__gram"))
-    )
-    counted = grams.groupBy("__row", "__n", "__gram", "__side").agg(F.count(F.lit(1)).alias("__c"))
-    pairs = counted.groupBy("__row", "__n", "__gram").agg(
-        F.max(F.when(F.col("__side") == 0, F.col("__c"))).alias("__p"),
-        F.max(F.when(F.col("__side") > 0, F.col("__c"))).alias("__r"),
-    )
     zero = F.lit(0).cast("bigint")
-    per_row = pairs.groupBy("__row").agg(
-        *[
-            F.sum(
-                F.when(F.col("__n") == n - 1, F.least(F.coalesce("__p", zero), F.coalesce("__r", zero))).otherwise(zero)
-            ).alias(f"match_{n}")
-            for n in range(1, BLEU_ORDER + 1)
-        ]
+    tokens = df.select(
+        key,
+        *keep,
+        metric_tokens(F.col(prediction)).alias("__p"),
+        F.transform(references, metric_tokens).alias("__r"),
     )
-    possible = [
-        F.greatest(F.col("prediction_length") - (n - 1), zero).alias(f"possible_{n}") for n in range(1, BLEU_ORDER + 1)
-    ]
-    matches = [F.coalesce(F.col(f"match_{n}"), zero).alias(f"match_{n}") for n in range(1, BLEU_ORDER + 1)]
-    return lengths.join(per_row, "__row", "left").select(
-        F.col("__row").alias(key), "prediction_length", "reference_length", *matches, *possible
+    matched = tokens.withColumn("__m", _clipped_matches("__p", "__r"))
+    length = F.size("__p").cast("bigint")
+    return matched.select(
+        key,
+        *keep,
+        length.alias("prediction_length"),
+        F.array_min(F.transform("__r", lambda t: F.size(t))).cast("bigint").alias("reference_length"),
+        "__m.*",
+        *[F.greatest(length - (n - 1), zero).alias(f"possible_{n}") for n in _ORDERS],
     )
 
 
 def bleu_from_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Corpus BLEU from summed counts: order 4, no smoothing, brevity penalty."""
-    orders = range(1, BLEU_ORDER + 1)
+    orders = _ORDERS
     sums = [F.sum(c).alias(c) for n in orders for c in (f"match_{n}", f"possible_{n}")]
     totals = counts.groupBy(*by).agg(
         F.sum("prediction_length").alias("prediction_length"),
@@ -87,7 +86,10 @@ def bleu_from_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return totals.select(*by, "prediction_length", "reference_length", bleu.alias("bleu"))
 
 
-@F.pandas_udf("struct<precision:double,recall:double,f1:double>")
+_SCORES = T.StructType([T.StructField(name, T.DoubleType()) for name in ("precision", "recall", "f1")])
+
+
+@F.pandas_udf(_SCORES)
 def _greedy_match(prediction: pd.Series, reference: pd.Series) -> pd.DataFrame:
     scores = np.zeros((len(prediction), 3))
     for row, (p, r) in enumerate(zip(prediction, reference)):
@@ -220,8 +222,6 @@ def softmax_rows(df: DataFrame, item: Sequence[str], score: str, scale: float =
 
 def keyword_scores(df: DataFrame, answer: str, expected: str) -> DataFrame:
     """1 if any expected keyword occurs in the answer, ignoring case."""
-    from lathework.functions.text import contains_any
-
     return df.withColumn("score", contains_any(F.col(answer), F.col(expected)).cast("int"))
 
 

@@ -67,7 +67,7 @@ def main() -> int:
 
     args = sys.argv[1:]
     folder = args.pop(0) if args and "/" in args[0] else "/root/testdata/sf0.01"
-    spark = build_session("oracle", "local[8]", sql__shuffle__partitions="8", ui__enabled="false", driver__memory="12g")
+    spark = build_session("oracle", "local[8]", sql__shuffle__partitions="8", ui__enabled="false", ui__showConsoleProgress="false", driver__memory="12g")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
     bad = 0
