@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lathework.operators.ordering import quantiles, running, shift_columns, with_row_index
+from lathework.operators.ordering import running, shift_columns, with_row_index
 
 MARKDOWN_NULL = "N/A"
 
@@ -152,14 +152,22 @@ def request_latencies(tokens: DataFrame, request: Sequence[str], at: str, sent:
     )
 
 
-SERVING_LEVELS = {"median": 0.5, "p99": 0.99}
+def serving_rates(tokens: DataFrame, by: Sequence[str], request: Sequence[str], at: str, sent: str) -> DataFrame:
+    """Requests and tokens, and both per second between the first request sent and the last token."""
+
+    def seconds(c: Column) -> Column:
+        return F.unix_micros(c.cast("timestamp")) / 1e6
+
+    counts = tokens.groupBy(*by).agg(
+        F.count_distinct(*[F.col(r) for r in request]).alias("requests"),
+        F.count(F.lit(1)).alias("tokens"),
+        (seconds(F.max(at)) - seconds(F.min(sent))).alias("__s"),
+    )
+    rates = [F.round(F.try_divide(F.col(c), F.col("__s")), 9).alias(f"{c}_per_s") for c in ("requests", "tokens")]
+    return counts.select(*by, "requests", "tokens", *rates)
 
 
-def metric_levels(df: DataFrame, keys: Sequence[str], metric: str, tie_break: Sequence[str], approximate: bool = False) -> DataFrame:
-    """Mean, median and 99th percentile of one metric, with the metric's name."""
-    means = df.groupBy(*keys).agg(F.avg(metric).alias("mean"), F.count(metric).alias("n"))
-    levels = quantiles(df, keys, metric, SERVING_LEVELS, tie_break, approximate)
-    return means.join(levels, list(keys)).select(*keys, F.lit(metric).alias("metric"), "n", "mean", *SERVING_LEVELS)
+SERVING_LEVELS = {"median": 0.5, "p99": 0.99}
 
 
 def rank_average(stats: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFrame:

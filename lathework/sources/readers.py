@@ -15,23 +15,28 @@ def _path_object(spark: SparkSession, path: str):
     return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
 
 
-def read_json_dir(spark: SparkSession, path: str, schema: T.StructType | str, glob: str | None = None) -> DataFrame:
-    """All ``.json`` (an object or an array of objects) and ``.jsonl`` files of a folder.
+def read_json_dir(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str,
+    glob: str | None = None,
+    lines: str = "*.jsonl",
+) -> DataFrame:
+    """All JSON Lines files (``lines``) and ``.json`` files (an object or an array of objects) of a folder.
 
     Malformed lines, and lines that hold no object, are skipped. A missing folder is an error; a folder
-    without such files gives no rows.
+    without such files gives no rows. With ``glob`` the files it matches are read as JSON Lines alone,
+    which keeps large files divisible.
     """
     files, folder = _path_object(spark, path)
     if not files.exists(folder):
         raise FileNotFoundError(path)
-    if isinstance(schema, str):
-        schema = spark.createDataFrame([], schema).schema
-    lines = spark.read.option("pathGlobFilter", glob or "*.jsonl").text(path)
-    whole = spark.read.option("pathGlobFilter", glob or "*.json").text(path, wholetext=True)
+    by_line = spark.read.option("pathGlobFilter", glob or lines).text(path)
+    found = _objects(by_line, schema)
     if glob:
-        lines = lines.where(F.input_file_name().endswith(".jsonl"))
-        whole = whole.where(F.input_file_name().endswith(".json"))
-    return _objects(lines, schema).unionByName(_objects(_elements(whole), schema))
+        return found
+    whole = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    return found.unionByName(_objects(_elements(whole), schema))
 
 
 def _elements(whole: DataFrame) -> DataFrame:
@@ -44,7 +49,7 @@ def _elements(whole: DataFrame) -> DataFrame:
     )
 
 
-def _objects(lines: DataFrame, schema: T.StructType) -> DataFrame:
+def _objects(lines: DataFrame, schema: T.StructType | str) -> DataFrame:
     parsed = lines.withColumn("v", F.try_parse_json("value"))
     objects = parsed.where(F.schema_of_variant("v").startswith("OBJECT"))
     return objects.select(F.from_json("value", schema).alias("r")).select("r.*")
@@ -55,9 +60,16 @@ def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("split") == split)
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = ",", header: bool = True) -> DataFrame:
-    """Delimited text with a stated schema."""
-    return spark.read.csv(path, schema=schema, sep=sep, header=header, multiLine=False, escape='"')
+def read_table(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str,
+    sep: str = ",",
+    header: bool = True,
+    multi_line: bool = False,
+) -> DataFrame:
+    """Delimited text with a stated schema; values with line breaks need ``multi_line``, one task per file."""
+    return spark.read.csv(path, schema=schema, sep=sep, header=header, multiLine=multi_line, escape='"')
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

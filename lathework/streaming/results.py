@@ -67,6 +67,12 @@ def publish_after_data(path: str, marker: str) -> Callable[[DataFrame, int], Non
     return write
 
 
+def publish_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Hand each batch to a writer until the folder is drained."""
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
 def latest_status(updates: DataFrame, key: str, at: Sequence[str]) -> DataFrame:
     """The last update of each job."""
     return keep_last(updates, [key], at)
@@ -86,3 +92,10 @@ def merge_status(path: str, key: str, at: Sequence[str], schema: T.StructType) -
         keep_last(merged, [key], at).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
 
     return write
+
+
+def current_version(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The newest version of a status table kept by :func:`merge_status`."""
+    versions = spark.read.schema(schema).option("basePath", path).parquet(path)
+    newest = versions.agg(F.max("version").alias("v")).scalar()
+    return versions.where(F.col("version") == newest).drop("version")
