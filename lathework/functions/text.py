@@ -43,7 +43,8 @@ def metric_tokens(text: Column) -> Column:
     for entity, mark in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
         text = F.replace(text, F.lit(entity), F.lit(mark))
     text = F.concat(F.lit(" "), text, F.lit(" "))
-    text = F.regexp_replace(text, r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 ")
+    # every mark but the period, comma, hyphen and apostrophe stands alone
+    text = F.regexp_replace(text, r"([!-&(-+:-@/\[-`{-~])", " $1 ")
     text = F.regexp_replace(text, r"([^0-9])([\.,])", "$1 $2 ")
     text = F.regexp_replace(text, r"([\.,])([^0-9])", " $1 $2")
     text = F.regexp_replace(text, r"([0-9])(-)", "$1 $2 ")

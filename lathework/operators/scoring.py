@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -28,27 +27,34 @@ _MATCHES = T.StructType([T.StructField(f"match_{n}", T.LongType()) for n in _ORD
 
 @F.pandas_udf(_MATCHES)
 def _clipped_matches(prediction: pd.Series, references: pd.Series) -> pd.DataFrame:
-    def grams(tokens: Sequence[str], n: int) -> Counter:
-        return Counter(zip(*(tokens[i:] for i in range(n))))
-
-    rows = []
-    for tokens, others in zip(prediction, references):
-        tokens, others = list(tokens), [list(o) for o in others]
-        row = []
-        for n in _ORDERS:
-            allowed: Counter = Counter()
-            for other in others:
-                allowed |= grams(other, n)
-            row.append((grams(tokens, n) & allowed).total())
-        rows.append(row)
-    return pd.DataFrame(rows, columns=_MATCHES.names, dtype="int64")
+    """Count the n-grams of a whole Arrow batch at once: tokens and then grams become integer codes."""
+    rows = len(prediction)
+    texts = [*prediction, *(text for group in references for text in group)]
+    owner = np.concatenate([np.arange(rows), np.repeat(np.arange(rows), [len(group) for group in references])])
+    text_of = np.repeat(np.arange(len(texts)), [len(text) for text in texts])
+    codes = pd.factorize(np.concatenate([np.asarray(text, dtype=object) for text in texts]))[0].astype("int64")
+    matches = {}
+    gram = codes
+    for n in _ORDERS:
+        if n > 1:
+            gram = pd.factorize(gram[:-1] * (codes.max(initial=0) + 1) + codes[n - 1 :])[0].astype("int64")
+        inside = text_of[: len(gram)] == text_of[n - 1 :]
+        width = gram.max(initial=0) + 1
+        seen, times = np.unique(text_of[: len(gram)][inside] * width + gram[inside], return_counts=True)
+        key = owner[seen // width] * width + seen % width
+        predicted = seen // width < rows
+        allowed = pd.Series(times[~predicted]).groupby(key[~predicted]).max()
+        clipped = np.minimum(times[predicted], allowed.reindex(key[predicted], fill_value=0).to_numpy())
+        counts = np.bincount(seen[predicted] // width, weights=clipped, minlength=rows)
+        matches[f"match_{n}"] = counts.astype("int64")
+    return pd.DataFrame(matches)
 
 
 def bleu_counts(df: DataFrame, key: str, prediction: str, references: str, keep: Sequence[str] = ()) -> DataFrame:
     """Per row: clipped matches and possible n-grams of each order, and both lengths.
 
     ``references`` is an array of texts. Tokens are cut in the JVM; the n-grams of a row are counted in the
-    task that holds the row, so no text is shuffled. Columns in ``keep`` are carried along.
+    task that holds the row, in Arrow batches, so no text is shuffled. Columns in ``keep`` are carried along.
     """
     zero = F.lit(0).cast("bigint")
     tokens = df.select(

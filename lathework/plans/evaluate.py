@@ -31,7 +31,7 @@ def scored_pairs(spark: SparkSession, folder: str) -> DataFrame:
         .when(lang == "de", F.concat_ws(" ", text, F.col("source")))
         .otherwise(text)
     )
-    docs = table(spark, folder, "documents")
+    docs = table(spark, folder, "documents", costly=True)
     return docs.select("doc_id", "lang", prediction.alias("prediction"), text.alias("gold"))
 
 
@@ -404,7 +404,7 @@ def count_words(messages) -> str:
     """,
 )
 def batch_infer_stub(spark: SparkSession, folder: str) -> DataFrame:
-    asked = table(spark, folder, "documents").select("doc_id", F.array(M.message("user", F.col("text"))).alias("messages"))
+    asked = table(spark, folder, "documents", costly=True).select("doc_id", F.array(M.message("user", F.col("text"))).alias("messages"))
     return inference.batch_infer(asked, count_words, "messages").drop("messages")
 
 
@@ -427,7 +427,7 @@ def stub_judge(messages) -> str:
     """,
 )
 def judge_two_step(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    docs = table(spark, folder, "documents", costly=True).select("doc_id", "text", "source")
     judged = inference.judge_two_step(docs, stub_judge, JUDGE_TEMPLATE, GRADE_REQUEST, "text", "source")
     return judged.select("doc_id", "judge_explanation", "judge_grade")
 

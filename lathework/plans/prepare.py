@@ -100,7 +100,7 @@ def line_conversations(docs: DataFrame) -> DataFrame:
     """,
 )
 def quarantine_reasons(spark: SparkSession, folder: str) -> DataFrame:
-    docs = line_conversations(table(spark, folder, "documents"))
+    docs = line_conversations(table(spark, folder, "documents", costly=True))
     rows = M.chat_rows(docs, M.ChatSpec(conversation="conversation", roles=ROLES), "documents", "train", "doc_id")
     both = M.accepted(rows).unionByName(M.rejected(rows))
     return both.select(
@@ -595,7 +595,8 @@ def even_shards(spark: SparkSession, folder: str) -> DataFrame:
     """,
 )
 def pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", word_count(F.col("text")).alias("n_tokens"))
+    docs = table(spark, folder, "documents", costly=True)
+    docs = docs.select("doc_id", word_count(F.col("text")).alias("n_tokens"))
     return mixing.pack_sequences(docs, "doc_id", "n_tokens", 2048, rows_per_bucket=64)
 
 

@@ -25,7 +25,7 @@ _FIRST = f"""
 
 @query("chunk_fixed", f"WITH {_CHUNKS} SELECT doc_id, pos, text FROM chunks")
 def chunk_fixed(spark: SparkSession, folder: str) -> DataFrame:
-    return chunks.fixed_chunks(table(spark, folder, "documents"), "doc_id", "text")
+    return chunks.fixed_chunks(table(spark, folder, "documents", costly=True), "doc_id", "text")
 
 
 @query("chunk_dedup", f"WITH {_CHUNKS}, {_FIRST} SELECT doc_id, pos, text FROM first_chunks")
@@ -41,7 +41,7 @@ def chunk_provenance(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("chunk_recursive")
 def chunk_recursive(spark: SparkSession, folder: str) -> DataFrame:
-    return chunks.recursive_chunks(table(spark, folder, "documents"), "doc_id", "text")
+    return chunks.recursive_chunks(table(spark, folder, "documents", costly=True), "doc_id", "text")
 
 
 @query(
@@ -55,7 +55,7 @@ def chunk_recursive(spark: SparkSession, folder: str) -> DataFrame:
 )
 def tokenize_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Native word tokens, joined to the ids that a caller's tokenizer gives (here a token's length)."""
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = table(spark, folder, "documents", costly=True).select("doc_id", "text")
     encoded = inference.tokenize(docs, "doc_id", "text", lambda text: [len(token) for token in text.split()])
     total = F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, t: a + t)
     native = docs.select("doc_id", F.array_join(words(F.col("text")), " ").alias("tokens"))

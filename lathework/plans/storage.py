@@ -179,7 +179,7 @@ def join_binary_paths(spark: SparkSession, folder: str) -> DataFrame:
     """,
 )
 def gen_long_random(spark: SparkSession, folder: str) -> DataFrame:
-    return synthetic.long_conversations(table(spark, folder, "documents"), "doc_id")
+    return synthetic.long_conversations(table(spark, folder, "documents", costly=True), "doc_id")
 
 
 def _staged(spark: SparkSession, folder: str, name: str, *columns: str) -> tuple[str, DataFrame]:

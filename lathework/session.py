@@ -61,6 +61,16 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal a small input out over all cores before costly work on its rows.
+
+    ``scan`` must be a plain file scan. One that already has a partition per core (any large table) is
+    returned as it is, so no shuffle is added at scale.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def fits(df: DataFrame, max_rows: int) -> bool:
     """True if ``df`` has at most ``max_rows`` rows; reads no more than ``max_rows + 1`` of them."""
     return df.limit(max_rows + 1).count() <= max_rows
