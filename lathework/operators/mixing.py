@@ -16,7 +16,8 @@ from lathework.session import materialize
 
 def concat(*tables: DataFrame) -> DataFrame:
     """All rows of all tables; a column missing from one is NULL there."""
-    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    plain = [table.select("*") for table in tables]
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), plain)
 
 
 # Fixed value: seed of the weighted mix.
