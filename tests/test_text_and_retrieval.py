@@ -34,7 +34,7 @@ def test_recursive_chunks_prefer_coarse_separators():
 
 def test_recursive_chunks_table(spark):
     df = spark.createDataFrame([(1, "a b c d"), (2, "  "), (3, None)], "doc_id long, text string")
-    out = chunks.recursive_chunks(df, "doc_id", "text", 3, 0).collect()
+    out = chunks.recursive_chunks(df, "doc_id", "text", 4, 0).collect()
     assert [(r["doc_id"], r["pos"], r["text"]) for r in out] == [(1, 0, "a b"), (1, 1, "c d")]
 
 
