@@ -105,7 +105,7 @@ def not_blank(df: DataFrame, text: str) -> DataFrame:
 
 def dedup_chunks(chunks: DataFrame, text: str = "text", order_by: Sequence[str] = ("doc_id", "pos")) -> DataFrame:
     """The first of the passages that are equal once trimmed."""
-    return keep_first(not_blank(chunks, text), strip(F.col(text)), order_by)
+    return keep_first(not_blank(chunks, text), strip(F.col(text)), order_by, wide=True)
 
 
 def with_source(chunks: DataFrame, documents: DataFrame, key: str, *columns: str) -> DataFrame:

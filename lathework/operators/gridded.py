@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lathework.operators.ordering import quantiles
@@ -68,19 +68,26 @@ def verify(
 ) -> DataFrame:
     """RMSE and MAE of forecasts against the reference at their valid time.
 
-    With ``latitude`` each cell is weighted by the cosine of its latitude (the usual area weight).
+    With ``latitude`` the same pass also gives ``weighted_rmse`` and ``weighted_mae``, where each cell counts by
+    the cosine of its latitude (the usual area weight).
     """
     valid = F.col(init_time) + F.make_dt_interval(hours=F.col(lead_hours))
     pairs = forecast.withColumn(valid_time, valid).join(
         reference.withColumnRenamed("value", "__truth"), [*on, valid_time]
     )
     error = F.col("value") - F.col("__truth")
-    weight: Column = F.cos(F.radians(F.col(latitude))) if latitude else F.lit(1.0)
-    return pairs.groupBy(*by).agg(
+    scores = [
         F.count(F.lit(1)).alias("n"),
-        F.sqrt(F.sum(weight * error * error) / F.sum(weight)).alias("rmse"),
-        (F.sum(weight * F.abs(error)) / F.sum(weight)).alias("mae"),
-    )
+        F.sqrt(F.avg(error * error)).alias("rmse"),
+        F.avg(F.abs(error)).alias("mae"),
+    ]
+    if latitude:
+        weight = F.cos(F.radians(F.col(latitude)))
+        scores += [
+            F.sqrt(F.sum(weight * error * error) / F.sum(weight)).alias("weighted_rmse"),
+            (F.sum(weight * F.abs(error)) / F.sum(weight)).alias("weighted_mae"),
+        ]
+    return pairs.groupBy(*by).agg(*scores)
 
 
 def value_range(

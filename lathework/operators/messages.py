@@ -180,6 +180,19 @@ def rejected(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("extra_info.skip_reason") != "")
 
 
+def _named_turns(turns: DataFrame, role: str, content: str, roles: Roles) -> DataFrame:
+    return turns.withColumn(role, roles.canonical(F.col(role))).withColumn(
+        content, F.coalesce(F.col(content), F.lit(""))
+    )
+
+
+def _bad_turn(role: str, roles: Roles) -> Column:
+    """The reason a turn is bad, NULL if it is good."""
+    return F.when(F.col(role).isNull(), F.lit("message without a role")).when(
+        ~roles.known(F.col(role)), F.concat(F.lit("unknown role: "), F.col(role))
+    )
+
+
 def normalize_turns(
     turns: DataFrame, conversation: str, turn: str, role: str, content: str, roles: Roles
 ) -> DataFrame:
@@ -188,23 +201,21 @@ def normalize_turns(
     Adds ``skip_reason`` of the whole conversation: that of its first bad turn. Only bad turns are
     aggregated (with a map-side minimum), so the joined side holds bad conversations alone.
     """
-    named = turns.withColumn(role, roles.canonical(F.col(role))).withColumn(
-        content, F.coalesce(F.col(content), F.lit(""))
-    )
-    bad = named.where(F.col(role).isNull() | ~roles.known(F.col(role)))
-    reasons = bad.groupBy(conversation).agg(
-        F.min_by(
-            F.when(F.col(role).isNull(), F.lit("message without a role")).otherwise(
-                F.concat(F.lit("unknown role: "), F.col(role))
-            ),
-            F.col(turn),
-        ).alias("skip_reason")
-    )
+    named = _named_turns(turns, role, content, roles)
+    bad = named.withColumn("__bad", _bad_turn(role, roles)).where(F.col("__bad").isNotNull())
+    reasons = bad.groupBy(conversation).agg(F.min_by("__bad", turn).alias("skip_reason"))
     return named.join(reasons, conversation, "left").withColumn(
         "skip_reason", F.coalesce(F.col("skip_reason"), F.lit(""))
     )
 
 
+def good_conversations(turns: DataFrame, conversation: str, role: str, roles: Roles) -> DataFrame:
+    """Ids of the conversations without a bad turn: one map-side count, no join."""
+    named = turns.select(conversation, roles.canonical(F.col(role)).alias(role))
+    bad = named.groupBy(conversation).agg(F.count(_bad_turn(role, roles)).alias("__bad"))
+    return bad.where(F.col("__bad") == 0).drop("__bad")
+
+
 def instruction_format(layout: str, instruction: Column, extra: Column) -> Column:
     """One of the layouts in which an instruction and its input are put together."""
     has_extra = F.coalesce(extra, F.lit("")) != ""

@@ -24,12 +24,8 @@ def concat(*tables: DataFrame) -> DataFrame:
 MIX_SEED = 19851243
 
 
-def _draws(spark: SparkSession, n: int, weights: Mapping[str, float], seed: int, block_rows: int) -> DataFrame:
-    """``n`` draws ``t`` with the dataset each picks and its running number within that dataset.
-
-    The prefix count is taken in blocks of ``t``: blocks are counted first, so no dataset is ordered in
-    one task however large its weight.
-    """
+def _picks(spark: SparkSession, n: int, weights: Mapping[str, float], seed: int, block_rows: int) -> DataFrame:
+    """``n`` draws ``t``, the dataset each picks, and the block of draws it lies in."""
     total = sum(weights.values())
     draw = unit_draw(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("t").cast("string"))))
     edges, so_far = [], 0.0
@@ -39,23 +35,27 @@ def _draws(spark: SparkSession, n: int, weights: Mapping[str, float], seed: int,
     pick: Column = F.lit(edges[-1][0])
     for dataset, edge in reversed(edges[:-1]):
         pick = F.when(F.col("__u") < edge, F.lit(dataset)).otherwise(pick)
-    picks = (
+    return (
         spark.range(n)
         .withColumnRenamed("id", "t")
         .withColumn("__u", draw)
         .select("t", pick.alias("dataset"), F.floor(F.col("t") / block_rows).alias("__block"))
     )
+
+
+def _block_offsets(picks: DataFrame) -> DataFrame:
+    """Draws of each dataset in a block and in the blocks before it."""
     earlier = Window.partitionBy("dataset").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        picks.groupBy("dataset", "__block")
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__offset", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
-        .drop("__n")
-    )
+    counts = picks.groupBy("dataset", "__block").agg(F.count(F.lit(1)).alias("__n"))
+    return counts.withColumn("__offset", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+
+
+def _numbered(picks: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Adds ``draw``, the running number within the dataset; a window holds one dataset's draws of one block."""
     inside = Window.partitionBy("__block", "dataset").orderBy("t")
     return (
         picks.withColumn("__rank", F.row_number().over(inside))
-        .join(offsets, ["dataset", "__block"])
+        .join(offsets.drop("__n"), ["dataset", "__block"])
         .select("t", "dataset", (F.col("__offset") + F.col("__rank") - 1).alias("draw"))
     )
 
@@ -82,21 +82,25 @@ def weighted_mix(
         return rows.withColumnRenamed("__i", "draw").withColumn("t", F.lit(None).cast("bigint"))
     scale = sum(live.values())
     n = int(1.2 * max(sizes[name] * scale / weight for name, weight in live.items())) + 100
-    wanted = F.create_map(*[F.lit(x) for name in live for x in (name, sizes[name])])
+    size = F.create_map(*[F.lit(x) for name in live for x in (name, sizes[name])])[F.col("dataset")]
     while True:
-        draws = _draws(spark, n, live, seed, block_rows)
-        covered = (
-            draws.where(F.col("draw") == wanted[F.col("dataset")] - 1)
-            .agg(F.count(F.lit(1)).alias("full"), F.max("t").alias("last"))
-            .first()
-        )
-        if covered["full"] == len(live):
+        # the block counts alone tell where each dataset completes; only those blocks are numbered
+        picks = _picks(spark, n, live, seed, block_rows)
+        offsets = _block_offsets(picks)
+        last = offsets.where((F.col("__offset") < size) & (F.col("__offset") + F.col("__n") >= size))
+        last = last.select("dataset", "__block", "__offset").collect()  # one row per dataset at most
+        if len(last) == len(live):
             break
         n *= 2
-    length = covered["last"] + 1
+    ends = functools.reduce(
+        lambda a, b: a | b, [(F.col("dataset") == r["dataset"]) & (F.col("__block") == r["__block"]) for r in last]
+    )
+    completing = _numbered(picks.where(ends), offsets.where(ends)).where(F.col("draw") == size - 1)
+    length = completing.agg(F.max("t").alias("t")).first()["t"] + 1
     if max_rows is not None and length > max_rows:
         raise ValueError(f"the mix has {length} rows, more than the {max_rows} allowed")
-    picks = draws.where(F.col("t") < length).withColumn("__i", F.col("draw") % wanted[F.col("dataset")])
+    picks = _picks(spark, length, live, seed, block_rows)
+    picks = _numbered(picks, _block_offsets(picks)).withColumn("__i", F.col("draw") % size)
     return picks.join(rows, (picks["dataset"] == rows[dataset]) & (picks["__i"] == rows["__i"])).select(
         picks["t"], picks["draw"], *[rows[f"`{c}`"] for c in df.columns]
     )

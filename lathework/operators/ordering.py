@@ -19,12 +19,6 @@ _BUCKET_DIGITS = 4  # hex digits of the digest that name a shuffle bucket: at mo
 BLOCK_ROWS = 1 << 16
 
 
-def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return functools.reduce(
-        lambda a, b: a & b, [left[f"`{k}`"].eqNullSafe(right[f"`{k}`"]) for k in keys]
-    )
-
-
 def with_row_index(
     df: DataFrame,
     order_by: Sequence[str | Column],
@@ -215,44 +209,46 @@ def quantiles(
             *[F.percentile_approx(value, p, 100_000).cast("double").alias(n) for n, p in probabilities.items()]
         )
     clean = clean.select(*keys, F.col(value).cast("double").alias("__v"), *[t for t in tie_break if t not in keys])
-    indexed = with_row_index(clean, ["__v", *tie_break], within=keys, name="__i")
-    sizes = indexed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    indexed = with_row_index(clean, [*keys, "__v", *tie_break], name="__i")
     wanted = F.array(
         *[F.struct(F.lit(n).alias("name"), ((F.col("__n") - 1) * F.lit(p)).alias("at")) for n, p in probabilities.items()]
     )
-    ranks = (
-        sizes.select(*keys, F.explode(wanted).alias("w"))
-        .select(*keys, "w.name", "w.at", F.floor("w.at").alias("__lo"))
-        .withColumn("__i", F.explode(F.array(F.col("__lo"), F.ceil("at"))))
-        .distinct()
+    # a group fills one run of the index, so its ranks are places in the index
+    ends = (
+        indexed.groupBy(*keys)
+        .agg(F.min("__i").alias("__start"), F.count(F.lit(1)).alias("__n"))
+        .withColumn("__w", F.explode(wanted))
+        .withColumn("__low", F.floor("__w.at"))
+        .withColumn("__place", F.explode(F.array_distinct(F.array(F.col("__low"), F.ceil("__w.at")))))
+        .withColumn("__i", F.col("__start") + F.col("__place"))
     )
-    # NULL keys must match too
-    picked = indexed.alias("x").join(
-        ranks.alias("r"),
-        functools.reduce(
-            lambda a, b: a & b, [F.col(f"x.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "__i"]]
-        ),
-    ).select(*[F.col(f"r.{k}").alias(k) for k in keys], "r.name", "r.at", "r.__lo", "r.__i", "x.__v")
-    ends = picked.groupBy(*keys, "name", "at", "__lo").agg(
-        F.min_by("__v", "__i").alias("a"), F.max_by("__v", "__i").alias("b")
-    )
-    level = F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.col("__lo"))
-    return ends.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("name") == n, level)).alias(n) for n in probabilities]
+    picked = ends.join(indexed.select("__i", "__v"), "__i").groupBy(*keys, F.col("__w.name").alias("__name")).agg(
+        F.min_by("__v", "__place").alias("__a"),
+        F.max_by("__v", "__place").alias("__b"),
+        F.max(F.col("__w.at") - F.col("__low")).alias("__share"),
     )
+    level = F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__share")
+    return picked.groupBy(*keys).agg(*[F.max(F.when(F.col("__name") == n, level)).alias(n) for n in probabilities])
 
 
-def keep_first(df: DataFrame, key: Column | str, order_by: Sequence[str]) -> DataFrame:
+def keep_first(df: DataFrame, key: Column | str, order_by: Sequence[str], wide: bool = False) -> DataFrame:
     """One row per key, the first in the given order.
 
-    A map-side minimum, so the copies of a frequent key shrink before the shuffle. Text keys are
-    grouped by their SHA-256 digest.
+    A map-side minimum, so the copies of a frequent key shrink before the shuffle. Keys are grouped by
+    their SHA-256 digest. For ``wide`` rows the minimum runs over the order columns alone (which must
+    identify a row) and the rows are then looked up by them, so payloads are neither sorted nor buffered.
     """
     column = F.col(key) if isinstance(key, str) else key
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     order = F.struct(*[F.col(f"`{c}`") for c in order_by])
-    picked = df.groupBy(F.sha2(column.cast("string"), 256).alias("__key")).agg(F.min_by(row, order).alias("__row"))
-    return picked.select("__row.*")
+    groups = df.groupBy(F.sha2(column.cast("string"), 256).alias("__key"))
+    if wide:
+        if len(order_by) == 1:
+            winners = groups.agg(F.min(F.col(f"`{order_by[0]}`")).alias(order_by[0])).drop("__key")
+        else:
+            winners = groups.agg(F.min(order).alias("__first")).select("__first.*")
+        return df.join(winners, list(order_by), "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return groups.agg(F.min_by(row, order).alias("__row")).select("__row.*")
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:

@@ -16,7 +16,7 @@ from lathework.functions.text import strip
 from lathework.operators.inference import embed
 
 BANK_ROWS = 20_000
-_SCAN_ROWS = 4096
+_SCAN_CELLS = 4_000_000  # scores a task holds at a time
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -47,30 +47,27 @@ def _scan(
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         questions = shared.value
-        best_scores = np.full((len(questions), 0), 0.0)
-        best_ids = np.empty((len(questions), 0), dtype="int64")
+        step = max(64, _SCAN_CELLS // max(1, len(questions)))
+        best = np.empty(0, dtype="int64"), np.empty(0, dtype="int64"), np.empty(0)
         for frame in frames:
-            for start in range(0, len(frame), _SCAN_ROWS):
-                part = frame.iloc[start : start + _SCAN_ROWS]
+            for start in range(0, len(frame), step):
+                part = frame.iloc[start : start + step]
                 vectors = _matrix(part[item_vector])
                 scores = np.round(questions @ (_unit(vectors) if cosine else vectors).T, digits)
-                ids = np.broadcast_to(part[item].to_numpy(), scores.shape)
-                scores = np.concatenate([best_scores, scores], axis=1)
-                ids = np.concatenate([best_ids, ids], axis=1)
                 if scores.shape[1] > k:
-                    # best score first, then smallest id
-                    order = np.lexsort((ids, -scores), axis=1)[:, :k]
-                    scores, ids = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
-                best_scores, best_ids = scores, ids
-        width = best_scores.shape[1]
-        if width:
-            yield pd.DataFrame(
-                {
-                    "question_id": np.repeat(question_ids, width),
-                    "item_id": best_ids.ravel(),
-                    "score": best_scores.ravel(),
-                }
-            )
+                    bar = np.partition(scores, -k, axis=1)[:, -k][:, None]
+                    row, column = np.nonzero(scores >= bar)
+                else:
+                    row, column = np.nonzero(np.ones(scores.shape, dtype=bool))
+                found = row, part[item].to_numpy()[column], scores[row, column]
+                row, ids, values = (np.concatenate(pair) for pair in zip(best, found))
+                # best score first, then smallest id, and the first k of each question
+                order = np.lexsort((ids, -values, row))
+                row, ids, values = row[order], ids[order], values[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                best = row[place < k], ids[place < k], values[place < k]
+        row, ids, values = best
+        yield pd.DataFrame({"question_id": question_ids[row], "item_id": ids, "score": values})
 
     return items.select(item, item_vector).where(F.col(item_vector).isNotNull()).mapInPandas(run, schema)
 

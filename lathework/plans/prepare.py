@@ -11,6 +11,7 @@ from lathework.operators import messages as M
 from lathework.operators import mixing, records, splits
 from lathework.operators.ordering import with_row_index
 from lathework.plans.registry import query, table
+from lathework.session import materialize
 
 ROLES = M.Roles(user_aliases=["human"], assistant_aliases=["gpt", "bot"], system_aliases=["developer"])
 
@@ -612,17 +613,22 @@ FLAGSHIP_SQL = f"""
 
 @query("flagship", FLAGSHIP_SQL)
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    """Normalise roles, set bad conversations aside, split the rest 80/10/10, and count."""
-    turns = normalize_roles(spark, folder).where(F.col("skip_reason") == "")
-    conversations = turns.select("conv_id").distinct()
-    placed = splits.ratio_split(conversations, ["conv_id"], NAMES, SHARES)
+    """Normalise roles, set bad conversations aside, split the rest 80/10/10, and count.
+
+    The turns are read twice: for the ids of the good conversations, which are written once and split, and
+    to join each turn to its split.
+    """
+    raw = raw_turns(spark, folder)
+    good = materialize(M.good_conversations(raw, "conv_id", "role", ROLES), "conversations")
+    placed = splits.ratio_split(good, ["conv_id"], NAMES, SHARES)
     return (
-        turns.join(placed, "conv_id")
+        raw.withColumn("role", ROLES.canonical(F.col("role")))
+        .join(placed, "conv_id")
         .groupBy("split", "role")
         .agg(
             F.count_distinct(F.col("conv_id")).alias("conversations"),
             F.count(F.lit(1)).alias("turns"),
-            F.sum(F.length("content")).cast("bigint").alias("characters"),
+            F.sum(F.length("text")).cast("bigint").alias("characters"),
         )
     )
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lathework.operators import gridded as G
 from lathework.operators import records
+from lathework.operators.ordering import keep_first
+from lathework.operators.scoring import uniqueness
 from lathework.plans.evaluate import six
 from lathework.plans.registry import query, table
 
@@ -37,8 +39,6 @@ def censored_clean(spark: SparkSession, folder: str) -> DataFrame:
 )
 def threshold_hits(spark: SparkSession, folder: str) -> DataFrame:
     """Rows over both thresholds, then the first one of each item."""
-    from lathework.operators.ordering import keep_first
-
     items = table(spark, folder, "lineitem").select("l_partkey", "l_orderkey", "l_discount", "l_tax")
     hits = records.all_thresholds(items, [F.col("l_discount") > 0.08, F.col("l_tax") < 0.03])
     return keep_first(hits, "l_partkey", ["l_orderkey", "l_discount", "l_tax"]).select("l_partkey", "l_orderkey")
@@ -102,10 +102,8 @@ _FIELD = """
 def forecast_rmse_mae(spark: SparkSession, folder: str) -> DataFrame:
     forecast, reference = forecast_field(spark, folder), reference_field(spark, folder)
     keys, by = ["variable", "lat"], ["variable", "lead_hours"]
-    plain = G.verify(forecast, reference, keys, "init_time", "lead_hours", "valid_time", by)
-    weighted = G.verify(forecast, reference, keys, "init_time", "lead_hours", "valid_time", by, latitude="lat")
-    weighted = weighted.select(*by, F.round("rmse", 6).alias("weighted_rmse"), F.round("mae", 6).alias("weighted_mae"))
-    return plain.join(weighted, by).select(*by, "n", six("rmse"), six("mae"), "weighted_rmse", "weighted_mae")
+    scores = G.verify(forecast, reference, keys, "init_time", "lead_hours", "valid_time", by, latitude="lat")
+    return scores.select(*by, "n", *[six(c) for c in ("rmse", "mae", "weighted_rmse", "weighted_mae")])
 
 
 @query(
@@ -204,8 +202,6 @@ def dice_by_case(spark: SparkSession, folder: str) -> DataFrame:
 )
 def uniqueness_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Uniqueness per run, then its mean and standard deviation over runs."""
-    from lathework.operators.scoring import uniqueness
-
     runs = uniqueness(table(spark, folder, "lineitem"), "l_partkey", ["l_linenumber"])
     return runs.agg(
         F.round(F.avg("uniqueness"), 6).alias("mean"),
