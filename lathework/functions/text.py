@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 WHITESPACE = " \t\n\r\f\x0b"
 # Fixed value: the ASCII punctuation marks removed before an exact-match comparison.
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+PUNCTUATION = r"[!-/:-@\[-`{-~]"
 # Fixed value: the form in which a judge states its grade.
 GRADE_PATTERN = r"Grade: \[\[([1-9]|10)\]\]"
 ERROR_PREFIX = "**ERROR**"
@@ -32,7 +32,7 @@ def answer_key(text: Column, ignore_case: bool = True, ignore_punctuation: bool
     if ignore_case:
         text = F.lower(text)
     if ignore_punctuation:
-        text = F.translate(text, PUNCTUATION, "")
+        text = F.regexp_replace(text, PUNCTUATION, "")
     return text
 
 

@@ -271,22 +271,63 @@ def retag(messages: Column, tags: Mapping[str, str], role_tag: str = "from", con
     )
 
 
-# Public chat layouts as (before role, between role and content, after content).
+@dataclass(frozen=True)
+class Layout:
+    """How a conversation becomes one text: what stands before and after each message, by role.
+
+    ``*`` serves the roles not named; ``{role}`` is replaced by the role. ``merge_system`` puts a system
+    message in front of the user message it precedes, for models that know no system turn.
+    """
+
+    before: Mapping[str, str]
+    after: Mapping[str, str]
+    opening: str = ""
+    merge_system: bool = False
+
+
+# Public chat layouts.
 CHAT_LAYOUTS = {
-    "chat-ml": ("<|im_start|>", "\n", "<|im_end|>\n"),
-    "plain": ("", ": ", "\n"),
+    "chat-ml": Layout({"*": "<|im_start|>{role}\n"}, {"*": "<|im_end|>\n"}),
+    "poro": Layout({"*": "<|im_start|>{role}\n"}, {"*": "<|im_end|>\n"}),
+    "simplified-llama31": Layout(
+        {"*": "<|start_header_id|>{role}<|end_header_id|>\n\n"}, {"*": "<|eot_id|>"}, opening="<|begin_of_text|>"
+    ),
+    "mistral-with-system": Layout(
+        {"user": "[INST] ", "*": " "}, {"user": " [/INST]", "*": "</s>"}, opening="<s>", merge_system=True
+    ),
+    "plain": Layout({"*": "{role}: "}, {"*": "\n"}),
 }
 
 
-def chat_text(messages: Column, layout: str | tuple[str, str, str] = "chat-ml") -> Column:
-    """All messages as one text in a named or given layout."""
-    before, between, after = CHAT_LAYOUTS[layout] if isinstance(layout, str) else layout
-    return F.array_join(
-        F.transform(
-            messages, lambda m: F.concat(F.lit(before), m["role"], F.lit(between), m["content"], F.lit(after))
-        ),
-        "",
+def _by_role(texts: Mapping[str, str], role: Column) -> Column:
+    def filled(text: str) -> Column:
+        head, mark, tail = text.partition("{role}")
+        return F.concat(F.lit(head), role, F.lit(tail)) if mark else F.lit(text)
+
+    out = filled(texts.get("*", ""))
+    for name, text in texts.items():
+        if name != "*":
+            out = F.when(role == name, filled(text)).otherwise(out)
+    return out
+
+
+def chat_text(messages: Column, layout: str | Layout = "chat-ml") -> Column:
+    """All messages as one text in a named layout or the caller's own."""
+    form = CHAT_LAYOUTS[layout] if isinstance(layout, str) else layout
+    if form.merge_system:
+        turns = messages
+
+        def merged(m: Column, i: Column) -> Column:
+            before = F.get(turns, i - 1)
+            led = (m["role"] == "user") & (before["role"] == "system")
+            content = F.when(led, F.concat(before["content"], F.lit("\n\n"), m["content"])).otherwise(m["content"])
+            return F.struct(m["role"].alias("role"), content.alias("content"))
+
+        messages = F.filter(F.transform(messages, merged), lambda m: m["role"] != "system")
+    texts = F.transform(
+        messages, lambda m: F.concat(_by_role(form.before, m["role"]), m["content"], _by_role(form.after, m["role"]))
     )
+    return F.concat(F.lit(form.opening), F.array_join(texts, ""))
 
 
 def judge_request(template: str, context: Column, answer: Column) -> Column:

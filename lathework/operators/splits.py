@@ -178,3 +178,10 @@ def even_shards(
         .withColumn("is_pad", F.col("__c") > 0)
         .drop("__i", "__n", "__c")
     )
+
+
+def shard_sizes(shards: DataFrame) -> DataFrame:
+    """Rows and valid (unpadded) rows of each shard."""
+    return shards.groupBy("shard").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("is_pad")).alias("valid_rows")
+    )

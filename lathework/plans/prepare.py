@@ -103,8 +103,7 @@ def line_conversations(docs: DataFrame) -> DataFrame:
 def quarantine_reasons(spark: SparkSession, folder: str) -> DataFrame:
     docs = line_conversations(table(spark, folder, "documents", costly=True))
     rows = M.chat_rows(docs, M.ChatSpec(conversation="conversation", roles=ROLES), "documents", "train", "doc_id")
-    both = M.accepted(rows).unionByName(M.rejected(rows))
-    return both.select(
+    return rows.select(
         F.col("extra_info.index").alias("doc_id"),
         F.col("extra_info.skip_reason").alias("skip_reason"),
         F.size("messages").alias("n_messages"),
@@ -284,16 +283,26 @@ def tagged_messages(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "chat_template_render",
     """
-    SELECT doc_id, '<|im_start|>user' || chr(10) || text || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)
-           || source || '<|im_end|>' || chr(10) AS rendered,
-           'user: ' || text || chr(10) || 'assistant: ' || source || chr(10) AS plain
+    SELECT doc_id, 'chat-ml' AS layout, '<|im_start|>system' || chr(10) || lang || '<|im_end|>' || chr(10) || '<|im_start|>user'
+           || chr(10) || text || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || source || '<|im_end|>' || chr(10) AS rendered
     FROM documents
+    UNION ALL SELECT doc_id, 'plain', 'system: ' || lang || chr(10) || 'user: ' || text || chr(10) || 'assistant: ' || source || chr(10)
+    FROM documents
+    UNION ALL SELECT doc_id, 'mistral-with-system', '<s>[INST] ' || lang || chr(10) || chr(10) || text || ' [/INST] ' || source || '</s>'
+    FROM documents
+    UNION ALL SELECT doc_id, 'simplified-llama31', '<|begin_of_text|><|start_header_id|>system<|end_header_id|>' || chr(10) || chr(10) || lang
+           || '<|eot_id|><|start_header_id|>user<|end_header_id|>' || chr(10) || chr(10) || text
+           || '<|eot_id|><|start_header_id|>assistant<|end_header_id|>' || chr(10) || chr(10) || source || '<|eot_id|>' FROM documents
     """,
 )
 def chat_template_render(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    chat = F.array(M.message("user", F.col("text")), M.message("assistant", F.col("source")))
-    return docs.select("doc_id", M.chat_text(chat).alias("rendered"), M.chat_text(chat, "plain").alias("plain"))
+    chat = F.array(*[M.message(r, F.col(c)) for r, c in (("system", "lang"), ("user", "text"), ("assistant", "source"))])
+    made = [
+        F.struct(F.lit(name).alias("layout"), M.chat_text(chat, name).alias("rendered"))
+        for name in ("chat-ml", "plain", "mistral-with-system", "simplified-llama31")
+    ]
+    return docs.select("doc_id", F.explode(F.array(*made)).alias("m")).select("doc_id", "m.layout", "m.rendered")
 
 
 @query(

@@ -76,3 +76,19 @@ def test_instruction_layouts(spark):
         M.instruction_format("instruction_only", F.lit("do"), F.lit("it")),
     ).first()
     assert list(row) == ["it\n\ndo", "do", "do", "do\n\nit", "do", "do", "do\nit", "do", "do", "do"]
+
+
+def test_accepted_and_rejected_rows(spark):
+    schema = "i int, c array<struct<role:string,content:string>>"
+    df = spark.createDataFrame([(0, [("user", "a")]), (1, [("robot", "b")])], schema)
+    rows = M.chat_rows(df, M.ChatSpec(conversation="c"), "src", "train", "i")
+    assert [r["extra_info"]["index"] for r in M.accepted(rows).collect()] == [0]
+    assert [r["extra_info"]["index"] for r in M.rejected(rows).collect()] == [1]
+
+
+def test_layouts(spark):
+    df = spark.createDataFrame([([("system", "s"), ("user", "q"), ("assistant", "a"), ("user", "r")],)], "m array<struct<role:string,content:string>>")
+    own = M.Layout({"user": "U:", "*": "{role}>"}, {"*": ";"}, opening="^")
+    row = df.select(*[M.chat_text(F.col("m"), layout) for layout in ("mistral-with-system", own)]).first()
+    assert tuple(row) == ("<s>[INST] s\n\nq [/INST] a</s>[INST] r [/INST]", "^system>s;U:q;assistant>a;U:r;")
+    assert set(M.CHAT_LAYOUTS) >= {"chat-ml", "poro", "mistral-with-system", "simplified-llama31"}

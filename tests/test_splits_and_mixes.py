@@ -57,7 +57,9 @@ def test_batches(spark):
 @pytest.mark.parametrize("n,replicas", [(10, 4), (12, 4), (3, 8), (1, 5)])
 @pytest.mark.parametrize("shuffle", [True, False])
 def test_shards_are_even(spark, n, replicas, shuffle):
-    out = splits.even_shards(spark.range(n), ["id"], replicas, shuffle_key=shuffle).collect()
+    shards = splits.even_shards(spark.range(n), ["id"], replicas, shuffle_key=shuffle)
+    out = shards.collect()
+    assert sum(r["valid_rows"] for r in splits.shard_sizes(shards).collect()) == n
     sizes = Counter(r["shard"] for r in out)
     assert len(sizes) == replicas and len(set(sizes.values())) == 1
     real = [r["id"] for r in out if not r["is_pad"]]
