@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -214,15 +214,25 @@ def softmax(scores: Column, scale: float = 1.0) -> Column:
 
 
 def softmax_rows(df: DataFrame, item: Sequence[str], score: str, scale: float = 1.0) -> DataFrame:
-    """Softmax over the rows of each item; the statistics are map-side aggregates joined back."""
-    tops = df.groupBy(*item).agg(F.max(score).alias("__top"))
-    powers = df.join(tops, list(item)).withColumn("__p", F.exp((F.col(score) - F.col("__top")) * scale))
-    totals = powers.groupBy(*item).agg(F.sum("__p").alias("__total"))
+    """Softmax over the rows of each item, however many an item has.
+
+    Powers are summed per item and score band, each relative to its band's upper edge: one map-side
+    aggregate without knowing the maximum. The few bands of an item are then put together, and its maximum
+    and total joined back, the only step that moves rows.
+    """
+    width = 50.0 / scale  # a band spans e**-50, well inside a double
+    value = F.col(score).cast("double")
+    banded = df.groupBy(*item, F.ceil(value / width).alias("__band")).agg(
+        F.sum(F.exp((value - F.ceil(value / width) * width) * scale)).alias("__part"), F.max(value).alias("__m")
+    )
+    tops = banded.withColumn("__top", F.max("__m").over(Window.partitionBy(*item)))
+    share = F.col("__part") * F.exp((F.col("__band") * width - F.col("__top")) * scale)
+    totals = tops.groupBy(*item).agg(F.max("__top").alias("__top"), F.sum(share).alias("__total"))
     return (
-        powers.join(totals, list(item))
-        .withColumn("probability", F.col("__p") / F.col("__total"))
-        .withColumn("is_top", F.col(score) == F.col("__top"))
-        .drop("__top", "__p", "__total")
+        df.join(totals, list(item))
+        .withColumn("probability", F.exp((value - F.col("__top")) * scale) / F.col("__total"))
+        .withColumn("is_top", value == F.col("__top"))
+        .drop("__top", "__total")
     )
 
 

@@ -273,6 +273,23 @@ def softmax_scores(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "softmax_long",
+    """
+    WITH m AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag, l_discount,
+                      exp(20 * (l_discount - max(l_discount) OVER w)) AS p, l_discount = max(l_discount) OVER w AS is_top
+               FROM lineitem WINDOW w AS (PARTITION BY l_suppkey, l_returnflag))
+    SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(p / sum(p) OVER (PARTITION BY l_suppkey, l_returnflag), 6) AS probability,
+           is_top FROM m
+    """,
+)
+def softmax_long(spark: SparkSession, folder: str) -> DataFrame:
+    """Softmax and best flag over rows: line items as the candidates of a supplier and flag."""
+    items = table(spark, folder, "lineitem")
+    scored = scoring.softmax_rows(items, ["l_suppkey", "l_returnflag"], "l_discount", 20.0)
+    return scored.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", six("probability"), "is_top")
+
+
 @query(
     "keyword_score",
     """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,7 +102,7 @@ def append_runs(spark: SparkSession, folder: str) -> DataFrame:
 def read_wholetext(spark: SparkSession, folder: str) -> DataFrame:
     """One text file per document, read back whole."""
     path = scratch_path(spark, "texts")
-    docs = table(spark, folder, "documents")
+    docs = table(spark, folder, "documents", costly=True)
     named = docs.select(F.concat_ws("\n", F.col("doc_id").cast("string"), "text").alias("text"))
     named.write.option("maxRecordsPerFile", 1).text(path)
     texts = readers.read_documents(spark, path)
@@ -231,20 +233,19 @@ def stream_running_mean(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(out).select("l_returnflag", "weight", six("mean"))
 
 
-@query("stream_settled_files", "SELECT event_type, count(*) AS n, true AS marked FROM events GROUP BY event_type")
+@query(
+    "stream_settled_files",
+    "SELECT event_type, count(*) AS n, CAST(1 AS INTEGER) AS first_run, CAST(2 AS BIGINT) AS latest_run FROM events GROUP BY event_type",
+)
 def stream_settled_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Files that have settled (as seen in an hour) are published batch by batch, the marker last."""
+    """Three runs: nothing has settled yet, then everything has (as seen in an hour), then nothing is new."""
     staged, df = _staged(spark, folder, "events", "event_id", "event_type")
-    out, marker, checkpoint = (scratch_path(spark, n) for n in ("published", "marker", "progress"))
-    later = F.current_timestamp() + F.expr("INTERVAL 1 HOUR")
-    settled = S.settled_files(spark, staged, later, glob="*.parquet").select(F.count(F.lit(1)).alias("files"))
-    stream = S.read_stream(spark, staged, df.schema, files_per_batch=3)
-    S.publish_batches(stream, S.publish_after_data(out, marker), checkpoint).awaitTermination()
-    latest = spark.read.schema("latest_batch bigint").json(marker)
-    rows = spark.read.parquet(out)
-    marked = rows.agg(F.max("batch_id").alias("b")).scalar() == latest.agg(F.max("latest_batch").alias("b")).scalar()
-    some = settled.scalar() > 0
-    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).withColumn("marked", marked & some)
+    out, now = scratch_path(spark, "published"), datetime.now(timezone.utc)
+    for run_id, as_of in enumerate([now - timedelta(hours=1), now + timedelta(hours=1), now + timedelta(hours=2)]):
+        S.publish_settled(spark, staged, df.schema, out, run_id, as_of)
+    rows = spark.read.option("basePath", out).parquet(f"{out}/run_id=*")
+    counts = rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("run_id").alias("first_run"))
+    return counts.withColumn("latest_run", S.latest_run(spark, out).scalar())
 
 
 @query("latest_status", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, max(ts) AS updated_at FROM events GROUP BY user_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,18 +54,39 @@ def settled_files(spark: SparkSession, path: str, as_of: Column, age: str = "1 m
     )
 
 
-def publish_after_data(path: str, marker: str) -> Callable[[DataFrame, int], None]:
-    """A batch writer that stores the data first and then the marker naming the finished batch.
-
-    A repeated batch overwrites its own folder, so a retry after a lost executor changes nothing.
+def publish_settled(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    out: str,
+    run_id: int,
+    as_of: datetime,
+    age: timedelta = timedelta(minutes=1),
+) -> None:
+    """Publish the rows of files that have settled and were not published before; the marker comes last.
+
+    Unsettled files are pruned at the listing and wait for a later run. Each row keeps its
+    ``source_file``, so what was published is read off the output itself and cannot disagree with it. A repeated
+    run overwrites its own folder.
     """
+    meta = F.col("_metadata")
+    cut = F.lit(as_of - age)
+    rows = (
+        spark.read.schema(schema)
+        .parquet(path)
+        .select("*", meta["file_path"].alias("source_file"), meta["file_modification_time"].alias("changed_at"))
+        .where(F.col("changed_at") <= cut)
+    )
+    if run_id > 0:
+        before = spark.read.option("basePath", out).parquet(f"{out}/run_id=*").where(F.col("run_id") < run_id)
+        rows = rows.join(before.select("source_file").distinct(), "source_file", "left_anti")
+    rows.drop("changed_at").write.mode("overwrite").parquet(f"{out}/run_id={run_id}")
+    latest = spark.range(1).select(F.lit(run_id).cast("bigint").alias("latest_run"))
+    latest.write.mode("overwrite").json(f"{out}/_latest")
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-        latest = batch.sparkSession.range(1).select(F.lit(batch_id).cast("bigint").alias("latest_batch"))
-        latest.write.mode("overwrite").json(marker)
 
-    return write
+def latest_run(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.schema("latest_run bigint").json(f"{out}/_latest")
 
 
 def publish_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

@@ -93,6 +93,9 @@ def test_histogram_of_one_value(spark):
 def test_softmax_forms_agree(spark):
     data = [(i, c, float((i * c) % 7) / 10) for i in range(20) for c in range(5)]
     df = spark.createDataFrame(data, "item int, c int, s double")
+    far = spark.createDataFrame([(0, -900.0), (0, 3.0), (0, 2.0), (1, -900.0)], "item int, s double")
+    probabilities = {(r["item"], r["s"]): r["probability"] for r in scoring.softmax_rows(far, ["item"], "s").collect()}
+    assert probabilities[0, 3.0] == pytest.approx(1 / (1 + math.exp(-1))) and probabilities[1, -900.0] == pytest.approx(1.0)
     rows = scoring.softmax_rows(df, ["item"], "s", 100.0)
     for r in rows.collect():
         mine = np.array([s for i, _, s in data if i == r["item"]]) * 100
