@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lathework.functions.text import ERROR_PREFIX, GRADE_PATTERN, grade, is_error
-from lathework.operators.messages import judge_followup, judge_request
+from lathework.functions.templates import render
+from lathework.functions.text import ERROR_PREFIX, GRADE_PATTERN, grade, is_error, word_count
+from lathework.operators.messages import judge_followup, judge_request, message
+from lathework.operators.ordering import with_row_index
 
 
 def with_retry(
@@ -75,6 +77,44 @@ def batch_infer(
     return df.mapInPandas(run, schema)
 
 
+def inference_rows(
+    df: DataFrame,
+    call: Callable[[Any], str],
+    template: str,
+    context: str,
+    gold: str,
+    order_by: Sequence[str],
+    document_id: str | None = None,
+    max_tokens: int | None = None,
+    count: Callable[[Column], Column] = word_count,
+    subset: int = 0,
+    batch_size: int = 64,
+    workers: int = 1,
+) -> DataFrame:
+    """Ask a model about each document and keep what scoring needs.
+
+    The prompt is the template with ``{context}`` filled in; prompts over ``max_tokens`` are left out before
+    the ``subset`` is counted. Without an id column the row index (taken before any filter) is the id. Gives
+    ``llm_inference, gold_standard_result, context_document_id, context_document, prompt_template``.
+    """
+    if document_id is None:
+        df, document_id = with_row_index(df, order_by, name="__doc"), "__doc"
+    rows = df.select(
+        F.array(F.col(gold).cast("string")).alias("gold_standard_result"),
+        F.col(document_id).cast("string").alias("context_document_id"),
+        F.col(context).alias("context_document"),
+        F.lit(template).alias("prompt_template"),
+        render(template, {"context": F.col(context)}).alias("__prompt"),
+        F.struct(*order_by).alias("__order"),
+    )
+    if max_tokens is not None:
+        rows = rows.where(count(F.col("__prompt")) <= max_tokens)
+    if subset > 0:
+        rows = rows.orderBy("__order").limit(subset)
+    asked = rows.withColumn("__request", F.array(message("user", F.col("__prompt")))).drop("__prompt", "__order")
+    return batch_infer(asked, call, "__request", "llm_inference", batch_size, workers).drop("__request")
+
+
 def token_counts(text: Column, count: Callable[[str], int]) -> Column:
     """Token counts by a caller's tokenizer, in Arrow batches."""
 

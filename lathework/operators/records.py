@@ -155,10 +155,14 @@ def latest_checkpoint(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataF
 
 
 def sample_efficiency(df: DataFrame, item: str, state: str) -> DataFrame:
-    """Generated, invalid (state 0) and batch-duplicate (state 2) items, and repeats of earlier rows."""
+    """Generated, invalid (state 0) and batch-duplicate (state 2) items, and repeats of earlier rows.
+
+    Missing items count as equal to each other.
+    """
+    distinct = F.count_distinct(F.col(item)) + F.coalesce(F.max(F.col(item).isNull().cast("int")), F.lit(0))
     return df.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col(state) == 0).alias("invalid"),
         F.count_if(F.col(state) == 2).alias("batch_duplicates"),
-        (F.count(F.lit(1)) - F.count_distinct(F.col(item))).alias("duplicates"),
+        (F.count(F.lit(1)) - distinct).alias("duplicates"),
     )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lathework.functions.text import answer_key, clamp_at_zero, contains_any, metric_tokens
+from lathework.functions.text import answer_key, clamp_at_zero, contains_any, is_error, metric_tokens
 
 BLEU_ORDER = 4
 HISTOGRAM_BINS = 20
@@ -75,21 +75,22 @@ def bleu_counts(df: DataFrame, key: str, prediction: str, references: str, keep:
     )
 
 
-def bleu_from_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Corpus BLEU from summed counts: order 4, no smoothing, brevity penalty."""
+def bleu_from_counts(counts: DataFrame, by: Sequence[str] = (), means: Sequence[str] = ()) -> DataFrame:
+    """Corpus BLEU from summed counts: order 4, no smoothing, brevity penalty; in the same pass, some means."""
     orders = _ORDERS
     sums = [F.sum(c).alias(c) for n in orders for c in (f"match_{n}", f"possible_{n}")]
     totals = counts.groupBy(*by).agg(
         F.sum("prediction_length").alias("prediction_length"),
         F.sum("reference_length").alias("reference_length"),
         *sums,
+        *[F.avg(m).alias(m) for m in means],
     )
     ratio = F.col("prediction_length") / F.col("reference_length")
     penalty = F.when(ratio > 1, F.lit(1.0)).otherwise(F.exp(1 - F.try_divide(F.lit(1.0), ratio)))
     log_sum = sum((F.log(F.col(f"match_{n}") / F.col(f"possible_{n}")) for n in orders), F.lit(0.0))
     some_zero = F.least(*[F.col(f"match_{n}") for n in orders]) == 0
     bleu = F.when(some_zero, 0.0).otherwise(F.exp(log_sum / BLEU_ORDER) * penalty)
-    return totals.select(*by, "prediction_length", "reference_length", bleu.alias("bleu"))
+    return totals.select(*by, "prediction_length", "reference_length", bleu.alias("bleu"), *means)
 
 
 _SCORES = T.StructType([T.StructField(name, T.DoubleType()) for name in ("precision", "recall", "f1")])
@@ -127,6 +128,26 @@ def mean_summary(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
     return df.groupBy(*by).agg(*[F.round(F.avg(c), digits).alias(c) for c in columns])
 
 
+def metric_summary(rows: DataFrame, key: str = "context_document_id", on_error: str = "score", digits: int = 4) -> DataFrame:
+    """One row of metrics for inference rows: exact match and BLEU against the one gold answer.
+
+    A failed call is scored as the text it is, or left out with ``on_error="drop"``. Several gold answers
+    for a row are an error.
+    """
+    if on_error not in ("score", "drop"):
+        raise ValueError("on_error must be score or drop")
+    if on_error == "drop":
+        rows = rows.where(~is_error(F.col("llm_inference")))
+    gold = single_gold(F.col("gold_standard_result"))
+    pairs = rows.select(key, F.col("llm_inference").alias("__p"), gold.alias("__g"))
+    scored = pairs.select(
+        key, "__p", F.array("__g").alias("__r"), exact_match(F.col("__p"), F.col("__g")).alias("exact_match")
+    )
+    counts = bleu_counts(scored, key, "__p", "__r", keep=["exact_match"])
+    summary = bleu_from_counts(counts, means=["exact_match"])
+    return summary.select(*[F.round(c, digits).alias(c) for c in ("exact_match", "bleu")])
+
+
 def histogram(df: DataFrame, value: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Equal-width bins over the range, the last one closed; one value widens to half a unit either side.
 

@@ -10,7 +10,7 @@ from lathework.operators import inference, mixing, records, retrieval, scoring
 from lathework.operators import messages as M
 from lathework.plans.prepare import exploded
 from lathework.plans.registry import query, table
-from lathework.session import fits
+from lathework.session import fits, materialize
 
 
 def six(column: str) -> Column:
@@ -76,10 +76,7 @@ def _tokens_13a(column: str) -> str:
     return rf"list_filter(regexp_split_to_array({text}, '\s+'), lambda w: w <> '')"
 
 
-@query(
-    "corpus_bleu",
-    f"""
-    WITH {_PAIRS},
+_BLEU = f"""
     tokens AS (SELECT doc_id, lang, {_tokens_13a('prediction')} AS p, {_tokens_13a('gold')} AS r FROM pairs),
     sides AS (SELECT doc_id, lang, 0 AS side, unnest(p) AS w, generate_subscripts(p, 1) AS i FROM tokens
               UNION ALL SELECT doc_id, lang, 1, unnest(r), generate_subscripts(r, 1) FROM tokens),
@@ -94,12 +91,17 @@ def _tokens_13a(column: str) -> str:
     matches AS (SELECT lang, n, sum(least(cp, cr)) AS m, sum(cp) AS possible FROM counted GROUP BY lang, n),
     logs AS (SELECT lang, avg(ln(m / possible::DOUBLE)) AS l, min(m) AS lowest FROM matches GROUP BY lang),
     lengths AS (SELECT lang, CAST(sum(len(p)) AS BIGINT) AS prediction_length, CAST(sum(len(r)) AS BIGINT) AS reference_length
-                FROM tokens GROUP BY lang)
-    SELECT lang, prediction_length, reference_length, round(CASE WHEN lowest = 0 THEN 0.0::DOUBLE ELSE
-             exp(l) * CASE WHEN prediction_length > reference_length THEN 1.0
-                           ELSE exp(1 - reference_length / prediction_length::DOUBLE) END END, 6) AS bleu
-    FROM logs JOIN lengths USING (lang)
-    """,
+                FROM tokens GROUP BY lang),
+    bleus AS (SELECT lang, prediction_length, reference_length, CASE WHEN lowest = 0 THEN 0.0::DOUBLE ELSE
+                exp(l) * CASE WHEN prediction_length > reference_length THEN 1.0
+                              ELSE exp(1 - reference_length / prediction_length::DOUBLE) END END AS bleu
+              FROM logs JOIN lengths USING (lang))
+"""
+
+
+@query(
+    "corpus_bleu",
+    f"WITH {_PAIRS}, {_BLEU} SELECT lang, prediction_length, reference_length, round(bleu, 6) AS bleu FROM bleus",
 )
 def corpus_bleu(spark: SparkSession, folder: str) -> DataFrame:
     pairs = scored_pairs(spark, folder)
@@ -109,6 +111,60 @@ def corpus_bleu(spark: SparkSession, folder: str) -> DataFrame:
     return bleu.select("lang", "prediction_length", "reference_length", six("bleu"))
 
 
+_COUNT = r"len(list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> ''))"
+_ASKED = f"""
+    asked AS (SELECT doc_id, source, text, row_number() OVER (ORDER BY doc_id) - 1 AS i, 'Repeat this:' || chr(10) || text AS prompt
+              FROM documents),
+    answered AS (SELECT i, text, CASE WHEN contains(prompt, '@') THEN '**ERROR**: address in text' ELSE replace(text, ' and ', ' or ') END
+                   AS answer
+                 FROM asked WHERE {_COUNT.format('prompt')} <= 1000)
+"""
+
+
+def stub_repeat(messages) -> str:
+    """A stand-in for a model: repeats the text with one word changed, and fails on texts that hold an @."""
+    text = messages[-1]["content"]
+    if "@" in text:
+        raise ValueError("address in text")
+    return text.partition("\n")[2].replace(" and ", " or ")
+
+
+def repeated(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", costly=True).select("doc_id", "text")
+    return inference.inference_rows(docs, stub_repeat, "Repeat this:\n{context}", "text", "text", ["doc_id"], max_tokens=1000)
+
+
+@query(
+    "inference_rows",
+    f"""
+    WITH {_ASKED}
+    SELECT i::VARCHAR AS context_document_id, answer AS llm_inference, text AS gold, text AS context_document,
+           'Repeat this:' || chr(10) || '{{context}}' AS prompt_template
+    FROM answered
+    """,
+)
+def inference_rows(spark: SparkSession, folder: str) -> DataFrame:
+    rows = repeated(spark, folder)
+    gold = F.get("gold_standard_result", F.lit(0)).alias("gold")
+    return rows.select("context_document_id", "llm_inference", gold, "context_document", "prompt_template")
+
+
+@query(
+    "metric_run",
+    f"""
+    WITH {_ASKED},
+    pairs AS (SELECT i AS doc_id, 'all' AS lang, text AS gold, answer AS prediction FROM answered WHERE NOT starts_with(answer, '**ERROR**')),
+    {_BLEU},
+    e AS (SELECT avg(CASE WHEN {_KEY.format('prediction')} = {_KEY.format('gold')} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS x FROM pairs)
+    SELECT round(x, 4) AS exact_match, round(bleu, 4) AS bleu FROM bleus, e
+    """,
+)
+def metric_run(spark: SparkSession, folder: str) -> DataFrame:
+    """Ask, keep the answers as a table so that no call is repeated, then score them."""
+    answers = materialize(repeated(spark, folder), "answers")
+    return scoring.metric_summary(answers, on_error="drop")
+
+
 @query(
     "embedding_prf",
     """
@@ -203,7 +259,7 @@ def judge_summary(spark: SparkSession, folder: str) -> DataFrame:
     return summary.select(six("mean_grade"), "candidates", "judged", "missing")
 
 
-_WORDS = r"len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''))"
+_WORDS = _COUNT.format("text")
 
 
 @query(

@@ -252,8 +252,9 @@ def stream_settled_files(spark: SparkSession, folder: str) -> DataFrame:
 def latest_status(spark: SparkSession, folder: str) -> DataFrame:
     staged, df = _staged(spark, folder, "events", "user_id", "event_type", "ts", "event_id")
     out, checkpoint = scratch_path(spark, "status"), scratch_path(spark, "progress")
-    merge = S.merge_status(out, "user_id", ["ts", "event_id"], df.schema)
-    query = S.publish_batches(S.read_stream(spark, staged, df.schema, files_per_batch=3), merge, checkpoint)
-    query.awaitTermination()
-    last = S.current_version(spark, out, df.schema)
+    key, at = "user_id", ["ts", "event_id"]
+    stream = S.read_stream(spark, staged, df.schema, files_per_batch=3)
+    S.publish_batches(stream, S.append_status(out, key, at), checkpoint).awaitTermination()
+    S.compact_status(spark, out, df.schema, key, at, upto=1)
+    last = S.current_status(spark, out, df.schema, key, at)
     return last.select("user_id", F.col("event_type").alias("status"), F.col("ts").alias("updated_at"))

@@ -61,6 +61,19 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def path_object(spark: SparkSession, path: str):
+    """The file system of a path and the path itself, as Hadoop objects."""
+    jvm = spark.sparkContext._jvm
+    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
+
+
+def path_children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none if it does not exist."""
+    files, folder = path_object(spark, path)
+    return [status.getPath().getName() for status in files.listStatus(folder)] if files.exists(folder) else []
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Deal a small input out over all cores before costly work on its rows.
 

@@ -8,11 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lathework.operators.ordering import with_row_index
-
-
-def _path_object(spark: SparkSession, path: str):
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
+from lathework.session import path_object
 
 
 def read_json_dir(
@@ -28,7 +24,7 @@ def read_json_dir(
     without such files gives no rows. With ``glob`` the files it matches are read as JSON Lines alone,
     which keeps large files divisible.
     """
-    files, folder = _path_object(spark, path)
+    files, folder = path_object(spark, path)
     if not files.exists(folder):
         raise FileNotFoundError(path)
     by_line = spark.read.option("pathGlobFilter", glob or lines).text(path)
@@ -97,7 +93,7 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
 def join_binaries(table: DataFrame, path_column: str, folder: str, glob: str = "*") -> DataFrame:
     """Rows with the bytes of the file their relative path names; nothing is decoded."""
     spark = table.sparkSession
-    files, root = _path_object(spark, folder)
+    files, root = path_object(spark, folder)
     base = root.makeQualified(files.getUri(), files.getWorkingDirectory()).toString().rstrip("/") + "/"
     payloads = (
         spark.read.format("binaryFile")

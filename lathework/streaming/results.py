@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from lathework.operators.ordering import keep_last
+from lathework.session import path_children
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 64) -> DataFrame:
@@ -100,24 +101,40 @@ def latest_status(updates: DataFrame, key: str, at: Sequence[str]) -> DataFrame:
     return keep_last(updates, [key], at)
 
 
-def merge_status(path: str, key: str, at: Sequence[str], schema: T.StructType) -> Callable[[DataFrame, int], None]:
-    """A batch writer that merges updates into versions of a status table: version ``n`` reads ``n - 1``.
+def append_status(path: str, key: str, at: Sequence[str]) -> Callable[[DataFrame, int], None]:
+    """A batch writer that stores the last update per key of each batch; its cost follows the batch alone.
 
-    Each version is written whole to its own folder, so a repeated batch gives the same version.
+    A repeated batch overwrites its own folder.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        merged = batch
-        if batch_id > 0:
-            before = batch.sparkSession.read.schema(schema).parquet(f"{path}/version={batch_id - 1}")
-            merged = before.unionByName(batch.select(*before.columns))
-        keep_last(merged, [key], at).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        keep_last(batch, [key], at).write.mode("overwrite").parquet(f"{path}/updates/batch_id={batch_id}")
 
     return write
 
 
-def current_version(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The newest version of a status table kept by :func:`merge_status`."""
-    versions = spark.read.schema(schema).option("basePath", path).parquet(path)
-    newest = versions.agg(F.max("version").alias("v")).scalar()
-    return versions.where(F.col("version") == newest).drop("version")
+def _status_parts(spark: SparkSession, path: str, schema: T.StructType, upto: int | None = None) -> DataFrame:
+    """The newest compacted table and the batches after it (those up to ``upto``, if given)."""
+    parts = spark.read.schema(schema).option("basePath", f"{path}/updates").parquet(f"{path}/updates/batch_id=*")
+    if upto is not None:
+        parts = parts.where(F.col("batch_id") <= upto)
+    done = [int(name.removeprefix("upto=")) for name in path_children(spark, f"{path}/compacted")]
+    done = [number for number in done if upto is None or number < upto]
+    if not done:
+        return parts.drop("batch_id")
+    base = spark.read.schema(schema).parquet(f"{path}/compacted/upto={max(done)}")
+    return base.unionByName(parts.where(F.col("batch_id") > max(done)).drop("batch_id").select(*base.columns))
+
+
+def current_status(spark: SparkSession, path: str, schema: T.StructType, key: str, at: Sequence[str]) -> DataFrame:
+    """The last update per key over all batches."""
+    return keep_last(_status_parts(spark, path, schema), [key], at)
+
+
+def compact_status(spark: SparkSession, path: str, schema: T.StructType, key: str, at: Sequence[str], upto: int) -> None:
+    """Fold the batches up to ``upto`` into one table; later reads start from it.
+
+    Run it for finished batches (batch ids only grow). Folders that were folded in may then be removed.
+    """
+    folded = keep_last(_status_parts(spark, path, schema, upto), [key], at)
+    folded.write.mode("overwrite").parquet(f"{path}/compacted/upto={upto}")

@@ -147,15 +147,20 @@ def test_value_range(spark):
     assert tuple(G.value_range(df, "x", ["k"], ["i"], center=20.0).first()) == ("v", -60.0, 100.0)
 
 
-def test_status_versions_take_the_last_update(spark, tmp_path):
+def test_status_takes_the_last_update_before_and_after_compaction(spark, tmp_path):
     data = tmp_path / "in"
-    for batch in ([(1, 1, "new"), (2, 1, "new")], [(1, 3, "done"), (1, 2, "busy")]):
+    batches = [[(1, 1, "new"), (2, 1, "new")], [(1, 3, "done"), (1, 2, "busy")], [(2, 5, "busy"), (3, 1, "new")]]
+    for batch in batches:
         spark.createDataFrame(batch, "id int, at int, status string").coalesce(1).write.mode("append").parquet(str(data))
     schema = spark.read.parquet(str(data)).schema
     stream = S.read_stream(spark, str(data), schema, files_per_batch=1)
     out = str(tmp_path / "out")
-    S.publish_batches(stream, S.merge_status(out, "id", ["at"], schema), str(tmp_path / "cp")).awaitTermination()
-    assert {(r["id"], r["status"]) for r in S.current_version(spark, out, schema).collect()} == {(1, "done"), (2, "new")}
+    S.publish_batches(stream, S.append_status(out, "id", ["at"]), str(tmp_path / "cp")).awaitTermination()
+    expected = {(1, "done"), (2, "busy"), (3, "new")}
+    for upto in (None, 0, 1, 2):
+        if upto is not None:
+            S.compact_status(spark, out, schema, "id", ["at"], upto)
+        assert {(r["id"], r["status"]) for r in S.current_status(spark, out, schema, "id", ["at"]).collect()} == expected
 
 
 def test_files_settle_with_age(spark, tmp_path):
