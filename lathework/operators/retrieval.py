@@ -14,8 +14,10 @@ from pyspark.sql import types as T
 from lathework.functions.templates import render
 from lathework.functions.text import strip
 from lathework.operators.inference import embed
+from lathework.session import fits
 
-BANK_ROWS = 20_000
+BANK_ROWS = 20_000  # questions a task may hold
+BLOCK_ROWS = 20_000  # items a task may hold when both sides are cut into blocks
 _SCAN_CELLS = 4_000_000  # scores a task holds at a time
 
 
@@ -28,48 +30,73 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-def _scan(
-    items: DataFrame, bank: pd.DataFrame, k: int, cosine: bool, digits: int, names: Sequence[str]
-) -> DataFrame:
-    """Each task keeps the best ``k`` items per question of the rows it reads, and emits only those."""
-    question_type, item, item_vector = names[0], names[1], names[2]
-    question_ids = bank["id"].to_numpy()
-    shared = items.sparkSession.sparkContext.broadcast(
-        _unit(_matrix(bank["vector"])) if cosine else _matrix(bank["vector"])
-    )
-    schema = T.StructType(
-        [
-            T.StructField("question_id", question_type),
-            T.StructField("item_id", items.schema[item].dataType),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
+Best = tuple[np.ndarray, np.ndarray, np.ndarray]  # question row, item id, score
+
+
+def _nothing() -> Best:
+    return np.empty(0, dtype="int64"), np.empty(0, dtype="int64"), np.empty(0)
+
+
+def _better(best: Best, questions: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, digits: int) -> Best:
+    """The best ``k`` items per question of those so far and some more, scored a bounded number at a time."""
+    step = max(64, _SCAN_CELLS // max(1, len(questions)))
+    for start in range(0, len(ids), step):
+        scores = np.round(questions @ vectors[start : start + step].T, digits)
+        if scores.shape[1] > k:
+            row, column = np.nonzero(scores >= np.partition(scores, -k, axis=1)[:, -k][:, None])
+        else:
+            row, column = np.nonzero(np.ones(scores.shape, dtype=bool))
+        found = row, ids[start : start + step][column], scores[row, column]
+        row, item, score = (np.concatenate(pair) for pair in zip(best, found))
+        # best score first, then smallest id, and the first k of each question
+        order = np.lexsort((item, -score, row))
+        row, item, score = row[order], item[order], score[order]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+        best = row[kept], item[kept], score[kept]
+    return best
+
+
+def _as_frame(question_ids: np.ndarray, best: Best) -> pd.DataFrame:
+    row, item, score = best
+    return pd.DataFrame({"question_id": question_ids[row], "item_id": item, "score": score})
+
+
+def _scan_with_bank(bank: pd.DataFrame, items: DataFrame, schema: T.StructType, prepare: Any, k: int, digits: int) -> DataFrame:
+    """Few questions: they are sent to the tasks that read the items, which do not move."""
+    question_ids = bank["question_id"].to_numpy()
+    shared = items.sparkSession.sparkContext.broadcast(prepare(_matrix(bank["vector"])))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        questions = shared.value
-        step = max(64, _SCAN_CELLS // max(1, len(questions)))
-        best = np.empty(0, dtype="int64"), np.empty(0, dtype="int64"), np.empty(0)
+        best = _nothing()
         for frame in frames:
-            for start in range(0, len(frame), step):
-                part = frame.iloc[start : start + step]
-                vectors = _matrix(part[item_vector])
-                scores = np.round(questions @ (_unit(vectors) if cosine else vectors).T, digits)
-                if scores.shape[1] > k:
-                    bar = np.partition(scores, -k, axis=1)[:, -k][:, None]
-                    row, column = np.nonzero(scores >= bar)
-                else:
-                    row, column = np.nonzero(np.ones(scores.shape, dtype=bool))
-                found = row, part[item].to_numpy()[column], scores[row, column]
-                row, ids, values = (np.concatenate(pair) for pair in zip(best, found))
-                # best score first, then smallest id, and the first k of each question
-                order = np.lexsort((ids, -values, row))
-                row, ids, values = row[order], ids[order], values[order]
-                place = np.arange(len(row)) - np.searchsorted(row, row)
-                best = row[place < k], ids[place < k], values[place < k]
-        row, ids, values = best
-        yield pd.DataFrame({"question_id": question_ids[row], "item_id": ids, "score": values})
-
-    return items.select(item, item_vector).where(F.col(item_vector).isNotNull()).mapInPandas(run, schema)
+            best = _better(best, shared.value, frame["item_id"].to_numpy(), prepare(_matrix(frame["vector"])), k, digits)
+        yield _as_frame(question_ids, best)
+
+    return items.mapInPandas(run, schema)
+
+
+def _block_pairs(
+    questions: DataFrame, banks: int, items: DataFrame, blocks: int, schema: T.StructType, prepare: Any, k: int, digits: int
+) -> DataFrame:
+    """Many questions: digests cut both sides into even blocks and each pair of blocks meets in one task."""
+
+    def block(column: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(n))
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+
+    left = questions.withColumn("q", block("question_id", banks)).withColumn("i", every(blocks))
+    right = items.withColumn("i", block("item_id", blocks)).withColumn("q", every(banks))
+
+    def run(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
+        best = _nothing()
+        if len(asked) and len(stored):
+            vectors = prepare(_matrix(stored["vector"]))
+            best = _better(best, prepare(_matrix(asked["vector"])), stored["item_id"].to_numpy(), vectors, k, digits)
+        return _as_frame(asked["question_id"].to_numpy(), best)
+
+    return left.groupBy("q", "i").cogroup(right.groupBy("q", "i")).applyInPandas(run, schema)
 
 
 def nearest(
@@ -83,28 +110,27 @@ def nearest(
     cosine: bool = True,
     digits: int = 9,
     bank_rows: int = BANK_ROWS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The ``k`` most similar items of each question, exactly; ``question_id, item_id, score, rank``.
 
-    Item ids are integers. The questions are sent to the tasks in banks of at most ``bank_rows``: one bank if
-    their counted number allows it, else one scan of the items per bank. Items never move and no pair is
-    emitted: a task returns ``k`` rows per question. Scores are compared after rounding to ``digits``, ties
-    go to the smaller id; ``k`` is at least one and at most the number of items.
+    Item ids are integers. If the counted questions fit a bank of ``bank_rows`` they are broadcast and the
+    items are scanned in place. More questions are met block by block, with nothing sent through the driver.
+    Either way a task emits only ``k`` items per question it saw. Scores are compared after rounding to
+    ``digits``, ties go to the smaller id; ``k`` is at least one and at most the number of items.
     """
     k = max(1, k)
-    slim = questions.select(F.col(question).alias("id"), F.col(question_vector).alias("vector"))
-    question_type = questions.schema[question].dataType
-    names = (question_type, item, item_vector)
-    count = slim.count()
-    # digests spread ids evenly, so banks of half the bound on average stay within it
-    banks = 1 if count <= bank_rows else -(-2 * count // bank_rows)
-    candidates: DataFrame | None = None
-    for number in range(banks):
-        bank = slim
-        if banks > 1:
-            bank = slim.where(F.pmod(F.xxhash64("id"), F.lit(banks)) == number)
-        part = _scan(items, bank.toPandas(), k, cosine, digits, names)
-        candidates = part if candidates is None else candidates.unionByName(part)
+    asked = questions.select(F.col(question).alias("question_id"), F.col(question_vector).alias("vector"))
+    asked = asked.where(F.col("vector").isNotNull())
+    stored = items.select(F.col(item).alias("item_id"), F.col(item_vector).alias("vector"))
+    stored = stored.where(F.col("vector").isNotNull())
+    schema = T.StructType([asked.schema["question_id"], stored.schema["item_id"], T.StructField("score", T.DoubleType())])
+    prepare = _unit if cosine else np.asarray
+    if fits(asked, bank_rows):
+        candidates = _scan_with_bank(asked.toPandas(), stored, schema, prepare, k, digits)
+    else:
+        banks, blocks = (max(1, -(-2 * side.count() // size)) for side, size in ((asked, bank_rows), (stored, block_rows)))
+        candidates = _block_pairs(asked, banks, stored, blocks, schema, prepare, k, digits)
     best = Window.partitionBy("question_id").orderBy(F.col("score").desc(), F.col("item_id"))
     return candidates.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 

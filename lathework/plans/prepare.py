@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lathework.functions.templates import render
 from lathework.functions.text import word_count
 from lathework.operators import messages as M
-from lathework.operators import mixing, records, splits
+from lathework.operators import datasets, mixing, records, splits
 from lathework.operators.ordering import with_row_index
 from lathework.plans.registry import query, table
 from lathework.session import materialize
@@ -610,6 +610,52 @@ def pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.pack_sequences(docs, "doc_id", "n_tokens", 2048, rows_per_bucket=64)
 
 
+@query(
+    "prepare_by_ratio",
+    f"""
+    WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+    ok AS (SELECT doc_id, count(*) + 1 AS n_turns FROM lines GROUP BY doc_id
+           HAVING count(*) FILTER (length(line) = 0 OR length(line) % 97 = 13) = 0),
+    {_SPLIT3.format(key="doc_id", rel="documents")}
+    SELECT 'documents' AS data_source, split, idx AS index, doc_id, CAST(n_turns AS INTEGER) AS n_messages, 'In ' || lang AS opening
+    FROM placed JOIN ok USING (doc_id)
+    """,
+)
+def prepare_by_ratio(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of documents as conversations with a system turn, split 80/10/10; only accepted rows."""
+    docs = line_conversations(table(spark, folder, "documents", costly=True).select("doc_id", "lang", "text")).drop("text")
+    spec = M.ChatSpec(conversation="conversation", system_template="In {lang}", roles=ROLES)
+    rows = datasets.by_ratio(docs, ["doc_id"], dict(zip(NAMES, SHARES)), spec, "documents", preserve=["doc_id"])
+    return M.accepted(rows).select(
+        "data_source",
+        "split",
+        "extra_info.index",
+        "extra_info.doc_id",
+        F.size("messages").alias("n_messages"),
+        F.get("messages", F.lit(0))["content"].alias("opening"),
+    )
+
+
+@query(
+    "prepare_by_name",
+    """
+    SELECT 'good' AS split, row_number() OVER (ORDER BY doc_id) - 1 AS index, doc_id, text AS response
+    FROM labels JOIN documents USING (doc_id) WHERE quality = 1
+    UNION ALL
+    SELECT 'poor', row_number() OVER (ORDER BY doc_id) - 1, doc_id, text FROM labels JOIN documents USING (doc_id) WHERE quality = 0
+    """,
+)
+def prepare_by_name(spark: SparkSession, folder: str) -> DataFrame:
+    """Good and poor documents as two splits with their own column names."""
+    rated = table(spark, folder, "labels").join(table(spark, folder, "documents"), "doc_id")
+    good = rated.where(F.col("quality") == 1).select("doc_id", "source", "text")
+    poor = rated.where(F.col("quality") == 0).select("doc_id", "source", F.col("text").alias("body"))
+    spec = M.ChatSpec("source", "text", response_aliases=["body"])
+    rows = datasets.by_name({"good": good, "poor": poor}, ["doc_id"], spec, "documents", preserve=["doc_id"])
+    response = F.get("messages", F.lit(1))["content"]
+    return M.accepted(rows).select("split", "extra_info.index", "extra_info.doc_id", response.alias("response"))
+
+
 FLAGSHIP_SQL = f"""
     WITH {_TURNS},
     convs AS (SELECT DISTINCT conv_id FROM named ANTI JOIN bad USING (conv_id)),

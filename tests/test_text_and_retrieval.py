@@ -57,7 +57,7 @@ def test_nearest_equals_brute_force(spark, bank_rows):
     questions = rng.integers(-3, 4, size=(40, 6)).astype(float)
     q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(questions)], "id long, v array<double>")
     x = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(items)], "id long, v array<double>").repartition(9)
-    out = retrieval.nearest(q, "id", "v", x, "id", "v", 4, bank_rows=bank_rows).collect()
+    out = retrieval.nearest(q, "id", "v", x, "id", "v", 4, bank_rows=bank_rows, block_rows=50).collect()
     norms = np.linalg.norm(questions, axis=1)[:, None] * np.linalg.norm(items, axis=1)[None, :]
     scores = np.round(np.divide(questions @ items.T, norms, out=np.zeros_like(norms), where=norms > 0), 9)
     for i in range(len(questions)):
