@@ -46,17 +46,28 @@ def throughput_summary(
 
 
 def log_means(lines: DataFrame, line: str, patterns: Mapping[str, str], by: Sequence[str]) -> DataFrame:
-    """Mean of every number a pattern's first group finds in the log lines, per metric."""
-    found = [
-        F.struct(F.lit(metric).alias("metric"), F.regexp_extract_all(F.col(line), F.lit(pattern), F.lit(1)).alias("values"))
-        for metric, pattern in patterns.items()
-    ]
-    return (
-        lines.select(*by, F.explode(F.array(*found)).alias("m"))
-        .select(*by, "m.metric", F.explode("m.values").alias("value"))
-        .groupBy(*by, "metric")
-        .agg(F.avg(F.col("value").try_cast("double")).alias("mean"), F.count(F.lit(1)).alias("n"))
+    """Mean of every number a pattern's first group finds in the log lines, per metric (NULL if it finds none).
+
+    Each line adds its numbers up by itself, so lines are not multiplied before the aggregate.
+    """
+    sums = []
+    for metric, pattern in patterns.items():
+        found = F.regexp_extract_all(F.col(line), F.lit(pattern), F.lit(1))
+        numbers = F.array_compact(F.transform(found, lambda text: text.try_cast("double")))
+        total = F.aggregate(numbers, F.lit(0.0), lambda so_far, number: so_far + number)
+        sums += [total.alias(f"{metric}:sum"), F.size(numbers).alias(f"{metric}:n")]
+    totals = lines.select(*by, *sums).groupBy(*by).agg(
+        *[F.sum(f"{metric}:{part}").alias(f"{metric}:{part}") for metric in patterns for part in ("sum", "n")]
     )
+    rows = [
+        F.struct(
+            F.lit(metric).alias("metric"),
+            F.try_divide(F.col(f"{metric}:sum"), F.col(f"{metric}:n")).alias("mean"),
+            F.col(f"{metric}:n").alias("n"),
+        )
+        for metric in patterns
+    ]
+    return totals.select(*by, F.explode(F.array(*rows)).alias("m")).select(*by, "m.metric", "m.mean", "m.n")
 
 
 def tokens_per_gpu(batch: Column, sequence: Column, ms_per_step: Column, gpus: Column) -> Column:
