@@ -105,7 +105,14 @@ def value_range(
     return ends.select(*by, (center - reach).alias("low"), (center + reach).alias("high"))
 
 
-def dice(voxels: DataFrame, by: Sequence[str], prediction: str, label: str, channel: str | None = None, channels: Sequence[object] | None = None) -> DataFrame:
+def dice(
+    voxels: DataFrame,
+    by: Sequence[str],
+    prediction: str,
+    label: str,
+    channel: str | None = None,
+    channels: Sequence[object] | None = None,
+) -> DataFrame:
     """Overlap ``2 sum(xy) / (sum x + sum y)`` per case; an empty label gives 0."""
     if channel and channels is not None:
         voxels = voxels.where(F.col(channel).isin(list(channels)))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lathework.operators.ordering import BLOCK_ROWS, seeded_digest, unit_draw, with_row_index
+from lathework.operators.ordering import BLOCK_ROWS, draw_below, seeded_digest, with_row_index
 from lathework.session import materialize
 
 
@@ -27,18 +27,17 @@ MIX_SEED = 19851243
 def _picks(spark: SparkSession, n: int, weights: Mapping[str, float], seed: int, block_rows: int) -> DataFrame:
     """``n`` draws ``t``, the dataset each picks, and the block of draws it lies in."""
     total = sum(weights.values())
-    draw = unit_draw(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("t").cast("string"))))
     edges, so_far = [], 0.0
     for dataset, weight in weights.items():
         so_far += weight / total
         edges.append((dataset, so_far))
     pick: Column = F.lit(edges[-1][0])
     for dataset, edge in reversed(edges[:-1]):
-        pick = F.when(F.col("__u") < edge, F.lit(dataset)).otherwise(pick)
+        pick = F.when(draw_below(F.col("__digest"), edge), F.lit(dataset)).otherwise(pick)
     return (
         spark.range(n)
         .withColumnRenamed("id", "t")
-        .withColumn("__u", draw)
+        .withColumn("__digest", seeded_digest(seed, "t"))
         .select("t", pick.alias("dataset"), F.floor(F.col("t") / block_rows).alias("__block"))
     )
 
@@ -93,7 +92,7 @@ def weighted_mix(
             break
         n *= 2
     ends = functools.reduce(
-        lambda a, b: a | b, [(F.col("dataset") == r["dataset"]) & (F.col("__block") == r["__block"]) for r in last]
+        lambda a, b: a | b, [(F.col("__block") == r["__block"]) & (F.col("dataset") == r["dataset"]) for r in last]
     )
     completing = _numbered(picks.where(ends), offsets.where(ends)).where(F.col("draw") == size - 1)
     length = completing.agg(F.max("t").alias("t")).first()["t"] + 1

@@ -7,6 +7,7 @@ partitioning on a unique key; what crosses partitions is one summary row per par
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -73,12 +74,19 @@ def seeded_digest(seed: int | str, *key: str) -> Column:
 
 
 def digest_bucket(digest: Column) -> Column:
-    return F.conv(F.substring(digest, 1, _BUCKET_DIGITS), 16, 10).cast("int")
+    """The leading hex digits; their text order is the digest order."""
+    return F.substring(digest, 1, _BUCKET_DIGITS)
 
 
-def unit_draw(digest: Column) -> Column:
-    """The first 13 hex digits of a digest as a number in [0, 1)."""
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+def draw_below(digest: Column, edge: float) -> Column:
+    """True if the first 13 hex digits, read as a number in [0, 1), are below ``edge``.
+
+    The edge is turned into hex digits instead, so each row compares two short texts.
+    """
+    limit = math.ceil(edge * 16**13)
+    if limit >= 16**13:
+        return F.lit(True)
+    return F.substring(digest, 1, 13) < F.lit(f"{limit:013x}")
 
 
 def bucket_offsets(df: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from lathework.functions.templates import render
 from lathework.functions.text import strip
 from lathework.operators.inference import embed
-from lathework.session import fits
+from lathework.session import materialize
 
 BANK_ROWS = 20_000  # questions a task may hold
 BLOCK_ROWS = 20_000  # items a task may hold when both sides are cut into blocks
@@ -114,7 +114,7 @@ def nearest(
 ) -> DataFrame:
     """The ``k`` most similar items of each question, exactly; ``question_id, item_id, score, rank``.
 
-    Item ids are integers. If the counted questions fit a bank of ``bank_rows`` they are broadcast and the
+    Item ids are integers. If the questions fit a bank of ``bank_rows`` they are broadcast and the
     items are scanned in place. More questions are met block by block, with nothing sent through the driver.
     Either way a task emits only ``k`` items per question it saw. Scores are compared after rounding to
     ``digits``, ties go to the smaller id; ``k`` is at least one and at most the number of items.
@@ -126,9 +126,12 @@ def nearest(
     stored = stored.where(F.col("vector").isNotNull())
     schema = T.StructType([asked.schema["question_id"], stored.schema["item_id"], T.StructField("score", T.DoubleType())])
     prepare = _unit if cosine else np.asarray
-    if fits(asked, bank_rows):
-        candidates = _scan_with_bank(asked.toPandas(), stored, schema, prepare, k, digits)
+    bank = asked.limit(bank_rows + 1).toPandas()
+    if len(bank) <= bank_rows:
+        candidates = _scan_with_bank(bank, stored, schema, prepare, k, digits)
     else:
+        # vectors may come from a model: written once, then counted and paired
+        asked, stored = materialize(asked, "questions"), materialize(stored, "items")
         banks, blocks = (max(1, -(-2 * side.count() // size)) for side, size in ((asked, bank_rows), (stored, block_rows)))
         candidates = _block_pairs(asked, banks, stored, blocks, schema, prepare, k, digits)
     best = Window.partitionBy("question_id").orderBy(F.col("score").desc(), F.col("item_id"))
