@@ -16,6 +16,7 @@ from lathework.functions.templates import render
 from lathework.functions.text import ERROR_PREFIX, GRADE_PATTERN, grade, is_error, word_count
 from lathework.operators.messages import judge_followup, judge_request, message
 from lathework.operators.ordering import with_row_index
+from lathework.operators.splits import cap_rows
 
 
 def with_retry(
@@ -99,19 +100,20 @@ def inference_rows(
     """
     if document_id is None:
         df, document_id = with_row_index(df, order_by, name="__doc"), "__doc"
+    order = [f"__order{i}" for i in range(len(order_by))]
     rows = df.select(
         F.array(F.col(gold).cast("string")).alias("gold_standard_result"),
         F.col(document_id).cast("string").alias("context_document_id"),
         F.col(context).alias("context_document"),
         F.lit(template).alias("prompt_template"),
         render(template, {"context": F.col(context)}).alias("__prompt"),
-        F.struct(*order_by).alias("__order"),
+        *[F.col(c).alias(name) for c, name in zip(order_by, order)],
     )
     if max_tokens is not None:
         rows = rows.where(count(F.col("__prompt")) <= max_tokens)
     if subset > 0:
-        rows = rows.orderBy("__order").limit(subset)
-    asked = rows.withColumn("__request", F.array(message("user", F.col("__prompt")))).drop("__prompt", "__order")
+        rows = cap_rows(rows, order, subset)
+    asked = rows.withColumn("__request", F.array(message("user", F.col("__prompt")))).drop("__prompt", *order)
     return batch_infer(asked, call, "__request", "llm_inference", batch_size, workers).drop("__request")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from lathework.functions.text import words
 from lathework.operators.ordering import with_row_index
+from lathework.operators.splits import cap_rows
 
 # Fixed value: the usual longest sequence, in tokens.
 MAX_SEQUENCE = 2048
@@ -44,7 +45,7 @@ def limit_length(df: DataFrame, text: str, how: str = "filter", max_length: int
 
 def first_passing(df: DataFrame, keep: Column, order_by: Sequence[str], n: int) -> DataFrame:
     """The first ``n`` rows that pass a filter (the filter comes before the cap)."""
-    return df.where(keep).orderBy(*order_by).limit(n)
+    return cap_rows(df.where(keep), order_by, n)
 
 
 def flatten_struct(df: DataFrame, booleans: Sequence[str] = (), separator: str = "/") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,11 +68,23 @@ def ratio_split(
             .withColumn(index, F.col("__i") - _start(cuts, F.col("__i")))
             .drop("__i", "__n")
         )
+    return _label_in_place(df, key, seed, names, lambda total: _cut_points(shares, total), name)
+
+
+def _label_in_place(
+    df: DataFrame,
+    key: Sequence[str],
+    seed: int,
+    names: Sequence[str],
+    cuts_of: Callable[[Column], list[Column]],
+    name: str,
+) -> DataFrame:
+    """Label rows by where cuts fall into the digest order, ranking only the rows of the buckets that are cut."""
     tagged = df.withColumn("__digest", seeded_digest(seed, *key)).withColumn(
         "__bucket", digest_bucket(F.col("__digest"))
     )
     offsets = bucket_offsets(tagged.select("__bucket"))
-    cuts = _cut_points(shares, F.col("__total"))
+    cuts = cuts_of(F.col("__total"))
     first = _label(names, cuts, F.col("__offset"))
     last = _label(names, cuts, F.col("__offset") + F.col("__size") - 1)
     offsets = offsets.withColumn("__whole", F.when(first == last, first))
@@ -110,10 +122,20 @@ def percent_split(
     return ratio_split(df, key, list(names), [percent / 100, 1 - percent / 100], seed, **kwargs)
 
 
+TOP_ROWS = 100_000  # a sorted top-n of more rows would pass through one task
+
+
 def sample_exact(df: DataFrame, key: Sequence[str], n: int, seed: int = 42) -> DataFrame:
-    """``min(n, rows)`` rows without replacement: the first in digest order (a distributed top-n)."""
-    digest = seeded_digest(seed, *key)
-    return df.withColumn("__digest", digest).orderBy("__digest", *key).limit(n).drop("__digest")
+    """``min(n, rows)`` rows without replacement: the first in digest order.
+
+    A small sample is a distributed top-n; for a large one rows are labelled where they are.
+    """
+    if n <= TOP_ROWS:
+        digest = seeded_digest(seed, *key)
+        return df.withColumn("__digest", digest).orderBy("__digest", *key).limit(n).drop("__digest")
+    cut = F.lit(n).cast("bigint")
+    labelled = _label_in_place(df, key, seed, ["in", "out"], lambda total: [cut], "__sample")
+    return labelled.where(F.col("__sample") == "in").drop("__sample")
 
 
 def sample_values(df: DataFrame, column: str, n: int, order_by: str, seed: int = 42) -> DataFrame:
@@ -133,9 +155,9 @@ def sample_values(df: DataFrame, column: str, n: int, order_by: str, seed: int =
 def cap_rows(df: DataFrame, order_by: Sequence[str], n: int, within: Sequence[str] = ()) -> DataFrame:
     """The first ``n`` rows in a stated order, over the table or per group.
 
-    Over the table this is Spark's distributed top-n; per group it reads the row index.
+    A small cap over the table is Spark's distributed top-n; any other reads the row index.
     """
-    if not within:
+    if not within and n <= TOP_ROWS:
         return df.orderBy(*order_by).limit(n)
     return with_row_index(df, order_by, within, "__i").where(F.col("__i") < n).drop("__i")
 

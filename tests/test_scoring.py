@@ -158,3 +158,22 @@ def test_before_after_and_weighted_mean(spark):
     assert out == {0: 2.0, 1: None}
     means = spark.createDataFrame([(1.0, 1), (float("nan"), 5), (4.0, 2)], "v double, n int")
     assert tuple(scoring.weighted_mean(means, "v", "n").first()) == (3, 3.0)
+
+
+def test_inference_rows_count_the_subset_after_the_filter(spark):
+    df = spark.createDataFrame([(i, "w " * (i % 4 + 1), f"g{i}") for i in range(12)], "n int, doc string, gold string")
+    rows = inference.inference_rows(df, lambda m: m[0]["content"].strip(), "{context}", "doc", "gold", ["n"], max_tokens=2, subset=3)
+    found = {r["context_document_id"]: (r["llm_inference"], r["gold_standard_result"]) for r in rows.collect()}
+    assert found == {"0": ("w", ["g0"]), "1": ("w w", ["g1"]), "4": ("w", ["g4"])}
+    assert set(rows.columns) == {
+        "llm_inference", "gold_standard_result", "context_document_id", "context_document", "prompt_template",
+    }
+
+
+def test_metric_summary(spark):
+    data = [("0", P[0], [P[0]]), ("1", P[1], [P[1]]), ("2", "**ERROR**: x", ["y"])]
+    df = spark.createDataFrame(data, "context_document_id string, llm_inference string, gold_standard_result array<string>")
+    assert tuple(scoring.metric_summary(df, on_error="drop").first()) == (1.0, 1.0)
+    assert scoring.metric_summary(df).first()["exact_match"] == 0.6667
+    with pytest.raises(ValueError):
+        scoring.metric_summary(df, on_error="keep")

@@ -42,6 +42,16 @@ def test_samples(spark):
     assert splits.sample_exact(df, ["id"], 1000).count() == 100
 
 
+def test_large_samples_and_caps_take_the_same_rows(spark, monkeypatch):
+    df = spark.range(300).repartition(3)
+    small = {r["id"] for r in splits.sample_exact(df, ["id"], 120).collect()}
+    cap = {r["id"] for r in splits.cap_rows(df, ["id"], 70).collect()}
+    monkeypatch.setattr(splits, "TOP_ROWS", 10)
+    assert {r["id"] for r in splits.sample_exact(df, ["id"], 120).collect()} == small
+    assert splits.sample_exact(df, ["id"], 1000).count() == 300
+    assert {r["id"] for r in splits.cap_rows(df, ["id"], 70).collect()} == cap == set(range(70))
+
+
 def test_batches(spark):
     df = spark.range(10)
     sizes = Counter(r["batch_id"] for r in splits.with_batches(df, "id", 3).collect())
