@@ -145,7 +145,7 @@ class WordBpe:
 
     def _part(self, pair: int) -> bool:
         """Whether two neighbours stay apart; answers are kept."""
-        if len(self._apart) > 4 * CACHE_ENTRIES:
+        if len(self._apart) > CACHE_ENTRIES:
             self._apart.clear()
         alone = self._apart[pair] = self._meet(pair >> 20, pair & 0xFFFFF) is None
         return alone
@@ -213,7 +213,7 @@ class WordBpe:
         parts = {c: self._split(c) for c in chunks}
         if len(self._words) > CACHE_ENTRIES:
             self._words = {}
-        new = sorted({w for words in parts.values() for w in words if type(w) is str} - self._words.keys())
+        new = sorted({w for words in parts.values() for w in words if type(w) is str and w not in self._words})
         self._words.update(zip(new, self.encode_sorted(new)))
         known = self._words
         out = {}
@@ -274,7 +274,7 @@ def token_digests(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: s
             rows = [chunks_of(t) if t else [] for t in batch.column(1).to_pylist()]
             if len(known) > CACHE_ENTRIES:
                 known = {}
-            new = set().union(*rows) - known.keys()
+            new = {c for row in rows for c in row if c not in known}
             for chunk, ids in coder.encode_chunks(new).items():
                 known[chunk] = " ".join(map(str, ids)), len(ids), coder.decode(ids)
             counts, ids_sums, text_sums = [], [], []

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lathework.llm import bpe, lang_id
+from lathework.llm import bpe, lang_id, packing, token_counts
 from lathework.llm.common import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,13 @@ def op8_language_id(spark, folder):
 @query("op9_bpe_codec")
 def op9_bpe_codec(spark, folder):
     return bpe.token_digests(_table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query("op3_best_fit_packing")
+def op3_best_fit_packing(spark, folder):
+    return packing.pack(_table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query("op10_token_counts")
+def op10_token_counts(spark, folder):
+    return token_counts.count_tokens(_table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
