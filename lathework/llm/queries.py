@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lathework.llm import bpe, lang_id, packing, token_counts
+from lathework.llm import bpe, lang_id, line_dedup, packing, token_counts
 from lathework.llm.common import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +46,40 @@ def op3_best_fit_packing(spark, folder):
 @query("op10_token_counts")
 def op10_token_counts(spark, folder):
     return token_counts.count_tokens(_table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+LINES = """
+WITH lines AS (
+  SELECT doc_id, i - 1 AS i, line, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS w
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+        FROM documents WHERE text IS NOT NULL)),
+shared AS (SELECT * FROM lines WHERE line IN (SELECT line FROM lines GROUP BY line HAVING count(*) > 1)),
+pairs AS (
+  SELECT b.doc_id, b.i, b.w, a.doc_id AS other, b.i - a.i AS shift
+  FROM shared a JOIN shared b ON a.line = b.line AND (a.doc_id < b.doc_id OR (a.doc_id = b.doc_id AND a.i < b.i))),
+runs AS (
+  SELECT *, i - row_number() OVER (PARTITION BY doc_id, other, shift ORDER BY i) AS run FROM pairs),
+gone AS (
+  SELECT DISTINCT doc_id, i FROM (
+    SELECT doc_id, i, sum(w) OVER (PARTITION BY doc_id, other, shift, run) AS words FROM runs)
+  WHERE words >= 50)
+"""
+
+
+@query(
+    "op7_line_dedup",
+    LINES
+    + """
+SELECT d.doc_id, len(string_split(d.text, chr(10)))::BIGINT AS n_lines, coalesce(g.n, 0)::BIGINT AS n_removed,
+  md5(CASE WHEN g.n IS NULL THEN d.text ELSE coalesce(k.text, '') END) AS text_md5
+FROM documents d
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g ON g.doc_id = d.doc_id
+LEFT JOIN (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) AS text
+           FROM lines l ANTI JOIN gone USING (doc_id, i) GROUP BY l.doc_id) k ON k.doc_id = d.doc_id
+""",
+)
+def op7_line_dedup(spark, folder):
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    sized = docs.withColumn("n_lines", F.size(F.split("text", "\n", -1)).cast("long"))
+    out = line_dedup.drop_repeated_runs(sized, removed_count="n_removed")
+    return out.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
