@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathework.llm import bpe, lang_id, line_dedup, packing, token_counts
+from lathework.llm import bpe, lang_id, line_dedup, ngram_join, packing, token_counts
 from lathework.llm.common import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,8 @@ def op7_line_dedup(spark, folder):
     sized = docs.withColumn("n_lines", F.size(F.split("text", "\n", -1)).cast("long"))
     out = line_dedup.drop_repeated_runs(sized, removed_count="n_removed")
     return out.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
+
+
+@query("op1_ngram_join")
+def op1_ngram_join(spark, folder):
+    return ngram_join.ngram_components(_table(spark, folder, "documents"))
