@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathework.llm import bpe, lang_id, line_dedup, ngram_join, packing, token_counts
+from lathework.llm import bpe, lang_id, line_dedup, ngram_join, packing, secret_scan, token_counts
 from lathework.llm.common import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,9 @@ def op7_line_dedup(spark, folder):
 @query("op1_ngram_join")
 def op1_ngram_join(spark, folder):
     return ngram_join.ngram_components(_table(spark, folder, "documents"))
+
+
+@query("op5_secret_scan")
+def op5_secret_scan(spark, folder):
+    docs = _table(spark, folder, "documents")
+    return secret_scan.find_secrets(docs, secret_scan.train(docs))
