@@ -252,3 +252,21 @@ def _products(rows: DataFrame, described: DataFrame, near: DataFrame, width: int
 
     dealt = sided.repartition("g", "pair").sortWithinPartitions("g", "pair", "side", "node")
     return scratch.keep(dealt.mapInArrow(multiply, "a long, b long"), "links")
+
+
+def keep_representatives(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80
+) -> DataFrame:
+    """One document of each group that links hold together: the one with the smallest key, null last, ties to the row's digest.
+
+    Documents without words link with nothing and all stay. Rows equal in all columns are one document. All columns stay.
+    """
+    digest = F.xxhash64(*[docs[f"`{c}`"] for c in docs.columns])
+    order = F.struct(docs[f"`{key}`"].isNull().alias("none"), docs[f"`{key}`"].alias("key"), digest.alias("digest"))
+    named = docs.select(order.alias("key"), docs[f"`{text}`"].alias("text"))
+    found = ngram_components(named, "key", "text", width, percent)
+    kept = found.where(F.col("key") == F.col("component_id")).select(F.col("key.digest").alias("kept")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), digest.alias("digest"))
+    if rows.groupBy("digest").count().where("count > 1").head(1):
+        rows = rows.dropDuplicates(["digest"])
+    return rows.join(kept, rows["digest"] == kept["kept"], "left_semi").select("row.*")
