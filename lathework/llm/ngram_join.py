@@ -7,12 +7,17 @@ that hang together by shared blocks are cut into tiles of a bounded number of n-
 pair of tiles whose sizes allow a link is one product: overlap counts add up over slices of the n-grams, and pairs
 that cannot reach their bound any more are discarded on the way.
 
+Before that, rows that cannot link go: those with more n-grams of their own than a link allows. Own n-grams are counted over a
+fixed slice of the hash range, which is enough to tell: what a slice lacks, the whole lacks too. Each task sends its
+n-grams of the slice as arrays by hash range.
+
 Documents with equal sets are one row of the matrix, however many there are. A product returns a spanning forest of its
 links, not all pairs, so a group of near copies costs rows in proportion to its members (times its tiles).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,10 +33,11 @@ from lathework.operators.ordering import with_row_index
 TILE_GRAMS = 1 << 17
 #: N-grams of one slice of a product.
 SLICE_GRAMS = 4096
-#: Blocks beyond those that a linked pair can spoil: so many empty ones need no signature.
+#: Blocks beyond those that a linked pair can spoil: so many empty ones need no signature; one more for each 16 blocks.
 SPARE_BLOCKS = 2
-#: Size classes span this many steps of the smallest size ratio of a linked pair.
-CLASS_STEPS = 3
+#: Largest ratio of sizes in one class, about: wider classes have more blocks for their small members, narrower ones more
+#: members that belong to two.
+CLASS_RATIO = 1.4
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -79,6 +85,7 @@ class Bounds:
         if not 50 <= percent <= 100:
             raise ValueError("percent must be from 50 to 100")
         self.percent = percent
+        self._steps = max(1, round(math.log(CLASS_RATIO) / math.log(100 / percent))) if percent < 100 else 1
         self._starts = [1]
 
     def links(self, overlap, a, b):
@@ -89,16 +96,24 @@ class Bounds:
         """Number of the size's class; a class and the next one hold all partners of its larger members."""
         while self._starts[-1] <= size:
             start = self._starts[-1]
-            for _ in range(CLASS_STEPS):
+            for _ in range(self._steps):
                 start = max(start + 1, -(-100 * (start - 1) // self.percent) + 1)
             self._starts.append(start)
         return int(np.searchsorted(self._starts, size, "right")) - 1
 
-    def blocks(self, number: int) -> int:
-        """Blocks of a class: differences that its largest pairs can have, and one; 0 if linked sets are equal."""
-        self.size_class(self._starts[-1] if number + 1 >= len(self._starts) else 1)
+    def blocks(self, number: int) -> tuple[int, int]:
+        """Blocks of a class and how many of them are spare: one for each difference that its largest pairs can have, one
+        more, and the spare ones. None if linked sets are equal.
+        """
+        while len(self._starts) <= number + 1:
+            self.size_class(self._starts[-1])
         most = 2 * (self._starts[number + 1] - 1) * (100 - self.percent) // (100 + self.percent)
-        return most + 1 + SPARE_BLOCKS if most else 0
+        spare = SPARE_BLOCKS + most // 16
+        return (most + 1 + spare, spare) if most else (0, 0)
+
+    def slice_share(self) -> float:
+        """Share of the hash range over which own n-grams are counted: twice and a half what a link leaves."""
+        return min(1.0, 2.5 * (100 - self.percent) / 100) or 1.0
 
     def classes(self, size: int) -> list[int]:
         """The size's own class, and the next if a partner may be there."""
@@ -116,7 +131,7 @@ def signatures(grams: np.ndarray, bounds: Bounds) -> np.ndarray:
     sums = np.concatenate([[np.uint64(0)], np.cumsum(_mix(grams ^ _A), dtype=np.uint64)])
     out = []
     for number in bounds.classes(len(grams)):
-        blocks = bounds.blocks(number)
+        blocks, spare = bounds.blocks(number)
         if not blocks:
             continue
         edges = (np.arange(1, blocks, dtype=np.float64) * (2.0**64 / blocks)).astype(np.uint64)
@@ -124,7 +139,7 @@ def signatures(grams: np.ndarray, bounds: Bounds) -> np.ndarray:
         place = np.arange(blocks, dtype=np.uint64) + np.uint64(number << 32)
         signs = _mix(_mix(sums[cuts[1:]] - sums[cuts[:-1]]) + place * _A)
         full = cuts[1:] > cuts[:-1]
-        out.append(signs[full] if blocks - full.sum() <= SPARE_BLOCKS else signs)
+        out.append(signs[full] if blocks - full.sum() <= spare else signs)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -179,34 +194,46 @@ def ngram_components(
     kind = docs.schema[key].dataType.simpleString()
 
     def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(width)
+        for batch in batches:
+            sets = shingles.sets(batch.column("text").to_pylist())
+            columns = [
+                batch.column("key"),
+                batch.column("row"),
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([_name(s) for s in sets], pa.int64()),
+                pa.array([_name(s, 1) for s in sets], pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "row", "n", "node", "proof"])
+
+    def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, bounds = Shingles(width), Bounds(percent)
         for batch in batches:
             sets = shingles.sets(batch.column("text").to_pylist())
-            raw = [s.tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("key"),
-                    batch.column("row"),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([xxhash.xxh3_64_intdigest(r) - 2**63 if r else None for r in raw], pa.int64()),
-                    pa.array([xxhash.xxh3_64_intdigest(r, 1) - 2**63 if r else None for r in raw], pa.int64()),
-                    pa.array([signatures(s, bounds).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64())),
-                ],
-                names=["key", "row", "n", "node", "proof", "signs"],
-            )
+            signs = pa.array([signatures(s, bounds).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), signs], names=["node", "signs"])
 
     rows = docs.select(
         docs[f"`{key}`"].alias("key"), docs[f"`{text}`"].alias("text"), F.xxhash64(docs[f"`{key}`"], docs[f"`{text}`"]).alias("row")
     )
-    schema = f"key {kind}, row long, n long, node long, proof long, signs array<long>"
-    described = scratch.keep(rows.mapInArrow(describe, schema), "shingle-signatures")
-    if described.groupBy("node").agg(F.min("proof").alias("a"), F.max("proof").alias("b")).where("a < b").head(1):
+    schema = f"key {kind}, row long, n long, node long, proof long"
+    described = scratch.keep(rows.mapInArrow(describe, schema), "shingle-sets")
+    sets = described.where("node is not null").groupBy("node").agg(
+        F.min("row").alias("row"), F.min("n").alias("n"), F.min("proof").alias("a"), F.max("proof").alias("b")
+    )
+    own = _own_grams(rows.select("text"), width, Bounds(percent))
+    sets = sets.join(own, "node", "left").where(100 * (F.col("n") - F.coalesce("own", F.lit(0))) >= percent * F.col("n"))
+    sets = scratch.keep(sets, "linkable-sets")
+    if sets.where("a < b").head(1):
         raise RuntimeError("two different n-gram sets have one digest")
-    signs = described.where("node is not null").select("node", F.explode("signs").alias("sign"))
+    texts = rows.join(sets.select("row", "node", "n"), "row").dropDuplicates(["row"])
+    texts = scratch.keep(texts.select("node", "n", "text"), "linkable-texts")
+    signs = texts.select("node", "text").mapInArrow(sign, "node long, signs array<long>")
+    signs = scratch.keep(signs.select("node", F.explode("signs").alias("sign")), "signatures")
     shared = signs.groupBy("sign").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub < other")
     met = signs.join(shared.select("sign", "hub"), "sign").where("node > hub").select("node", "hub")
     near = components(met, "node", "hub").withColumnRenamed("root", "group")
-    links = _products(rows, described, scratch.keep(near, "groups"), width, percent, scratch)
+    links = _products(texts, near, width, percent, scratch)
     roots = components(links, "a", "b")
     placed = described.select("key", "n", "node").join(roots, "node", "left")
     placed = placed.withColumn("root", F.coalesce("root", "node"))
@@ -216,11 +243,76 @@ def ngram_components(
     )
 
 
-def _products(rows: DataFrame, described: DataFrame, near: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
-    """``a, b``: a spanning forest of the links of each pair of tiles; a tile's sizes are within a factor of two."""
+def _name(grams: np.ndarray, seed: int = 0) -> int | None:
+    """A set's digest; none for the empty set."""
+    return xxhash.xxh3_64_intdigest(grams.tobytes(), seed) - 2**63 if len(grams) else None
+
+
+def _own_grams(texts: DataFrame, width: int, bounds: Bounds) -> DataFrame:
+    """``node, own``: how many n-grams of the slice no other set has.
+
+    A batch sends, for each part of the slice, its n-grams (the low 48 bits; the part tells the high ones) with the sets that have
+    them, each set once. Two n-grams with the same bits make a set seem less alone, never more.
+    """
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    limit = int(bounds.slice_share() * 2**64) - 1
+    edges = (np.arange(parts + 1, dtype=np.float64) * (limit / parts)).astype(np.uint64)
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(width)
+        for batch in batches:
+            found = {_name(s): s[: np.searchsorted(s, np.uint64(limit))] for s in shingles.sets(batch.column(0).to_pylist()) if len(s)}
+            if not found:
+                continue
+            names = np.array(list(found), np.int64)
+            grams = np.concatenate(list(found.values()))
+            owner = np.repeat(np.arange(len(names), dtype=np.int32), [len(s) for s in found.values()])
+            order = np.argsort(grams, kind="stable")
+            grams, owner = grams[order], owner[order]
+            cuts = np.searchsorted(grams, edges)
+            cuts[-1] = len(grams)
+            for part in np.flatnonzero(np.diff(cuts)):
+                a, b = cuts[part], cuts[part + 1]
+                there, index = np.unique(owner[a:b], return_inverse=True)
+                blobs = [
+                    grams[a:b].view(np.uint8).reshape(-1, 8)[:, :6].tobytes(),
+                    index.astype(np.uint16 if len(there) < 1 << 16 else np.uint32).tobytes(),
+                    names[there].tobytes(),
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)],
+                    names=["part", "grams", "owner", "names"],
+                )
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in grouped(batches, ["part"]):
+            grams, nodes = [], []
+            for raw, owner, names in zip(*(part.column(c).to_pylist() for c in ("grams", "owner", "names"))):
+                wide = np.zeros((len(raw) // 6, 8), np.uint8)
+                wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+                grams.append(wide.view(np.uint64).ravel())
+                kind = np.uint16 if len(owner) == 2 * len(wide) else np.uint32
+                nodes.append(np.frombuffer(names, np.int64)[np.frombuffer(owner, kind)])
+            gram, node = np.concatenate(grams), np.concatenate(nodes)
+            order = np.lexsort((node, gram))
+            gram, node = gram[order], node[order]
+            first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+            last = np.concatenate([first[1:], [len(gram)]]) - 1
+            alone, own = np.unique(node[first][node[first] == node[last]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(alone), pa.array(own.astype(np.int64))], names=["node", "own"])
+
+    sent = texts.mapInArrow(deal, "part int, grams binary, owner binary, names binary")
+    dealt = sent.repartition(parts, "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(count, "node long, own long").groupBy("node").agg(F.sum("own").alias("own"))
+
+
+def _products(texts: DataFrame, near: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """``a, b``: a spanning forest of the links of each pair of tiles; a tile's sizes are within a factor of two.
+
+    ``texts`` has one text for each set, ``near`` the group in which it may link.
+    """
     bounds = Bounds(percent)
-    one = described.where("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.min("n").alias("n"))
-    members = one.join(near, "node").withColumn("klass", F.floor(F.log2("n")))
+    members = texts.select("node", "n").join(near, "node").withColumn("klass", F.floor(F.log2("n")))
     placed = with_row_index(members, ["n", "node"], within=["group", "klass"], name="place")
     tall = F.greatest(F.lit(1), F.floor(F.lit(TILE_GRAMS) / F.pow(F.lit(2.0), F.col("klass") + 1))).cast("long")
     placed = scratch.keep(placed.withColumn("tile", F.struct("klass", F.floor(F.col("place") / tall).alias("k"))), "tiles")
@@ -229,8 +321,7 @@ def _products(rows: DataFrame, described: DataFrame, near: DataFrame, width: int
     second = tiles.select("group", F.col("tile").alias("j"), F.col("lo").alias("lo_j"))
     pairs = first.join(second, "group").where((F.col("i") <= F.col("j")) & (100 * F.col("hi_i") >= percent * F.col("lo_j")))
     pairs = scratch.keep(pairs.select("group", "i", "j"), "tile-pairs")
-    texts = rows.join(placed.select("row", "node", "group", "tile"), "row").dropDuplicates(["node"])
-    texts = scratch.keep(texts.select("node", "group", "tile", "text"), "group-texts")
+    texts = texts.select("node", "text").join(placed.select("node", "group", "tile"), "node")
     left = texts.join(pairs, (texts["group"] == pairs["group"]) & (texts["tile"] == pairs["i"]))
     right = texts.join(pairs.where("i < j"), (texts["group"] == pairs["group"]) & (texts["tile"] == pairs["j"]))
     columns = [texts["group"].alias("g"), F.xxhash64("i", "j").alias("pair")]

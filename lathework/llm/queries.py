@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathework.llm import bpe, lang_id, line_dedup, ngram_join, packing, secret_scan, token_counts
+from lathework.llm import bpe, embed_dedup, lang_id, line_dedup, ngram_join, packing, secret_scan, token_counts, topk_search, warc
 from lathework.llm.common import tokenizer_path
+from lathework.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,3 +95,48 @@ def op1_ngram_join(spark, folder):
 def op5_secret_scan(spark, folder):
     docs = _table(spark, folder, "documents")
     return secret_scan.find_secrets(docs, secret_scan.train(docs))
+
+
+@query(
+    "op6_warc",
+    """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (
+  SELECT page_id, strlen(html) AS payload_bytes, unhex(sha1(html))::BIT::VARCHAR AS bits,
+    min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+  list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * bits[5 * i + 1]::INT + 8 * bits[5 * i + 2]::INT
+    + 4 * bits[5 * i + 3]::INT + 2 * bits[5 * i + 4]::INT + bits[5 * i + 5]::INT, 1) FOR i IN range(32)], 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+""",
+)
+def op6_warc(spark, folder):
+    archives = scratch_path(spark, "warc")
+    manifest = warc.write_archives(_table(spark, folder, "pages"), archives)
+    return warc.read_archives(manifest, archives).drop("url")
+
+
+@query(
+    "op2_topk_search",
+    """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.v, c.v)::BIGINT DESC, c.vec_id) AS rank
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0)
+WHERE rank <= 10
+""",
+)
+def op2_topk_search(spark, folder):
+    return topk_search.search(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op4_embedding_dedup")
+def op4_embedding_dedup(spark, folder):
+    return embed_dedup.near_duplicates(_table(spark, folder, "embeddings"))
