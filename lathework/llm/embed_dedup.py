@@ -27,7 +27,9 @@ WINDOW = 64
 #: Bits of a name.
 BITS = 48
 #: Chance that a pair at the threshold meets in some pass.
-RECALL = 0.97
+RECALL = 0.995
+#: Passes over small tables too.
+LEAST_PASSES = 8
 #: Passes whose rows are shuffled together.
 PASSES_AT_ONCE = 16
 #: Vectors of a tile in which links are counted.
@@ -43,7 +45,7 @@ def passes_for(rows: int, threshold: float, window: int = WINDOW, recall: float
     """
     agree = 1 - math.acos(threshold) / math.pi
     chance = agree ** max(1.0, math.log2(max(2, rows) / window))
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - chance))) if chance < 1 else 1
+    return max(LEAST_PASSES, math.ceil(math.log(1 - recall) / math.log(1 - chance))) if chance < 1 else LEAST_PASSES
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:

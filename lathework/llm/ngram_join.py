@@ -226,7 +226,8 @@ def ngram_components(
     sets = scratch.keep(sets, "linkable-sets")
     if sets.where("a < b").head(1):
         raise RuntimeError("two different n-gram sets have one digest")
-    texts = rows.join(sets.select("row", "node", "n"), "row").dropDuplicates(["row"])
+    # a merge join whatever the sizes: texts move once, in proportion to the input
+    texts = rows.join(sets.select("row", "node", "n").hint("merge"), "row").dropDuplicates(["row"])
     texts = scratch.keep(texts.select("node", "n", "text"), "linkable-texts")
     signs = texts.select("node", "text").mapInArrow(sign, "node long, signs array<long>")
     signs = scratch.keep(signs.select("node", F.explode("signs").alias("sign")), "signatures")
@@ -360,4 +361,4 @@ def keep_representatives(
     rows = docs.select(F.struct("*").alias("row"), digest.alias("digest"))
     if rows.groupBy("digest").count().where("count > 1").head(1):
         rows = rows.dropDuplicates(["digest"])
-    return rows.join(kept, rows["digest"] == kept["kept"], "left_semi").select("row.*")
+    return rows.join(kept.hint("merge"), rows["digest"] == kept["kept"], "left_semi").select("row.*")
