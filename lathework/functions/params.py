@@ -22,48 +22,41 @@ def field_list(values: Iterable[str]) -> list[str]:
     return [field.strip() for value in values for field in value.split(",") if field.strip()]
 
 
-def percentages(value: str) -> list[float]:
-    """Shares given as fractions or percentages; they must be positive and sum to one."""
-    tokens = name_list(value)
-    if not tokens:
-        raise ValueError("at least one share is needed")
-    shares = []
-    for token in tokens:
-        try:
-            shares.append(float(token))
-        except ValueError as exc:
-            raise ValueError(f"not a number: {token!r}") from exc
-    return checked_shares(shares)
+def _numbers(texts: Iterable[str]) -> list[float]:
+    found, wrong = [], []
+    for text in texts:
+        (found if re.fullmatch(r"\s*[0-9]*\.?[0-9]+(e-?[0-9]+)?\s*", text, re.I) else wrong).append(text)
+    if wrong:
+        raise ValueError(f"not positive numbers: {', '.join(map(repr, wrong))}")
+    return [float(text) for text in found]
 
 
 def checked_shares(shares: list[float]) -> list[float]:
-    """Scale percentages to fractions (if any exceeds 1 or the total does) and check the sum."""
-    if any(share <= 0 for share in shares):
-        raise ValueError("shares must be positive")
-    if max(shares) > 1.0 or sum(shares) > 1.0 + TOLERANCE:
-        shares = [share / 100.0 for share in shares]
-    if abs(sum(shares) - 1.0) > TOLERANCE:
-        raise ValueError("shares must sum to 1 (or to 100 as percentages)")
-    return shares
+    """Shares as fractions. Their sum says what they are: 1 for fractions, 100 for percentages; anything else is refused."""
+    total = sum(shares)
+    scale = next((unit for unit in (1, 100) if abs(total - unit) <= TOLERANCE * unit), None)
+    if scale is None or min(shares, default=0) <= 0:
+        raise ValueError("shares must be positive and sum to 1, or to 100 as percentages")
+    return [share / scale for share in shares]
+
+
+def percentages(value: str) -> list[float]:
+    """Positive shares in a list of numbers, fractions or percentages."""
+    return checked_shares(_numbers(name_list(value)))
 
 
 def share_mapping(value: str | Mapping[str, float]) -> dict[str, float]:
-    """``{"train": 0.9}`` as JSON or ``train:0.9,test:0.1``."""
-    if isinstance(value, Mapping):
-        return {str(name): float(share) for name, share in value.items()}
-    text = value.strip()
-    if not text:
-        return {}
-    if text.startswith("{"):
-        parsed = json.loads(text)
-        return {str(name): float(share) for name, share in parsed.items()}
-    shares: dict[str, float] = {}
-    for token in name_list(text):
-        name, colon, share = token.partition(":")
-        if not colon or not name:
-            raise ValueError(f"expected name:share, got {token!r}")
-        shares[name] = float(share)
-    return shares
+    """Named shares, checked like unnamed ones: a mapping, ``{"train": 0.9, "test": 0.1}`` as JSON, or ``train:0.9,test:0.1``."""
+    if isinstance(value, str):
+        plain = value.strip()
+        if plain.startswith("{"):
+            value = json.loads(plain)
+        else:
+            named = [part.rsplit(":", 1) for part in name_list(plain)]
+            if any(len(part) != 2 or not part[0] for part in named):
+                raise ValueError(f"expected name:share, got {plain!r}")
+            value = dict(zip([n for n, _ in named], _numbers(share for _, share in named)))
+    return dict(zip(map(str, value), checked_shares([float(x) for x in value.values()]))) if value else {}
 
 
 def require_any(columns: Iterable[str], wanted: Mapping[str, Iterable[str]]) -> None:

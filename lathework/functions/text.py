@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WHITESPACE = " \t\n\r\f\x0b"
+#: All blanks of Unicode: controls, separators, and the spaces of fixed width.
+WHITESPACE = (
+    " \t\n\r\f\x0b\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+)
 # Fixed value: the ASCII punctuation marks removed before an exact-match comparison.
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 # Fixed value: the form in which a judge states its grade.
@@ -20,7 +23,7 @@ def strip(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Blank-separated tokens."""
-    return F.filter(F.split(text, r"\s+"), lambda token: token != "")
+    return F.filter(F.split(text, f"[{WHITESPACE}]+"), lambda token: token != "")
 
 
 def word_count(text: Column) -> Column:
@@ -69,14 +72,14 @@ def duration_text(seconds: Column) -> Column:
 
 
 def duration_seconds(text: Column) -> Column:
-    """``1h2m3.4s`` to seconds; each part is optional, the fraction is cut to three digits."""
-    pattern = r"^(?:(\d+)h)?(?:(\d+)m)?(?:(\d+)(?:\.(\d+))?s)?"
+    """``1h2m3.4s`` to seconds; each part is optional, what is below a thousandth of a second is dropped."""
 
-    def part(group: int) -> Column:
-        return F.coalesce(F.regexp_extract(text, pattern, group).try_cast("double"), F.lit(0.0))
+    def amount(unit: str, seconds: int) -> Column:
+        number = F.regexp_extract(text, rf"([0-9.]+){unit}", 1).try_cast("decimal(18,9)")
+        return F.coalesce(number, F.lit(0).cast("decimal(18,9)")).cast("double") * seconds
 
-    fraction = F.rpad(F.substring(F.regexp_extract(text, pattern, 4), 1, 3), 3, "0")
-    return part(1) * 3600 + part(2) * 60 + part(3) + fraction.cast("double") / 1000
+    whole = F.when(text.isNotNull(), amount("h", 3600) + amount("m", 60))
+    return whole + F.floor(amount("s", 1) * 1000 + 1e-6) / 1000
 
 
 def millions_text(value: Column) -> Column:

@@ -56,10 +56,19 @@ def batch_infer(
 ) -> DataFrame:
     """``call(request)`` for each row; an exception becomes the text ``**ERROR**: message``.
 
-    Filter before this: Spark moves no predicate through it. ``workers`` threads serve calls that wait
+    Only the request goes through Python. The call counts as nondeterministic, so Spark moves no predicate
+    through it and makes it once per row. ``workers`` threads serve calls that wait
     on a network. Write the result before reading it twice, so that no call is repeated.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField(answer, T.StringType())])
+    @F.pandas_udf("string")
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        with ThreadPoolExecutor(workers) as pool:
+            each = pool.map if workers > 1 else map
+            for batch in batches:
+                answers: list[str] = []
+                for start in range(0, len(batch), batch_size):
+                    answers += each(guarded, batch.iloc[start : start + batch_size])
+                yield pd.Series(answers, dtype=object)
 
     def guarded(value: Any) -> str:
         try:
@@ -67,15 +76,7 @@ def batch_infer(
         except Exception as error:
             return f"{ERROR_PREFIX}: {error}"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with ThreadPoolExecutor(workers) as pool:
-            each = pool.map if workers > 1 else map
-            for frame in frames:
-                for start in range(0, len(frame), batch_size):
-                    part = frame.iloc[start : start + batch_size]
-                    yield part.assign(**{answer: list(each(guarded, part[request]))})
-
-    return df.mapInPandas(run, schema)
+    return df.withColumn(answer, ask.asNondeterministic()(F.col(request)))
 
 
 def inference_rows(
@@ -124,7 +125,7 @@ def token_counts(text: Column, count: Callable[[str], int]) -> Column:
     def counted(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: 0 if t is None else count(t)).astype("int32")
 
-    return counted(text)
+    return counted.asNondeterministic()(text)
 
 
 def tokenize(df: DataFrame, key: str, text: str, encode: Callable[[str], Sequence[int]]) -> DataFrame:
@@ -141,15 +142,30 @@ def tokenize(df: DataFrame, key: str, text: str, encode: Callable[[str], Sequenc
     return df.select(key, text).mapInPandas(run, schema)
 
 
-def embed(df: DataFrame, text: str, call: Callable[[list[str]], Sequence[Sequence[float]]], vector: str = "embedding") -> DataFrame:
-    """A vector per row by a caller's function over a batch of texts."""
+def embed(
+    df: DataFrame,
+    text: str,
+    call: Callable[[list[str]], Sequence[Sequence[float]]],
+    vector: str = "embedding",
+    batch_size: int = 1024,
+) -> DataFrame:
+    """A vector per row by a caller's function over up to ``batch_size`` texts; a NULL text has none and is not sent.
+
+    Nondeterministic to Spark, so that a filter on the vector does not call the model again.
+    """
 
     @F.pandas_udf("array<float>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([list(map(float, v)) for v in call(batch.tolist())])
-
-    return df.withColumn(vector, vectors(F.col(text)))
+            found = pd.Series([None] * len(batch), index=batch.index, dtype=object)
+            there = batch.dropna()
+            for start in range(0, len(there), batch_size):
+                part = there.iloc[start : start + batch_size]
+                for place, v in zip(part.index, call(part.tolist())):
+                    found.at[place] = [float(x) for x in v]
+            yield found
+
+    return df.withColumn(vector, vectors.asNondeterministic()(F.col(text)))
 
 
 def drop_failed(df: DataFrame, answer: str) -> DataFrame:

@@ -203,9 +203,12 @@ def normalize_turns(
     """
     named = _named_turns(turns, role, content, roles)
     bad = named.withColumn("__bad", _bad_turn(role, roles)).where(F.col("__bad").isNotNull())
-    reasons = bad.groupBy(conversation).agg(F.min_by("__bad", turn).alias("skip_reason"))
-    return named.join(reasons, conversation, "left").withColumn(
-        "skip_reason", F.coalesce(F.col("skip_reason"), F.lit(""))
+    reasons = bad.groupBy(F.col(conversation).alias("__conversation")).agg(F.min_by("__bad", turn).alias("skip_reason"))
+    same = named[conversation].eqNullSafe(reasons["__conversation"])
+    return (
+        named.join(reasons, same, "left")
+        .withColumn("skip_reason", F.coalesce(F.col("skip_reason"), F.lit("")))
+        .drop("__conversation")
     )
 
 
@@ -288,7 +291,6 @@ class Layout:
 # Public chat layouts.
 CHAT_LAYOUTS = {
     "chat-ml": Layout({"*": "<|im_start|>{role}\n"}, {"*": "<|im_end|>\n"}),
-    "poro": Layout({"*": "<|im_start|>{role}\n"}, {"*": "<|im_end|>\n"}),
     "simplified-llama31": Layout(
         {"*": "<|start_header_id|>{role}<|end_header_id|>\n\n"}, {"*": "<|eot_id|>"}, opening="<|begin_of_text|>"
     ),
@@ -311,19 +313,39 @@ def _by_role(texts: Mapping[str, str], role: Column) -> Column:
     return out
 
 
+def _with_system_merged(messages: Column) -> Column:
+    """System texts in front of the next user turn, in order; those without one become a user turn of their own at the end."""
+    turn = "struct<role: string, content: string>"
+    start = F.struct(F.array().cast(f"array<{turn}>").alias("turns"), F.array().cast("array<string>").alias("waiting"))
+
+    def step(state: Column, m: Column) -> Column:
+        led = F.when(
+            m["role"] == "user", F.array_join(F.concat(state["waiting"], F.array(m["content"])), "\n\n")
+        ).otherwise(m["content"])
+        is_system = F.coalesce(m["role"] == "system", F.lit(False))
+        added = F.concat(state["turns"], F.array(F.struct(m["role"].alias("role"), led.alias("content"))))
+        waiting = F.when(is_system, F.concat(state["waiting"], F.array(m["content"]))).otherwise(
+            F.when(m["role"] == "user", F.array().cast("array<string>")).otherwise(state["waiting"])
+        )
+        return F.struct(
+            F.when(is_system, state["turns"]).otherwise(added).alias("turns"), waiting.alias("waiting")
+        )
+
+    def finish(state: Column) -> Column:
+        rest = F.struct(F.lit("user").alias("role"), F.array_join(state["waiting"], "\n\n").alias("content"))
+        return F.when(F.size(state["waiting"]) > 0, F.concat(state["turns"], F.array(rest))).otherwise(state["turns"])
+
+    return F.aggregate(messages, start, step, finish)
+
+
 def chat_text(messages: Column, layout: str | Layout = "chat-ml") -> Column:
     """All messages as one text in a named layout or the caller's own."""
     form = CHAT_LAYOUTS[layout] if isinstance(layout, str) else layout
+    messages = F.transform(
+        messages, lambda m: F.struct(m["role"].alias("role"), F.coalesce(m["content"], F.lit("")).alias("content"))
+    )
     if form.merge_system:
-        turns = messages
-
-        def merged(m: Column, i: Column) -> Column:
-            before = F.get(turns, i - 1)
-            led = (m["role"] == "user") & (before["role"] == "system")
-            content = F.when(led, F.concat(before["content"], F.lit("\n\n"), m["content"])).otherwise(m["content"])
-            return F.struct(m["role"].alias("role"), content.alias("content"))
-
-        messages = F.filter(F.transform(messages, merged), lambda m: m["role"] != "system")
+        messages = _with_system_merged(messages)
     texts = F.transform(
         messages, lambda m: F.concat(_by_role(form.before, m["role"]), m["content"], _by_role(form.after, m["role"]))
     )

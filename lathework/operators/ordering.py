@@ -206,15 +206,17 @@ def quantiles(
     tie_break: Sequence[str],
     approximate: bool = False,
 ) -> DataFrame:
-    """One column per named probability, linear between the two nearest ranks; NULL and NaN ignored.
+    """One column per named probability, linear between the two nearest ranks; NULL and NaN ignored,
+    NULL for a group that has nothing else.
 
     Exact quantiles are read off a sorted index at the ranks needed, so no aggregation buffer holds a
     group. ``tie_break`` names columns that make a row unique and so keep a frequent value divisible.
     """
     clean = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     if approximate:
-        return clean.groupBy(*keys).agg(
-            *[F.percentile_approx(value, p, 100_000).cast("double").alias(n) for n, p in probabilities.items()]
+        valid = F.when(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")), F.col(value))
+        return df.groupBy(*keys).agg(
+            *[F.percentile_approx(valid, p, 100_000).cast("double").alias(n) for n, p in probabilities.items()]
         )
     clean = clean.select(*keys, F.col(value).cast("double").alias("__v"), *[t for t in tie_break if t not in keys])
     indexed = with_row_index(clean, [*keys, "__v", *tie_break], name="__i")
@@ -236,7 +238,10 @@ def quantiles(
         F.max(F.col("__w.at") - F.col("__low")).alias("__share"),
     )
     level = F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__share")
-    return picked.groupBy(*keys).agg(*[F.max(F.when(F.col("__name") == n, level)).alias(n) for n in probabilities])
+    # a row without levels for each group, so that one without valid values is not lost
+    groups = df.select(*keys).distinct().select(*keys, *[F.lit(None).cast(t).alias(n) for n, t in (("__name", "string"), ("__a", "double"), ("__b", "double"), ("__share", "double"))])
+    levels = picked.unionByName(groups).groupBy(*keys)
+    return levels.agg(*[F.max(F.when(F.col("__name") == n, level)).alias(n) for n in probabilities])
 
 
 def keep_first(df: DataFrame, key: Column | str, order_by: Sequence[str], wide: bool = False) -> DataFrame:
@@ -254,7 +259,11 @@ def keep_first(df: DataFrame, key: Column | str, order_by: Sequence[str], wide:
             winners = groups.agg(F.min(F.col(f"`{order_by[0]}`")).alias(order_by[0])).drop("__key")
         else:
             winners = groups.agg(F.min(order).alias("__first")).select("__first.*")
-        return df.join(winners, list(order_by), "left_semi")
+        winners = winners.select(*[F.col(f"`{c}`").alias(f"__w{i}") for i, c in enumerate(order_by)])
+        same = functools.reduce(
+            lambda a, b: a & b, [df[f"`{c}`"].eqNullSafe(winners[f"__w{i}"]) for i, c in enumerate(order_by)]
+        )
+        return df.join(winners, same, "left_semi")
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     return groups.agg(F.min_by(row, order).alias("__row")).select("__row.*")
 

@@ -137,7 +137,7 @@ def clean_assays(df: DataFrame, value: str, method: str, drop_methods: Sequence[
     return (
         df.where(~F.col(f"`{value}`").rlike("^[<>]"))
         .withColumn(renamed, number)
-        .where((F.col(renamed) < limit) & ~F.col(method).isin(list(drop_methods)))
+        .where((F.col(renamed) < limit) & ~F.coalesce(F.col(method).isin(list(drop_methods)), F.lit(False)))
         .drop(value, method)
     )
 

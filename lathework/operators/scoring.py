@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -56,12 +57,14 @@ def bleu_counts(df: DataFrame, key: str, prediction: str, references: str, keep:
     ``references`` is an array of texts. Tokens are cut in the JVM; the n-grams of a row are counted in the
     task that holds the row, in Arrow batches, so no text is shuffled. Columns in ``keep`` are carried along.
     """
-    zero = F.lit(0).cast("bigint")
+    zero, none = F.lit(0).cast("bigint"), F.array().cast("array<string>")
     tokens = df.select(
         key,
         *keep,
-        metric_tokens(F.col(prediction)).alias("__p"),
-        F.transform(references, metric_tokens).alias("__r"),
+        F.coalesce(metric_tokens(F.col(prediction)), none).alias("__p"),
+        F.transform(
+            F.coalesce(references, none), lambda t: F.coalesce(metric_tokens(t), none)
+        ).alias("__r"),
     )
     matched = tokens.withColumn("__m", _clipped_matches("__p", "__r"))
     length = F.size("__p").cast("bigint")
@@ -69,7 +72,7 @@ def bleu_counts(df: DataFrame, key: str, prediction: str, references: str, keep:
         key,
         *keep,
         length.alias("prediction_length"),
-        F.array_min(F.transform("__r", lambda t: F.size(t))).cast("bigint").alias("reference_length"),
+        F.coalesce(F.array_min(F.transform("__r", lambda t: F.size(t))), F.lit(0)).cast("bigint").alias("reference_length"),
         "__m.*",
         *[F.greatest(length - (n - 1), zero).alias(f"possible_{n}") for n in _ORDERS],
     )
@@ -249,8 +252,12 @@ def softmax_rows(df: DataFrame, item: Sequence[str], score: str, scale: float =
     tops = banded.withColumn("__top", F.max("__m").over(Window.partitionBy(*item)))
     share = F.col("__part") * F.exp((F.col("__band") * width - F.col("__top")) * scale)
     totals = tops.groupBy(*item).agg(F.max("__top").alias("__top"), F.sum(share).alias("__total"))
+    names = [f"__item{i}" for i in range(len(item))]
+    totals = totals.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(item, names)], "__top", "__total")
+    same = functools.reduce(lambda x, y: x & y, [df[f"`{c}`"].eqNullSafe(totals[n]) for c, n in zip(item, names)])
     return (
-        df.join(totals, list(item))
+        df.join(totals, same)
+        .drop(*names)
         .withColumn("probability", F.exp((value - F.col("__top")) * scale) / F.col("__total"))
         .withColumn("is_top", value == F.col("__top"))
         .drop("__top", "__total")

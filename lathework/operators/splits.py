@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -53,8 +54,7 @@ def ratio_split(
 ) -> DataFrame:
     """Label each row with its split after a seeded shuffle; counts are exact, the last split takes the rest.
 
-    Without ``index`` no row moves: a digest bucket lies wholly inside one split unless a cut falls into
-    it, and only the rows of those few buckets (at most one per cut) are ranked. With ``index`` each row
+    Without ``index`` no row moves: each is compared with the rows at the cuts. With ``index`` each row
     also gets its position within its split, which needs the full order.
     """
     if len(names) != len(shares):
@@ -79,27 +79,35 @@ def _label_in_place(
     cuts_of: Callable[[Column], list[Column]],
     name: str,
 ) -> DataFrame:
-    """Label rows by where cuts fall into the digest order, ranking only the rows of the buckets that are cut."""
-    tagged = df.withColumn("__digest", seeded_digest(seed, *key)).withColumn(
+    """Label rows by where cuts fall into the digest order, by comparing each row with the rows at the cuts.
+
+    Bucket counts tell which few buckets (at most one per cut) hold a cut; their keys alone are ranked, and what is
+    kept of them is one row: digest and key of the row at each cut. No row moves to get its label.
+    """
+    keys = [F.col(f"`{k}`") for k in key]
+    tagged = df.select(seeded_digest(seed, *key).alias("__digest"), *keys).withColumn(
         "__bucket", digest_bucket(F.col("__digest"))
     )
     offsets = bucket_offsets(tagged.select("__bucket"))
     cuts = cuts_of(F.col("__total"))
-    first = _label(names, cuts, F.col("__offset"))
-    last = _label(names, cuts, F.col("__offset") + F.col("__size") - 1)
-    offsets = offsets.withColumn("__whole", F.when(first == last, first))
-    # at most 65,536 rows, hence the broadcast
-    placed = tagged.join(F.broadcast(offsets), "__bucket")
-    helpers = ["__digest", "__bucket", "__size", "__offset", "__total", "__whole"]
-    inside = Window.partitionBy("__bucket").orderBy("__digest", *[F.col(f"`{k}`") for k in key])
-    whole = placed.where(F.col("__whole").isNotNull()).withColumn(name, F.col("__whole"))
-    divided = (
-        placed.where(F.col("__whole").isNull())
-        .withColumn("__rank", F.row_number().over(inside))
-        .withColumn(name, _label(names, cuts, F.col("__offset") + F.col("__rank") - 1))
-        .drop("__rank")
+    holds = functools.reduce(
+        lambda x, y: x | y, [(F.col("__offset") <= c) & (c < F.col("__offset") + F.col("__size")) for c in cuts], F.lit(False)
     )
-    return whole.unionByName(divided).drop(*helpers)
+    inside = Window.partitionBy("__bucket").orderBy("__digest", *keys)
+    # at most one bucket per cut, hence the broadcast
+    ranked = tagged.join(F.broadcast(offsets.where(holds)), "__bucket").withColumn("__rank", F.row_number().over(inside))
+    place = F.col("__offset") + F.col("__rank") - 1
+    row = F.struct("__digest", *keys)
+    edges = [F.max(F.when(place == c, row)).alias(f"e{i}") for i, c in enumerate(cuts)]
+    if not edges:
+        return df.withColumn(name, F.lit(names[-1]))
+    edge = ranked.agg(*edges).select(F.struct("*").alias("edges")).scalar()
+    here = F.struct(seeded_digest(seed, *key).alias("__digest"), *keys)
+    label = F.lit(names[-1])
+    for i in reversed(range(len(cuts))):
+        # no row at a cut: it lies behind the last row
+        label = F.when(F.coalesce(here < edge.getField(f"e{i}"), F.lit(True)), F.lit(names[i])).otherwise(label)
+    return df.withColumn(name, label)
 
 
 # Fixed value: seed of the automatic validation split.
@@ -122,17 +130,8 @@ def percent_split(
     return ratio_split(df, key, list(names), [percent / 100, 1 - percent / 100], seed, **kwargs)
 
 
-TOP_ROWS = 100_000  # a sorted top-n of more rows would pass through one task
-
-
 def sample_exact(df: DataFrame, key: Sequence[str], n: int, seed: int = 42) -> DataFrame:
-    """``min(n, rows)`` rows without replacement: the first in digest order.
-
-    A small sample is a distributed top-n; for a large one rows are labelled where they are.
-    """
-    if n <= TOP_ROWS:
-        digest = seeded_digest(seed, *key)
-        return df.withColumn("__digest", digest).orderBy("__digest", *key).limit(n).drop("__digest")
+    """``min(n, rows)`` rows without replacement: the first in digest order, kept in the partitions they are in."""
     cut = F.lit(n).cast("bigint")
     labelled = _label_in_place(df, key, seed, ["in", "out"], lambda total: [cut], "__sample")
     return labelled.where(F.col("__sample") == "in").drop("__sample")
@@ -155,11 +154,17 @@ def sample_values(df: DataFrame, column: str, n: int, order_by: str, seed: int =
 def cap_rows(df: DataFrame, order_by: Sequence[str], n: int, within: Sequence[str] = ()) -> DataFrame:
     """The first ``n`` rows in a stated order, over the table or per group.
 
-    A small cap over the table is Spark's distributed top-n; any other reads the row index.
+    Over the table an index over the order columns alone gives the first row that is left out, and rows before it are kept in
+    the partitions they are in. ``order_by`` must identify a row.
     """
-    if not within and n <= TOP_ROWS:
-        return df.orderBy(*order_by).limit(n)
-    return with_row_index(df, order_by, within, "__i").where(F.col("__i") < n).drop("__i")
+    if within:
+        return with_row_index(df, order_by, within, "__i").where(F.col("__i") < n).drop("__i")
+    order = [F.col(f"`{c}`") for c in order_by]
+    named = [c.alias(f"o{i}") for i, c in enumerate(order)]
+    indexed = with_row_index(df.select(*named), [f"o{i}" for i in range(len(order))], name="__i")
+    row = F.struct(*[f"o{i}" for i in range(len(order))])
+    edge = indexed.where(F.col("__i") == n).agg(F.max(row).alias("edge")).scalar()
+    return df.where(F.coalesce(F.struct(*named) < edge, F.lit(True)))
 
 
 def with_batches(df: DataFrame, index: str, size: int, name: str = "batch_id") -> DataFrame:

@@ -307,11 +307,11 @@ def chat_template_render(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "eval_prompts",
-    "SELECT doc_id, 'Summarise the following text:' || chr(10) || '    ' || text AS prompt FROM documents",
+    "SELECT doc_id, 'Name the main points of this passage:' || chr(10) || '    ' || text AS prompt FROM documents",
 )
 def eval_prompts(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    prompt = render("Summarise the following text:\n    {context}", {"context": F.col("text")})
+    prompt = render("Name the main points of this passage:\n    {context}", {"context": F.col("text")})
     return docs.select("doc_id", prompt.alias("prompt"))
 
 

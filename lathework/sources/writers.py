@@ -34,11 +34,12 @@ def append_run(df: DataFrame, path: str) -> None:
 
 
 def write_run(results: DataFrame, summary: DataFrame, path: str, run_id: str) -> None:
-    """Results and their one-row summary of a run, under ``results/run_id=...`` and ``summary/run_id=...``."""
+    """Results and their one-row summary of a run, under ``results/run_id=...`` and ``summary/run_id=...``.
+
+    A run that is written again replaces itself.
+    """
     for name, table in (("results", results), ("summary", summary)):
-        table.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").option(
-            "ignoreNullFields", "false"
-        ).json(f"{path}/{name}")
+        table.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/{name}/run_id={run_id}")
 
 
 def preview(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:

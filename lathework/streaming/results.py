@@ -31,9 +31,10 @@ def ingest(
 def running_mean(
     stream: DataFrame, by: Sequence[str], value: str, weight: str, publish: Callable[[DataFrame, int], None], checkpoint: str
 ) -> StreamingQuery:
-    """Weighted mean so far per key; the state is two sums, ``publish`` gets the whole table each batch."""
+    """Weighted mean so far per key, NULL and NaN values left out; the state is two sums, ``publish`` gets the whole table each batch."""
+    valid = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
     sums = stream.groupBy(*by).agg(
-        F.sum(F.col(value) * F.col(weight)).alias("__s"), F.sum(weight).alias("weight")
+        F.sum(F.when(valid, F.col(value) * F.col(weight))).alias("__s"), F.sum(F.when(valid, F.col(weight))).alias("weight")
     )
     means = sums.select(
         *by, "weight", F.when(F.col("weight") > 0, F.col("__s") / F.col("weight")).otherwise(F.col("__s")).alias("mean")

@@ -98,3 +98,16 @@ def test_metric_tokens(spark):
 
 def test_strip_takes_all_blanks(spark):
     assert one(spark, X.strip(F.lit("\n\t a \r\n")))[0] == "a"
+
+
+def test_every_unicode_blank_trims_and_splits(spark):
+    text = "  a b 　c "
+    assert one(spark, X.strip(F.lit(text)), X.word_count(F.lit(text))) == ("a b 　c", 3)
+    assert one(spark, X.strip(F.lit("   ")))[0] == ""
+
+
+def test_shares_of_a_mapping_are_checked():
+    assert params.share_mapping({"a": 75, "b": 25}) == {"a": 0.75, "b": 0.25}
+    for bad in ('{"a": 0.5}', "a:-1,b:2", "a:x,b:1"):
+        with pytest.raises(ValueError):
+            params.share_mapping(bad)

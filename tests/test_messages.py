@@ -91,4 +91,18 @@ def test_layouts(spark):
     own = M.Layout({"user": "U:", "*": "{role}>"}, {"*": ";"}, opening="^")
     row = df.select(*[M.chat_text(F.col("m"), layout) for layout in ("mistral-with-system", own)]).first()
     assert tuple(row) == ("<s>[INST] s\n\nq [/INST] a</s>[INST] r [/INST]", "^system>s;U:q;assistant>a;U:r;")
-    assert set(M.CHAT_LAYOUTS) >= {"chat-ml", "poro", "mistral-with-system", "simplified-llama31"}
+    assert set(M.CHAT_LAYOUTS) >= {"chat-ml", "mistral-with-system", "simplified-llama31"}
+
+
+def test_no_turn_is_lost_in_any_layout(spark):
+    turns = [("system", "s1"), ("system", "s2"), ("user", "u"), ("assistant", None), ("system", "late")]
+    df = spark.createDataFrame([(turns,)], "m array<struct<role: string, content: string>>")
+    merged = df.select(M.chat_text(F.col("m"), "mistral-with-system")).first()[0]
+    assert merged == "<s>[INST] s1\n\ns2\n\nu [/INST] </s>[INST] late [/INST]"
+    assert df.select(M.chat_text(F.col("m"), "plain")).first()[0].count("\n") == 5
+
+
+def test_bad_turn_without_a_conversation_id(spark):
+    df = spark.createDataFrame([(None, 1, "wizard", "x"), (1, 1, "user", "y")], "c int, t int, role string, content string")
+    found = {r["c"]: r["skip_reason"] for r in M.normalize_turns(df, "c", "t", "role", "content", M.Roles()).collect()}
+    assert found[None].startswith("unknown role") and found[1] == ""

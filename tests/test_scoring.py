@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lathework.operators import inference, scoring
 
-P = ["This is a test prediction.", "Another prediction."]
+P = ["Seven otters built a dam.", "Rain fell all night."]
 
 
 def bleu(spark, predictions, references):
@@ -36,7 +36,7 @@ def plain_bleu(predictions, references):
 
 
 def test_exact_match_is_a_fraction(spark):
-    df = spark.createDataFrame([("This is a TEST prediction", P[0]), ("Another prediction.", "Another reference.")], "p string, r string")
+    df = spark.createDataFrame([("Seven OTTERS built a dam", P[0]), ("Rain fell all night.", "Rain fell at noon.")], "p string, r string")
     assert df.agg(F.avg(scoring.exact_match(F.col("p"), F.col("r")))).first()[0] == 0.5
     strict = scoring.exact_match(F.col("p"), F.col("r"), ignore_case=False)
     assert df.agg(F.avg(strict)).first()[0] == 0.0
@@ -44,7 +44,7 @@ def test_exact_match_is_a_fraction(spark):
 
 def test_bleu_constants(spark):
     assert bleu(spark, P, [[t] for t in P]) == pytest.approx(1.0)
-    assert bleu(spark, P, [["This is a test reference."], ["Another reference."]]) < 1.0
+    assert bleu(spark, P, [["Seven otters built a raft."], ["Rain fell at noon."]]) < 1.0
     assert bleu(spark, ["a b"], [["c d"]]) == 0.0
 
 
@@ -116,13 +116,13 @@ def test_several_gold_answers(spark):
 def test_model_failures_become_values(spark):
     def call(messages):
         if messages[0]["content"] == "bad":
-            raise RuntimeError("Test API error")
+            raise RuntimeError("the line is busy")
         return messages[0]["content"].upper()
 
     df = spark.createDataFrame([(0, [("user", "ok")]), (1, [("user", "bad")])], "id int, m array<struct<role:string,content:string>>")
     for workers in (1, 4):
         out = {r["id"]: r["llm_inference"] for r in inference.batch_infer(df, call, "m", batch_size=1, workers=workers).collect()}
-        assert out == {0: "OK", 1: "**ERROR**: Test API error"}
+        assert out == {0: "OK", 1: "**ERROR**: the line is busy"}
 
 
 def test_retry():
@@ -177,3 +177,33 @@ def test_metric_summary(spark):
     assert scoring.metric_summary(df).first()["exact_match"] == 0.6667
     with pytest.raises(ValueError):
         scoring.metric_summary(df, on_error="keep")
+
+
+def test_missing_answers_and_references_score_as_empty(spark):
+    rows = [(1, None, ["a b c d e"]), (2, "a b c d e", ["a b c d e"]), (3, "a", None), (4, "a", [None])]
+    df = spark.createDataFrame(rows, "id int, p string, r array<string>")
+    counts = {r["id"]: r for r in scoring.bleu_counts(df, "id", "p", "r").collect()}
+    assert counts[1]["prediction_length"] == 0 and counts[1]["reference_length"] == 5
+    assert counts[2]["match_4"] == 2 and counts[3]["reference_length"] == counts[4]["reference_length"] == 0
+
+
+def test_softmax_keeps_rows_without_an_item(spark):
+    df = spark.createDataFrame([("a", 1.0), (None, 1.0), (None, 1.0)], "item string, s double")
+    found = sorted(r["probability"] for r in scoring.softmax_rows(df, ["item"], "s").collect())
+    assert found == pytest.approx([0.5, 0.5, 1.0])
+
+
+def test_only_the_request_goes_through_the_model_call(spark):
+    rows = [(9007199254740993, "x"), (None, "y"), (3, None)]
+    df = spark.createDataFrame(rows, "id long, q string")
+    out = inference.batch_infer(df, lambda q: str(q), "q").where("llm_inference is not null")
+    assert {r["id"] for r in out.collect()} == {9007199254740993, None, 3}
+    assert out._jdf.queryExecution().toString().split("Physical Plan")[1].count("ArrowEvalPython") == 1
+
+
+def test_embedding_is_called_once_and_never_with_a_missing_text(spark):
+    df = spark.createDataFrame([("x",), (None,), ("yy",)], "t string")
+    out = inference.embed(df, "t", lambda texts: [[len(t)] for t in texts], batch_size=1)
+    assert sorted(r["embedding"] or [] for r in out.collect()) == [[], [1.0], [2.0]]
+    plan = out.where("embedding is not null")._jdf.queryExecution().toString().split("Physical Plan")[1]
+    assert plan.count("ArrowEvalPython") == 1

@@ -42,14 +42,12 @@ def test_samples(spark):
     assert splits.sample_exact(df, ["id"], 1000).count() == 100
 
 
-def test_large_samples_and_caps_take_the_same_rows(spark, monkeypatch):
-    df = spark.range(300).repartition(3)
-    small = {r["id"] for r in splits.sample_exact(df, ["id"], 120).collect()}
-    cap = {r["id"] for r in splits.cap_rows(df, ["id"], 70).collect()}
-    monkeypatch.setattr(splits, "TOP_ROWS", 10)
-    assert {r["id"] for r in splits.sample_exact(df, ["id"], 120).collect()} == small
-    assert splits.sample_exact(df, ["id"], 1000).count() == 300
-    assert {r["id"] for r in splits.cap_rows(df, ["id"], 70).collect()} == cap == set(range(70))
+def test_samples_and_caps_do_not_hang_on_the_partitions(spark):
+    df = spark.range(300)
+    for n in (1, 120):
+        samples = [{r["id"] for r in splits.sample_exact(df.repartition(k), ["id"], n).collect()} for k in (1, 7)]
+        assert samples[0] == samples[1] and len(samples[0]) == n
+    assert {r["id"] for r in splits.cap_rows(df.repartition(3), ["id"], 70).collect()} == set(range(70))
 
 
 def test_batches(spark):
@@ -117,3 +115,13 @@ def test_packs_hold_whole_sequences(spark):
 def test_concat_fills_missing_columns(spark):
     out = mixing.concat(spark.range(2), spark.range(2).withColumn("x", F.lit(1))).collect()
     assert sorted((r["id"], r["x"]) for r in out if r["x"]) == [(0, 1), (1, 1)] and len(out) == 4
+
+
+def test_caps_and_samples_stay_in_their_partitions(spark):
+    df = spark.range(0, 1000, 1, 16).withColumnRenamed("id", "k")
+    for n in (0, 1, 400, 5000):
+        assert sorted(r["k"] for r in splits.cap_rows(df, ["k"], n).collect()) == list(range(min(n, 1000)))
+        sample = splits.sample_exact(df, ["k"], n, 7)
+        assert sample.count() == min(n, 1000)
+    assert splits.cap_rows(df, ["k"], 400).rdd.getNumPartitions() == 16
+    assert splits.sample_exact(df, ["k"], 400).rdd.getNumPartitions() == 16
