@@ -33,15 +33,25 @@ def latency_summary(df: DataFrame, avg: str, percentiles: str, output_length: st
 
 
 def throughput_summary(
-    df: DataFrame, avg: str, per_second: str, elapsed: str, prompts: str, output_length: str, keep: Sequence[str]
+    df: DataFrame,
+    avg: str,
+    per_second: str,
+    elapsed: str,
+    prompts: str,
+    output_length: str,
+    keep: Sequence[str],
+    requests_per_second: str,
+    total_tokens: str,
 ) -> DataFrame:
-    """Token rates of the files that report no latency, cut to whole tokens."""
+    """What the files that report no latency say: token rates cut to whole tokens, request rate, time and tokens in all."""
     generated = F.try_divide(F.col(prompts).cast("bigint") * F.col(output_length).cast("bigint"), F.col(elapsed))
     return df.where(F.col(avg).isNull()).select(
         *keep,
         F.col(per_second).cast("bigint").alias("total_tokens_per_s"),
         generated.cast("bigint").alias("generated_tokens_per_s"),
+        F.col(requests_per_second).alias("requests_per_s"),
         F.col(elapsed).alias("elapsed_s"),
+        F.col(total_tokens).cast("bigint").alias("total_tokens"),
     )
 
 
@@ -124,15 +134,24 @@ def section_timings(lines: DataFrame, order_by: Sequence[str], line: str, value:
     )
 
 
-def section_table(timings: DataFrame, cells: int) -> DataFrame:
-    """One row per section, one text column per cell; an overflow shows as such, a missing cell as N/A."""
+def section_table(timings: DataFrame, layouts: Sequence[int]) -> DataFrame:
+    """One row per section, laid out as the smallest of the ``layouts`` that holds its cells, else as the largest.
+
+    ``layout`` is the number of cells shown, ``beyond`` how many timings found no cell. One text column per cell of the largest layout:
+    an overflow shows as such, a missing cell as N/A, a cell that the layout lacks as NULL.
+    """
+    sizes = sorted(layouts)
     shown = F.when(F.col("status") == "overflow", F.lit("**Memory overflow**")).otherwise(F.col("seconds").cast("string"))
-    return timings.groupBy("section", "header").agg(
-        *[
-            F.coalesce(F.max(F.when(F.col("cell") == c, shown)), F.lit(MARKDOWN_NULL)).alias(f"cell_{c}")
-            for c in range(cells)
-        ]
+    filled = timings.groupBy("section", "header").agg(
+        (F.max("cell") + 1).alias("__cells"),
+        F.count_if(F.col("cell") >= sizes[-1]).alias("beyond"),
+        *[F.max(F.when(F.col("cell") == c, shown)).alias(f"cell_{c}") for c in range(sizes[-1])],
     )
+    layout = F.lit(sizes[-1])
+    for size in reversed(sizes):
+        layout = F.when(F.col("__cells") <= size, F.lit(size)).otherwise(layout)
+    cells = [F.when(F.col("layout") > c, F.coalesce(f"cell_{c}", F.lit(MARKDOWN_NULL))).alias(f"cell_{c}") for c in range(sizes[-1])]
+    return filled.withColumn("layout", layout).select("section", "header", "layout", "beyond", *cells)
 
 
 def token_gaps(tokens: DataFrame, request: Sequence[str], at: str, tie_break: Sequence[str]) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from lathework.functions.templates import render
 from lathework.functions.text import ERROR_PREFIX, GRADE_PATTERN, grade, is_error, word_count
 from lathework.operators.messages import judge_followup, judge_request, message
-from lathework.operators.ordering import with_row_index
+from lathework.operators.ordering import keep_last, with_row_index
 from lathework.operators.splits import cap_rows
 
 
@@ -202,6 +202,11 @@ def judge_two_step(
     )
 
 
+def judged_fields(judged: DataFrame, key: str, order_by: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """Stored fields of the last judgement of each document: grades, generations, explanations, whole prompts."""
+    return keep_last(judged.select(key, *[c for c in order_by if c != key], *fields), [key], order_by).select(key, *fields)
+
+
 def judge_summary(candidates: DataFrame, judged: DataFrame, key: str, grade_column: str, order_by: Sequence[str]) -> DataFrame:
     """Mean grade over the last judgement of each document, and how many candidates got none."""
     last = judged.groupBy(key).agg(F.max_by(F.col(grade_column), F.struct(*order_by)).alias("__g"))

@@ -66,15 +66,21 @@ def latency_summary(spark: SparkSession, folder: str) -> DataFrame:
     WITH {_RUNS}
     SELECT row, p_brand, CAST(trunc(b * 3) AS BIGINT) AS total_tokens_per_s,
            CAST(trunc((s_suppkey + 1) * p_size / (b / 7 + 1)) AS BIGINT) AS generated_tokens_per_s,
-           round(b / 7 + 1, 6) AS elapsed_s
+           round((s_suppkey + 1) / (b / 7 + 1), 6) AS requests_per_s, round(b / 7 + 1, 6) AS elapsed_s,
+           CAST((s_suppkey + 1) * p_size AS BIGINT) AS total_tokens
     FROM runs WHERE s_nationkey % 2 <> 0
     """,
 )
 def throughput_summary(spark: SparkSession, folder: str) -> DataFrame:
+    runs = scenario_runs(spark, folder).withColumns(
+        {"requests": F.col("prompts") / F.col("elapsed_time"), "tokens": F.col("prompts") * F.col("p_size")}
+    )
     rows = B.throughput_summary(
-        scenario_runs(spark, folder), "avg_latency", "tokens_per_second", "elapsed_time", "prompts", "p_size", ["row", "p_brand"]
+        runs, "avg_latency", "tokens_per_second", "elapsed_time", "prompts", "p_size", ["row", "p_brand"], "requests", "tokens"
+    )
+    return rows.select(
+        "row", "p_brand", "total_tokens_per_s", "generated_tokens_per_s", six("requests_per_s"), six("elapsed_s"), "total_tokens"
     )
-    return rows.select("row", "p_brand", "total_tokens_per_s", "generated_tokens_per_s", six("elapsed_s"))
 
 
 def token_log(spark: SparkSession, folder: str) -> DataFrame:
@@ -258,18 +264,21 @@ def log_sections(spark: SparkSession, folder: str) -> DataFrame:
     f"""
     WITH {_SECTIONS},
     shown AS (SELECT section, header, cell, CASE status WHEN 'overflow' THEN -1.0 ELSE seconds END AS s FROM cells)
-    SELECT section, header, max(s) FILTER (cell = 0) AS c0, max(s) FILTER (cell = 1) AS c1, max(s) FILTER (cell = 2) AS c2,
-           max(s) FILTER (cell = 3) AS c3 FROM shown GROUP BY section, header
+    SELECT section, header, CASE WHEN max(cell) < 4 THEN 4 ELSE 16 END AS layout, count(*) FILTER (cell >= 16) AS beyond,
+           """
+    + ", ".join(f"max(s) FILTER (cell = {c}) AS c{c}" for c in range(16))
+    + """
+    FROM shown GROUP BY section, header
     """,
 )
 def log_section_cells(spark: SparkSession, folder: str) -> DataFrame:
     """The table of cells with overflows as -1, so that numbers rather than their spelling are compared."""
-    shown = B.section_table(_timings(spark, folder), 4)
+    shown = B.section_table(_timings(spark, folder), (4, 16))
 
     def number(c: str):
         return F.when(F.col(c) == "**Memory overflow**", F.lit(-1.0)).otherwise(F.col(c).try_cast("double"))
 
-    return shown.select("section", "header", *[number(f"cell_{i}").alias(f"c{i}") for i in range(4)])
+    return shown.select("section", "header", "layout", "beyond", *[number(f"cell_{i}").alias(f"c{i}") for i in range(16)])
 
 
 VALUES = ["psnr", "ssim", "mem", "seconds"]
@@ -345,15 +354,14 @@ def report_rows_md(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "complete_ranks_semi",
     """
-    WITH g AS (SELECT l_suppkey, l_returnflag FROM lineitem WHERE l_linestatus = 'O' GROUP BY ALL HAVING count(DISTINCT l_linenumber) = 7)
-    SELECT l_orderkey, l_partkey, l_suppkey, l_returnflag, l_linenumber FROM lineitem SEMI JOIN g USING (l_suppkey, l_returnflag)
-    WHERE l_linestatus = 'O'
+    WITH g AS (SELECT l_suppkey, l_returnflag, l_linestatus FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_linenumber) = 7)
+    SELECT l_orderkey, l_partkey, l_suppkey, l_returnflag, l_linestatus, l_linenumber
+    FROM lineitem SEMI JOIN g USING (l_suppkey, l_returnflag, l_linestatus)
     """,
 )
 def complete_ranks_semi(spark: SparkSession, folder: str) -> DataFrame:
-    items = table(spark, folder, "lineitem").where(F.col("l_linestatus") == "O")
-    full = B.complete_groups(items, ["l_suppkey", "l_returnflag"], "l_linenumber", 7)
-    return full.select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_linenumber")
+    full = B.complete_groups(table(spark, folder, "lineitem"), ["l_suppkey", "l_returnflag", "l_linestatus"], "l_linenumber", 7)
+    return full.select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_linenumber")
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lathework.functions.templates import render
 from lathework.functions.text import clamp_at_zero, grade, rescale, word_count
 from lathework.operators import inference, mixing, records, retrieval, scoring
 from lathework.operators import messages as M
@@ -505,6 +506,27 @@ def judge_two_step(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", "judge_explanation", "judge_grade")
 
 
+@query(
+    "judge_accessors",
+    r"""
+    WITH a AS (SELECT doc_id, source, doc_id // 2 AS item, 'Rate this.' || chr(10) || '[Text]' || chr(10) || text || chr(10) || '[Answer]' || chr(10)
+                      || source || chr(10) || 'Explain:' AS prompt FROM documents),
+    w AS (SELECT *, len(list_filter(regexp_split_to_array(prompt, '\s+'), lambda w: w <> '')) AS n FROM a WHERE NOT contains(prompt, '@'))
+    SELECT item, arg_max(CAST(1 + n % 10 AS INTEGER), doc_id) AS grade, arg_max(source, doc_id) AS generation,
+           arg_max(n || ' words', doc_id) AS judgement, arg_max(prompt, doc_id) AS prompt FROM w WHERE n % 7 <> 0 GROUP BY item
+    """,
+)
+def judge_accessors(spark: SparkSession, folder: str) -> DataFrame:
+    """Two documents count as runs of one item; the later one is what the accessors show."""
+    docs = table(spark, folder, "documents", costly=True).select(
+        "doc_id", F.floor(F.col("doc_id") / 2).alias("item"), "text", F.col("source").alias("generation")
+    )
+    judged = inference.judge_two_step(docs, stub_judge, JUDGE_TEMPLATE, GRADE_REQUEST, "text", "generation")
+    judged = judged.withColumn("prompt", render(JUDGE_TEMPLATE, {"context": F.col("text"), "answer": F.col("generation")}))
+    judged = judged.withColumnsRenamed({"judge_grade": "grade", "judge_explanation": "judgement"})
+    return inference.judged_fields(judged, "item", ["doc_id"], ["grade", "generation", "judgement", "prompt"])
+
+
 @query(
     "clip_rescale",
     """

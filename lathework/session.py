@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def build_session(app_name: str = "lathework", master: str | None = None, **conf: str) -> SparkSession:
@@ -45,8 +48,27 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared scratch folder."""
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared scratch folder; ``clear_scratch`` deletes it."""
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application has written to the scratch folder. Call it before the session stops.
+
+    Tables that were read from there are gone afterwards.
+    """
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        files, folder = path_object(spark, path)
+        files.delete(folder, True)
+
+
+@atexit.register
+def _clear_local() -> None:
+    """The temporary folders of local sessions end with the process."""
+    for folder in _LOCAL_SCRATCH.values():
+        shutil.rmtree(folder, ignore_errors=True)
 
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:

@@ -86,7 +86,7 @@ def test_sections(spark):
     timings = B.section_timings(df, ["n"], "line", value)
     found = sorted((r["section"], r["cell"], r["seconds"], r["status"]) for r in timings.collect())
     assert found == [(1, 0, 1.5, "ok"), (1, 1, 2.0, "overflow"), (1, 2, 3.0, "error"), (2, 0, 60.25, "ok")]
-    table = {r["header"]: r for r in B.section_table(timings, 4).collect()}
+    table = {r["header"]: r for r in B.section_table(timings, (4,)).collect()}
     assert table["Benchmark Banana"]["cell_1"] == "**Memory overflow**"
     assert table["Benchmark Truck"]["cell_1"] == "N/A"
 
