@@ -86,6 +86,12 @@ def millions_text(value: Column) -> Column:
     return F.format_string("%.2fM", value.cast("double") / 1e6)
 
 
+def two_decimals(cell: Column) -> Column:
+    """A table cell that is a number with two decimals; any other text as it is."""
+    number = cell.try_cast("double")
+    return F.when(number.isNotNull() & ~F.isnan(number), F.format_string("%.2f", number)).otherwise(cell)
+
+
 def slug(name: Column) -> Column:
     return F.regexp_replace(name, "[^a-zA-Z0-9]", "_")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lathework.functions.templates import render
-from lathework.functions.text import clamp_at_zero, grade, rescale, word_count
+from lathework.functions.text import clamp_at_zero, grade, rescale, two_decimals, word_count
 from lathework.operators import inference, mixing, records, retrieval, scoring
 from lathework.operators import messages as M
 from lathework.plans.prepare import exploded
@@ -527,6 +527,22 @@ def judge_accessors(spark: SparkSession, folder: str) -> DataFrame:
     return inference.judged_fields(judged, "item", ["doc_id"], ["grade", "generation", "judgement", "prompt"])
 
 
+@query("token_counts_injected", f"SELECT doc_id, CAST({_WORDS} AS INTEGER) AS n_tokens FROM documents")
+def token_counts_injected(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts by a function of the caller."""
+    counted = inference.token_counts(F.col("text"), lambda text: len(text.split()))
+    return table(spark, folder, "documents", costly=True).select("doc_id", counted.alias("n_tokens"))
+
+
+@query(
+    "rounded_cells",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN o_orderpriority ELSE printf('%.2f', o_totalprice / 3) END AS cell FROM orders",
+)
+def rounded_cells(spark: SparkSession, folder: str) -> DataFrame:
+    cell = F.when(F.col("o_orderkey") % 7 == 0, F.col("o_orderpriority")).otherwise((F.col("o_totalprice") / 3).cast("string"))
+    return table(spark, folder, "orders").select("o_orderkey", two_decimals(cell).alias("cell"))
+
+
 @query(
     "clip_rescale",
     """
