@@ -112,7 +112,7 @@ def pack_sequences(
 
     Filling packs is sequential, so rows are first spread over even digest buckets, whose number grows
     with the table; each bucket of about ``rows_per_bucket`` rows is filled in key order on its own. Only the
-    key and the length go through Python. Adds ``bucket``, ``pack`` and ``offset``; ``pack_fill`` is left to
+    key and the length go through Python. Adds ``bucket``, ``pack`` and ``offset``; how full a pack is, is left to
     :func:`pack_padding`.
     """
     count = df.count()

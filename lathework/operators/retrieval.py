@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from typing import Any
 
 import numpy as np
@@ -16,8 +16,7 @@ from lathework.functions.text import strip
 from lathework.operators.inference import embed
 from lathework.session import materialize
 
-BANK_ROWS = 20_000  # questions a task may hold
-BLOCK_ROWS = 20_000  # items a task may hold when both sides are cut into blocks
+BLOCK_BYTES = 64 << 20  # vectors of one side that a task holds
 _SCAN_CELLS = 4_000_000  # scores a task holds at a time
 
 
@@ -61,24 +60,10 @@ def _as_frame(question_ids: np.ndarray, best: Best) -> pd.DataFrame:
     return pd.DataFrame({"question_id": question_ids[row], "item_id": item, "score": score})
 
 
-def _scan_with_bank(bank: pd.DataFrame, items: DataFrame, schema: T.StructType, prepare: Any, k: int, digits: int) -> DataFrame:
-    """Few questions: they are sent to the tasks that read the items, which do not move."""
-    question_ids = bank["question_id"].to_numpy()
-    shared = items.sparkSession.sparkContext.broadcast(prepare(_matrix(bank["vector"])))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = _nothing()
-        for frame in frames:
-            best = _better(best, shared.value, frame["item_id"].to_numpy(), prepare(_matrix(frame["vector"])), k, digits)
-        yield _as_frame(question_ids, best)
-
-    return items.mapInPandas(run, schema)
-
-
 def _block_pairs(
     questions: DataFrame, banks: int, items: DataFrame, blocks: int, schema: T.StructType, prepare: Any, k: int, digits: int
 ) -> DataFrame:
-    """Many questions: digests cut both sides into even blocks and each pair of blocks meets in one task."""
+    """Digests cut both sides into even blocks and each pair of blocks meets in one task."""
 
     def block(column: str, n: int) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(n))
@@ -99,6 +84,12 @@ def _block_pairs(
     return left.groupBy("q", "i").cogroup(right.groupBy("q", "i")).applyInPandas(run, schema)
 
 
+def _blocks(side: DataFrame, block_bytes: int) -> int:
+    """Blocks of a table of vectors, twice as many as its doubles fill, as blocks are even on average only."""
+    rows, width = side.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
+    return max(1, -(-2 * rows * max(1, width) * 8 // block_bytes))
+
+
 def nearest(
     questions: DataFrame,
     question: str,
@@ -109,14 +100,12 @@ def nearest(
     k: int,
     cosine: bool = True,
     digits: int = 9,
-    bank_rows: int = BANK_ROWS,
-    block_rows: int = BLOCK_ROWS,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """The ``k`` most similar items of each question, exactly; ``question_id, item_id, score, rank``.
 
-    Item ids are integers. If the questions fit a bank of ``bank_rows`` they are broadcast and the
-    items are scanned in place. More questions are met block by block, with nothing sent through the driver.
-    Either way a task emits only ``k`` items per question it saw. Scores are compared after rounding to
+    Item ids are integers. Both sides are cut into blocks of at most about ``block_bytes``, and each pair of blocks
+    meets in one task, which emits only ``k`` items per question; nothing passes through the driver. Scores are compared after rounding to
     ``digits``, ties go to the smaller id; ``k`` is at least one and at most the number of items.
     """
     k = max(1, k)
@@ -126,27 +115,34 @@ def nearest(
     stored = stored.where(F.col("vector").isNotNull())
     schema = T.StructType([asked.schema["question_id"], stored.schema["item_id"], T.StructField("score", T.DoubleType())])
     prepare = _unit if cosine else np.asarray
-    bank = asked.limit(bank_rows + 1).toPandas()
-    if len(bank) <= bank_rows:
-        candidates = _scan_with_bank(bank, stored, schema, prepare, k, digits)
-    else:
-        # vectors may come from a model: written once, then counted and paired
-        asked, stored = materialize(asked, "questions"), materialize(stored, "items")
-        banks, blocks = (max(1, -(-2 * side.count() // size)) for side, size in ((asked, bank_rows), (stored, block_rows)))
-        candidates = _block_pairs(asked, banks, stored, blocks, schema, prepare, k, digits)
+    # vectors may come from a model: written once, then counted and paired
+    asked, stored = materialize(asked, "questions"), materialize(stored, "items")
+    banks, blocks = (_blocks(side, block_bytes) for side in (asked, stored))
+    candidates = _block_pairs(asked, banks, stored, blocks, schema, prepare, k, digits)
     best = Window.partitionBy("question_id").orderBy(F.col("score").desc(), F.col("item_id"))
     return candidates.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def class_scores(vector: Column, classes: Sequence[Sequence[float]], spark: Any) -> Column:
-    """Dot products of a unit vector with each class vector, as an array in class order."""
-    shared = spark.sparkContext.broadcast(np.asarray(classes, dtype="float64"))
+def class_scores(items: DataFrame, vector: str, classes: DataFrame, name: str, class_vector: str, block_rows: int = 256) -> DataFrame:
+    """A row for each item and class: the item's other columns, ``class`` and ``score``, the dot product of the two vectors.
+
+    Classes are a table of any size, cut into blocks of about ``block_rows``; a copy of each item meets each block.
+    """
+    blocks = max(1, -(-classes.count() // block_rows))
+    place = F.pmod(F.xxhash64(name), F.lit(blocks))
+    banks = classes.groupBy(place.alias("__block")).agg(
+        F.collect_list(F.struct(F.col(name).alias("class"), F.col(class_vector).alias("e"))).alias("__bank")
+    )
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
+    met = items.withColumn("__block", every).join(banks, "__block")
+    others = [c for c in items.columns if c != vector]
 
-    @F.pandas_udf("array<double>")
-    def scores(vectors: pd.Series) -> pd.Series:
-        return pd.Series(list(_matrix(vectors) @ shared.value.T))
+    def dot(e: Column) -> Column:
+        products = F.zip_with(F.col(vector), e, lambda a, b: a.cast("double") * b.cast("double"))
+        return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
 
-    return scores(vector)
+    scored = met.select(*others, F.explode(F.transform("__bank", lambda c: F.struct(c["class"].alias("class"), dot(c["e"]).alias("score")))).alias("__s"))
+    return scored.select(*others, "__s.class", "__s.score")
 
 
 # Fixed value: the frame around the passages and the question.

@@ -11,7 +11,7 @@ from lathework.operators import inference, mixing, records, retrieval, scoring
 from lathework.operators import messages as M
 from lathework.plans.prepare import exploded
 from lathework.plans.registry import query, table
-from lathework.session import fits, materialize
+from lathework.session import materialize
 
 
 def six(column: str) -> Column:
@@ -315,19 +315,9 @@ def before_after(spark: SparkSession, folder: str) -> DataFrame:
 def softmax_scores(spark: SparkSession, folder: str) -> DataFrame:
     v = table(spark, folder, "embeddings")
     classes = v.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("e"))
-    if not fits(classes, 10_000):
-        raise ValueError("too many classes for one task's memory")
-    bank = classes.orderBy("label").collect()
-    scores = retrieval.class_scores(F.col("embedding"), [row["e"] for row in bank], spark)
-    names = F.array(*[F.lit(row["label"]) for row in bank])
-    scored = v.select("vec_id", scores.alias("s")).withColumn("p", scoring.softmax(F.col("s"), 100.0))
-    each = F.posexplode(F.arrays_zip("s", "p")).alias("pos", "x")
-    return scored.select("vec_id", F.array_max("s").alias("top"), each).select(
-        "vec_id",
-        F.get(names, F.col("pos")).alias("class"),
-        F.round("x.p", 6).alias("probability"),
-        (F.col("x.s") == F.col("top")).alias("is_top"),
-    )
+    scored = retrieval.class_scores(v.select("vec_id", "embedding"), "embedding", classes, "label", "e")
+    out = scoring.softmax_rows(scored, ["vec_id"], "score", 100.0)
+    return out.select("vec_id", "class", F.round("probability", 6).alias("probability"), "is_top")
 
 
 @query(

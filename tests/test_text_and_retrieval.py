@@ -49,15 +49,15 @@ def test_fixed_chunks_cover_the_text(spark, n):
     assert len(rows) == 1 or len(rows[-1]["text"]) > 100
 
 
-@pytest.mark.parametrize("bank_rows", [1000, 7])
-def test_nearest_equals_brute_force(spark, bank_rows):
+@pytest.mark.parametrize("block_bytes", [1 << 20, 1000])
+def test_nearest_equals_brute_force(spark, block_bytes):
     rng = np.random.default_rng(2)
     items = rng.integers(-3, 4, size=(300, 6)).astype(float)
     items[200:] = items[5]  # a third of the items are copies of one
     questions = rng.integers(-3, 4, size=(40, 6)).astype(float)
     q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(questions)], "id long, v array<double>")
     x = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(items)], "id long, v array<double>").repartition(9)
-    out = retrieval.nearest(q, "id", "v", x, "id", "v", 4, bank_rows=bank_rows, block_rows=50).collect()
+    out = retrieval.nearest(q, "id", "v", x, "id", "v", 4, block_bytes=block_bytes).collect()
     norms = np.linalg.norm(questions, axis=1)[:, None] * np.linalg.norm(items, axis=1)[None, :]
     scores = np.round(np.divide(questions @ items.T, norms, out=np.zeros_like(norms), where=norms > 0), 9)
     for i in range(len(questions)):
