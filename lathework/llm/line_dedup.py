@@ -139,7 +139,8 @@ def drop_repeated_runs(
     rows = docs.select(
         F.struct("*").alias("row"), docs[f"`{key}`"].alias("k0"), F.md5(docs[f"`{text}`"]).alias("h0")
     )
-    matched = rows.join(removed, F.col("k").eqNullSafe(F.col("k0")) & (F.col("h") == F.col("h0")), "left")
+    # a merge join whatever the sizes: texts move once, in proportion to the input
+    matched = rows.join(removed.hint("merge"), F.col("k").eqNullSafe(F.col("k0")) & (F.col("h") == F.col("h0")), "left")
     body = F.col("row").getField(text)
     lines = _lines(body)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
