@@ -253,7 +253,7 @@ def _own_grams(texts: DataFrame, width: int, bounds: Bounds) -> DataFrame:
     """``node, own``: how many n-grams of the slice no other set has.
 
     A batch sends, for each part of the slice, its n-grams (the low 48 bits; the part tells the high ones) with the sets that have
-    them, each set once. Two n-grams with the same bits make a set seem less alone, never more.
+    them, each set once; a part sends its counts, as arrays too, by set. Two n-grams with the same bits make a set seem less alone, never more.
     """
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     limit = int(bounds.slice_share() * 2**64) - 1
@@ -300,11 +300,29 @@ def _own_grams(texts: DataFrame, width: int, bounds: Bounds) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
             last = np.concatenate([first[1:], [len(gram)]]) - 1
             alone, own = np.unique(node[first][node[first] == node[last]], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(alone), pa.array(own.astype(np.int64))], names=["node", "own"])
+            shard = alone % parts
+            order = np.argsort(shard, kind="stable")
+            alone, own, shard = alone[order], own[order].astype(np.int32), shard[order]
+            for number in np.unique(shard):
+                a, b = np.searchsorted(shard, [number, number + 1])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([number], pa.int32()), pa.array([alone[a:b].tobytes()], pa.binary()), pa.array([own[a:b].tobytes()], pa.binary())],
+                    names=["shard", "names", "counts"],
+                )
+
+    def total(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in grouped(batches, ["shard"]):
+            nodes = np.frombuffer(b"".join(shard.column("names").to_pylist()), np.int64)
+            counts = np.frombuffer(b"".join(shard.column("counts").to_pylist()), np.int32)
+            node, place = np.unique(nodes, return_inverse=True)
+            own = np.bincount(place, counts, len(node)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(own)], names=["node", "own"])
 
     sent = texts.mapInArrow(deal, "part int, grams binary, owner binary, names binary")
     dealt = sent.repartition(parts, "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(count, "node long, own long").groupBy("node").agg(F.sum("own").alias("own"))
+    counted = dealt.mapInArrow(count, "shard int, names binary, counts binary")
+    met = counted.repartition(parts, "shard").sortWithinPartitions("shard")
+    return met.mapInArrow(total, "node long, own long")
 
 
 def _products(texts: DataFrame, near: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
