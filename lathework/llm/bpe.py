@@ -13,7 +13,7 @@ import functools
 import hashlib
 import json
 import re
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +31,11 @@ _LATIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+\
 _LATIN_WORDS = re.compile(
     "'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u024f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u024f]+"
 )
+#: Whole texts of such chunks and ASCII blanks, and their words.
+_LATIN_TEXT = re.compile("[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*\\Z")
+_LATIN_TEXT_WORDS = re.compile(
+    "'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u024f]+|[0-9]|[^\t-\r a-z0-9\u00df-\u00f6\u00f8-\u024f]+"
+)
 #: The byte alphabet of byte-level tokenizers: visible Latin-1 characters stand for themselves, the
 #: other bytes for the characters from 256 on.
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -224,6 +229,11 @@ class WordBpe:
                 out[chunk] = tuple(i for w in words for i in (known[w] if type(w) is str else (w,)))
         return out
 
+    def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
+        """Token ids of distinct lower-case Latin words."""
+        spelled = sorted((w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES), w) for w in words)
+        return {w: ids for (_, w), ids in zip(spelled, self.encode_sorted(s for s, _ in spelled))}
+
     def encode(self, texts: Sequence[str]) -> list[list[int]]:
         """Token ids of each text."""
         rows = [chunks_of(t) for t in texts]
@@ -235,6 +245,36 @@ class WordBpe:
         return " ".join([self.tokens[i] for i in ids if i in self.tokens])
 
 
+class Coded:
+    """What ``make`` makes of the ids of each word, or chunk, of texts; kept for all tasks of a worker, up to a bound.
+
+    Texts of Latin letters and ASCII are cut into words at once; others into chunks, which the library's normalizer and
+    splitter see when they are new.
+    """
+
+    def __init__(self, coder: WordBpe, make: Callable[[tuple[int, ...]], object], entries: int = CACHE_ENTRIES):
+        self._coder, self._make, self._entries = coder, make, entries
+        self._words: dict[str, object] = {}
+        self._chunks: dict[str, object] = {}
+
+    def rows(self, texts: Iterable[str | None]) -> list[list]:
+        """The parts of each text in order; a null text has none."""
+        cut = []
+        for text in texts:
+            if text and _LATIN_TEXT.match(text) and "<|" not in text:
+                cut.append((self._words, _LATIN_TEXT_WORDS.findall(text.lower())))
+            else:
+                cut.append((self._chunks, chunks_of(text) if text else []))
+        for known, encode in ((self._words, self._coder.encode_words), (self._chunks, self._coder.encode_chunks)):
+            if len(known) > self._entries:
+                known.clear()
+            met = set().union(*(row for kind, row in cut if kind is known))
+            new = [part for part in met if part not in known]
+            make = self._make
+            known.update([(part, make(ids)) for part, ids in encode(new).items()])
+        return [list(map(kind.__getitem__, row)) for kind, row in cut]
+
+
 @functools.lru_cache(maxsize=2)
 def word_bpe(path: str) -> WordBpe:
     """One encoder per worker and file."""
@@ -257,29 +297,28 @@ def encode_documents(docs: DataFrame, vocabulary: str, key: str = "doc_id", text
     return narrow.mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
+@functools.lru_cache(maxsize=2)
+def _digest_parts(vocabulary: str) -> Coded:
+    """Per part: its ids as text, their number, and their decoded text."""
+    coder = word_bpe(vocabulary)
+    return Coded(coder, lambda ids: (" ".join(map(str, ids)), len(ids), coder.decode(ids)))
+
+
 def token_digests(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode each whole text, decode it again, and return counts and digests of both.
 
     ``key``, ``n_tokens`` long, ``ids_sha256`` (of decimal ids with one space between them) and
     ``decoded_sha256`` (of the decoded text). Null and empty texts have no tokens; rows that repeat
-    come back as often; other columns are not read. A chunk's ids and its decoded tokens are joined
-    once and reused for all its places in the batch. Work per row is a lookup per chunk; memory is one Arrow batch and
+    come back as often; other columns are not read. A word's ids and its decoded tokens are joined
+    once and reused for all its places. Work per row is a lookup per word; memory is one Arrow batch and
     caches of a fixed size.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = word_bpe(vocabulary)
-        known: dict[str, tuple[str, int, str]] = {}
+        coded = _digest_parts(vocabulary)
         for batch in batches:
-            rows = [chunks_of(t) if t else [] for t in batch.column(1).to_pylist()]
-            if len(known) > CACHE_ENTRIES:
-                known = {}
-            new = {c for row in rows for c in row if c not in known}
-            for chunk, ids in coder.encode_chunks(new).items():
-                known[chunk] = " ".join(map(str, ids)), len(ids), coder.decode(ids)
             counts, ids_sums, text_sums = [], [], []
-            for row in rows:
-                found = [known[c] for c in row]
+            for found in coded.rows(batch.column(1).to_pylist()):
                 counts.append(sum([f[1] for f in found]))
                 ids_sums.append(hashlib.sha256(" ".join([f[0] for f in found]).encode()).hexdigest())
                 text_sums.append(hashlib.sha256(" ".join([f[2] for f in found]).encode()).hexdigest())

@@ -17,13 +17,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lathework.llm.bpe import chunks_of, word_bpe
+from lathework.llm.bpe import Coded, word_bpe
 from lathework.llm.common import Scratch
 
 #: Items that a task packs together; the bins left open go on to its next block.
 BLOCK_ITEMS = 40_000
-#: Chunks whose ids a worker keeps before it starts anew.
-CHUNK_ENTRIES = 600_000
+#: Words whose ids a worker keeps before it starts anew.
+PARTS_KEPT = 800_000
 #: Partitions of one round that meet in one partition of the next.
 FAN_IN = 4
 #: A bin with at most this share of its room left is emitted at once.
@@ -107,22 +107,14 @@ def _schema(key: pa.DataType) -> pa.Schema:
 
 
 @functools.lru_cache(maxsize=2)
-def _chunk_bytes(vocabulary: str) -> dict[str, bytes]:
-    """Id bytes of chunks that this worker has met, in all its tasks."""
-    return {}
+def _id_bytes(vocabulary: str) -> Coded:
+    """Per part of a text: its ids as little-endian 32-bit numbers."""
+    return Coded(word_bpe(vocabulary), lambda ids: array("I", ids).tobytes(), PARTS_KEPT)
 
 
-def learn(rows: list[list[str]], coder, known: dict[str, bytes]) -> None:
-    """Make the id bytes of all chunks of a batch known; all new words go through the trie together."""
-    if len(known) > CHUNK_ENTRIES:
-        known.clear()
-    new = {c for row in rows for c in row if c not in known}
-    known.update((c, array("I", ids).tobytes()) for c, ids in coder.encode_chunks(new).items())
-
-
-def tokenized_pieces(row: list[str], known: dict[str, bytes], capacity: int, end: int) -> list[tuple]:
-    """``(piece, start, length, crc)`` of a text's chunks and the end id; only longer ones are cut."""
-    ids = b"".join([known[c] for c in row]) + end.to_bytes(4, "little")
+def tokenized_pieces(parts: list[bytes], capacity: int, end: int) -> list[tuple]:
+    """``(piece, start, length, crc)`` of a text's id bytes and the end id; only longer ones are cut."""
+    ids = b"".join(parts) + end.to_bytes(4, "little")
     step = 4 * capacity
     return [
         (k, k * capacity, (min(at + step, len(ids)) - at) // 4, zlib.crc32(ids[at : at + step]))
@@ -145,15 +137,13 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end: int = 0, k
     ddl = f"sequence_id long, used long, pieces array<struct<doc_id: {kind}, piece: int, start: long, length: long, ids_crc32: long>>"
 
     def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, known = word_bpe(vocabulary), _chunk_bytes(vocabulary)
+        coded = _id_bytes(vocabulary)
 
         def blocks() -> Iterator[list[tuple]]:
             held = []
             for batch in batches:
-                rows = [chunks_of(t) if t else [] for t in batch.column(1).to_pylist()]
-                learn(rows, coder, known)
-                for doc, row in zip(batch.column(0).to_pylist(), rows):
-                    for piece, start, length, crc in tokenized_pieces(row, known, capacity, end):
+                for doc, parts in zip(batch.column(0).to_pylist(), coded.rows(batch.column(1).to_pylist())):
+                    for piece, start, length, crc in tokenized_pieces(parts, capacity, end):
                         held.append((length, [{"doc_id": doc, "piece": piece, "start": start, "length": length, "ids_crc32": crc}]))
                     if len(held) >= BLOCK_ITEMS:
                         yield held
