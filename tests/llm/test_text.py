@@ -81,7 +81,8 @@ def trained():
     windows = []
     for _ in range(150):
         words = [draw.choice("lorem ipsum dolor sit amet consectetur 1999 42 Berlin".split()) for _ in range(12)]
-        value = "".join(draw.choice("0123456789abcdef") for _ in range(draw.choice((18, 32, 40))))
+        letters = draw.choice(("0123456789abcdef", "0123456789ABCDEFGHIJklmnopqrstuvwxyz"))
+        value = "".join(draw.choice(letters) for _ in range(draw.choice((18, 32, 40))))
         for text in (" ".join([*words[:6], f"password={value}", *words[6:]]), " ".join(words)):
             windows += secret_scan.tagged_windows(text, draw.randrange(100))
     return secret_scan.fit(windows)
