@@ -1,31 +1,38 @@
-"""Embedding near-duplicates by sorted projection passes.
+"""Embedding near-duplicates by buckets of random projections.
 
-A pass draws random directions, names each vector by the signs of its projections, one bit per direction, and orders the
-vectors by these names as text. Near vectors often agree in the leading bits and come to stand close, so each vector is compared
-with a bounded window of those before it. Verified pairs of all passes are united. The number of passes follows from how many rows there are:
-it is the one that gives two vectors at the threshold the wanted chance to meet in some window.
+A pass draws random directions and names each vector by the signs of its projections, one bit per direction. Near vectors often agree
+in all bits, and vectors of one name, a bucket, are compared with each other, all with all. There are as many bits as give even data some
+128 vectors a bucket. The number of passes follows from how many rows there are: it is the one that gives two vectors at the threshold
+more than the wanted chance to share a bucket, however the other rows lie, since no bucket is cut short.
 
-The links of a window or a range are kept as a spanning forest, so a large group of copies costs rows in proportion to its members. What the windows cannot count,
-the number of a vector's direct links, is then counted exactly within each component, tile by tile.
+A bucket too large for one task is first dealt at random into parts of a bounded size, which are compared like buckets. Then tiles of it meet
+in all pairs, but those of which both sides are known to hang together already; what this leaves is quadratic in the bucket.
+
+The links of a bucket are kept as stars, one for each set that hangs together, so a large group of copies costs rows in proportion to its members.
+What the stars cannot count, the number of a vector's direct links, is then counted exactly within each component, tile by tile.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lathework.llm.common import Forest, Scratch, components, grouped
+from lathework.llm.common import Scratch, components, grouped
 from lathework.operators.ordering import with_row_index
 
-#: Neighbours before it with which a vector is compared.
+#: Vectors before and after it with which a vector shares a bucket, on either side and at least, if they lie evenly.
 WINDOW = 64
-#: Bits of a name.
+#: Bits of a name, at most.
 BITS = 48
+#: Vectors of a bucket, or of a part of one, compared in one task.
+LARGE = 2048
 #: Chance that a pair at the threshold meets in some pass.
 RECALL = 0.995
 #: Passes over small tables too.
@@ -40,14 +47,19 @@ _SEED = 20_240_501
 def passes_for(rows: int, threshold: float, window: int = WINDOW, recall: float = RECALL) -> int:
     """Passes so that a pair at the threshold meets with the wanted chance.
 
-    Two vectors meet if they agree in as many leading bits as leave a window's worth of rows: a bit agrees with a chance of
-    one less their angle over half a turn.
+    Two vectors meet if they agree in all ``bits_for`` bits, which are no more than those that leave a window's worth of rows:
+    a bit agrees with a chance of one less their angle over half a turn.
     """
     agree = 1 - math.acos(threshold) / math.pi
     chance = agree ** max(1.0, math.log2(max(2, rows) / window))
     return max(LEAST_PASSES, math.ceil(math.log(1 - recall) / math.log(1 - chance))) if chance < 1 else LEAST_PASSES
 
 
+def bits_for(rows: int, window: int = WINDOW) -> int:
+    """Bits of a name, so that a bucket of evenly spread rows has two windows at least; none if the table has no more."""
+    return min(BITS, max(0, math.floor(math.log2(max(1, rows) / (2 * window)))))
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
     """Scaled to length 1; by the largest component first, so that no square overflows or vanishes."""
     vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
@@ -59,59 +71,125 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
 
 
-def _names(number: int):
-    """Adds the names of passes to blocks of vectors."""
+def _names(passes: range, bits: int, whole: bool = True):
+    """Adds the names of passes to blocks of vectors; the vectors stay if ``whole``."""
+    worth = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = batch.column("v").to_pylist()
-            for dim in sorted({len(r) for r in raw}):
-                some = np.array([k for k, r in enumerate(raw) if len(r) == dim])
-                unit = _unit(np.frombuffer(b"".join([raw[k] for k in some]), np.float64).reshape(len(some), -1))
-                for p in range(number, number + PASSES_AT_ONCE):
-                    ways = np.random.default_rng([_SEED, p, dim]).standard_normal((unit.shape[1], BITS))
-                    bits = unit @ ways > 0
-                    name = (bits * (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))).sum(axis=1)
-                    rows = batch.column("row").take(pa.array(some))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(some), p, np.int32)), pa.array(np.full(len(some), dim, np.int32)), pa.array(name), rows, pa.array([raw[k] for k in some], pa.binary())],
-                        names=["pass", "dim", "name", "row", "v"],
-                    )
+            sizes = np.array(pc.binary_length(batch.column("v")))
+            for dim in np.unique(sizes).tolist():
+                some = pa.array(np.flatnonzero(sizes == dim))
+                rows, raw = batch.column("row").take(some), batch.column("v").take(some)
+                unit = _unit(_matrix(raw))
+                for p in passes:
+                    ways = np.random.default_rng([_SEED, p, dim]).standard_normal((unit.shape[1], BITS))[:, :bits]
+                    name = (unit @ ways > 0) @ worth
+                    columns = [pa.array(np.full(len(some), p, np.int32)), pa.array(np.full(len(some), dim, np.int32)), pa.array(name), rows]
+                    yield pa.RecordBatch.from_arrays(columns + [raw] * whole, names=["pass", "dim", "name", "row", "v"][: 4 + whole])
 
     return run
 
 
-def _windows(threshold: float, window: int):
-    """Verified pairs of each vector with those up to ``window`` places before it, as a forest per stretch."""
+def _stars(linked: np.ndarray, rows: np.ndarray, others: np.ndarray | None = None) -> list[np.ndarray]:
+    """Pairs of rows that hold together what ``linked`` (``rows`` by ``others``, or by themselves) holds together."""
+    square = others is None
+    others = rows if square else others
+    waiting, fresh = linked.any(axis=1), linked.any(axis=0)
+    out = []
+    for start in np.flatnonzero(waiting):
+        new = np.array([start]) if waiting[start] else np.zeros(0, np.int64)
+        while len(new):
+            waiting[new] = False
+            met = np.flatnonzero(linked[new].any(axis=0) & fresh)
+            fresh[met] = False
+            out.append(np.stack([others[met], np.full(len(met), rows[start])]))
+            new = np.flatnonzero(linked[:, met].any(axis=1) & waiting)
+            if not square:
+                out.append(np.stack([rows[new], np.full(len(new), rows[start])]))
+    return out
+
+
+def _pairs(stars: list[np.ndarray]) -> pa.RecordBatch:
+    a, b = np.concatenate(stars, axis=1) if stars else np.zeros((2, 0), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
+
+
+def _buckets(threshold: float):
+    """Links among all vectors of each bucket, or part of one, as stars."""
+
+    def stars(rows: list[np.ndarray], unit: list[np.ndarray]) -> list[np.ndarray]:
+        if sum(map(len, rows)) < 2:
+            return []
+        names, unit = np.concatenate(rows), np.concatenate(unit)
+        linked = unit @ unit.T >= threshold
+        np.fill_diagonal(linked, False)
+        return _stars(linked, names) if linked.any() else []
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, rows, unit = None, np.zeros(0, np.int64), None
+        held, rows, unit = None, [], []
         for batch in batches:
-            keys = list(zip(batch.column("pass").to_pylist(), batch.column("dim").to_pylist()))
-            start = 0
-            while start < len(keys):
-                end = start
-                while end < len(keys) and keys[end] == keys[start] and end - start < 4096:
-                    end += 1
-                part = batch.slice(start, end - start)
-                new = _unit(_matrix(part.column("v")))
-                names = np.array(part.column("row").to_pylist(), np.int64)
-                if held_key == keys[start]:
-                    names, new = np.concatenate([rows, names]), np.concatenate([unit, new])
-                forest = Forest(len(names))
-                found = []
-                for back in range(1, min(window, len(names) - 1) + 1):
-                    close = np.einsum("ij,ij->i", new[back:], new[:-back]) >= threshold
-                    found += [(i + back, i) for i in np.flatnonzero(close).tolist() if forest.join(i + back, i)]
-                if found:
-                    a, b = np.array(found).T
-                    yield pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b])], names=["a", "b"])
-                held_key, rows, unit = keys[start], names[-window:], new[-window:]
-                start = end
+            if not batch.num_rows:
+                continue
+            keys = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("pass", "dim", "name", "part")], axis=1)
+            named, found = np.asarray(batch.column("row")), []
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            dims = [0, *(np.flatnonzero(keys[1:, 1] != keys[:-1, 1]) + 1).tolist(), len(keys)]
+            matrices = [(a, b, _unit(_matrix(batch.column("v").slice(a, b - a)))) for a, b in zip(dims, dims[1:])]
+            at = 0
+            for a, b in zip(cuts, cuts[1:]):
+                key = tuple(keys[a].tolist())
+                if key != held:
+                    found += stars(rows, unit)
+                    held, rows, unit = key, [], []
+                while a >= matrices[at][1]:
+                    at += 1
+                rows.append(named[a:b])
+                unit.append(matrices[at][2][a - matrices[at][0] : b - matrices[at][0]])
+            yield _pairs(found)
+        yield _pairs(stars(rows, unit))
+
+    return run
+
+
+def _across(threshold: float):
+    """Links between the two tiles of a pair, or within the tile of a pair of one, as stars."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pair in grouped(batches, ["pass", "dim", "name", "i", "j"]):
+            ours = np.asarray(pair.column("side")) == 0
+            unit, rows = _unit(_matrix(pair.column("v"))), np.asarray(pair.column("row"))
+            if ours.all():
+                yield _pairs(_stars(unit @ unit.T >= threshold, rows))
+            else:
+                yield _pairs(_stars(unit[ours] @ unit[~ours].T >= threshold, rows[ours], rows[~ours]))
 
     return run
 
 
+def _across_tiles(distinct: DataFrame, members: DataFrame, roots: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """``a, b``: links within large buckets, between vectors not known to hang together.
+
+    ``members`` has ``pass, dim, name, row`` of the buckets, ``roots`` what is known. Tiles are cut along the roots, so a pair of tiles of one and the same root is left out.
+    """
+    bucket = ["pass", "dim", "name"]
+    members = members.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
+    placed = with_row_index(members, ["root", "row"], within=bucket, name="place")
+    placed = scratch.keep(placed.withColumn("tile", F.floor(F.col("place") / LARGE)).drop("place"), "bucket-tiles")
+    tiles = placed.groupBy(*bucket, "tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    first = tiles.select(*bucket, F.col("tile").alias("i"), "lo", "hi")
+    second = tiles.select(*bucket, F.col("tile").alias("j"), F.col("lo").alias("lo_j"), F.col("hi").alias("hi_j"))
+    known = "lo = hi and lo = lo_j and lo = hi_j"
+    pairs = first.join(second, bucket).where(f"i <= j and not ({known})").select(*bucket, "i", "j")
+    pairs = scratch.keep(pairs, "bucket-tile-pairs")
+    placed = placed.select(*bucket, "row", "tile").join(distinct.select("row", "v"), "row")
+    columns = [*bucket, "i", "j", "side", "row", "v"]
+    left = placed.withColumnRenamed("tile", "i").join(pairs, [*bucket, "i"]).withColumn("side", F.lit(0))
+    right = placed.withColumnRenamed("tile", "j").join(pairs.where("i < j"), [*bucket, "j"]).withColumn("side", F.lit(1))
+    dealt = left.select(*columns).union(right.select(*columns)).repartition(*columns[:5]).sortWithinPartitions(*columns[:7])
+    return scratch.keep(dealt.mapInArrow(_across(threshold), "a long, b long").distinct(), "bucket-links")
+
+
 def _count(threshold: float):
     """Links of each vector of the first side of a pair of tiles."""
 
@@ -149,19 +227,32 @@ def near_duplicates(
     distinct = rows.where("row is not null").groupBy("row").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("copies"))
     as_bytes = distinct.mapInArrow(_as_bytes, "row long, v binary, copies long")
     distinct = scratch.keep(as_bytes, "distinct-vectors")
-    passes = passes_for(distinct.count(), threshold, window, recall)
-    found = []
+    count = distinct.count()
+    passes, bits = passes_for(count, threshold, window, recall), bits_for(count, window)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bucket = ["pass", "dim", "name"]
+    found, large = [], []
     for number in range(0, passes, PASSES_AT_ONCE):
-        named = distinct.select("row", "v").mapInArrow(_names(number), "pass int, dim int, name long, row long, v binary")
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        order = ["pass", "dim", "name", "row"]
-        sorted_rows = named.where(F.col("pass") < passes).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-        pairs = sorted_rows.mapInArrow(_windows(threshold, window), "a long, b long")
-        found.append(scratch.keep(pairs.distinct(), "window-links"))
-    links = found[0]
-    for more in found[1:]:
-        links = links.union(more)
+        some = range(number, min(passes, number + PASSES_AT_ONCE))
+        named = distinct.select("row", "v").mapInArrow(_names(some, bits), "pass int, dim int, name long, row long, v binary")
+        short = distinct.select("row", "v").mapInArrow(_names(some, bits, False), "pass int, dim int, name long, row long")
+        sizes = short.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE)
+        # at most one row for LARGE rows of a pass, hence the broadcasts
+        sizes = scratch.keep(sizes.select(*bucket, F.ceil(F.col("n") / LARGE).alias("parts")), "large-buckets")
+        part = F.lit(0)
+        if sizes.head(1):
+            large.append(scratch.keep(short.join(F.broadcast(sizes), bucket).drop("parts"), "large-bucket-rows"))
+            named = named.join(F.broadcast(sizes), bucket, "left")
+            part = F.pmod(F.xxhash64("row", "pass"), F.coalesce("parts", F.lit(1)))
+        named = named.select(*bucket, part.cast("long").alias("part"), "row", "v")
+        dealt = named.repartition(parts, *bucket, "part").sortWithinPartitions(*bucket, "part")
+        found.append(scratch.keep(dealt.mapInArrow(_buckets(threshold), "a long, b long").distinct(), "bucket-links"))
+    links = functools.reduce(DataFrame.union, found)
     roots = scratch.keep(components(links, "a", "b").withColumnRenamed("node", "row"), "roots")
+    if large:
+        more = _across_tiles(distinct, functools.reduce(DataFrame.union, large), roots, threshold, scratch)
+        known = roots.select(F.col("row").alias("a"), F.col("root").alias("b")).where("a != b")
+        roots = scratch.keep(components(known.union(more), "a", "b").withColumnRenamed("node", "row"), "roots")
     linked = scratch.keep(distinct.join(roots, "row").withColumn("dim", F.octet_length("v")), "linked-vectors")
     placed = with_row_index(linked.select("root", "dim", "row"), ["row"], within=["root", "dim"], name="place")
     placed = scratch.keep(placed.withColumn("tile", F.floor(F.col("place") / TILE)).drop("place"), "tiles")

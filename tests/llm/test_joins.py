@@ -221,3 +221,29 @@ def test_embedding_links(spark, monkeypatch):
 def test_passes_grow_with_the_logarithm_of_the_rows():
     few, many = embed_dedup.passes_for(10_000, 0.9), embed_dedup.passes_for(10**9, 0.9)
     assert few < many < few * 30
+
+
+def true_components(vectors, threshold=0.9):
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    groups = Groups()
+    for a, b in np.argwhere(np.triu(unit @ unit.T >= threshold, 1)):
+        groups.join(int(a), int(b))
+    return {k: groups.root(k) for k in range(len(vectors))}
+
+
+def test_links_into_a_dense_region(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "LARGE", 128, raising=False)
+    draw = np.random.default_rng(5)
+    scaled = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    middle = scaled(draw.standard_normal(32))
+    blob = scaled(middle + 0.25 * scaled(draw.standard_normal((600, 32))))
+    near = blob[:60]
+    away = scaled((near @ middle)[:, None] * near - middle)
+    linked = 0.92 * near + math.sqrt(1 - 0.92**2) * away
+    vectors = np.concatenate([blob, linked, draw.standard_normal((1200, 32))])
+    assert ((scaled(linked) @ blob.T >= 0.9).sum(axis=1) < 4).all()
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = embed_dedup.near_duplicates(frame, window=4)
+    wanted = true_components(vectors)
+    assert {r["vec_id"]: r["component_id"] for r in found.collect()} == wanted
+    assert sum(r == 0 for r in wanted.values()) >= 660
