@@ -247,3 +247,18 @@ def test_links_into_a_dense_region(spark, monkeypatch):
     wanted = true_components(vectors)
     assert {r["vec_id"]: r["component_id"] for r in found.collect()} == wanted
     assert sum(r == 0 for r in wanted.values()) >= 660
+
+
+def test_vectors_meet_whatever_the_partitions(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "LEAST_PASSES", 1)
+    draw = np.random.default_rng(6)
+    half = draw.standard_normal((50, 64))
+    vectors = np.concatenate([half, half + 0.3 * draw.standard_normal((50, 64))])
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        found = {r["vec_id"]: r["component_id"] for r in embed_dedup.near_duplicates(frame, recall=0.5).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found == true_components(vectors)
