@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field that adds what they miss.
 
 Tokens are tagged secret begin (B), inside (I) or outside (O) from their own shape, the kinds of their neighbours and
-the file they stand in. The field is trained on the pattern matches of a bounded sample; its features do not name a
+the file they stand in. The field is trained on a bounded sample of the pattern matches in all documents; its features do not name a
 value, so it carries over to values that no pattern covers. Decoding is Viterbi's. A token whose own score for O exceeds all that any
 neighbours, file and transitions could say against it is O on every best path, so the chains that need decoding are the short
 ones between such tokens; nothing is lost by that.
@@ -12,6 +12,7 @@ ones between such tokens; nothing is lost by that.
 import dataclasses
 import hashlib
 import re
+import warnings
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lathework.llm.common import Scratch
+
 #: The patterns, with the group whose length counts and its least length (fixed values).
 PATTERNS = {
     "assign": (
@@ -31,7 +34,7 @@ PATTERNS = {
     "hex": (re.compile(r"[0-9a-f]{16,}"), 0, 16),  # a run of 16 or more, hence the same as any run that long
 }
 FIELD = "crf"
-#: Documents of the training sample, at most about so many whatever the table's size.
+#: Distinct texts from which training windows without a match are taken, at most about so many whatever the table's size.
 SAMPLE_DOCUMENTS = 10_000
 #: Tokens of a training window.
 WINDOW = 32
@@ -302,35 +305,58 @@ def tagged_windows(text: str, seed: int) -> list[tuple[list[str], str, list[int]
     return out
 
 
+class _Least:
+    """The ``most`` items with the smallest digests, each digest once."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.items: dict[bytes, tuple] = {}
+
+    def add(self, digest: bytes, item: tuple) -> None:
+        self.items[digest] = item
+        if len(self.items) > 2 * self.most + 1000:
+            self.items = dict(self.chosen())
+
+    def chosen(self) -> list[tuple[bytes, tuple]]:
+        return sorted(self.items.items(), key=lambda x: x[0])[: self.most]
+
+
 def train(docs: DataFrame, text: str = "text", sample_documents: int = SAMPLE_DOCUMENTS) -> Field:
-    """Fit on windows of about ``sample_documents`` texts, taken evenly by digest; windows are bounded too.
+    """Fit on distinct windows: those around matches come from all documents, the others from about ``sample_documents`` distinct texts.
 
-    The driver gets short windows only: a twentieth of ``sample_documents`` around matches, and as many others.
+    Windows are taken evenly by digest. A task hands on, and the driver gets, short windows only: a twentieth of ``sample_documents`` around matches,
+    and as many others. If no document holds a match nothing can be learned: the field adds no span, and a warning says so.
     """
     rows = docs.select(docs[f"`{text}`"].alias("text")).where("text is not null").withColumn("seed", F.xxhash64("text"))
-    share = min(1.0, sample_documents / max(1, docs.count()))
-    rows = rows.where(F.pmod("seed", F.lit(1 << 20)) < int(share * (1 << 20)))
+    share = min(1.0, sample_documents / max(1, rows.agg(F.approx_count_distinct("seed")).first()[0]))
+    limit, most = int(share * (1 << 20)), sample_documents // 20
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = {True: _Least(most), False: _Least(most)}
         for batch in batches:
-            found = [
-                (tokens, file, tags, any(tags))
-                for t, seed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                for tokens, file, tags in tagged_windows(t, seed)
-            ]
-            columns = list(zip(*found)) or [()] * 4
-            kinds = [pa.list_(pa.string()), pa.string(), pa.list_(pa.int32()), pa.bool_()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["tokens", "file", "tags", "hit"]
-            )
+            for t, seed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sampled = seed % (1 << 20) < limit
+                if not sampled and not base_spans(t):
+                    continue
+                for tokens, file, tags in tagged_windows(t, seed):
+                    hit = any(tags)
+                    if (hit or sampled) and sum(map(len, tokens)) < 4096:
+                        digest = hashlib.md5("\0".join([file, *tokens, *map(str, tags)]).encode("utf-8", "replace")).digest()
+                        kept[hit].add(digest, (tokens, file, tags, hit))
+        found = [(digest, *item) for least in kept.values() for digest, item in least.chosen()]
+        columns = list(zip(*found)) or [()] * 5
+        kinds = [pa.binary(), pa.list_(pa.string()), pa.string(), pa.list_(pa.int32()), pa.bool_()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, kinds)], names=["digest", "tokens", "file", "tags", "hit"]
+        )
 
-    windows = rows.mapInArrow(cut, "tokens array<string>, file string, tags array<int>, hit boolean")
-    windows = windows.where(F.aggregate("tokens", F.lit(0), lambda n, t: n + F.length(t)) < 4096)
-    order = F.xxhash64("tokens", "tags")
+    windows = rows.mapInArrow(cut, "digest binary, tokens array<string>, file string, tags array<int>, hit boolean")
+    windows = Scratch(docs.sparkSession).keep(windows, "training-windows").dropDuplicates(["digest"])
     chosen = []
-    for hit, most in ((True, sample_documents // 20), (False, sample_documents // 20)):
-        chosen += windows.where(F.col("hit") == hit).orderBy(order).limit(most).collect()
+    for hit in (True, False):
+        chosen += windows.where(F.col("hit") == hit).orderBy("digest").limit(most).collect()
     if not any(row["hit"] for row in chosen):
+        warnings.warn("no document holds a match to learn from: only patterns find secrets", stacklevel=2)
         return fit([])
     return fit([(row["tokens"], row["file"], row["tags"]) for row in chosen])
 

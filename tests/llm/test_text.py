@@ -189,3 +189,20 @@ def test_pipeline_on_edge_rows(spark, edge_rows):
         docs = stage(spark, docs, "")
     keys = {r["doc_id"] for r in docs.collect()}
     assert {4, 5, None} <= keys and not keys & {1, 2, 3, 7}
+
+
+def test_secret_training_takes_distinct_windows_of_all_matches(spark, monkeypatch):
+    plain = [f"line {k} of a plain text without any value, number {k * k}" for k in range(400)]
+    one = "api_key = 'Zx81kQ0pLm3nB7vC' and nothing else"
+    given = []
+    real = secret_scan.fit
+    monkeypatch.setattr(secret_scan, "fit", lambda windows: given.append(windows) or real(windows))
+    rare = spark.createDataFrame([(t,) for t in [*plain, one]], "text string").repartition(4)
+    assert secret_scan.train(rare, sample_documents=20).weights
+    few = [f"secret: {k:02d}Kd93hs0Qm2xV7 for host {k}" for k in range(20)]
+    copied = spark.createDataFrame([(t,) for t in [*plain, *[one] * 600, *few]], "text string").repartition(4)
+    secret_scan.train(copied, sample_documents=1200)
+    hits = [(tuple(tokens), tuple(tags)) for tokens, _, tags in given[-1] if any(tags)]
+    assert len(hits) == len(set(hits)) >= 21
+    with pytest.warns(UserWarning, match="no document holds a match"):
+        secret_scan.train(spark.createDataFrame([(t,) for t in plain], "text string"))
