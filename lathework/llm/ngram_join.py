@@ -3,7 +3,7 @@
 The matrix is cut along both sides. Along the n-grams (ordered by hash) a document's row falls into blocks, one more than
 the number of n-grams in which two linked documents of its size class can differ, and two to spare. So the rows of linked documents
 are equal in one whole block at least, and only documents that share such a block can link. Along the documents, those
-that hang together by shared blocks are cut into tiles of a bounded number of n-grams, ordered by size. Each
+that hang together by shared blocks are cut into tiles of a bounded number of n-grams and of documents, ordered by size. Each
 pair of tiles whose sizes allow a link is one product: overlap counts add up over slices of the n-grams, and pairs
 that cannot reach their bound any more are discarded on the way.
 
@@ -31,6 +31,8 @@ from lathework.operators.ordering import with_row_index
 
 #: N-grams of the documents of one tile.
 TILE_GRAMS = 1 << 17
+#: Documents of one tile, however short: the dense arrays of a product take some 40 bytes for each pair of documents.
+TILE_ROWS = 2048
 #: N-grams of one slice of a product.
 SLICE_GRAMS = 4096
 #: Blocks beyond those that a linked pair can spoil: so many empty ones need no signature; one more for each 16 blocks.
@@ -333,7 +335,8 @@ def _products(texts: DataFrame, near: DataFrame, width: int, percent: int, scrat
     bounds = Bounds(percent)
     members = texts.select("node", "n").join(near, "node").withColumn("klass", F.floor(F.log2("n")))
     placed = with_row_index(members, ["n", "node"], within=["group", "klass"], name="place")
-    tall = F.greatest(F.lit(1), F.floor(F.lit(TILE_GRAMS) / F.pow(F.lit(2.0), F.col("klass") + 1))).cast("long")
+    tall = F.greatest(F.lit(1), F.floor(F.lit(TILE_GRAMS) / F.pow(F.lit(2.0), F.col("klass") + 1)))
+    tall = F.least(F.lit(TILE_ROWS), tall).cast("long")
     placed = scratch.keep(placed.withColumn("tile", F.struct("klass", F.floor(F.col("place") / tall).alias("k"))), "tiles")
     tiles = placed.groupBy("group", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     first = tiles.select("group", F.col("tile").alias("i"), F.col("hi").alias("hi_i"))

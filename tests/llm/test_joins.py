@@ -262,3 +262,18 @@ def test_vectors_meet_whatever_the_partitions(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert found == true_components(vectors)
+
+
+def test_tiles_of_short_texts_have_bounded_rows(spark, monkeypatch):
+    kept, real = {}, ngram_join.Scratch.keep
+
+    def keep(self, df, label):
+        kept[label] = real(self, df, label)
+        return kept[label]
+
+    monkeypatch.setattr(ngram_join.Scratch, "keep", keep)
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('a b c d e f g h i j k w', id) as text")
+    found = ngram_join.ngram_components(docs, width=3, percent=80).collect()
+    assert len(found) == 3000 and {r["component_id"] for r in found} == {0}
+    sizes = [r["count"] for r in kept["tiles"].groupBy("group", "tile").count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) <= 2048
