@@ -25,14 +25,19 @@ CACHE_ENTRIES = 400_000
 #: White space of Python that the tokenizer's patterns do not count as such.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _BLANKS = re.compile("[^\\S\x1c-\x1f]+")
-#: Chunks of ASCII and Latin letters need no Unicode normalisation but lower case.
-_LATIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+\\Z")
+#: Latin letters whose lower case is one letter of the split patterns below. The lower case of some lies beyond U+024F,
+#: where those patterns would cut a word.
+_LETTERS = "".join(
+    c for c in map(chr, range(0xC0, 0x250)) if c not in "\u00d7\u00f7" and len(c.lower()) == 1 and c.lower() <= "\u024f"
+)
+#: Chunks of ASCII and such letters need no Unicode normalisation but lower case.
+_LATIN = re.compile(f"[!-~{_LETTERS}]+\\Z")
 #: The tokenizer's split pattern for such chunks (fixed values).
 _LATIN_WORDS = re.compile(
     "'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u024f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u024f]+"
 )
 #: Whole texts of such chunks and ASCII blanks, and their words.
-_LATIN_TEXT = re.compile("[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*\\Z")
+_LATIN_TEXT = re.compile(f"[\t-\r -~{_LETTERS}]*\\Z")
 _LATIN_TEXT_WORDS = re.compile(
     "'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u024f]+|[0-9]|[^\t-\r a-z0-9\u00df-\u00f6\u00f8-\u024f]+"
 )

@@ -36,6 +36,14 @@ def test_codec_equals_the_library_on_random_text(library, coder):
         assert coder.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_every_fast_letter_between_letters_and_alone(library, coder):
+    texts = [t for p in range(0xC0, 0x260) for c in [chr(p)] for t in (f"a{c}b", c, f"x {c} y", f"AL{c}M")]
+    wanted = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert coder.encode(texts) == wanted
+    coded = bpe.Coded(coder, lambda ids: ids)
+    assert [[i for part in row for i in part] for row in coded.rows(texts)] == wanted
+
+
 def test_digests_of_edge_rows(edge_docs, edge_rows, no_docs, library):
     vocabulary = tokenizer_path("word_bpe_49k.json")
     found = bpe.token_digests(edge_docs, vocabulary).collect()
