@@ -25,6 +25,8 @@ ROLL_BYTES = 32 << 20
 #: The pages carry no time of capture; records need one.
 CAPTURED = "1970-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Most tasks that read archives back; each takes an archive or more.
+MAX_READERS = 20_000
 _MANIFEST = "temporary string, name string, records long, bytes long"
 _LINE = b"\r\n"
 
@@ -219,7 +221,9 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                     yield _rows(rows)
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
-    return manifest.select("name").repartition("name").mapInArrow(read, schema)
+    # the names are few bytes, so that only a stated number of tasks keeps adaptive execution from reading all archives in one
+    readers = max(1, min(manifest.count(), MAX_READERS))
+    return manifest.select("name").repartition(readers, "name").mapInArrow(read, schema)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
