@@ -23,5 +23,5 @@ def test_query_equals_its_sql(spark, sf_small, name):
 def test_all_are_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([x for x in names if x.startswith(f"op{n}_")]) == 1
