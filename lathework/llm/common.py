@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lathework.session import path_object, scratch_path
@@ -18,6 +18,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def whole_numbers(vector: str, scale: float) -> Column:
+    """``floor(scale x component)`` of an array of doubles, as doubles; NULL if a component is null or its product is not finite."""
+    scaled = F.transform(vector, lambda x: x * scale)
+    sound = F.forall(scaled, lambda y: y.isNotNull() & ~F.isnan(y) & (F.abs(y) < float("inf")))
+    # beyond 2^53 doubles are whole, and floor() would give a long
+    return F.when(sound, F.transform(scaled, lambda y: F.when(F.abs(y) >= 1 << 53, y).otherwise(F.floor(y).cast("double"))))
+
+
 class Scratch:
     """Tables written to the shared scratch folder, so that a lost executor never loses them.
 

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathework.llm import bpe, embed_dedup, lang_id, line_dedup, ngram_join, packing, secret_scan, token_counts, topk_search, warc
+from lathework.llm import (
+    bpe, centroids, embed_dedup, hard_negatives, lang_id, line_dedup, ngram_join, packing, secret_scan, token_counts, topk_search, warc,
+)
 from lathework.llm.common import tokenizer_path
 from lathework.session import scratch_path
 
@@ -140,3 +142,63 @@ def op2_topk_search(spark, folder):
 @query("op4_embedding_dedup")
 def op4_embedding_dedup(spark, folder):
     return embed_dedup.near_duplicates(_table(spark, folder, "embeddings"))
+
+
+@query(
+    "op11_hard_negatives",
+    """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id AND len(a.v) = len(c.v) WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+    AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+""",
+)
+def op11_hard_negatives(spark, folder):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def _round(n: int) -> str:
+    """SQL of one round: vectors to the nearest of the centroids ``c<n>``, and the moved centroids."""
+    return f"""
+a{n} AS (
+  SELECT vec_id, v, k AS cluster, d AS distance FROM (
+    SELECT vec_id, v, k, list_sum([(v[i] - c[i]) * (v[i] - c[i]) FOR i IN range(1, 65)])::BIGINT AS d FROM v CROSS JOIN c{n})
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, k) = 1),
+m{n} AS (
+  SELECT cluster, list(x ORDER BY i) AS c FROM (
+    SELECT cluster, i, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS x
+    FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{n}) GROUP BY cluster, i) GROUP BY cluster),
+c{n + 1} AS (SELECT k, coalesce(m.c, o.c) AS c FROM c{n} o LEFT JOIN m{n} m ON m.cluster = o.k)"""
+
+
+@query(
+    "op12_centroid_clusters",
+    f"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS k, v AS c FROM v
+  QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id)) <= 16),
+{",".join(_round(n) for n in range(4))}
+SELECT vec_id, cluster::INT AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+  (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c3.c, ',')) AS centroid_sha256
+FROM a3 JOIN c3 ON c3.k = a3.cluster
+""",
+)
+def op12_centroid_clusters(spark, folder):
+    return centroids.summary(*centroids.cluster(_table(spark, folder, "embeddings")))
