@@ -41,9 +41,8 @@ class Centroids:
         return hashlib.sha256(",".join(map(str, self.values[c])).encode()).hexdigest()
 
 
-def _pack(batches: Iterable[pa.RecordBatch], dimension: int, key_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterable[pa.RecordBatch], size: int, dimension: int, key_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     """Blocks: keys, places of each vector's components among the numbers of their dimension, those numbers, how many of each dimension."""
-    size = max(64, min(BLOCK, BLOCK_BYTES // (2 * max(1, dimension))))
     for batch in batches:
         for start in range(0, batch.num_rows, size):
             part = batch.slice(start, size)
@@ -188,7 +187,8 @@ def cluster(
         ]
     )
     arrow = to_arrow_type(key_type)
-    blocks = scratch.keep(kept.mapInArrow(lambda b: _pack(b, dimension, arrow), schema), "vector-blocks")
+    size = max(64, min(BLOCK, BLOCK_BYTES // (2 * max(1, dimension))))
+    blocks = scratch.keep(kept.mapInArrow(lambda b: _pack(b, size, dimension, arrow), schema), "vector-blocks")
     name = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("key").cast("string")), 256)
     first = kept.orderBy(name.asc_nulls_last(), F.col("key").asc_nulls_last(), "v").limit(clusters).collect()
     centroids = Centroids([[int(x) for x in r["v"]] for r in first])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lathework.llm import (
-    bpe, centroids, embed_dedup, hard_negatives, lang_id, line_dedup, ngram_join, packing, secret_scan, token_counts, topk_search, warc,
+    bpe, centroids, context_tree, embed_dedup, hard_negatives, lang_id, line_dedup, ngram_join, packing, secret_scan, token_counts, topk_search, warc,
 )
 from lathework.llm.common import tokenizer_path
 from lathework.session import scratch_path
@@ -202,3 +202,11 @@ FROM a3 JOIN c3 ON c3.k = a3.cluster
 )
 def op12_centroid_clusters(spark, folder):
     return centroids.summary(*centroids.cluster(_table(spark, folder, "embeddings")))
+
+
+@query("op13_lm_scores")
+def op13_lm_scores(spark, folder):
+    docs = _table(spark, folder, "documents")
+    fold = lang_id.fold_of("doc_id")
+    scored = context_tree.score(docs, fold != 1)
+    return scored.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), *scored.columns[1:])
