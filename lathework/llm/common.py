@@ -37,9 +37,9 @@ class Scratch:
         self.spark = spark
         self._paths: dict[int, tuple[DataFrame, str]] = {}
 
-    def keep(self, df: DataFrame, label: str) -> DataFrame:
+    def keep(self, df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
         path = scratch_path(self.spark, label)
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = (out, path)
         return out

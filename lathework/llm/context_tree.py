@@ -6,14 +6,15 @@ all depths: a node's weight against its children is the probability it gave the
 so a byte's probability depends on it and the ``depth`` bytes before it alone: a text's score is a sum over its grams of ``depth + 1`` bytes.
 
 All distinct grams of all texts travel, never a sample: documents are written as blocks of some megabytes, a block sends its distinct grams with their training counts,
-dealt by context into a fixed number of buckets. A bucket adds them up and works out the two deepest levels; the levels above,
+dealt by context into buckets, as many as the texts ask for. A bucket adds them up and works out the two deepest levels; the levels above,
 whose nodes are few, are sums and joins of DataFrames. Back down, each bucket prices its grams and answers the blocks that sent them, and each block scores
-its texts from the answers. Words for the unigram base go the same way, as rows.
+its texts from the answers. Words for the unigram base go the same way, in buckets of their own.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
@@ -32,8 +33,8 @@ from lathework.llm.common import Scratch
 DEPTH, DEEPEST = 5, 6
 #: Text bytes of a block of documents, and of a piece that is coded at a time.
 BLOCK_BYTES, PIECE_BYTES = 32 << 20, 2 << 20
-#: Buckets of contexts, whatever the input; a task takes some of them and holds one at a time, or some small ones.
-BUCKET_BITS = 12
+#: Text bytes for each bucket of contexts or of words; a task takes some buckets and holds one at a time, or some small ones.
+BUCKET_BYTES, LEAST_BITS, MOST_BITS = 4 << 20, 6, 26
 #: Grams that are worked on together.
 BATCH_GRAMS = 1 << 17
 #: A byte that no UTF-8 text holds: stands before each text and ends it.
@@ -113,31 +114,49 @@ def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[first], *(np.add.reduceat(v[order], first) for v in values)
 
 
-def _bucket(grams: np.ndarray) -> np.ndarray:
+def _bucket(grams: np.ndarray, bits: int) -> np.ndarray:
     """Bucket of each gram's last ``depth - 2`` bytes of context, at most 32 bits: product hashing, in longs."""
-    return (((grams >> 24) * _FACTOR) % (1 << 32) >> (32 - BUCKET_BITS)).astype(np.int32)
+    return (((grams >> 24) * _FACTOR) % (1 << 32) >> (32 - bits)).astype(np.int32)
 
 
-def _node_bucket(node: Column) -> Column:
+def _node_bucket(node: Column, bits: int) -> Column:
     """The bucket of the grams below a node, as a column."""
     mixed = (F.shiftright(node, 8) * F.lit(_FACTOR)) % F.lit(1 << 32)
-    return F.shiftright(mixed, 32 - BUCKET_BITS).cast("int")
+    return F.shiftright(mixed, 32 - bits).cast("int")
 
 
-def _cut(values: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """Consecutive stretches of an array as binary values."""
-    ends = np.concatenate([[0], np.cumsum(counts) * values.itemsize]).astype(np.int64)
-    kind = pa.large_binary()
-    data = np.ascontiguousarray(values)
-    return pa.Array.from_buffers(kind, len(counts), [None, pa.py_buffer(ends), pa.py_buffer(data)]).cast(pa.binary())
+# Numbers travel by their bytes: first the low ones of all, then the next, so that the shuffle's compression sees the empty ones.
 
 
-def _by_bucket(grams: np.ndarray, values: np.ndarray, dtype) -> tuple[pa.Array, pa.Array, pa.Array]:
-    """Buckets that occur, their grams in order, and the values beside them."""
-    bucket = _bucket(grams)
+def _planes(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _whole(data: bytes, dtype=np.int64) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(dtype).ravel()
+
+
+def _steps(grams: np.ndarray) -> bytes:
+    """Grams in order, as the first and the differences."""
+    return _planes(np.diff(grams, prepend=0))
+
+
+def _walk(data: bytes) -> np.ndarray:
+    return np.cumsum(_whole(data))
+
+
+def _rounded(prices: np.ndarray) -> np.ndarray:
+    """Rounded to 36 bits after the first, a relative error below 1e-11, so that two of the eight bytes are empty."""
+    return ((prices.view(np.int64) + (1 << 15)) >> 16 << 16).view(np.float64)
+
+
+def _by_bucket(grams: np.ndarray, counts: np.ndarray, bits: int) -> list[pa.Array]:
+    """Buckets that occur, their grams in order, and the counts beside them."""
+    bucket = _bucket(grams, bits)
     order = np.lexsort((grams, bucket))
-    there, counts = np.unique(bucket[order], return_counts=True)
-    return pa.array(there, pa.int32()), _cut(grams[order], counts), _cut(values[order].astype(dtype), counts)
+    there, first = np.unique(bucket[order], return_index=True)
+    grams, counts = (np.split(x[order], first[1:])[: len(there)] for x in (grams, counts))
+    return [pa.array(there, pa.int32()), pa.array(map(_steps, grams), pa.binary()), pa.array(map(_planes, counts), pa.binary())]
 
 
 # The two deepest levels of a bucket's trees
@@ -226,14 +245,12 @@ def _bytes(batch: pa.RecordBatch) -> list[bytes]:
     return batch.column(batch.schema.get_field_index("text")).cast(pa.large_binary()).to_pylist()
 
 
-def _gram_counts(docs: DataFrame, depth: int, piece: int) -> DataFrame:
+def _gram_counts(docs: DataFrame, depth: int, piece: int, bits: int) -> DataFrame:
     """``block, bucket, grams, counts``: the distinct grams of a block with their number in texts to learn from, which may be 0."""
 
     def rows(block: int, grams: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        buckets, blobs, numbers = _by_bucket(grams, counts, np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(buckets), block)), buckets, blobs, numbers], names=["block", "bucket", "grams", "counts"]
-        )
+        columns = _by_bucket(grams, counts, bits)
+        return pa.RecordBatch.from_arrays([pa.array([block] * len(columns[0]), pa.int64()), *columns], names=["block", "bucket", "grams", "counts"])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, (np.empty(0, np.int64),) * 2
@@ -269,19 +286,19 @@ def _buckets(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[tuple[np
                 held = [merged()]
                 size, fresh = len(held[0][0]), 0
             last = bucket
-            held.append((np.frombuffer(grams, np.int64), np.frombuffer(counts, np.int64)))
+            held.append((_walk(grams), _whole(counts)))
             size += len(held[-1][0])
             fresh += len(held[-1][0])
     if held:
         yield merged()
 
 
-def _model(counted: DataFrame, batch_grams: int) -> DataFrame:
+def _model(counted: DataFrame, batch_grams: int, bits: int) -> DataFrame:
     """``bucket, grams, counts`` of the whole corpus."""
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for grams, counts in _buckets(batches, batch_grams):
-            yield pa.RecordBatch.from_arrays(list(_by_bucket(grams, counts, np.int64)), names=["bucket", "grams", "counts"])
+            yield pa.RecordBatch.from_arrays(_by_bucket(grams, counts, bits), names=["bucket", "grams", "counts"])
 
     dealt = counted.select("bucket", "grams", "counts").repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(add, "bucket int, grams binary, counts binary")
@@ -349,7 +366,7 @@ def _downwards(levels: list[DataFrame], scratch: Scratch) -> DataFrame:
     return above
 
 
-def _answers(counted: DataFrame, model: DataFrame, top: DataFrame, batch_grams: int) -> DataFrame:
+def _answers(counted: DataFrame, model: DataFrame, top: DataFrame, batch_grams: int, bits: int) -> DataFrame:
     """``block, grams, prices``: to each block the log probabilities of its grams."""
     nothing = F.lit(None)
     columns = {"block": "long", "grams": "binary", "counts": "binary", "node": "long", "zero": "double", "one": "double", "rest": "double"}
@@ -357,7 +374,7 @@ def _answers(counted: DataFrame, model: DataFrame, top: DataFrame, batch_grams:
     def kind(df: DataFrame, number: int, *own: str) -> DataFrame:
         return df.select("bucket", F.lit(number).alias("kind"), *[c if c in own else nothing.cast(t).alias(c) for c, t in columns.items()])
 
-    with_bucket = top.withColumn("bucket", _node_bucket(F.col("node")))
+    with_bucket = top.withColumn("bucket", _node_bucket(F.col("node"), bits))
     met = kind(with_bucket, 0, "node", "zero", "one", "rest").unionAll(kind(model, 1, "grams", "counts"))
     met = met.unionAll(kind(counted, 2, "block", "grams"))
 
@@ -367,11 +384,10 @@ def _answers(counted: DataFrame, model: DataFrame, top: DataFrame, batch_grams:
         def answer() -> pa.RecordBatch:
             nonlocal known
             known = known or _priced(nodes, grams, batch_grams)
-            wanted = [np.frombuffer(g, np.int64) for _, g in asked]
-            prices = known[1][np.searchsorted(known[0], np.concatenate(wanted))]
+            prices = [_planes(known[1][np.searchsorted(known[0], _walk(g))]) for _, g in asked]
+            blocks, wanted = zip(*asked)
             return pa.RecordBatch.from_arrays(
-                [pa.array([b for b, _ in asked], pa.int64()), pa.array([g for _, g in asked], pa.binary()), _cut(prices, [len(w) for w in wanted])],
-                names=["block", "grams", "prices"],
+                [pa.array(blocks, pa.int64()), pa.array(wanted, pa.binary()), pa.array(prices, pa.binary())], names=["block", "grams", "prices"]
             )
 
         for batch in batches:
@@ -410,8 +426,8 @@ def _priced(nodes: list, grams: list, limit: int) -> tuple[np.ndarray, np.ndarra
     top = [np.concatenate(x) for x in zip(*nodes)]
     order = np.argsort(top[0])
     top = [x[order] for x in top]
-    own, counts = _summed(*(np.concatenate([np.frombuffer(x, np.int64) for x in side]) for side in zip(*grams)))
-    return own, np.concatenate([Leaves(own[a:b], counts[a:b]).prices(*top) for a, b in _stretches(own, limit)])
+    own, counts = _summed(np.concatenate([_walk(g) for g, _ in grams]), np.concatenate([_whole(n) for _, n in grams]))
+    return own, _rounded(np.concatenate([Leaves(own[a:b], counts[a:b]).prices(*top) for a, b in _stretches(own, limit)]))
 
 
 class Prices:
@@ -440,60 +456,128 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def _word_counts(docs: DataFrame) -> DataFrame:
-    """``block, word, n``: the distinct words of a block with their number in texts to learn from."""
+def _dealt_words(counts: dict[bytes, int], bits: int) -> list[pa.Array]:
+    """Buckets that occur, their words in a line each, and the counts beside them."""
+    words = sorted(counts)
+    bucket = np.array([zlib.crc32(w) for w in words], np.int64) >> (32 - bits)
+    order = np.argsort(bucket, kind="stable")
+    there, first = np.unique(bucket[order], return_index=True)
+    numbers = np.array([counts[w] for w in words], np.int64)[order]
+    ends = [*first[1:], len(words)]
+    lines = [b"\n".join([words[i] for i in order[a:b]]) for a, b in zip(first, ends)]
+    return [pa.array(there, pa.int32()), pa.array(lines, pa.binary()), pa.array([_planes(numbers[a:b]) for a, b in zip(first, ends)], pa.binary())]
+
+
+def _word_counts(docs: DataFrame, bits: int) -> DataFrame:
+    """``block, bucket, words, counts``: the distinct words of a block with their number in texts to learn from, which may be 0."""
+
+    def rows(block: int, counts: Counter) -> pa.RecordBatch:
+        columns = _dealt_words(counts, bits)
+        return pa.RecordBatch.from_arrays([pa.array([block] * len(columns[0]), pa.int64()), *columns], names=["block", "bucket", "words", "counts"])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, counts = None, Counter()
         for block, batch in _by_block(batches):
-            learnt, met = Counter(), set()
+            if block != current:
+                if counts:
+                    yield rows(current, counts)
+                current, counts = block, Counter()
             for text, use in zip(_bytes(batch), batch.column(2).to_pylist()):
                 if use:
-                    learnt.update(words_of(text))
+                    counts.update(words_of(text))
                 else:
-                    met.update(words_of(text))
-            rows = [*learnt.items(), *((w, 0) for w in met if w not in learnt)]
-            words, n = zip(*rows) if rows else ((), ())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block] * len(words), pa.int64()), pa.array(words, pa.binary()), pa.array(n, pa.int64())], names=["block", "word", "n"]
-            )
+                    counts.update(dict.fromkeys(words_of(text), 0))
+        if counts:
+            yield rows(current, counts)
+
+    return docs.mapInArrow(count, "block long, bucket int, words binary, counts binary")
+
+
+def _word_totals(counted: DataFrame, bits: int) -> DataFrame:
+    """``bucket, words, counts`` of the whole corpus, and ``tokens, learnt``: all counts, and the words with one."""
 
-    return docs.mapInArrow(count, "block long, word binary, n long")
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> pa.RecordBatch:
+            columns = _dealt_words(totals, bits)
+            sums = [pa.array([x], pa.int64()) for x in (sum(totals.values()), sum(n > 0 for n in totals.values()))]
+            return pa.RecordBatch.from_arrays([*columns, *sums], names=["bucket", "words", "counts", "tokens", "learnt"])
+
+        last, totals = None, Counter()
+        for batch in batches:
+            for bucket, words, counts in zip(*(batch.column(c).to_pylist() for c in ("bucket", "words", "counts"))):
+                if bucket != last and last is not None:
+                    yield rows()
+                    totals = Counter()
+                last = bucket
+                totals.update(dict(zip(words.split(b"\n"), _whole(counts).tolist())))
+        if last is not None:
+            yield rows()
+
+    dealt = counted.select("bucket", "words", "counts").repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(add, "bucket int, words binary, counts binary, tokens long, learnt long")
+
+
+def _word_answers(counted: DataFrame, totals: DataFrame) -> DataFrame:
+    """``block, words, totals``: to each block the counts of its words in the whole corpus."""
+    met = totals.select("bucket", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("block"), "words", "counts").unionAll(
+        counted.select("bucket", F.lit(1), "block", "words", F.lit(None).cast("binary"))
+    )
+
+    def answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            out = []
+            for kind, block, words, counts in zip(*(batch.column(c).to_pylist() for c in ("kind", "block", "words", "counts"))):
+                if kind == 0:
+                    known = dict(zip(words.split(b"\n"), _whole(counts).tolist()))
+                else:
+                    out.append((block, words, _planes(np.array([known[w] for w in words.split(b"\n")], np.int64))))
+            columns = list(zip(*out)) or [()] * 3
+            kinds = [pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["block", "words", "totals"])
+
+    dealt = met.repartition("bucket").sortWithinPartitions("bucket", "kind")
+    return dealt.mapInArrow(answer, "block long, words binary, totals binary")
 
 
 def score(
     docs: DataFrame, learns: Column, key: str = "doc_id", text: str = "text", depth: int = DEPTH,
     block_bytes: int = BLOCK_BYTES, piece_bytes: int = PIECE_BYTES, batch_grams: int = BATCH_GRAMS,
+    bucket_bytes: int = BUCKET_BYTES,
 ) -> DataFrame:
     """``key, n_tokens, n_known, train_tokens, base_score, score`` of every row, learnt from the rows where ``learns`` holds (null: not).
 
     ``score`` is the log10 probability of the text's UTF-8 bytes and its end under the context trees of ``depth`` bytes (3 to 6), ``base_score`` that of its
     tokens under a unigram model with half a count added: words (between ASCII blanks, A-Z in lower case) and one end, an unseen token counting as one more. ``n_tokens`` counts them with the end, ``n_known`` those
     that the rows to learn from hold, ``train_tokens`` all tokens of these rows. A null text counts as empty: it has its end only. Null and repeated keys are rows of their own.
-    Without rows to learn from every bit has probability 1/2 and every token 1. The last three parameters bound what a task holds and do not change results. Only ``key``, ``text`` and what ``learns`` reads are read.
+    Without rows to learn from every bit has probability 1/2 and every token 1. The last four parameters bound what a task holds and do not change results. Only ``key``, ``text`` and what ``learns`` reads are read.
     """
     if not 3 <= depth <= DEEPEST:
         raise ValueError(f"depth must be between 3 and {DEEPEST}")
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.keep(_documents(docs, key, text, learns, block_bytes), "documents")
-    counted = scratch.keep(_gram_counts(rows, depth, piece_bytes), "grams")
-    model = scratch.keep(_model(counted, batch_grams), "model")
+    rows = scratch.keep(_documents(docs, key, text, learns, block_bytes), "documents", compression="zstd")
+    ends, blocks, size = rows.agg(
+        F.count(F.when(F.col("learns"), 1)), F.count_distinct("block"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))
+    ).first()
+    bits = min(MOST_BITS, max(LEAST_BITS, (size // bucket_bytes).bit_length()))
+    counted = scratch.keep(_gram_counts(rows, depth, piece_bytes, bits), "grams")
+    model = scratch.keep(_model(counted, batch_grams, bits), "model")
     top = _downwards(_levels(_leaf_sums(model, batch_grams), depth, scratch), scratch)
-    answers = _answers(counted, model, top, batch_grams)
+    answers = _answers(counted, model, top, batch_grams, bits)
 
-    words = scratch.keep(_word_counts(rows), "words")
-    totals = scratch.keep(words.groupBy("word").agg(F.sum("n").alias("c")), "word-totals")
-    ends, blocks = rows.agg(F.count(F.when(F.col("learns"), 1)), F.count_distinct("block")).first()
-    tokens, distinct = totals.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
+    words = scratch.keep(_word_counts(rows, bits), "words")
+    totals = scratch.keep(_word_totals(words, bits), "word-totals")
+    tokens, distinct = totals.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "learnt")]).first()
     tokens, distinct = tokens + ends, distinct + (ends > 0)
-    known = words.select("block", "word").join(totals, "word")
+    known = _word_answers(words, totals)
 
     nothing = F.lit(None)
-    columns = {"grams": "binary", "prices": "binary", "word": "binary", "c": "long", "key": rows.schema["key"].dataType, "text": "string"}
+    columns = {"grams": "binary", "prices": "binary", "words": "binary", "totals": "binary", "key": rows.schema["key"].dataType, "text": "string"}
 
     def kind(df: DataFrame, number: int, *own: str) -> DataFrame:
         return df.select("block", F.lit(number).alias("kind"), *[c if c in own else nothing.cast(t).alias(c) for c, t in columns.items()])
 
-    met = kind(answers, 0, "grams", "prices").unionAll(kind(known, 1, "word", "c")).unionAll(kind(rows, 2, "key", "text"))
+    met = kind(answers, 0, "grams", "prices").unionAll(kind(known, 1, "words", "totals")).unionAll(kind(rows, 2, "key", "text"))
     dealt = met.repartition(max(1, blocks), "block").sortWithinPartitions("block", "kind")
     schema = T.StructType(
         [
@@ -513,12 +597,13 @@ def score(
                 current, grams, prices, shares, table = block, [], [], {}, None
             kinds = batch.column("kind").to_numpy()
             a, b = np.searchsorted(kinds, [1, 2])
-            grams += [np.frombuffer(x, np.int64) for x in batch.column("grams").slice(0, a).to_pylist()]
-            prices += [np.frombuffer(x, np.float64) for x in batch.column("prices").slice(0, a).to_pylist()]
+            grams += [_walk(x) for x in batch.column("grams").slice(0, a).to_pylist()]
+            prices += [_whole(x, np.float64) for x in batch.column("prices").slice(0, a).to_pylist()]
             part = batch.slice(a, b - a)
-            shares.update(
-                (w, math.log10((c + 0.5) / whole)) for w, c in zip(part.column("word").to_pylist(), part.column("c").to_pylist()) if c
-            )
+            for words, totals in zip(part.column("words").to_pylist(), part.column("totals").to_pylist()):
+                learnt = _whole(totals)
+                logs = np.log10((learnt + 0.5) / whole).tolist()
+                shares.update((w, x) for w, n, x in zip(words.split(b"\n"), learnt.tolist(), logs) if n)
             rest = batch.slice(b)
             if not rest.num_rows:
                 continue

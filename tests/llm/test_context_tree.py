@@ -120,7 +120,7 @@ def frame(spark, rows):
 @pytest.mark.parametrize(("depth", "block", "piece", "batch", "parts"), [(5, 1 << 20, 1 << 20, 1 << 17, 1), (3, 700, 64, 50, 4), (6, 1, 1000, 1, 3)])
 def test_scores(spark, depth, block, piece, batch, parts):
     docs = frame(spark, ROWS).repartition(parts)
-    found = context_tree.score(docs, F.col("learns"), depth=depth, block_bytes=block, piece_bytes=piece, batch_grams=batch)
+    found = context_tree.score(docs, F.col("learns"), depth=depth, block_bytes=block, piece_bytes=piece, batch_grams=batch, bucket_bytes=block)
     assert found.columns == ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     same(found.collect(), brute(ROWS, depth))
 
