@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lathework.functions.templates import render
-from lathework.functions.text import word_count
+from lathework.functions.text import word_count, words
 from lathework.operators import messages as M
-from lathework.operators import datasets, mixing, records, splits
+from lathework.operators import datasets, mixing, packs, records, splits
 from lathework.operators.ordering import with_row_index
 from lathework.plans.registry import query, table
 from lathework.session import materialize
@@ -610,6 +610,60 @@ def pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.pack_sequences(docs, "doc_id", "n_tokens", 2048, rows_per_bucket=64)
 
 
+_IDS = """
+    list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), lambda w: ('0x' || substr(md5(w), 1, 4))::INTEGER)
+"""
+
+
+def _token_ids(text: str) -> Column:
+    """A stand-in for a tokenizer: 16 bits of each word's digest."""
+    return F.transform(words(F.col(text)), lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int"))
+
+
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", costly=True).select("doc_id", _token_ids("text").alias("ids"))
+    return packs.packed_sequences(docs, "doc_id", "ids", 2048)
+
+
+@query(
+    "packed_tokens",
+    f"""
+    SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_tokens, md5(array_to_string(ids, ' ')) AS ids_md5,
+           CAST(ceil(len(ids) / 2048.0) AS BIGINT) AS n_pieces, 2048 AS width, true AS sound
+    FROM (SELECT doc_id, {_IDS} AS ids FROM documents) WHERE len(ids) > 0
+    """,
+)
+def packed_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as they come out of packed sequences of 2,048 ids again, and whether segments and positions restart with each."""
+    whole = _packed(spark, folder).withColumn("width", F.size("tokens"))
+    pieces = packs.unpacked(whole, ["tokens", "segments", "positions"]).join(whole.select("pack", "width"), "pack")
+    restarts = F.col("positions") == F.sequence(F.lit(0), F.col("length") - 1)
+    one = (F.array_min("segments") == F.array_max("segments")) & (F.array_min("segments") > 0)
+    sized = (F.size("tokens") == F.col("length")) & (F.size("segments") == F.col("length"))
+    texts = pieces.groupBy(F.col("key").alias("doc_id")).agg(
+        F.sum("length").alias("n_tokens"),
+        F.array_sort(F.collect_list(F.struct("piece", "tokens"))).alias("parts"),
+        F.count(F.lit(1)).alias("n_pieces"),
+        F.min("width").alias("width"),
+        F.every(restarts & one & sized).alias("sound"),
+    )
+    ids = F.array_join(F.flatten(F.transform("parts", lambda p: p["tokens"])), " ")
+    return texts.select("doc_id", "n_tokens", F.md5(ids).alias("ids_md5"), "n_pieces", "width", "sound")
+
+
+@query(
+    "packed_fill",
+    f"""
+    SELECT CAST(sum(len(ids)) AS BIGINT) AS tokens, true AS tight, true AS gapless FROM (SELECT {_IDS} AS ids FROM documents)
+    """,
+)
+def packed_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens in all packs; whether the packs are at most a hundredth, and one, more than any packing needs, and are numbered without gaps."""
+    sums = _packed(spark, folder).agg(F.sum("used").alias("tokens"), F.count(F.lit(1)).alias("n"), F.max("pack").alias("last"))
+    least = F.ceil(F.col("tokens") / 2048)
+    return sums.select("tokens", (F.col("n") <= least * 1.01 + 1).alias("tight"), (F.col("last") == F.col("n") - 1).alias("gapless"))
+
+
 @query(
     "prepare_by_ratio",
     f"""

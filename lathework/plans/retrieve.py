@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lathework.functions.text import duration_seconds, duration_text, last_segment, slug, words
-from lathework.operators import chunks, inference, records, retrieval
+from lathework.operators import chunks, inference, records, retrieval, vector_index
 from lathework.operators.ordering import with_row_index
 from lathework.plans.registry import query, table
 from lathework.session import materialize
@@ -104,6 +104,41 @@ def knn_topk(spark: SparkSession, folder: str) -> DataFrame:
     return hits.select("question_id", "item_id", F.round("score", 6).alias("score"), "rank")
 
 
+def _indexed(spark: SparkSession, folder: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """Every twentieth vector as a question, and its hits among all vectors."""
+    v = table(spark, folder, "embeddings")
+    asked = v.where(F.col("vec_id") % 20 == 0)
+    index = vector_index.build_index(v, "vec_id", "embedding", k=k)
+    return asked, vector_index.search_index(index, asked, "vec_id", "embedding", k)
+
+
+@query("knn_indexed")
+def knn_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest by an inverted-file index over all rows; approximate, so SQL cannot state it."""
+    _, hits = _indexed(spark, folder, 10)
+    return hits.select("question_id", "item_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(
+    "knn_indexed_recall",
+    """
+    SELECT count(*) AS questions, CAST(count(*) * (SELECT least(count(*), 10) FROM embeddings) AS BIGINT) AS hits, true AS enough
+    FROM embeddings WHERE vec_id % 20 = 0
+    """,
+)
+def knn_indexed_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the index finds nine tenths and more of what the exact search over the whole table does."""
+    asked, hits = _indexed(spark, folder, 10)
+    exact = retrieval.nearest(asked, "vec_id", "embedding", table(spark, folder, "embeddings"), "vec_id", "embedding", 10)
+    both = exact.select("question_id", "item_id", F.lit(1).alias("exact")).join(
+        hits.select("question_id", "item_id", F.lit(1).alias("found")), ["question_id", "item_id"], "full_outer"
+    )
+    shared = F.count(F.when(F.col("exact").isNotNull() & F.col("found").isNotNull(), 1))
+    return both.agg(
+        F.count_distinct("question_id").alias("questions"), F.count("found").alias("hits"), (shared >= 0.9 * F.count("exact")).alias("enough")
+    )
+
+
 @query(
     "rag_prompt",
     f"""
