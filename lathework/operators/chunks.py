@@ -5,10 +5,8 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lathework.functions.text import strip
 from lathework.operators.ordering import keep_first
@@ -38,44 +36,85 @@ def fixed_chunks(df: DataFrame, key: str, text: str, size: int = CHUNK_SIZE, ove
     )
 
 
-def _pieces(text: str, separator: str) -> list[str]:
-    """Cut before each separator, which stays at the head of the piece it opens."""
-    if not separator:
-        return list(text)
-    first, *rest = text.split(separator)
-    return [piece for piece in [first, *(separator + part for part in rest)] if piece]
+Span = tuple[int, int]
 
 
-def _merge(pieces: Sequence[str], size: int, overlap: int) -> Iterator[str]:
+def _pieces(text: str, start: int, end: int, separator: str) -> Iterator[Span]:
+    """Cut before each separator, which stays at the head of the piece it opens."""
+    step = len(separator) or 1
+    at = start
+    while at < end:
+        # the cut after a piece that opens with a separator is the next one behind it
+        head = at + step if text.startswith(separator, at, end) else at
+        cut = (text.find(separator, head, end) if separator else head) if head < end else end
+        cut = end if cut < 0 else cut
+        yield at, cut
+        at = cut
+
+
+def _merge(pieces: Sequence[Span], size: int, overlap: int) -> Iterator[Span]:
     """Join neighbouring pieces up to ``size``, carrying at most ``overlap`` characters over."""
-    window: deque[str] = deque()
-    held = 0
-    for piece in pieces:
-        if window and held + len(piece) > size:
-            yield "".join(window)
-            while window and (held > overlap or held + len(piece) > size):
-                held -= len(window.popleft())
-        window.append(piece)
-        held += len(piece)
+    window: deque[int] = deque()  # where the pieces of the window start
+    end = 0
+    for start, stop in pieces:
+        if window and stop - window[0] > size:
+            yield window[0], end
+            while window and (end - window[0] > overlap or stop - window[0] > size):
+                window.popleft()
+        window.append(start)
+        end = stop
     if window:
-        yield "".join(window)
+        yield window[0], end
 
 
-def split_text(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, separators: Sequence[str] = SEPARATORS) -> list[str]:
-    """Cut at the coarsest separator present; only pieces that are still too long are cut finer."""
-    level = next(i for i, mark in enumerate(separators) if mark == "" or mark in text)
+def _split(text: str, start: int, end: int, size: int, overlap: int, separators: Sequence[str]) -> Iterator[Span]:
+    level = next((i for i, mark in enumerate(separators) if mark == "" or text.find(mark, start, end) >= 0), None)
+    if level is None:
+        yield start, end
+        return
     finer = separators[level + 1 :]
-    out: list[str] = []
-    run: list[str] = []
-    for piece in _pieces(text, separators[level]):
-        if len(piece) < size or (not finer and len(piece) <= size):
-            run.append(piece)
+    run: list[Span] = []
+    for a, b in _pieces(text, start, end, separators[level]):
+        if b - a < size or (not finer and b - a <= size):
+            run.append((a, b))
             continue
-        out.extend(_merge(run, size, overlap))
+        yield from _merge(run, size, overlap)
         run = []
-        out.extend(split_text(piece, size, overlap, finer) if finer else [piece])
-    out.extend(_merge(run, size, overlap))
-    return [chunk for chunk in (c.strip() for c in out) if chunk]
+        if finer:
+            yield from _split(text, a, b, size, overlap, finer)
+        else:
+            yield a, b
+    yield from _merge(run, size, overlap)
+
+
+def split_spans(
+    text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, separators: Sequence[str] = SEPARATORS
+) -> Iterator[tuple[int, str]]:
+    """Passages, trimmed, with the place of their first character. Cut at the coarsest separator present; only pieces that are still too long are cut finer."""
+    for start, end in _split(text, 0, len(text), size, overlap, separators):
+        body = text[start:end].lstrip()
+        if body:
+            yield end - len(body), body.rstrip()
+
+
+def split_text(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, separators: Sequence[str] = SEPARATORS) -> list[str]:
+    """The passages alone."""
+    return [chunk for _, chunk in split_spans(text, size, overlap, separators)]
+
+
+@F.udtf(returnType="pos int, text string, start int", useArrow=False)
+class RecursiveSplit:
+    """Table function: the passages of one text, in order, with their place in it. ``register_split`` names it for SQL."""
+
+    def eval(self, text: str, size: int, overlap: int, separators: list[str]):
+        for pos, (start, chunk) in enumerate(split_spans(text, size, overlap, separators) if text is not None else ()):
+            yield pos, chunk, start
+
+
+def register_split(spark: SparkSession, name: str = "recursive_split") -> str:
+    """Make the table function known to SQL: ``SELECT ... FROM docs, LATERAL recursive_split(text, 800, 100, array(...))``."""
+    spark.udtf.register(name, RecursiveSplit)
+    return name
 
 
 def recursive_chunks(
@@ -86,17 +125,15 @@ def recursive_chunks(
     overlap: int = CHUNK_OVERLAP,
     separators: Sequence[str] = SEPARATORS,
 ) -> DataFrame:
-    """Passages cut at paragraph, line, word and character boundaries; sequential only inside a document."""
-    schema = T.StructType([df.schema[key], T.StructField("pos", T.IntegerType()), T.StructField("text", T.StringType())])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            cut = frame[text].map(lambda t: split_text(t, size, overlap, separators))
-            flat = pd.DataFrame({key: frame[key], "text": cut}).explode("text")
-            flat["pos"] = flat.groupby(level=0).cumcount().astype("int32")
-            yield flat.dropna(subset=["text"])[[key, "pos", "text"]]
+    """``key, pos, text, start``: passages cut at paragraph, line, word and character boundaries; ``start`` counts characters from 0.
 
-    return df.where(F.col(text).isNotNull()).select(key, text).mapInPandas(run, schema)
+    A lateral join with a table function, so passages leave the task one by one; sequential only inside a document.
+    NULL, empty and blank texts have no passages; keys may repeat or be NULL.
+    """
+    docs = df.select(F.col(key).alias("__key"), F.col(text).alias("__text")).where(F.col("__text").isNotNull())
+    marks = F.array(*[F.lit(mark) for mark in separators])
+    cut = RecursiveSplit(F.col("__text").outer(), F.lit(size), F.lit(overlap), marks)
+    return docs.lateralJoin(cut).select(F.col("__key").alias(key), "pos", "text", "start")
 
 
 def not_blank(df: DataFrame, text: str) -> DataFrame:

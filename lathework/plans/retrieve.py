@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lathework.functions.text import duration_seconds, duration_text, last_segment, slug, words
@@ -39,11 +39,86 @@ def chunk_provenance(spark: SparkSession, folder: str) -> DataFrame:
     return sourced.select("doc_id", "pos", "source", F.length("text").alias("size"))
 
 
-@query("chunk_recursive")
+_MARKS = ("chr(10) || chr(10)", "chr(10)", "' '", "''")
+
+
+def _level(n: int) -> str:
+    """SQL that cuts the segments ``seg<n>``: pieces in runs of short ones, and the long ones as the next segments."""
+    first = " ".join(f"WHEN lev <= {i} AND contains(t, {mark}) THEN {i}" for i, mark in enumerate(_MARKS[:3]))
+    mark = " ".join(f"WHEN {i} THEN {mark}" for i, mark in enumerate(_MARKS[:3]))
+    return f"""
+    mark{n} AS (SELECT *, CASE {first} ELSE 3 END AS mi FROM seg{n}),
+    part{n} AS (
+      SELECT doc_id, a, mi, unnest(parts) AS part, generate_subscripts(parts, 1) AS i, length(CASE mi {mark} ELSE '' END) AS width
+      FROM (SELECT *, CASE WHEN mi = 3 THEN regexp_extract_all(t, '(?s).') ELSE string_split(t, CASE mi {mark} END) END AS parts FROM mark{n})),
+    size{n} AS (
+      SELECT *, len + a + sum(len) OVER (PARTITION BY doc_id, a ORDER BY i) - 2 * len AS s
+      FROM (SELECT *, length(part) + CASE WHEN i > 1 THEN width ELSE 0 END AS len FROM part{n}) WHERE len > 0),
+    piece{n} AS (
+      SELECT *, len >= 800 AND mi < 3 AS long, count(*) FILTER (len >= 800 AND mi < 3) OVER (PARTITION BY doc_id, a ORDER BY i) AS run FROM size{n}),
+    seg{n + 1} AS (
+      SELECT p.doc_id, substr(d.text, CAST(p.s + 1 AS BIGINT), p.len) AS t, CAST(p.s AS BIGINT) AS a, p.mi + 1 AS lev
+      FROM piece{n} p JOIN documents d USING (doc_id) WHERE long)"""
+
+
+@query(
+    "chunk_recursive",
+    f"""
+    WITH RECURSIVE seg0 AS (SELECT doc_id, text AS t, CAST(0 AS BIGINT) AS a, 0 AS lev FROM documents WHERE length(text) > 0),
+    {",".join(_level(n) for n in range(4))},
+    runs AS (
+      SELECT doc_id, list(CAST(s AS BIGINT) ORDER BY s) || [CAST(max(s + len) AS BIGINT)] AS st
+      FROM ({" UNION ALL ".join(f"SELECT doc_id, {n} AS n, a, run, s, len FROM piece{n} WHERE NOT long" for n in range(4))})
+      GROUP BY doc_id, n, a, run),
+    spans AS (
+      SELECT doc_id, st, CAST(1 AS BIGINT) AS j, CAST(len(list_filter(st, lambda x: x <= st[1] + 800)) AS BIGINT) AS c FROM runs
+      UNION ALL
+      SELECT doc_id, st, n, CAST(len(list_filter(st, lambda x: x <= st[n] + 800)) AS BIGINT)
+      FROM (SELECT doc_id, st, CAST(1 + len(list_filter(st, lambda x: x < greatest(st[c] - 100, st[c + 1] - 800))) AS BIGINT) AS n
+            FROM spans WHERE c < len(st))),
+    cut AS (SELECT doc_id, st[j] AS s, substr(text, st[j] + 1, st[c] - st[j]) AS body FROM spans JOIN documents USING (doc_id))
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS INTEGER) AS pos, {_TRIM.format('body')} AS text,
+           CAST(s + length(body) - length({_TRIM.format('body').replace('trim(', 'ltrim(', 1)}) AS INTEGER) AS start
+    FROM cut WHERE length({_TRIM.format('body')}) > 0
+    """,
+)
 def chunk_recursive(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.recursive_chunks(table(spark, folder, "documents", costly=True), "doc_id", "text")
 
 
+@query(
+    "chunk_recursive_cover",
+    r"""
+    SELECT doc_id, CAST(length(regexp_replace(text, '\s', '', 'g')) AS BIGINT) AS visible, true AS in_place, true AS fits, true AS laps
+    FROM documents WHERE length(regexp_replace(text, '\s', '', 'g')) > 0
+    """,
+)
+def chunk_recursive_cover(spark: SparkSession, folder: str) -> DataFrame:
+    """What passages must be whatever their cuts: in their place, no longer than 800, overlapping by at most 100, and missing nothing but blanks."""
+    docs = table(spark, folder, "documents", costly=True).select("doc_id", "text")
+    docs.createOrReplaceTempView("chunk_documents")
+    cut = spark.sql(
+        f"SELECT doc_id, c.* FROM chunk_documents, LATERAL {chunks.register_split(spark)}(text, 800, 100, array('\\n\\n', '\\n', ' ', '')) c"
+    )
+    passages = cut.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "start", F.col("text").alias("body")))).alias("parts"))
+
+    def lap(part: Column, i: Column) -> Column:
+        """Characters that the passage before holds too."""
+        before = F.element_at("parts", F.greatest(i, F.lit(1)).cast("int"))
+        end = F.when(i > 0, before["start"] + F.length(before["body"])).otherwise(0)
+        return F.greatest(end - part["start"], F.lit(0))
+
+    seen = F.transform("parts", lambda p, i: F.length(F.regexp_replace(F.substr(p["body"], lap(p, i) + 1), r"\s", "")))
+    same = F.forall("parts", lambda p: F.substr(F.col("text"), p["start"] + 1, F.length(p["body"])) == p["body"])
+    return docs.join(passages, "doc_id").select(
+        "doc_id",
+        F.aggregate(seen, F.lit(0).cast("bigint"), lambda a, n: a + n).alias("visible"),
+        same.alias("in_place"),
+        F.forall("parts", lambda p: F.length(p["body"]) <= 800).alias("fits"),
+        (F.array_max(F.transform("parts", lap)) <= 100).alias("laps"),
+    )
+
+
 @query(
     "tokenize_documents",
     r"""

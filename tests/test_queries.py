@@ -25,7 +25,7 @@ def test_entry(spark):
 
 def test_oracles_belong_to_queries():
     assert set(SQL) <= set(KNOWN)
-    assert set(KNOWN) - set(SQL) == {"chunk_recursive", "knn_indexed"}
+    assert set(KNOWN) - set(SQL) == {"knn_indexed"}
 
 
 @pytest.mark.parametrize("name", sorted(KNOWN))

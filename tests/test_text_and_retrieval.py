@@ -38,6 +38,24 @@ def test_recursive_chunks_table(spark):
     assert [(r["doc_id"], r["pos"], r["text"]) for r in out] == [(1, 0, "a b"), (1, 1, "c d")]
 
 
+def test_recursive_chunks_tell_their_place(spark):
+    text = "  one two\n\nthree  four five six\nseven \n\n" + "x" * 25
+    rows = [(1, text, 5, "p"), (1, text, 6, None), (None, "ab", 7, "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, pos int, start string")
+    out = chunks.recursive_chunks(df, "doc_id", "text", 11, 4)
+    assert out.columns == ["doc_id", "pos", "text", "start"]
+    found = [tuple(r) for r in out.collect()]
+    assert all(text[start : start + len(chunk)] == chunk for key, _, chunk, start in found if key == 1)
+    assert (None, 0, "ab", 0) in found and len(found) == 2 * len(chunks.split_text(text, 11, 4)) + 1
+
+
+def test_the_table_function_in_sql(spark):
+    spark.createDataFrame([(1, "a b c d"), (2, None)], "id long, text string").createOrReplaceTempView("split_docs")
+    name = chunks.register_split(spark)
+    rows = spark.sql(f"SELECT id, c.* FROM split_docs, LATERAL {name}(text, 4, 0, array(' ', '')) c ORDER BY pos").collect()
+    assert [tuple(r) for r in rows] == [(1, 0, "a b", 0), (1, 1, "c d", 4)]
+
+
 @pytest.mark.parametrize("n", [1, 99, 100, 101, 800, 801, 1500, 1501])
 def test_fixed_chunks_cover_the_text(spark, n):
     text = "".join(chr(97 + i % 26) for i in range(n))
