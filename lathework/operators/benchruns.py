@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lathework.operators.ordering import running, shift_columns, with_row_index
+from lathework.operators.ordering import BLOCK_ROWS, ordered_blocks, shift_columns, with_row_index
 
 MARKDOWN_NULL = "N/A"
 
@@ -91,46 +91,87 @@ HEADER = r"Benchmark (Banana|Truck|the rasterization)"
 MARKERS = HEADER + "|itern?_num:|num_points:|real\t|terminate"
 
 
-def section_timings(lines: DataFrame, order_by: Sequence[str], line: str, value: Column, header: str = HEADER, markers: str = MARKERS) -> DataFrame:
+def section_timings(
+    lines: DataFrame, order_by: Sequence[str], line: str, value: Column, header: str = HEADER, markers: str = MARKERS,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
     """Timings of a section log: ``section, header, cell, seconds, status``.
 
     A timing belongs to the last header before it and takes the next cell of that section. It counts as a
     memory overflow if the informative line before it reports one: ``terminate`` with ``negative
-    dimension`` on the raw line that follows. All three looks across rows work on blocks of an index, so a
-    log of any length is spread over tasks.
+    dimension`` on the raw line that follows.
+
+    One scan over ordered blocks of what the lines say, which is written once: inside a block windows look back and ahead, and one row per block
+    carries the last header, the last kind and the counts on to the later ones. A log or a section of any length is spread over tasks.
     """
-    numbered = with_row_index(lines, order_by, name="__raw")
-    ahead = shift_columns(numbered, "__raw", {"__next": (line, -1)})
     text = F.col(line)
     kind = (
-        F.when(text.rlike(header), F.lit("header"))
-        .when(text.contains("terminate") & F.col("__next").contains("negative dimension"), F.lit("overflow"))
-        .when(text.contains("terminate"), F.lit("error"))
-        .when(text.contains("real\t"), F.lit("time"))
-        .otherwise(F.lit("other"))
+        F.when(text.rlike(header), "header").when(text.contains("terminate"), "terminate").when(text.contains("real\t"), "time").otherwise("other")
+    )
+    said = lines.select(
+        *order_by,
+        F.when(text.rlike(markers), kind).alias("__kind"),
+        F.coalesce(text.contains("negative dimension"), F.lit(False)).alias("__negative"),
+        F.when(text.rlike(header), text).alias("__header"),
+        F.when(text.contains("real\t"), value).alias("seconds"),
     )
-    kept = ahead.where(text.rlike(markers)).withColumn("__kind", kind)
-    kept = with_row_index(kept, ["__raw"], name="__i")
-    kept = shift_columns(kept, "__i", {"__before": ("__kind", 1)})
+    inside = Window.partitionBy("__block").orderBy("__pos")
+    so_far, earlier = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(Window.unboundedPreceding, -1)
     is_header, is_time = F.col("__kind") == "header", F.col("__kind") == "time"
-    kept = running(
-        kept,
-        "__i",
-        sums={"__times": is_time.cast("bigint"), "section": is_header.cast("bigint")},
-        maxima={"__start": F.when(is_header, F.col("__i"))},
+
+    def ended(follows: Column, otherwise: str) -> Column:
+        return F.when(follows, "overflow").when(~follows, "error").otherwise(otherwise)
+
+    # the line after a block's last one is known to the next block only
+    rows = ordered_blocks(said, order_by, block_rows)
+    rows = rows.withColumn("__kind", F.when(F.col("__kind") == "terminate", ended(F.lead("__negative").over(inside), "edge")).otherwise(F.col("__kind")))
+    rows = rows.withColumns(
+        {
+            "__before": F.last("__kind", ignorenulls=True).over(earlier),
+            "__times": F.count(F.when(is_time, 1)).over(so_far),
+            "__headers": F.count(F.when(is_header, 1)).over(so_far),
+            "__last_header": F.last(F.when(is_header, F.col("__header")), ignorenulls=True).over(so_far),
+        }
+    ).withColumn("__first", F.max(F.when(is_header, F.col("__times"))).over(so_far))
+
+    def last(column: str, given: Column) -> Column:
+        return F.max_by(F.when(given, F.col(column)), F.when(given, F.col("__pos"))).alias(column)
+
+    blocks = rows.groupBy("__block").agg(
+        F.min_by("__negative", "__pos").alias("__opens"),
+        last("__kind", F.col("__kind").isNotNull()),
+        last("__last_header", F.col("__last_header").isNotNull()),
+        *[F.max(c).alias(c) for c in ("__times", "__headers", "__first")],
+    )
+    order = Window.orderBy("__block")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumns(
+        {
+            "__kind": F.when(F.col("__kind") == "edge", ended(F.lead("__opens").over(order), "error")).otherwise(F.col("__kind")),
+            "__t": F.coalesce(F.sum("__times").over(before), F.lit(0)),
+            "__h": F.coalesce(F.sum("__headers").over(before), F.lit(0)),
+        }
+    )
+    carried = blocks.select(
+        "__block",
+        "__t",
+        "__h",
+        F.last("__kind", ignorenulls=True).over(before).alias("__k"),
+        F.last("__last_header", ignorenulls=True).over(before).alias("__l"),
+        F.max(F.col("__first") + F.col("__t")).over(before).alias("__f"),
     )
-    headers = kept.where(is_header).select("section", text.alias("header"), F.col("__times").alias("__first"))
-    status = F.when(F.col("__before") == "overflow", "overflow").when(F.col("__before") == "error", "error")
+    status = F.coalesce("__before", "__k")
     return (
-        kept.where(is_time & F.col("__start").isNotNull())
-        .join(headers, "section")
+        rows.where(is_time)
+        .join(carried, "__block")
         .select(
-            "section",
-            "header",
-            (F.col("__times") - F.col("__first") - 1).alias("cell"),
-            value.alias("seconds"),
-            F.coalesce(status, F.lit("ok")).alias("status"),
+            (F.col("__headers") + F.col("__h")).alias("section"),
+            F.coalesce("__last_header", "__l").alias("header"),
+            (F.col("__times") + F.col("__t") - F.coalesce(F.col("__first") + F.col("__t"), F.col("__f")) - 1).alias("cell"),
+            "seconds",
+            F.when(status.isin("overflow", "error"), status).otherwise("ok").alias("status"),
         )
+        .where("section > 0")
     )
 
 

@@ -68,6 +68,20 @@ def with_row_index(
     return indexed
 
 
+def ordered_blocks(df: DataFrame, order_by: Sequence[str | Column], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The rows in the given order as blocks: adds ``__block``, which ascends with the order, and ``__pos`` within its range partition.
+
+    ``order_by`` must identify a row. One range shuffle and one written table; no block has more than ``block_rows`` rows. Enough for scans
+    that carry a summary from block to block and need no contiguous index.
+    """
+    keys = [F.col(c) if isinstance(c, str) else c for c in order_by]
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__mid", F.monotonically_increasing_id())
+    stored = materialize(ranged, "ordered")
+    pos = F.col("__mid").bitwiseAND((1 << _LOCAL_BITS) - 1)
+    block = F.col("__mid") - pos + F.floor(pos / block_rows)
+    return stored.withColumns({"__block": block, "__pos": pos}).drop("__mid")
+
+
 def seeded_digest(seed: int | str, *key: str) -> Column:
     """``md5("seed:key")``: a uniform order that any engine can reproduce."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(f"`{k}`").cast("string") for k in key]))

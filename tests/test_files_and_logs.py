@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +93,44 @@ def test_sections(spark):
     assert table["Benchmark Truck"]["cell_1"] == "N/A"
 
 
+def brute_sections(log):
+    out, section, header, cell, before = [], 0, None, 0, None
+    for i, line in enumerate(log):
+        if line.startswith("Benchmark Truck"):
+            section, header, cell, before = section + 1, line, 0, "header"
+        elif "terminate" in line:
+            before = "overflow" if i + 1 < len(log) and "negative dimension" in log[i + 1] else "error"
+        elif line.startswith("real\t"):
+            if section:
+                out.append((section, header, cell, float(line.split("\t")[1]), before if before in ("overflow", "error") else "ok"))
+            cell, before = cell + 1, "time"
+        elif line.startswith("iter_num:"):
+            before = "other"
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block_rows", [1, 3, 1 << 16])
+def test_sections_cross_blocks(spark, block_rows):
+    draw = random.Random(block_rows)
+    kinds = ["Benchmark Truck", "terminate called", "what(): negative dimension", "noise", "iter_num: 3", "real\t"]
+    log = draw.choices(kinds, weights=[1, 4, 3, 2, 2, 8], k=400)
+    log = [f"{line} {i}" if line.startswith("Bench") else f"{line}{i}" if line == "real\t" else line for i, line in enumerate(log)]
+    df = spark.createDataFrame(list(enumerate(log)), "n int, line string").repartition(7)
+    seconds = F.element_at(F.split("line", "\t"), -1).cast("double")
+    found = B.section_timings(df, ["n"], "line", seconds, block_rows=block_rows)
+    assert sorted(map(tuple, found.collect())) == brute_sections(log)
+
+
+def test_sections_are_one_scan_without_a_self_join(spark, monkeypatch):
+    from lathework.operators import ordering
+
+    written = []
+    monkeypatch.setattr(ordering, "materialize", lambda df, label="table": written.append(label) or df)
+    df = spark.createDataFrame(list(enumerate(LOG)), "n int, line string")
+    B.section_timings(df, ["n"], "line", F.lit(1.0)).explain()
+    assert written == ["ordered"]
+
+
 def test_log_means_and_rates(spark):
     line = "throughput per GPU (TFLOP/s/GPU): 1.5 | elapsed time per iteration (ms): 20 | mem usages: 0.5 |"
     df = spark.createDataFrame([("r", line), ("r", "nothing"), ("r", line.replace("1.5", "2.5"))], "run string, line string")
