@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from lathework.functions.text import duration_seconds, duration_text, millions_text
 from lathework.operators import benchruns as B
-from lathework.operators import mixing, records
+from lathework.operators import mixing, records, sketches
 from lathework.operators.ordering import quantiles, with_row_index
 from lathework.plans.evaluate import six
 from lathework.plans.registry import query, table
+from lathework.session import scratch_path
 
 
 def scenario_runs(spark: SparkSession, folder: str) -> DataFrame:
@@ -104,6 +105,21 @@ _METRICS = """
 """
 
 
+def _serving_values(spark: SparkSession, folder: str) -> DataFrame:
+    """One long table of the values of all metrics, with the day they belong to as their run."""
+    tokens = token_log(spark, folder)
+    request = ["model", "user_id", "day"]
+    gaps = B.token_gaps(tokens, request, "ts", ["event_id"])
+    requests = B.request_latencies(tokens, request, "ts", "day")
+    run = F.date_format("day", "yyyy-MM-dd").alias("run")
+    return mixing.concat(
+        gaps.select("model", F.lit("gap_ms").alias("metric"), F.col("gap_ms").alias("x"), "event_id", run),
+        requests.unpivot(["model", "user_id", "day"], ["ttft_ms", "e2e_ms", "tpot_ms"], "metric", "x").select(
+            "model", "metric", "x", F.xxhash64("user_id", "day").alias("event_id"), run
+        ),
+    )
+
+
 @query(
     "serving_percentiles",
     f"""
@@ -114,18 +130,7 @@ _METRICS = """
     """,
 )
 def serving_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    tokens = token_log(spark, folder)
-    request = ["model", "user_id", "day"]
-    gaps = B.token_gaps(tokens, request, "ts", ["event_id"])
-    requests = B.request_latencies(tokens, request, "ts", "day")
-    # one long table of values, so one sort serves all metrics; written once because it is read twice
-    values = mixing.concat(
-        gaps.select("model", F.lit("gap_ms").alias("metric"), F.col("gap_ms").alias("x"), "event_id"),
-        requests.unpivot(["model", "user_id", "day"], ["ttft_ms", "e2e_ms", "tpot_ms"], "metric", "x").select(
-            "model", "metric", "x", F.xxhash64("user_id", "day").alias("event_id")
-        ),
-    )
-    values = mixing.freeze(values)
+    values = mixing.freeze(_serving_values(spark, folder))  # written once because it is read twice
     levels = quantiles(values, ["model", "metric"], "x", B.SERVING_LEVELS, ["event_id"])
     means = values.groupBy("model", "metric").agg(F.count("x").alias("n"), F.round(F.avg("x"), 3).alias("mean"))
     return means.join(levels, ["model", "metric"]).select(
@@ -133,6 +138,35 @@ def serving_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "serving_percentiles_merged",
+    f"""
+    WITH {_METRICS}
+    SELECT model, metric, count(x) AS n, round(avg(x), 3) AS mean, round(min(x), 3) AS least, round(max(x), 3) AS most,
+           true AS median, true AS p99
+    FROM long GROUP BY model, metric
+    """,
+)
+def serving_percentiles_merged(spark: SparkSession, folder: str) -> DataFrame:
+    """A sketch for each day, model and metric, stored by day, one day stored again, then merged; are the quantiles within the error of their rank?"""
+    values = mixing.freeze(_serving_values(spark, folder))
+    daily = sketches.sketch_values(values, ["run", "model", "metric"], "x")
+    path = scratch_path(spark, "serving-sketches")
+    sketches.store_runs(daily, path, ["run"])
+    again = values.where(F.col("run") == values.agg(F.min("run")).scalar())
+    sketches.store_runs(sketches.sketch_values(again, ["run", "model", "metric"], "x"), path, ["run"])
+    merged = sketches.merged_quantiles(sketches.read_runs(spark, path, daily), ["model", "metric"], B.SERVING_LEVELS)
+    errors = sketches.rank_errors(values, ["model", "metric"], "x", merged, B.SERVING_LEVELS)
+    return merged.drop(*B.SERVING_LEVELS).join(errors, ["model", "metric"]).select(
+        "model",
+        "metric",
+        "n",
+        F.round(F.col("total") / F.col("n"), 3).alias("mean"),
+        *[F.round(c, 3).alias(c) for c in ("least", "most")],
+        *[(F.col(c) <= sketches.RANK_ERROR).alias(c) for c in B.SERVING_LEVELS],
+    )
+
+
 @query(
     "serving_rates",
     """

@@ -243,8 +243,7 @@ def stream_settled_files(spark: SparkSession, folder: str) -> DataFrame:
     out, now = scratch_path(spark, "published"), datetime.now(timezone.utc)
     for run_id, as_of in enumerate([now - timedelta(hours=1), now + timedelta(hours=1), now + timedelta(hours=2)]):
         S.publish_settled(spark, staged, df.schema, out, run_id, as_of)
-    rows = spark.read.option("basePath", out).parquet(f"{out}/run_id=*")
-    counts = rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("run_id").alias("first_run"))
+    counts = S.published(spark, out, df.schema).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("run_id").alias("first_run"))
     return counts.withColumn("latest_run", S.latest_run(spark, out).scalar())
 
 

@@ -65,11 +65,11 @@ def publish_settled(
     as_of: datetime,
     age: timedelta = timedelta(minutes=1),
 ) -> None:
-    """Publish the rows of files that have settled and were not published before; the marker comes last.
+    """Publish the rows of files that have settled and were not published before.
 
-    Unsettled files are pruned at the listing and wait for a later run. Each row keeps its
-    ``source_file``, so what was published is read off the output itself and cannot disagree with it. A repeated
-    run overwrites its own folder.
+    Unsettled files are pruned at the listing and wait for a later run. A run writes its rows, then its part of the ledger (one row per file), then
+    the marker. Only what the ledger names counts as published, so a run reads the ledgers of earlier runs, a row per file, and never their rows. A repeated
+    run overwrites its own folders; one that failed before its ledger was written leaves rows that ``published`` does not show and a later run publishes anew.
     """
     meta = F.col("_metadata")
     cut = F.lit(as_of - age)
@@ -79,14 +79,37 @@ def publish_settled(
         .select("*", meta["file_path"].alias("source_file"), meta["file_modification_time"].alias("changed_at"))
         .where(F.col("changed_at") <= cut)
     )
-    if run_id > 0:
-        before = spark.read.option("basePath", out).parquet(f"{out}/run_id=*").where(F.col("run_id") < run_id)
-        rows = rows.join(before.select("source_file").distinct(), "source_file", "left_anti")
-    rows.drop("changed_at").write.mode("overwrite").parquet(f"{out}/run_id={run_id}")
+    rows = rows.join(ledger(spark, out).where(F.col("run_id") < run_id), "source_file", "left_anti")
+    target = f"{out}/run_id={run_id}"
+    rows.write.mode("overwrite").parquet(target)
+    files = spark.read.schema(rows.schema).parquet(target).groupBy("source_file").agg(
+        F.max("changed_at").alias("changed_at"), F.count(F.lit(1)).alias("rows")
+    )
+    files.write.mode("overwrite").parquet(f"{out}/_ledger/run_id={run_id}")
     latest = spark.range(1).select(F.lit(run_id).cast("bigint").alias("latest_run"))
     latest.write.mode("overwrite").json(f"{out}/_latest")
 
 
+def ledger(spark: SparkSession, out: str) -> DataFrame:
+    """``source_file, changed_at, rows, run_id`` of every published file."""
+    schema = "source_file string, changed_at timestamp, rows long, run_id int"
+    runs = [name for name in path_children(spark, f"{out}/_ledger") if name.startswith("run_id=")]
+    if not runs:
+        return spark.createDataFrame([], schema)
+    # a folder without a success marker belongs to a run that did not finish
+    done = [f"{out}/_ledger/{name}" for name in runs if "_SUCCESS" in path_children(spark, f"{out}/_ledger/{name}")]
+    return spark.read.schema(schema).option("basePath", f"{out}/_ledger").parquet(*done) if done else spark.createDataFrame([], schema)
+
+
+def published(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
+    """The rows of all runs in the ledger, with ``source_file`` and ``run_id``."""
+    whole = T.StructType([*schema.fields, T.StructField("source_file", T.StringType()), T.StructField("run_id", T.IntegerType())])
+    runs = sorted(r["run_id"] for r in ledger(spark, out).select("run_id").distinct().collect())  # one row per run
+    if not runs:
+        return spark.createDataFrame([], whole)
+    return spark.read.schema(whole).option("basePath", out).parquet(*[f"{out}/run_id={n}" for n in runs])
+
+
 def latest_run(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.schema("latest_run bigint").json(f"{out}/_latest")
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -208,3 +209,37 @@ def test_files_settle_with_age(spark, tmp_path):
     now = F.current_timestamp()
     assert S.settled_files(spark, str(tmp_path), now).count() == 0
     assert S.settled_files(spark, str(tmp_path), now + F.expr("INTERVAL 2 MINUTES")).count() == 1
+
+
+def test_a_failed_run_is_published_by_the_next(spark, tmp_path):
+    """Run 1 dies after its rows and before its ledger; run 2 publishes its files and the new one, each row once."""
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    later = datetime.now(timezone.utc) + timedelta(hours=1)
+
+    def arrive(n):
+        spark.createDataFrame([(n, f"v{n}")], "id int, v string").coalesce(1).write.mode("append").parquet(str(source))
+
+    arrive(0)
+    schema = spark.read.parquet(str(source)).schema
+    assert S.published(spark, out, schema).count() == 0
+    S.publish_settled(spark, str(source), schema, out, 0, later)
+    arrive(1)
+    S.publish_settled(spark, str(source), schema, out, 1, later)
+    (tmp_path / "out" / "_ledger" / "run_id=1" / "_SUCCESS").unlink()
+    assert {r["id"] for r in S.published(spark, out, schema).collect()} == {0}
+    arrive(2)
+    for _ in range(2):  # a repeated run changes nothing
+        S.publish_settled(spark, str(source), schema, out, 2, later)
+        assert sorted((r["id"], r["run_id"]) for r in S.published(spark, out, schema).collect()) == [(0, 0), (1, 2), (2, 2)]
+        assert S.ledger(spark, out).count() == 3
+    S.publish_settled(spark, str(source), schema, out, 3, later)
+    assert S.published(spark, out, schema).count() == 3 and S.latest_run(spark, out).first()[0] == 3
+
+
+def test_a_run_reads_the_ledger_and_no_published_rows(spark, tmp_path):
+    spark.createDataFrame([(1, "a")], "id int, v string").write.parquet(str(tmp_path / "in"))
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    later = datetime.now(timezone.utc) + timedelta(hours=1)
+    S.publish_settled(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), 0, later)
+    files = S.ledger(spark, str(tmp_path / "out")).inputFiles()
+    assert files and all("/_ledger/" in f for f in files)
