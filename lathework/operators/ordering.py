@@ -10,7 +10,7 @@ import functools
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lathework.session import materialize
@@ -25,9 +25,12 @@ def with_row_index(
     order_by: Sequence[str | Column],
     within: Sequence[str] = (),
     name: str = "row_index",
+    seen: Observation | None = None,
 ) -> DataFrame:
     """Add a contiguous 0-based index in the given order, restarted per ``within`` group.
 
+    ``seen`` is told the number of ``rows`` by the pass that writes them.
+
     ``order_by`` must identify a row. One range shuffle, one written table, then a broadcast of one
     start offset per range partition. Groups that span partitions need no special care: their index is
     the global index less the smallest one of the group.
@@ -38,6 +41,9 @@ def with_row_index(
         .sortWithinPartitions(*keys)
         .withColumn("__mid", F.monotonically_increasing_id())
     )
+    if seen is not None:
+        # after the shuffle: the sampling of its edges reads the rows as well
+        ranged = ranged.observe(seen, F.count(F.lit(1)).alias("rows"))
     stored = materialize(ranged, "row-index")
     stored = stored.withColumn("__part", F.shiftright("__mid", _LOCAL_BITS)).withColumn(
         "__pos", F.col("__mid").bitwiseAND((1 << _LOCAL_BITS) - 1)

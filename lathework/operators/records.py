@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import functools
+import warnings
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,10 +103,25 @@ def command_line(tool: str, arguments: Sequence[str], output: Column) -> Column:
 
 
 def zip_lines(left: DataFrame, right: DataFrame, left_order: Sequence[str], right_order: Sequence[str]) -> DataFrame:
-    """Rows paired by position, cut to the shorter side (compare counts to warn)."""
-    a = with_row_index(left, left_order, name="__i")
-    b = with_row_index(right, right_order, name="__i")
-    return a.join(b, "__i").withColumnRenamed("__i", "line_number")
+    """Rows paired by position, cut to the shorter side, with a warning if something is cut."""
+    return zip_lines_counted(left, right, left_order, right_order)[0]
+
+
+def zip_lines_counted(
+    left: DataFrame, right: DataFrame, left_order: Sequence[str], right_order: Sequence[str]
+) -> tuple[DataFrame, dict[str, int]]:
+    """Rows paired by position, and how many there were: ``left``, ``right``, ``paired`` and ``cut``.
+
+    The counts come from the passes that write the two sides, not from reading them again. Unequal sides give a warning.
+    """
+    seen = Observation(), Observation()
+    a = with_row_index(left, left_order, name="__i", seen=seen[0])
+    b = with_row_index(right, right_order, name="__i", seen=seen[1])
+    n, m = (each.get["rows"] for each in seen)
+    if n != m:
+        warnings.warn(f"{n} rows against {m}: the last {abs(n - m)} of the longer side have no partner", stacklevel=2)
+    counts = {"left": n, "right": m, "paired": min(n, m), "cut": abs(n - m)}
+    return a.join(b, "__i").withColumnRenamed("__i", "line_number"), counts
 
 
 def clean_lines(df: DataFrame, line: str, remove_prefix: str = "") -> DataFrame:

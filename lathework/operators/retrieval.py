@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from lathework.functions.templates import render
 from lathework.functions.text import strip
 from lathework.operators.inference import embed
+from lathework.operators.messages import message
 from lathework.session import materialize
 
 BLOCK_BYTES = 64 << 20  # vectors of one side that a task holds
@@ -101,12 +102,14 @@ def nearest(
     cosine: bool = True,
     digits: int = 9,
     block_bytes: int = BLOCK_BYTES,
+    items_written: bool = False,
 ) -> DataFrame:
     """The ``k`` most similar items of each question, exactly; ``question_id, item_id, score, rank``.
 
     Item ids are integers. Both sides are cut into blocks of at most about ``block_bytes``, and each pair of blocks
     meets in one task, which emits only ``k`` items per question; nothing passes through the driver. Scores are compared after rounding to
-    ``digits``, ties go to the smaller id; ``k`` is at least one and at most the number of items.
+    ``digits``, ties go to the smaller id; ``k`` is at least one and at most the number of items. Vectors may come from a model, so
+    both sides are written before they are counted and paired; ``items_written`` says that the items are a stored table already.
     """
     k = max(1, k)
     asked = questions.select(F.col(question).alias("question_id"), F.col(question_vector).alias("vector"))
@@ -115,8 +118,7 @@ def nearest(
     stored = stored.where(F.col("vector").isNotNull())
     schema = T.StructType([asked.schema["question_id"], stored.schema["item_id"], T.StructField("score", T.DoubleType())])
     prepare = _unit if cosine else np.asarray
-    # vectors may come from a model: written once, then counted and paired
-    asked, stored = materialize(asked, "questions"), materialize(stored, "items")
+    asked, stored = materialize(asked, "questions"), stored if items_written else materialize(stored, "items")
     banks, blocks = (_blocks(side, block_bytes) for side in (asked, stored))
     candidates = _block_pairs(asked, banks, stored, blocks, schema, prepare, k, digits)
     best = Window.partitionBy("question_id").orderBy(F.col("score").desc(), F.col("item_id"))
@@ -154,22 +156,30 @@ PROMPT_FRAME = (
 )
 
 
-def retrieval_prompts(hits: DataFrame, questions: DataFrame, question: str, text: str, frame: str = PROMPT_FRAME) -> DataFrame:
+# Fixed value: what the system turn says.
+SYSTEM_TURN = "You are a precise assistant. Never use outside knowledge; rely only on the provided Context."
+
+
+def retrieval_prompts(
+    hits: DataFrame, questions: DataFrame, question: str, text: str, frame: str = PROMPT_FRAME, system: str | None = None
+) -> DataFrame:
     """Passages of each question (at most ``k``, first of equal ones) in rank order inside the frame.
 
-    ``hits`` has ``question_id, rank, text``. Adds ``context`` and ``prompt`` to the questions.
+    ``hits`` has ``question_id, rank, text``. Adds ``context``, ``prompt`` and ``passages`` to the questions, and with ``system`` the ``messages`` of a
+    model call. A question without passages, or with a NULL id, stays, with an empty context.
     """
     first = hits.groupBy("question_id", F.sha2(strip(F.col("text")), 256).alias("__same")).agg(
         F.min_by(F.struct("rank", "text"), F.col("rank")).alias("__hit")
     )
     passages = first.groupBy("question_id").agg(F.array_sort(F.collect_list("__hit")).alias("__hits"))
-    context = F.array_join(F.transform("__hits", lambda hit: hit["text"]), "\n\n")
-    joined = questions.join(passages, questions[question] == passages["question_id"]).withColumn("context", context)
-    return (
-        joined.withColumn("prompt", render(frame, {"context": F.col("context"), "question": F.col(text)}))
-        .withColumn("passages", F.size("__hits"))
-        .drop("__hits", "question_id")
+    context = F.coalesce(F.array_join(F.transform("__hits", lambda hit: hit["text"]), "\n\n"), F.lit(""))
+    joined = questions.join(passages, questions[question] == passages["question_id"], "left").withColumn("context", context)
+    out = joined.withColumn("prompt", render(frame, {"context": F.col("context"), "question": F.col(text)})).withColumn(
+        "passages", F.coalesce(F.size("__hits"), F.lit(0))
     )
+    if system is not None:
+        out = out.withColumn("messages", F.array(message("system", F.lit(system)), message("user", F.col("prompt"))))
+    return out.drop("__hits", "question_id")
 
 
 def answer_prompts(
@@ -180,11 +190,23 @@ def answer_prompts(
     chunk_id: str,
     call: Callable[[list[str]], Sequence[Sequence[float]]],
     k: int,
+    hint: str | None = None,
+    frame: str = PROMPT_FRAME,
+    system: str | None = SYSTEM_TURN,
 ) -> DataFrame:
-    """Embed deduplicated chunks and questions, retrieve, deduplicate, and build one prompt per question."""
-    store = embed(chunks, "text", call)
-    asked = embed(questions.where(F.length(strip(F.col(text))) > 0), text, call)
-    hits = nearest(asked, question, "embedding", store, chunk_id, "embedding", k)
-    hits = hits.join(chunks.select(F.col(chunk_id).alias("item_id"), "text"), "item_id")
-    return retrieval_prompts(hits, questions, question, text)
+    """Embed deduplicated chunks and questions, retrieve, deduplicate, and build one prompt per question that is not blank.
 
+    Where the column ``hint`` is not blank, it is searched for in place of the question, which the prompt still asks; ``searched_by`` tells which. Chunks are
+    embedded and written once. Without chunks every question stays, with an empty context.
+    """
+    def filled(column: str) -> Column:
+        return F.nullif(strip(F.col(column)), F.lit(""))
+
+    store = materialize(embed(chunks.select(chunk_id, "text"), "text", call), "chunk-store")
+    asked = questions.where(filled(text).isNotNull())
+    hinted = filled(hint) if hint else F.lit(None).cast("string")
+    asked = asked.withColumn("searched_by", F.when(hinted.isNotNull(), "hint").otherwise("question"))
+    searched = embed(asked.select(question, F.coalesce(hinted, filled(text)).alias("__search")), "__search", call)
+    hits = nearest(searched, question, "embedding", store, chunk_id, "embedding", k, items_written=True)
+    hits = hits.join(store.select(F.col(chunk_id).alias("item_id"), "text"), "item_id")
+    return retrieval_prompts(hits, asked.withColumn(text, strip(F.col(text))), question, text, frame, system)

@@ -99,19 +99,38 @@ def bleu_from_counts(counts: DataFrame, by: Sequence[str] = (), means: Sequence[
 _SCORES = T.StructType([T.StructField(name, T.DoubleType()) for name in ("precision", "recall", "f1")])
 
 
+MATCH_BLOCK = 1024  # tokens of each side whose similarities a task holds at a time: 8 MB, however long the two sides are
+
+
+def greedy_scores(prediction: np.ndarray, reference: np.ndarray, block: int = MATCH_BLOCK) -> tuple[float, float, float]:
+    """Precision, recall and F1 of two matrices of token vectors: the mean best similarity of the rows of either side.
+
+    The best of each row and column are kept while blocks of similarities go by, so that memory grows with the tokens and not with their pairs.
+    """
+
+    def unit(vectors: np.ndarray) -> np.ndarray:
+        vectors = vectors.astype("float64")
+        return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+
+    p, r = unit(prediction), unit(reference)
+    best_p, best_r = np.full(len(p), -np.inf), np.full(len(r), -np.inf)
+    for a in range(0, len(p), block):
+        for b in range(0, len(r), block):
+            similarity = p[a : a + block] @ r[b : b + block].T
+            rows, columns = best_p[a : a + block], best_r[b : b + block]
+            np.maximum(rows, similarity.max(axis=1), out=rows)
+            np.maximum(columns, similarity.max(axis=0), out=columns)
+    precision, recall = best_p.mean(), best_r.mean()
+    total = precision + recall
+    return precision, recall, 2 * precision * recall / total if total else 0.0
+
+
 @F.pandas_udf(_SCORES)
 def _greedy_match(prediction: pd.Series, reference: pd.Series) -> pd.DataFrame:
     scores = np.zeros((len(prediction), 3))
     for row, (p, r) in enumerate(zip(prediction, reference)):
-        if p is None or r is None or len(p) == 0 or len(r) == 0:
-            continue
-        p, r = np.stack(p).astype("float64"), np.stack(r).astype("float64")
-        p = p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-300)
-        r = r / np.maximum(np.linalg.norm(r, axis=1, keepdims=True), 1e-300)
-        similarity = p @ r.T
-        precision, recall = similarity.max(axis=1).mean(), similarity.max(axis=0).mean()
-        total = precision + recall
-        scores[row] = precision, recall, 2 * precision * recall / total if total else 0.0
+        if p is not None and r is not None and len(p) and len(r):
+            scores[row] = greedy_scores(np.stack(p), np.stack(r))
     return pd.DataFrame(scores, columns=["precision", "recall", "f1"])
 
 

@@ -12,6 +12,7 @@ from lathework.operators.ordering import quantiles, with_row_index
 from lathework.plans.evaluate import six
 from lathework.plans.registry import query, table
 from lathework.session import scratch_path
+from lathework.sources import writers
 
 
 def scenario_runs(spark: SparkSession, folder: str) -> DataFrame:
@@ -152,10 +153,10 @@ def serving_percentiles_merged(spark: SparkSession, folder: str) -> DataFrame:
     values = mixing.freeze(_serving_values(spark, folder))
     daily = sketches.sketch_values(values, ["run", "model", "metric"], "x")
     path = scratch_path(spark, "serving-sketches")
-    sketches.store_runs(daily, path, ["run"])
+    writers.store_runs(daily, path, ["run"])
     again = values.where(F.col("run") == values.agg(F.min("run")).scalar())
-    sketches.store_runs(sketches.sketch_values(again, ["run", "model", "metric"], "x"), path, ["run"])
-    merged = sketches.merged_quantiles(sketches.read_runs(spark, path, daily), ["model", "metric"], B.SERVING_LEVELS)
+    writers.store_runs(sketches.sketch_values(again, ["run", "model", "metric"], "x"), path, ["run"])
+    merged = sketches.merged_quantiles(writers.read_runs(spark, path, daily), ["model", "metric"], B.SERVING_LEVELS)
     errors = sketches.rank_errors(values, ["model", "metric"], "x", merged, B.SERVING_LEVELS)
     return merged.drop(*B.SERVING_LEVELS).join(errors, ["model", "metric"]).select(
         "model",

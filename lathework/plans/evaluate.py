@@ -11,7 +11,8 @@ from lathework.operators import inference, mixing, records, retrieval, scoring
 from lathework.operators import messages as M
 from lathework.plans.prepare import exploded
 from lathework.plans.registry import query, table
-from lathework.session import materialize
+from lathework.session import materialize, scratch_path
+from lathework.sources import writers
 
 
 def six(column: str) -> Column:
@@ -224,6 +225,25 @@ def metrics_long(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.metrics_long(summary, ["experiment", "run"], ["accuracy", "length_ratio"])
 
 
+@query(
+    "metrics_append",
+    f"""
+    WITH {_SUMMARY},
+    long AS (SELECT lang AS run, 'accuracy' AS metric, accuracy AS value FROM summary UNION ALL SELECT lang, 'length_ratio', length_ratio FROM summary)
+    SELECT 'eval' AS experiment, run, metric, value FROM long
+    UNION ALL SELECT 'again', run, metric, value FROM long WHERE run >= 'e'
+    """,
+)
+def metrics_append(spark: SparkSession, folder: str) -> DataFrame:
+    """A shared metric table: an experiment appended, another one beside it, and runs of the first written once more."""
+    rows, path = metrics_long(spark, folder), scratch_path(spark, "metrics")
+    keys = ["experiment", "run"]
+    writers.store_runs(rows, path, keys)
+    writers.store_runs(rows.where("run >= 'e'").withColumn("experiment", F.lit("again")), path, keys)
+    writers.store_runs(rows.where("run < 'f'"), path, keys)
+    return writers.read_runs(spark, path, rows)
+
+
 @query(
     "score_histogram",
     """

@@ -61,10 +61,8 @@ def _level(n: int) -> str:
       FROM piece{n} p JOIN documents d USING (doc_id) WHERE long)"""
 
 
-@query(
-    "chunk_recursive",
-    f"""
-    WITH RECURSIVE seg0 AS (SELECT doc_id, text AS t, CAST(0 AS BIGINT) AS a, 0 AS lev FROM documents WHERE length(text) > 0),
+_RECURSIVE = f"""
+    seg0 AS (SELECT doc_id, text AS t, CAST(0 AS BIGINT) AS a, 0 AS lev FROM documents WHERE length(text) > 0),
     {",".join(_level(n) for n in range(4))},
     runs AS (
       SELECT doc_id, list(CAST(s AS BIGINT) ORDER BY s) || [CAST(max(s + len) AS BIGINT)] AS st
@@ -76,12 +74,15 @@ def _level(n: int) -> str:
       SELECT doc_id, st, n, CAST(len(list_filter(st, lambda x: x <= st[n] + 800)) AS BIGINT)
       FROM (SELECT doc_id, st, CAST(1 + len(list_filter(st, lambda x: x < greatest(st[c] - 100, st[c + 1] - 800))) AS BIGINT) AS n
             FROM spans WHERE c < len(st))),
-    cut AS (SELECT doc_id, st[j] AS s, substr(text, st[j] + 1, st[c] - st[j]) AS body FROM spans JOIN documents USING (doc_id))
+    cut AS (SELECT doc_id, st[j] AS s, substr(text, st[j] + 1, st[c] - st[j]) AS body FROM spans JOIN documents USING (doc_id)),
+    recursive_chunks AS (
     SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS INTEGER) AS pos, {_TRIM.format('body')} AS text,
            CAST(s + length(body) - length({_TRIM.format('body').replace('trim(', 'ltrim(', 1)}) AS INTEGER) AS start
-    FROM cut WHERE length({_TRIM.format('body')}) > 0
-    """,
-)
+    FROM cut WHERE length({_TRIM.format('body')}) > 0)
+"""
+
+
+@query("chunk_recursive", f"WITH RECURSIVE {_RECURSIVE} SELECT doc_id, pos, text, start FROM recursive_chunks")
 def chunk_recursive(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.recursive_chunks(table(spark, folder, "documents", costly=True), "doc_id", "text")
 
@@ -244,6 +245,38 @@ def rag_prompt(spark: SparkSession, folder: str) -> DataFrame:
     return prompts.select("item_id", "passages", "prompt")
 
 
+_SEARCH = "CASE WHEN item_id % 3 = 0 THEN substr(text, 1, 40) ELSE text END"
+
+
+@query(
+    "rag_answers",
+    f"""
+    WITH RECURSIVE {_RECURSIVE},
+    firsts AS (SELECT doc_id, pos, text FROM recursive_chunks QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id, pos) = 1),
+    store AS (SELECT text, row_number() OVER (ORDER BY doc_id, pos) - 1 AS chunk_id, {_COUNTS.format('text')} AS e FROM firsts),
+    items AS (SELECT *, sqrt(list_dot_product(e, e)) AS len FROM store),
+    asked AS (SELECT item_id, e, sqrt(list_dot_product(e, e)) AS len
+              FROM (SELECT item_id, {_COUNTS.format('search')} AS e FROM (SELECT item_id, {_TRIM.format(_SEARCH)} AS search FROM benchmark))),
+    s AS (SELECT item_id, chunk_id, i.text, round(CASE WHEN i.len = 0 OR a.len = 0 THEN 0 ELSE list_dot_product(a.e, i.e) / (a.len * i.len) END, 9) AS score
+          FROM asked a, items i),
+    best AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= 4),
+    contexts AS (SELECT item_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS n FROM best GROUP BY item_id)
+    SELECT b.item_id, CASE WHEN b.item_id % 3 = 0 THEN 'hint' ELSE 'question' END AS searched_by, CAST(n AS INTEGER) AS passages,
+           'system|user' AS roles, 'Context:' || chr(10) || context || chr(10) || 'Question: ' || {_TRIM.format('b.text')} AS prompt
+    FROM benchmark b JOIN contexts c USING (item_id) WHERE length({_TRIM.format('b.text')}) > 0
+    """,
+)
+def rag_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Recursive passages of whole documents behind every benchmark text; every third is searched for by a hint."""
+    first = chunks.dedup_chunks(chunk_recursive(spark, folder)).select("doc_id", "pos", "text")
+    store = with_row_index(first, ["doc_id", "pos"], name="chunk_id")
+    asked = table(spark, folder, "benchmark").withColumn("hint", F.when(F.col("item_id") % 3 == 0, F.substring("text", 1, 40)))
+    frame = "Context:\n{context}\nQuestion: {question}"
+    out = retrieval.answer_prompts(asked, "item_id", "text", store, "chunk_id", letter_counts, 4, hint="hint", frame=frame)
+    roles = F.array_join(F.transform("messages", lambda m: m["role"]), "|")
+    return out.select("item_id", "searched_by", "passages", roles.alias("roles"), "prompt")
+
+
 @query(
     "rag_previews",
     """
@@ -321,8 +354,27 @@ def slug_names(spark: SparkSession, folder: str) -> DataFrame:
     """,
 )
 def zip_lines(spark: SparkSession, folder: str) -> DataFrame:
+    zipped, _ = _zipped(spark, folder)
+    return zipped.select(F.col("line").alias("line"), "text", "line_number")
+
+
+def _zipped(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, int]]:
     docs = table(spark, folder, "documents")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "text")
-    zipped = records.zip_lines(records.clean_lines(lines, "line"), turns, ["doc_id", "i"], ["conv_id", "turn"])
-    return zipped.select(F.col("line").alias("line"), "text", "line_number")
+    return records.zip_lines_counted(records.clean_lines(lines, "line"), turns, ["doc_id", "i"], ["conv_id", "turn"])
+
+
+@query(
+    "zip_counts",
+    f"""
+    WITH a AS (SELECT count(*) AS n FROM (SELECT {_TRIM.format('unnest(string_split(text, chr(10)))')} AS line FROM documents) WHERE line <> ''),
+    b AS (SELECT count(*) AS m FROM conversations)
+    SELECT n AS "left", m AS "right", least(n, m) AS paired, abs(n - m) AS cut, least(n, m) AS "rows" FROM a, b
+    """,
+)
+def zip_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """What the zip reports about its two sides, beside the rows that come out."""
+    zipped, counts = _zipped(spark, folder)
+    told = [F.lit(counts[name]).cast("bigint").alias(name) for name in ("left", "right", "paired", "cut")]
+    return zipped.agg(F.count(F.lit(1)).alias("rows")).select(*told, "rows")

@@ -145,6 +145,28 @@ def write_eval_run(spark: SparkSession, folder: str) -> DataFrame:
     return back.join(means, "run_id").select("doc_id", "quality", "run_id", "mean")
 
 
+@query(
+    "write_run_records",
+    """
+    WITH n AS (SELECT CAST(count(*) AS VARCHAR) AS c, quality FROM labels WHERE quality IS NOT NULL GROUP BY quality)
+    SELECT 'q' || quality AS run_id, 'config' AS kind, 'rows' AS name, c AS value FROM n
+    UNION ALL SELECT 'q' || quality, 'config', 'metrics', '["quality"]' FROM n
+    UNION ALL SELECT 'q' || quality, 'prompt', 'judge', 'Rate "{text}"' || chr(10) || 'in ' || c || ' rows' FROM n
+    """,
+)
+def write_run_records(spark: SparkSession, folder: str) -> DataFrame:
+    """A run for each grade of the labels, each written twice, with its settings and prompt templates."""
+    path = scratch_path(spark, "eval")
+    labels = table(spark, folder, "labels").select("doc_id", "quality").where("quality is not null")
+    grades = labels.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per grade
+    for grade in [*grades, *grades]:
+        rows = labels.where(F.col("quality") == grade["quality"])
+        config = {"rows": grade["n"], "metrics": ["quality"]}
+        prompts = {"judge": 'Rate "{text}"\nin %d rows' % grade["n"]}
+        writers.write_run(rows, scoring.mean_summary(rows, ["quality"]), path, f"q{grade['quality']}", config, prompts)
+    return writers.read_run_records(spark, path)
+
+
 @query(
     "preview_json",
     """

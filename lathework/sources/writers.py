@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,13 +34,49 @@ def append_run(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def write_run(results: DataFrame, summary: DataFrame, path: str, run_id: str) -> None:
-    """Results and their one-row summary of a run, under ``results/run_id=...`` and ``summary/run_id=...``.
+def store_runs(rows: DataFrame, path: str, keys: Sequence[str]) -> None:
+    """Append the rows of some runs to a table; a run that is there already is replaced, all others stay.
 
-    A run that is written again replaces itself.
+    ``keys`` name a run; each is a folder, and only the folders of ``rows`` are overwritten, so that a repeated or retried run changes nothing.
     """
-    for name, table in (("results", results), ("summary", summary)):
-        table.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/{name}/run_id={run_id}")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
+def read_runs(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+    """The stored table, in the columns of ``rows``."""
+    return spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
+
+
+def write_run(
+    results: DataFrame, summary: DataFrame, path: str, run_id: str,
+    config: Mapping[str, object] | None = None, prompts: Mapping[str, str] | None = None,
+) -> None:
+    """What a run leaves behind: results and their one-row summary, and its settings and prompt templates if given.
+
+    They lie under ``results/run_id=...``, ``summary/...``, ``config/...`` (one row) and ``prompts/...`` (``name, template``, a row for each). A run that is
+    written again replaces itself.
+    """
+    spark = results.sparkSession
+    tables = {"results": results, "summary": summary}
+    if config is not None:
+        # values of any kind that JSON has; one row
+        tables["config"] = spark.range(1).select(F.lit(json.dumps(config, ensure_ascii=False, sort_keys=True)).alias("value"))
+    if prompts is not None:
+        tables["prompts"] = spark.createDataFrame(sorted(prompts.items()), "name string, template string")
+    for name, table in tables.items():
+        writer = table.write.mode("overwrite")
+        target = f"{path}/{name}/run_id={run_id}"
+        writer.text(target) if name == "config" else writer.option("ignoreNullFields", "false").json(target)
+
+
+def read_run_records(spark: SparkSession, path: str) -> DataFrame:
+    """``run_id, kind, name, value`` of the settings and prompt templates of all runs; a setting that is no text is shown as JSON."""
+    config = spark.read.text(f"{path}/config", wholetext=True).select("value", "run_id")
+    settings = config.select("run_id", F.explode(F.from_json("value", "map<string,string>")).alias("name", "value"))
+    prompts = spark.read.schema("name string, template string, run_id string").json(f"{path}/prompts")
+    return settings.select(F.col("run_id").cast("string").alias("run_id"), F.lit("config").alias("kind"), "name", "value").unionByName(
+        prompts.select("run_id", F.lit("prompt").alias("kind"), "name", F.col("template").alias("value"))
+    )
 
 
 def preview(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:

@@ -204,6 +204,25 @@ def test_status_takes_the_last_update_before_and_after_compaction(spark, tmp_pat
         assert {(r["id"], r["status"]) for r in S.current_status(spark, out, schema, "id", ["at"]).collect()} == expected
 
 
+def test_zipped_lines_are_counted_while_they_are_written(spark):
+    left = spark.range(0, 1000, 1, 7).withColumnRenamed("id", "n")
+    right = spark.range(0, 990, 1, 5).withColumnRenamed("id", "m")
+    with pytest.warns(UserWarning, match="1000 rows against 990"):
+        zipped, counts = records.zip_lines_counted(left, right, ["n"], ["m"])
+    assert counts == {"left": 1000, "right": 990, "paired": 990, "cut": 10}
+    assert zipped.count() == 990 and zipped.where("n <> m or n <> line_number").count() == 0
+
+
+def test_a_run_keeps_its_settings_and_prompts(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0.5)], "id int, score double")
+    for run, depth in (("a", 1), ("b", 2), ("a", 3)):
+        writers.write_run(rows, rows, str(tmp_path), run, {"depth": depth, "name": "é\n", "none": None}, {"q": "Ask {x}\nnow"})
+    found = {(r["run_id"], r["kind"], r["name"]): r["value"] for r in writers.read_run_records(spark, str(tmp_path)).collect()}
+    assert found["a", "config", "depth"] == "3" and found["b", "config", "depth"] == "2"
+    assert found["a", "config", "name"] == "é\n" and found["a", "config", "none"] is None
+    assert found["b", "prompt", "q"] == "Ask {x}\nnow" and len(found) == 8
+
+
 def test_files_settle_with_age(spark, tmp_path):
     (tmp_path / "f.bin").write_bytes(b"x")
     now = F.current_timestamp()

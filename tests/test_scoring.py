@@ -66,6 +66,23 @@ def test_embedding_match(spark):
     assert out[1] == (0.0, 0.0, 0.0) and out[2] == (0.0, 0.0, 0.0)
 
 
+def test_embedding_match_of_long_texts_in_bounded_memory():
+    """20,000 tokens a side: 3.2 GB of similarities, of which 8 MB are held at a time."""
+    import tracemalloc
+
+    draw = np.random.default_rng(3)
+    p, r = draw.normal(size=(20_000, 4)), draw.normal(size=(20_000, 4))
+    tracemalloc.start()
+    found = scoring.greedy_scores(p, r)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+    assert all(0.9 < x <= 1.0 for x in found)
+    some = scoring.greedy_scores(p[:300], r[:200], block=7)
+    cosine = (p[:300] / np.linalg.norm(p[:300], axis=1)[:, None]) @ (r[:200] / np.linalg.norm(r[:200], axis=1)[:, None]).T
+    assert some[:2] == pytest.approx((cosine.max(axis=1).mean(), cosine.max(axis=0).mean()))
+
+
 def test_clamp(spark):
     from lathework.functions.text import clamp_at_zero
 

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from lathework.operators import sketches
+from lathework.sources import writers
 
 LEVELS = {"p1": 0.01, "median": 0.5, "p99": 0.99}
 
@@ -23,8 +24,8 @@ def values(spark):
 
 def test_merged_quantiles_are_near_the_exact_ones(spark, values, tmp_path):
     daily = sketches.sketch_values(values, ["run", "kind"], "x")
-    sketches.store_runs(daily, str(tmp_path / "s"), ["run"])
-    stored = sketches.read_runs(spark, str(tmp_path / "s"), daily)
+    writers.store_runs(daily, str(tmp_path / "s"), ["run"])
+    stored = writers.read_runs(spark, str(tmp_path / "s"), daily)
     merged = {r["kind"]: r for r in sketches.merged_quantiles(stored, ["kind"], LEVELS).collect()}
     exact = np.array([r["x"] for r in values.where("kind = 'a' and x is not null and not isnan(x)").collect()])
     a = merged["a"]
@@ -47,9 +48,9 @@ def test_rank_errors(spark, values):
 def test_a_run_stored_again_replaces_itself_only(spark, values, tmp_path):
     path = str(tmp_path / "runs")
     daily = sketches.sketch_values(values, ["run", "kind"], "x").drop("sketch")
-    sketches.store_runs(daily, path, ["run"])
-    once = sorted(map(str, sketches.read_runs(spark, path, daily).collect()))
-    sketches.store_runs(daily.where("run = 2"), path, ["run"])
-    assert sorted(map(str, sketches.read_runs(spark, path, daily).collect())) == once
-    sketches.store_runs(daily.where("run = 2 and kind = 'b'"), path, ["run"])
-    assert sketches.read_runs(spark, path, daily).where("run = 2").count() == 1
+    writers.store_runs(daily, path, ["run"])
+    once = sorted(map(str, writers.read_runs(spark, path, daily).collect()))
+    writers.store_runs(daily.where("run = 2"), path, ["run"])
+    assert sorted(map(str, writers.read_runs(spark, path, daily).collect())) == once
+    writers.store_runs(daily.where("run = 2 and kind = 'b'"), path, ["run"])
+    assert writers.read_runs(spark, path, daily).where("run = 2").count() == 1

@@ -109,6 +109,23 @@ def test_answer_prompts_from_text_to_prompt(spark):
     assert len(out) == 1 and out[0]["context"] == "the sky is blue"
 
 
+def test_hints_system_turns_and_questions_without_passages(spark):
+    stored = spark.createDataFrame([(0, "apples are red"), (1, "the sky is blue")], "chunk_id long, text string")
+    rows = [(7, " blue sky ", " red apples "), (8, "blue sky", " "), (9, "blue sky", None), (10, None, "red"), (None, "sky", None)]
+    asked = spark.createDataFrame(rows, "id long, q string, h string")
+
+    def letters(batch):
+        return [[float(t.count(c)) for c in "abcdefghijklmnopqrstuvwxyz"] for t in batch]
+
+    out = {r["id"]: r for r in retrieval.answer_prompts(asked, "id", "q", stored, "chunk_id", letters, 1, hint="h").collect()}
+    assert set(out) == {7, 8, 9, None}
+    assert (out[7]["context"], out[7]["searched_by"]) == ("apples are red", "hint") and "Question: blue sky\n" in out[7]["prompt"]
+    assert {(out[n]["context"], out[n]["searched_by"]) for n in (8, 9)} == {("the sky is blue", "question")}
+    assert [m["role"] for m in out[7]["messages"]] == ["system", "user"] and out[7]["messages"][1]["content"] == out[7]["prompt"]
+    nothing = retrieval.answer_prompts(asked, "id", "q", stored.where("chunk_id > 5"), "chunk_id", letters, 3)
+    assert {(r["id"], r["context"], r["passages"]) for r in nothing.collect()} == {(n, "", 0) for n in (7, 8, 9, None)}
+
+
 def test_tokenizers(spark):
     df = spark.createDataFrame([(1, "a bb"), (2, "")], "id long, t string")
     out = {r["id"]: r["tokens"] for r in inference.tokenize(df, "id", "t", lambda t: [len(w) for w in t.split()]).collect()}
