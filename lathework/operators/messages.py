@@ -338,8 +338,19 @@ def _with_system_merged(messages: Column) -> Column:
     return F.aggregate(messages, start, step, finish)
 
 
-def chat_text(messages: Column, layout: str | Layout = "chat-ml") -> Column:
-    """All messages as one text in a named layout or the caller's own."""
+#: The layout that a model brings along itself.
+KEEP_ORIGINAL = "keep-original"
+
+
+def chat_text(messages: Column, layout: str | Layout = "chat-ml", own: Layout | None = None) -> Column:
+    """All messages as one text in a named layout or the caller's.
+
+    ``keep-original`` names the layout that the model brings along, ``own``; it is an error if there is none.
+    """
+    if layout == KEEP_ORIGINAL:
+        if own is None:
+            raise ValueError("keep-original needs the model's own layout")
+        layout = own
     form = CHAT_LAYOUTS[layout] if isinstance(layout, str) else layout
     messages = F.transform(
         messages, lambda m: F.struct(m["role"].alias("role"), F.coalesce(m["content"], F.lit("")).alias("content"))

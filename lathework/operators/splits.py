@@ -183,27 +183,42 @@ def require_full_batches(df: DataFrame, index: str, size: int) -> DataFrame:
 
 
 def even_shards(
-    df: DataFrame, key: Sequence[str], replicas: int, seed: int = 0, shuffle_key: bool = True
+    df: DataFrame, key: Sequence[str], replicas: int, seed: int = 0, shuffle_key: bool = True, pad: str = "head"
 ) -> DataFrame:
-    """Strided shards of equal size; the head (repeated as often as needed) pads the last round.
+    """Strided shards; adds ``shard``, ``position`` within the shard and ``is_pad``.
 
-    Adds ``shard``, ``position`` within the shard and ``is_pad``.
+    ``pad`` says what fills the last round: ``head`` the first rows (repeated as often as needed), ``random`` the first rows too, but seeded random rows if
+    there are at least as many places to fill as rows, ``none`` nothing, so that shards differ by a row at most. Pads are fewer than ``replicas``, and only their places
+    are dealt out anew; all other rows stay where the index leaves them. An empty table has no shards' rows.
     """
+    if pad not in ("head", "random", "none"):
+        raise ValueError(f"unknown padding {pad}")
     if shuffle_key:
         indexed = with_shuffled_index(df, key, seed, name="__i", total="__n")
     else:
         indexed = with_row_index(df, key, name="__i")
         indexed = indexed.withColumn("__n", df.agg(F.count(F.lit(1)).alias("n")).scalar())
-    padded_size = F.ceil(F.col("__n") / replicas) * replicas
-    # copy c of row i sits at i + c * n; a row of the head has one for each that still fits
-    copies = F.floor((padded_size - 1 - F.col("__i")) / F.col("__n"))
-    spread = indexed.withColumn("__c", F.explode(F.sequence(F.lit(0).cast("bigint"), copies)))
-    place = F.col("__i") + F.col("__c") * F.col("__n")
+    missing = F.ceil(F.col("__n") / replicas) * replicas - F.col("__n")
+    if pad == "head":
+        # copy c of row i sits at i + c * n; a row of the head has one for each that still fits
+        copies = F.floor((missing + F.col("__n") - 1 - F.col("__i")) / F.col("__n"))
+        spread = indexed.withColumn("__c", F.explode(F.sequence(F.lit(0).cast("bigint"), copies)))
+        places = spread.withColumns({"__place": F.col("__i") + F.col("__c") * F.col("__n"), "is_pad": F.col("__c") > 0}).drop("__c")
+    else:
+        places = indexed.withColumns({"__place": F.col("__i"), "is_pad": F.lit(False)})
+    if pad == "random":
+        # fewer than `replicas` places, each with the row it takes
+        rows = df.agg(F.count(F.lit(1)).alias("__n"))
+        gaps = rows.where("__n > 0").select("__n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(replicas - 1))).alias("__g")).where(F.col("__g") < missing)
+        gaps = gaps.withColumn("__place", F.col("__n") + F.col("__g"))
+        drawn = F.conv(F.substring(seeded_digest(seed, "__place"), 1, 13), 16, 10).cast("bigint") % F.col("__n")
+        gaps = gaps.select("__place", F.when(missing < F.col("__n"), F.col("__g")).otherwise(drawn).alias("__i"))
+        pads = indexed.join(F.broadcast(gaps), "__i").withColumn("is_pad", F.lit(True))
+        places = places.unionByName(pads.select(*places.columns))
     return (
-        spread.withColumn("shard", place % replicas)
-        .withColumn("position", F.floor(place / replicas))
-        .withColumn("is_pad", F.col("__c") > 0)
-        .drop("__i", "__n", "__c")
+        places.withColumn("shard", F.col("__place") % replicas)
+        .withColumn("position", F.floor(F.col("__place") / replicas))
+        .select(*[f"`{c}`" for c in df.columns], "shard", "position", "is_pad")
     )
 
 

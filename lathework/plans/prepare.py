@@ -584,6 +584,35 @@ def even_shards(spark: SparkSession, folder: str) -> DataFrame:
     return splits.even_shards(table(spark, folder, "orders").select("o_orderkey"), ["o_orderkey"], 7)
 
 
+@query(
+    "shards_unpadded",
+    """
+    WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5('0:' || o_orderkey), o_orderkey) - 1 AS i FROM orders)
+    SELECT i % 7 AS shard, count(*) AS n_rows, count(*) AS valid_rows, CAST(sum(i // 7) AS BIGINT) AS positions FROM r GROUP BY 1
+    """,
+)
+def shards_unpadded(spark: SparkSession, folder: str) -> DataFrame:
+    shards = splits.even_shards(table(spark, folder, "orders").select("o_orderkey"), ["o_orderkey"], 7, pad="none")
+    sizes = splits.shard_sizes(shards).join(shards.groupBy("shard").agg(F.sum("position").alias("positions")), "shard")
+    return sizes.withColumnRenamed("rows", "n_rows")
+
+
+@query(
+    "shards_random_pads",
+    """
+    WITH n AS (SELECT count(*) AS n FROM documents), k AS (SELECT n * 5 // 2 AS replicas, n FROM n),
+    r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('3:' || doc_id), doc_id) - 1 AS i FROM documents),
+    places AS (SELECT unnest(range(replicas)) AS place, n FROM k),
+    taken AS (SELECT place, place >= n AS is_pad, CASE WHEN place < n THEN place ELSE ('0x' || substr(md5('3:' || place), 1, 13))::BIGINT % n END AS i FROM places)
+    SELECT doc_id, place AS shard, CAST(0 AS BIGINT) AS position, is_pad FROM taken JOIN r USING (i)
+    """,
+)
+def shards_random_pads(spark: SparkSession, folder: str) -> DataFrame:
+    """More replicas than documents: the places left over take seeded random documents."""
+    docs = table(spark, folder, "documents").select("doc_id")
+    return splits.even_shards(docs, ["doc_id"], docs.count() * 5 // 2, seed=3, pad="random")
+
+
 @query(
     "pack_sequences",
     f"""

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lathework.operators import inference, scoring
 from lathework.operators import messages as M
 from lathework.plans.evaluate import count_words, six
 from lathework.plans.registry import query, table
-from lathework.session import scratch_path
+from lathework.session import materialize, path_children, path_object, scratch_path
 from lathework.sources import readers, synthetic, writers
 from lathework.streaming import results as S
 
@@ -55,14 +55,54 @@ def roundtrip_jsonl(spark: SparkSession, folder: str) -> DataFrame:
     """,
 )
 def read_json_mixed(spark: SparkSession, folder: str) -> DataFrame:
-    """JSON Lines with broken lines, lines that hold no object, and array files of whole batches."""
-    path = scratch_path(spark, "mixed")
+    """JSON Lines with broken lines and lines that hold no object, array files, and files of one object."""
+    path, rows = _mixed(spark, folder)
+    return readers.read_json_dir(spark, path, rows.schema, refuse=[".json", ".jsonl"])
+
+
+def _mixed(spark: SparkSession, folder: str) -> tuple[str, DataFrame]:
+    """A folder of ``.jsonl`` and ``.json`` files of all events, and the events."""
+    path, staged = scratch_path(spark, "mixed"), scratch_path(spark, "mixed-staged")
     events = table(spark, folder, "events").select("event_id", F.nullif("event_type", F.lit("view")).alias("event_type"))
     good = F.to_json(F.struct("event_id", "event_type"))
     broken = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("{bad "), good)).otherwise(F.concat(F.lit("[1, "), "event_id", F.lit("]")))
-    line = F.when(F.col("event_type") == "error", broken).otherwise(good)
-    events.select(F.coalesce(line, good).alias("value")).write.text(path)
-    return readers.read_json_dir(spark, path, "event_id bigint, event_type string", lines="*.txt")
+    line = F.coalesce(F.when(F.col("event_type") == "error", broken), good)
+    # every fifth event goes into one of some arrays, one of each kind into an object of its own, all others into lines
+    alone = F.row_number().over(Window.partitionBy("kind", "event_type").orderBy("event_id")) == 1
+    placed = events.withColumn("kind", F.when(F.col("event_type") == "error", "lines").otherwise(F.when(F.col("event_id") % 5 == 0, "array").otherwise("lines")))
+    placed = placed.withColumn("kind", F.when(alone & (F.col("kind") == "lines") & (F.coalesce("event_type", F.lit("")) != "error"), "object").otherwise(F.col("kind")))
+    placed = materialize(placed, "mixed-events")
+    arrays = placed.where("kind = 'array'").groupBy((F.col("event_id") % 16).alias("file"))
+    objects = placed.where("kind = 'object'").select(good.alias("value"))
+    parts = {
+        "jsonl": placed.where("kind = 'lines'").select(line.alias("value")),
+        "arrays": arrays.agg(F.to_json(F.collect_list(F.struct("event_id", "event_type"))).alias("value")).select("value"),
+        "objects": objects,
+    }
+    files, target = path_object(spark, path)
+    files.mkdirs(target)
+    for name, part in parts.items():
+        part.write.option("maxRecordsPerFile", 0 if name == "jsonl" else 1).text(f"{staged}/{name}")
+        ending = "jsonl" if name == "jsonl" else "json"
+        for n, file in enumerate(f for f in path_children(spark, f"{staged}/{name}") if f.endswith(".txt")):
+            files.rename(path_object(spark, f"{staged}/{name}/{file}")[1], path_object(spark, f"{path}/{name}-{n}.{ending}")[1])
+    return path, events
+
+
+@query(
+    "read_json_counts",
+    """
+    SELECT count(*) AS records, count(*) FILTER (event_type = 'error') AS bad, count(*) FILTER (event_type <> 'error') AS "rows" FROM events
+    """,
+)
+def read_json_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """What the reader reports of all records, in the pass that counts its rows."""
+    path, rows = _mixed(spark, folder)
+    seen = Observation()
+    read = readers.read_json_dir(spark, path, rows.schema, refuse=[".json", ".jsonl"], seen=seen)
+    counted = materialize(read.agg(F.count(F.lit(1)).alias("rows")), "json-rows")
+    told = seen.get
+    return counted.select(*[F.lit(told[name]).cast("bigint").alias(name) for name in ("records", "bad")], "rows")
 
 
 @query("roundtrip_csv", "SELECT doc_id, text, lang, n_chars FROM documents")

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lathework.operators.ordering import with_row_index
-from lathework.session import path_object
+from lathework.session import path_children, path_object
+
+
+def refuse_other_kinds(spark: SparkSession, path: str, kinds: Sequence[str]) -> None:
+    """An error if a folder holds a file whose name ends in none of ``kinds``; names that begin with a dot or an underscore do not count."""
+    names = [name for name in path_children(spark, path) if not name.startswith((".", "_"))]
+    other = sorted(name for name in names if not name.endswith(tuple(kinds)))
+    if other:
+        raise ValueError(f"{len(other)} files are none of {', '.join(kinds)}: {', '.join(other[:5])}")
 
 
 def read_json_dir(
@@ -17,22 +26,26 @@ def read_json_dir(
     schema: T.StructType | str,
     glob: str | None = None,
     lines: str = "*.jsonl",
+    refuse: Sequence[str] = (),
+    seen: Observation | None = None,
 ) -> DataFrame:
     """All JSON Lines files (``lines``) and ``.json`` files (an object or an array of objects) of a folder.
 
-    Malformed lines, and lines that hold no object, are skipped. A missing folder is an error; a folder
+    Malformed lines, and lines and elements that hold no object, are skipped; ``seen`` is told how many ``records`` there were and how many of them were ``bad``
+    by the pass that reads them (blank lines do not count). A missing folder is an error, as is a file of none of the kinds ``refuse`` lists, if any; a folder
     without such files gives no rows. With ``glob`` the files it matches are read as JSON Lines alone,
     which keeps large files divisible.
     """
     files, folder = path_object(spark, path)
     if not files.exists(folder):
         raise FileNotFoundError(path)
-    by_line = spark.read.option("pathGlobFilter", glob or lines).text(path)
-    found = _objects(by_line, schema)
-    if glob:
-        return found
-    whole = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
-    return found.unionByName(_objects(_elements(whole), schema))
+    if refuse:
+        refuse_other_kinds(spark, path, refuse)
+    found = spark.read.option("pathGlobFilter", glob or lines).text(path)
+    if not glob:
+        whole = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
+        found = found.unionByName(_elements(whole))
+    return _objects(found, schema, seen)
 
 
 def _elements(whole: DataFrame) -> DataFrame:
@@ -45,10 +58,13 @@ def _elements(whole: DataFrame) -> DataFrame:
     )
 
 
-def _objects(lines: DataFrame, schema: T.StructType | str) -> DataFrame:
-    parsed = lines.withColumn("v", F.try_parse_json("value"))
-    objects = parsed.where(F.schema_of_variant("v").startswith("OBJECT"))
-    return objects.select(F.from_json("value", schema).alias("r")).select("r.*")
+def _objects(lines: DataFrame, schema: T.StructType | str, seen: Observation | None = None) -> DataFrame:
+    good = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False))
+    filled = F.coalesce(F.length(F.btrim("value", F.lit(" \t\r\n"))) > 0, F.lit(True))
+    parsed = lines.select("value", good.alias("good"), filled.alias("filled"))
+    if seen is not None:
+        parsed = parsed.observe(seen, F.count_if("filled").alias("records"), F.count_if(F.col("filled") & ~F.col("good")).alias("bad"))
+    return parsed.where("good").select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
 def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
@@ -69,7 +85,8 @@ def read_table(
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """``path, text`` of each ``.txt`` file; files of another kind are refused by the filter."""
+    """``path, text`` of each ``.txt`` file; a file of another kind is an error."""
+    refuse_other_kinds(spark, path, [".txt"])
     texts = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True)
     return texts.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 

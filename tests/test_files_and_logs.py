@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from lathework.functions.text import duration_seconds
@@ -213,6 +214,23 @@ def test_zipped_lines_are_counted_while_they_are_written(spark):
     assert zipped.count() == 990 and zipped.where("n <> m or n <> line_number").count() == 0
 
 
+def test_files_of_other_kinds_are_refused_and_bad_records_counted(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"a": 1}\n\n{bad\n[2]\n{"a": 3}\n')
+    (tmp_path / "b.json").write_text('[{"a": 4}, 5, {"a": 6}]')
+    (tmp_path / "c.json").write_text('{\n "a": 7\n}')
+    (tmp_path / "d.json").write_text("{broken")
+    (tmp_path / "_SUCCESS").write_text("")
+    seen = Observation()
+    rows = readers.read_json_dir(spark, str(tmp_path), "a int", refuse=[".json", ".jsonl"], seen=seen).collect()
+    assert sorted(r["a"] for r in rows) == [1, 3, 4, 6, 7]
+    assert seen.get == {"records": 9, "bad": 4}
+    (tmp_path / "e.pdf").write_bytes(b"%PDF")
+    with pytest.raises(ValueError, match="e.pdf"):
+        readers.read_json_dir(spark, str(tmp_path), "a int", refuse=[".json", ".jsonl"])
+    with pytest.raises(ValueError, match="5 files"):
+        readers.read_documents(spark, str(tmp_path))
+
+
 def test_a_run_keeps_its_settings_and_prompts(spark, tmp_path):
     rows = spark.createDataFrame([(1, 0.5)], "id int, score double")
     for run, depth in (("a", 1), ("b", 2), ("a", 3)):

@@ -106,3 +106,11 @@ def test_bad_turn_without_a_conversation_id(spark):
     df = spark.createDataFrame([(None, 1, "wizard", "x"), (1, 1, "user", "y")], "c int, t int, role string, content string")
     found = {r["c"]: r["skip_reason"] for r in M.normalize_turns(df, "c", "t", "role", "content", M.Roles()).collect()}
     assert found[None].startswith("unknown role") and found[1] == ""
+
+
+def test_keep_original_takes_the_models_own_layout(spark):
+    df = spark.createDataFrame([([("user", "hi"), ("assistant", "yo")],)], "m array<struct<role: string, content: string>>")
+    own = M.Layout({"*": "<{role}>"}, {"*": "</s>"}, opening="^")
+    assert df.select(M.chat_text(F.col("m"), M.KEEP_ORIGINAL, own)).first()[0] == "^<user>hi</s><assistant>yo</s>"
+    with pytest.raises(ValueError):
+        M.chat_text(F.col("m"), M.KEEP_ORIGINAL)

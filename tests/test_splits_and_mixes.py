@@ -125,3 +125,19 @@ def test_caps_and_samples_stay_in_their_partitions(spark):
         assert sample.count() == min(n, 1000)
     assert splits.cap_rows(df, ["k"], 400).rdd.getNumPartitions() == 16
     assert splits.sample_exact(df, ["k"], 400).rdd.getNumPartitions() == 16
+
+
+@pytest.mark.parametrize("n,replicas", [(1, 4), (2, 7), (10, 4), (9, 3), (0, 3)])
+def test_shards_padded_at_random_or_not_at_all(spark, n, replicas):
+    df = spark.range(n).withColumnRenamed("id", "k")
+    padded = splits.even_shards(df, ["k"], replicas, pad="random").collect()
+    total = -(-n // replicas) * replicas
+    assert sorted((r["shard"], r["position"]) for r in padded) == [(i % replicas, i // replicas) for i in sorted(range(total), key=lambda i: (i % replicas, i))]
+    assert sorted(r["k"] for r in padded if not r["is_pad"]) == list(range(n)) and {r["k"] for r in padded} == set(range(n))
+    if 0 < total - n < n:
+        head = splits.even_shards(df, ["k"], replicas, pad="head")
+        assert sorted(map(tuple, padded)) == sorted(map(tuple, head.collect()))
+    plain = splits.even_shards(df, ["k"], replicas, pad="none")
+    assert plain.count() == n and plain.where("is_pad").count() == 0
+    sizes = [r["rows"] for r in splits.shard_sizes(plain).collect()]
+    assert not sizes or max(sizes) - min(sizes) <= 1
