@@ -116,11 +116,17 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     for more in found[1:]:
         runs = runs.union(more)
     first = F.col("pos").bitwiseAND((1 << LINE_BITS) - 1).cast("int")
-    gone = runs.select(
-        F.shiftright("pos", LINE_BITS).alias("n"),
-        F.explode(F.sequence(first, first + F.col("size").cast("int") - 1)).alias("i"),
+    # runs overlap, one may start at every line: they open and close, and what is open somewhere goes, each line once
+    opens = F.struct(first.alias("i"), F.lit(1).alias("d"))
+    closes = F.struct((first + F.col("size").cast("int")).alias("i"), F.lit(-1).alias("d"))
+    edges = runs.select(F.shiftright("pos", LINE_BITS).alias("n"), F.explode(F.array(opens, closes)).alias("e"))
+    steps = edges.groupBy("n", "e.i").agg(F.sum("e.d").alias("d"))
+    along = Window.partitionBy("n").orderBy("i")
+    open_now = F.sum("d").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("open")
+    spans = steps.select("n", "i", open_now, F.lead("i").over(along).alias("z")).where("open > 0")
+    gone = spans.groupBy("n").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "z"))), lambda s: F.sequence(s["i"], s["z"] - 1))).alias("removed")
     )
-    gone = gone.distinct().groupBy("n").agg(F.array_sort(F.collect_list("i")).alias("removed"))
     return scratch.keep(numbered.select("n", "k", "h").join(gone, "n").select("k", "h", "removed"), "removed-lines")
 
 

@@ -146,6 +146,16 @@ def test_line_dedup_of_edge_rows(edge_docs, no_docs):
     assert line_dedup.drop_repeated_runs(no_docs).count() == 0
 
 
+def test_long_stretches_of_equal_lines(spark):
+    """A run starts at every line of a stretch of blank lines; what goes is the later copy, each line once."""
+    blanks, words = [""] * 3000, [f"word{i}" for i in range(60)]
+    text = "\n".join(["a", *blanks, *words, "b"])
+    docs = spark.createDataFrame([(1, text), (2, "\n".join([*blanks, *words, "c"]))], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in line_dedup.drop_repeated_runs(docs, removed_count="gone").collect()}
+    assert out[1]["gone"] == 0 and out[1]["text"] == text
+    assert out[2]["gone"] == 3060 and out[2]["text"] == "c"
+
+
 def test_line_dedup_plan_is_native(edge_docs):
     plan = line_dedup.drop_repeated_runs(edge_docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
