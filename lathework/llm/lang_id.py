@@ -1,7 +1,7 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams."""
 
 import functools
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,8 @@ BUCKETS = 1 << 14
 #: A model of more languages than this is refused, so what is broadcast has a fixed bound (16 MB per 128 languages).
 MAX_LANGUAGES = 512
 UNDETERMINED = "und"
+#: N-grams times languages that are scored together.
+_PRODUCT_CELLS = 4_000_000
 _CODE_POINTS = 0x110000
 
 
@@ -30,8 +32,8 @@ def _alphabet() -> np.ndarray:
     return fold
 
 
-def gram_counts(text: str, buckets: int = BUCKETS, longest: int = LONGEST_GRAM) -> np.ndarray:
-    """How often each bucket's n-grams occur in a text; empty for a text without letters.
+def gram_buckets(text: str, buckets: int = BUCKETS, longest: int = LONGEST_GRAM) -> np.ndarray:
+    """Bucket of each n-gram of a text, in no order; empty for a text without letters.
 
     Runs of characters that are no letters count as one blank, also before the first word and after the last.
     """
@@ -42,14 +44,20 @@ def gram_counts(text: str, buckets: int = BUCKETS, longest: int = LONGEST_GRAM)
         return np.zeros(0, np.int64)
     spoken[1:] |= spoken[:-1].copy()
     padded = np.concatenate([[np.uint64(32)], letters[spoken], [np.uint64(32)]]).astype(np.uint64)
-    counts = np.zeros(buckets, np.int64)
     shift = np.uint64(64 - (buckets.bit_length() - 1))
+    found = []
     for n in range(1, min(longest, len(padded)) + 1):
         mixed = np.full(len(padded) - n + 1, n, np.uint64)
         for k in range(n):
             mixed = (mixed ^ padded[k : len(padded) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
-        counts += np.bincount((mixed >> shift).astype(np.int64), minlength=buckets)
-    return counts
+        found.append((mixed >> shift).astype(np.int64))
+    return np.concatenate(found)
+
+
+def gram_counts(text: str, buckets: int = BUCKETS, longest: int = LONGEST_GRAM) -> np.ndarray:
+    """How often each bucket's n-grams occur in a text; empty for a text without letters."""
+    found = gram_buckets(text, buckets, longest)
+    return np.bincount(found, minlength=buckets) if len(found) else found
 
 
 class NaiveBayes:
@@ -62,14 +70,41 @@ class NaiveBayes:
         self.prior_log = np.log(texts / texts.sum()) if languages else np.zeros(0)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """The likeliest language, ties to the smaller name, and its posterior probability."""
-        counts = gram_counts(text) if text else np.zeros(0, np.int64)
-        if not len(counts) or not self.languages:
-            return UNDETERMINED, 0.0
-        there = np.flatnonzero(counts)
-        scores = self.gram_log[:, there] @ counts[there] + self.prior_log
-        best = int(np.argmax(scores))
-        return self.languages[best], float(1.0 / np.exp(scores - scores[best]).sum())
+        """The likeliest language of one text, ties to the smaller name, and its posterior probability."""
+        return self.predict_all([text])[0]
+
+    def predict_all(self, texts: Sequence[str | None]) -> list[tuple[str, float]]:
+        """The same for many texts: their counts are a sparse matrix (texts x buckets), multiplied by the log probabilities a stretch at a time."""
+        out: list[tuple[str, float]] = []
+        held: list[np.ndarray] = []
+        size = 0
+        for text in texts:
+            held.append(gram_buckets(text) if text and self.languages else np.zeros(0, np.int64))
+            size += len(held[-1])
+            if size * max(1, len(self.languages)) >= _PRODUCT_CELLS:
+                out += self._scored(held)
+                held, size = [], 0
+        return out + self._scored(held)
+
+    def _scored(self, grams: list[np.ndarray]) -> list[tuple[str, float]]:
+        sizes = np.array([len(g) for g in grams], np.int64)
+        spoken = np.flatnonzero(sizes)
+        out = [(UNDETERMINED, 0.0)] * len(grams)
+        if not len(spoken):
+            return out
+        row = np.repeat(np.arange(len(spoken)), sizes[spoken])
+        cell, count = np.unique(row * BUCKETS + np.concatenate([grams[k] for k in spoken]), return_counts=True)
+        row, bucket = cell // BUCKETS, cell % BUCKETS
+        first = np.searchsorted(row, np.arange(len(spoken)))
+        scores = np.empty((len(spoken), len(self.languages)))
+        for k, logs in enumerate(self.gram_log):
+            scores[:, k] = np.add.reduceat(logs[bucket] * count, first) + self.prior_log[k]
+        best = np.argmax(scores, axis=1)
+        top = scores[np.arange(len(spoken)), best]
+        share = 1.0 / np.exp(scores - top[:, None]).sum(axis=1)
+        for place, k, p in zip(spoken.tolist(), best.tolist(), share.tolist()):
+            out[place] = (self.languages[k], p)
+        return out
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,12 +159,12 @@ def predict(docs: DataFrame, model: NaiveBayes, text: str = "text") -> DataFrame
     def tell(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = shared.value
         for batch in texts:
-            yield pd.DataFrame([known.predict(t) for t in batch], columns=["lang_pred", "score"])
+            yield pd.DataFrame(known.predict_all(list(batch)), columns=["lang_pred", "score"])
 
-    said = tell.asNondeterministic()(F.col(f"`{text}`"))  # so that a filter on it does not run it twice
+    said = tell.asNondeterministic()(docs[f"`{text}`"])  # so that a filter on it does not run it twice
     others = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    out = docs.select(*[f"`{c}`" for c in others], said.alias("__said"))
-    return out.select(*[f"`{c}`" for c in others], "__said.lang_pred", "__said.score")
+    out = docs.select(F.struct("*").alias("row"), said.alias("said"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in others], "said.lang_pred", "said.score")
 
 
 def fold_of(key: str = "doc_id", folds: int = 5):
@@ -144,8 +179,8 @@ def held_out_predictions(docs: DataFrame, key: str = "doc_id", text: str = "text
     """
     model = train(docs.where(fold_of(key) != 0), text, lang)
     held = F.coalesce(fold_of(key) == 0, F.lit(False)).alias("held_out")
-    narrow = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("__text"), held)
-    return predict(narrow, model, "__text").drop("__text")
+    told = predict(docs.select(F.struct(docs[f"`{key}`"].alias("key"), held).alias("row"), docs[f"`{text}`"].alias("text")), model)
+    return told.select(F.col("row.key").alias(key), "row.held_out", "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, text: str = "text", lang: str = "lang", min_score: float = 0.3) -> DataFrame:
@@ -156,7 +191,7 @@ def keep_identified(docs: DataFrame, text: str = "text", lang: str = "lang", min
     length is close to 1, so in practice only texts without letters go: noise and texts in no learned language stay. Without any labelled document nothing can be learned, and only texts without letters go.
     """
     model = train(docs, text, lang)
-    told = predict(docs.select("*", F.col(f"`{text}`").alias("__text")), model, "__text")
-    spoken = F.col("lang_pred") != UNDETERMINED if model.languages else F.col("__text").rlike(r"\p{L}")
+    told = predict(docs.select(F.struct("*").alias("row"), docs[f"`{text}`"].alias("text")), model)
+    spoken = F.col("lang_pred") != UNDETERMINED if model.languages else F.col("text").rlike(r"\p{L}")
     enough = F.col("score") >= min_score if model.languages else F.lit(True)
-    return told.where(spoken & enough).select(*[f"`{c}`" for c in docs.columns])
+    return told.where(spoken & enough).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

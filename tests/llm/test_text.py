@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -48,6 +49,68 @@ def test_languages_are_told_apart(spark, edge_docs, no_docs, sf_small):
     assert lang_id.held_out_predictions(no_docs).count() == 0 and lang_id.keep_identified(no_docs).count() == 0
 
 
+def brute_languages(rows):
+    """Naive Bayes over hashed n-grams from dictionaries alone; ``(key, held out, language, score)``."""
+
+    def grams(text):
+        letters = "".join(c.lower()[0] if c.isalpha() else " " for c in text)
+        if not letters.strip():
+            return []
+        padded = [ord(c) for c in " " + " ".join(letters.split()) + " "]
+        out = []
+        for n in (1, 2, 3):
+            for i in range(len(padded) - n + 1):
+                mixed = n
+                for point in padded[i : i + n]:
+                    mixed = ((mixed ^ point) * 0x9E3779B97F4A7C15) % (1 << 64)
+                out.append(mixed >> 50)
+        return out
+
+    held = [zlib.crc32(str(k).encode()) % 5 == 0 if k is not None else False for k, _, _ in rows]
+    sums, texts = {}, {}
+    for (k, text, lang), out in zip(rows, held):
+        if text is not None and lang is not None and k is not None and not out:
+            texts[lang] = texts.get(lang, 0) + 1
+            own = sums.setdefault(lang, {})
+            for g in grams(text):
+                own[g] = own.get(g, 0) + 1
+    found = []
+    for (k, text, _), out in zip(rows, held):
+        seen = grams(text or "")
+        if not seen or not sums:
+            found.append((k, out, "und", 0.0))
+            continue
+        logs = {}
+        for lang, own in sorted(sums.items()):
+            total = sum(own.values()) + (1 << 14)
+            logs[lang] = math.log(texts[lang] / sum(texts.values())) + sum(math.log((own.get(g, 0) + 1) / total) for g in seen)
+        best = max(logs, key=logs.get)
+        found.append((k, out, best, 1 / sum(math.exp(x - logs[best]) for x in logs.values())))
+    return found
+
+
+def test_predictions_equal_brute_force_with_ties_and_clashing_names(spark):
+    draw = random.Random(6)
+    syllables = {"aa": "lo mi ra ne", "bb": "kst gro üß ma", "cc": "wi ra lo zy"}
+    rows = [(i, "  ".join(draw.choice(syllables[lang].split()) for _ in range(draw.choice([1, 3, 40]))), lang) for i in range(60) for lang in [draw.choice("abc") * 2]]
+    rows += [(100, None, "aa"), (101, "", "bb"), (102, "12 ?", "cc"), (None, "lo mi", "aa"), (103, "ra lo", None), (7, "kst", "bb"), (7, "kst", "bb")]
+    schema = "doc_id long, text string, lang string, `row` int, said string, __text string, __said int, lang_pred string, score string"
+    docs = spark.createDataFrame([(*r, 1, "s", "t", 2, "zz", "x") for r in rows], schema).repartition(4)
+    order = lambda r: (r[0] is None, r[0] or 0, r[3])
+    found = sorted(map(tuple, lang_id.held_out_predictions(docs).collect()), key=order)
+    wanted = sorted(brute_languages(rows), key=order)
+    assert [r[:3] for r in found] == [r[:3] for r in wanted]
+    assert [r[3] for r in found] == pytest.approx([r[3] for r in wanted])
+    kept = lang_id.keep_identified(docs)
+    assert kept.columns == docs.columns and {r["__text"] for r in kept.collect()} == {"t"}
+
+
+def test_equal_posteriors_go_to_the_smaller_name():
+    counts = np.array([lang_id.gram_counts("ab ba")] * 2, float)
+    model = lang_id.NaiveBayes(["x", "y"], counts, np.array([2.0, 2.0]))
+    assert model.predict_all(["ab", None, "q r s", ""]) == [("x", 0.5), ("und", 0.0), ("x", 0.5), ("und", 0.0)]
+
+
 def test_too_many_languages_are_refused(spark):
     docs = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "doc_id long, text string, lang string")
     with pytest.raises(ValueError, match="more than 1"):
