@@ -11,11 +11,13 @@ import functools
 import zlib
 from array import array
 from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_type
 
 from lathework.llm.bpe import Coded, word_bpe
 from lathework.llm.common import Scratch
@@ -61,7 +63,7 @@ def best_fit(items: list[tuple], capacity: int, sizes: Callable[[tuple], int]) -
 
 def _piece_type(key: pa.DataType) -> pa.StructType:
     return pa.struct(
-        [("doc_id", key), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
+        [("doc_id", key), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())]
     )
 
 
@@ -75,6 +77,9 @@ def _packed(blocks: Iterable[list[tuple]], capacity: int, schema: pa.Schema, tag
         nonlocal number
         numbers = range(number, number + len(bins)) if numbered else [None] * len(bins)
         number += len(bins) if numbered else 0
+        for _, pieces in bins:
+            for piece, offset in zip(pieces, accumulate((p["length"] for p in pieces), initial=0)):
+                piece["offset"] = offset
         return pa.RecordBatch.from_arrays(
             [pa.array(numbers, pa.int64()), pa.array([b[0] for b in bins], pa.int64()), pa.array([b[1] for b in bins], schema.field("pieces").type)],
             schema=schema,
@@ -131,10 +136,8 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end: int = 0, k
     gives the same numbers.
     """
     scratch = Scratch(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
-    arrow_key = pa.string() if kind == "string" else pa.int64() if kind == "bigint" else pa.int32()
-    schema = _schema(arrow_key)
-    ddl = f"sequence_id long, used long, pieces array<struct<doc_id: {kind}, piece: int, start: long, length: long, ids_crc32: long>>"
+    schema = _schema(to_arrow_type(docs.schema[key].dataType))
+    ddl = from_arrow_schema(schema)
 
     def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coded = _id_bytes(vocabulary)
@@ -180,8 +183,8 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end: int = 0, k
             break
         parts, bins, tag = max(least, parts // FAN_IN, 1), count, tag + 1
         # a different hash each round, so that other bins meet
-        dealt = open_bins.withColumn("__deal", F.xxhash64(F.lit(tag), F.col("pieces")[0])).repartition(parts, "__deal")
-        rounds.append(scratch.keep(dealt.drop("__deal").mapInArrow(again(tag), ddl), "bins"))
+        dealt = open_bins.select("*", F.xxhash64(F.lit(tag), F.monotonically_increasing_id()).alias("deal")).repartition(parts, "deal")
+        rounds.append(scratch.keep(dealt.drop("deal").mapInArrow(again(tag), ddl), "bins"))
     closed = rounds[0].where("sequence_id is not null")
     for later in rounds[1:]:
         closed = closed.unionByName(later.where("sequence_id is not null"))
@@ -189,12 +192,5 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end: int = 0, k
         "sequence_id", F.lit(127 << 56) + F.monotonically_increasing_id()
     )
     closed = closed.unionByName(rest)
-    before = F.transform(
-        F.sequence(F.lit(1), F.size("pieces")),
-        lambda n: F.aggregate(F.slice("pieces", 1, n - 1), F.lit(0).cast("long"), lambda s, p: s + p["length"]),
-    )
-    placed = closed.select("sequence_id", F.explode(F.arrays_zip("pieces", before.alias("offset"))).alias("p"))
-    return placed.select(
-        F.col("p.pieces.doc_id").alias(key), "p.pieces.piece", "p.pieces.start", "p.pieces.length",
-        "p.pieces.ids_crc32", "sequence_id", F.col("p.offset").alias("offset"),
-    )
+    placed = closed.select("sequence_id", F.explode("pieces").alias("p"))
+    return placed.select(F.col("p.doc_id").alias(key), "p.piece", "p.start", "p.length", "p.ids_crc32", "sequence_id", "p.offset")

@@ -92,6 +92,17 @@ def test_best_fit_takes_the_fullest_bin():
     assert sorted(sorted(x[0] for x in b) for b in bins) == [[1], [3, 7], [4, 6]]
 
 
+@pytest.mark.parametrize("kind", ["smallint", "decimal(9,2)", "date", "string"])
+def test_packing_takes_keys_of_any_kind(spark, kind):
+    rows = spark.range(40).selectExpr(
+        f"case when id % 9 = 0 then null when '{kind}' = 'date' then cast(date_add(date'2020-01-01', cast(id as int)) as string) else cast(id as string) end as k",
+        "if(id % 2 = 0, '', repeat('some words ', 5)) as text", "id as __deal",
+    ).selectExpr(f"cast(k as {kind}) as doc_id", "text", "__deal")
+    out = packing.pack(rows, tokenizer_path("word_bpe_49k.json"), capacity=64)
+    assert out.count() == 40 and out.where("doc_id is null").count() == 5
+    assert dict(out.dtypes)["doc_id"] == kind
+
+
 def test_packing_is_gapless_and_holds_every_piece(edge_docs, edge_rows, no_docs, library):
     vocabulary = tokenizer_path("word_bpe_49k.json")
     found = packing.pack(edge_docs, vocabulary).collect()
