@@ -22,8 +22,9 @@ def strip(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Blank-separated tokens."""
-    return F.filter(F.split(text, f"[{WHITESPACE}]+"), lambda token: token != "")
+    """Blank-separated tokens. Every blank becomes a space first, as splitting at one plain character needs no pattern."""
+    spaced = F.translate(text, WHITESPACE, " " * len(WHITESPACE))
+    return F.filter(F.split(spaced, " "), lambda token: token != "")
 
 
 def word_count(text: Column) -> Column:
