@@ -1,14 +1,16 @@
-"""Embedding near-duplicates by buckets of random projections.
+"""Embedding near-duplicates by sorted projection passes.
 
-A pass draws random directions and names each vector by the signs of its projections, one bit per direction. Near vectors often agree
-in all bits, and vectors of one name, a bucket, are compared with each other, all with all. There are as many bits as give even data some
-128 vectors a bucket. The number of passes follows from how many rows there are: it is the one that gives two vectors at the threshold
-more than the wanted chance to share a bucket, however the other rows lie, since no bucket is cut short.
+A pass draws random directions; the signs of a vector's projections on them, one bit each, joined to one number, are its name. All vectors are sorted
+by name, and each is compared with a bounded window of neighbours before and after it. Near vectors often agree in the leading bits and then lie
+in one stretch of the sorted order. A stretch is as many leading bits as give even data half a window of vectors, so its vectors nearly always see each other
+through their windows; one that is longer than a window is compared whole. So two vectors meet in a pass if they agree in its leading bits, however
+dense the region they lie in, and often if they do not. The number of passes follows from how many rows there are: it gives two vectors at the threshold more than
+the wanted chance to agree in some pass. Verified pairs of all passes are united.
 
-A bucket too large for one task is first dealt at random into parts of a bounded size, which are compared like buckets. Then tiles of it meet
-in all pairs, but those of which both sides are known to hang together already; what this leaves is quadratic in the bucket.
+A stretch too large for one task is first dealt at random into parts of a bounded size, which are compared like stretches. Then tiles of it meet
+in all pairs, but those of which both sides are known to hang together already; what this leaves is quadratic in the stretch.
 
-The links of a bucket are kept as stars, one for each set that hangs together, so a large group of copies costs rows in proportion to its members.
+Links are handed on as stars, one for each set that hangs together, so a large group of copies costs rows in proportion to its members.
 What the stars cannot count, the number of a vector's direct links, is then counted exactly within each component, tile by tile.
 """
 
@@ -27,11 +29,11 @@ from pyspark.sql import functions as F
 from lathework.llm.common import Scratch, components, grouped
 from lathework.operators.ordering import with_row_index
 
-#: Vectors before and after it with which a vector shares a bucket, on either side and at least, if they lie evenly.
-WINDOW = 64
+#: Neighbours on either side in the sorted order with which a vector is compared.
+WINDOW = 128
 #: Bits of a name, at most.
 BITS = 48
-#: Vectors of a bucket, or of a part of one, compared in one task.
+#: Vectors of a stretch, or of a part of one, compared whole in one task.
 LARGE = 2048
 #: Chance that a pair at the threshold meets in some pass.
 RECALL = 0.995
@@ -47,17 +49,17 @@ _SEED = 20_240_501
 def passes_for(rows: int, threshold: float, window: int = WINDOW, recall: float = RECALL) -> int:
     """Passes so that a pair at the threshold meets with the wanted chance.
 
-    Two vectors meet if they agree in all ``bits_for`` bits, which are no more than those that leave a window's worth of rows:
+    Two vectors meet if they agree in all ``bits_for`` bits, which are no more than those that leave half a window's worth of rows:
     a bit agrees with a chance of one less their angle over half a turn.
     """
     agree = 1 - math.acos(threshold) / math.pi
-    chance = agree ** max(1.0, math.log2(max(2, rows) / window))
+    chance = agree ** max(1.0, math.log2(max(2, rows) / (window / 2)))
     return max(LEAST_PASSES, math.ceil(math.log(1 - recall) / math.log(1 - chance))) if chance < 1 else LEAST_PASSES
 
 
 def bits_for(rows: int, window: int = WINDOW) -> int:
-    """Bits of a name, so that a bucket of evenly spread rows has two windows at least; none if the table has no more."""
-    return min(BITS, max(0, math.floor(math.log2(max(1, rows) / (2 * window)))))
+    """Leading bits of a stretch, so that evenly spread rows give it half a window at least; none if the table has no more."""
+    return min(BITS, max(0, math.floor(math.log2(max(1, rows) / (window / 2)))))
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -66,14 +68,14 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Vectors of one length from their bytes."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+def _matrix(column: pa.ChunkedArray | pa.Array, kind: str) -> np.ndarray:
+    """Vectors of one length from their bytes, in double precision."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1).astype(np.float64)
 
 
-def _names(passes: range, bits: int, whole: bool = True):
+def _names(passes: range, kind: str, whole: bool = True):
     """Adds the names of passes to blocks of vectors; the vectors stay if ``whole``."""
-    worth = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
+    worth = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,9 +83,9 @@ def _names(passes: range, bits: int, whole: bool = True):
             for dim in np.unique(sizes).tolist():
                 some = pa.array(np.flatnonzero(sizes == dim))
                 rows, raw = batch.column("row").take(some), batch.column("v").take(some)
-                unit = _unit(_matrix(raw))
+                unit = _unit(_matrix(raw, kind))
                 for p in passes:
-                    ways = np.random.default_rng([_SEED, p, dim]).standard_normal((unit.shape[1], BITS))[:, :bits]
+                    ways = np.random.default_rng([_SEED, p, unit.shape[1]]).standard_normal((unit.shape[1], BITS))
                     name = (unit @ ways > 0) @ worth
                     columns = [pa.array(np.full(len(some), p, np.int32)), pa.array(np.full(len(some), dim, np.int32)), pa.array(name), rows]
                     yield pa.RecordBatch.from_arrays(columns + [raw] * whole, names=["pass", "dim", "name", "row", "v"][: 4 + whole])
@@ -115,50 +117,91 @@ def _pairs(stars: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
 
 
-def _buckets(threshold: float):
-    """Links among all vectors of each bucket, or part of one, as stars."""
+def _window_links(unit: np.ndarray, seen: int, window: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of linked vectors at most ``window`` apart in sorted order, pairs within the first ``seen`` left out.
 
-    def stars(rows: list[np.ndarray], unit: list[np.ndarray]) -> list[np.ndarray]:
-        if sum(map(len, rows)) < 2:
-            return []
-        names, unit = np.concatenate(rows), np.concatenate(unit)
-        linked = unit @ unit.T >= threshold
-        np.fill_diagonal(linked, False)
-        return _stars(linked, names) if linked.any() else []
+    The order is cut into strips of a window's length; each strip meets itself and the one before it in one product.
+    """
+    strips = -(-len(unit) // window)
+    padded = np.zeros((strips + 1, window, unit.shape[1]))
+    padded[1:].reshape(-1, unit.shape[1])[: len(unit)] = unit
+    both = np.concatenate([padded[:-1], padded[1:]], axis=1)
+    strip, i, j = np.nonzero(padded[1:] @ both.transpose(0, 2, 1) >= threshold)
+    a, b = strip * window + i, (strip - 1) * window + j
+    real = (b >= 0) & (b < a) & (a - b <= window) & (a >= seen) & (a < len(unit))
+    return a[real], b[real]
+
+
+def _forest(a: np.ndarray, b: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each place that pairs hold to a smaller one, and the smallest that it hangs together with."""
+    least = np.arange(size)
+    while True:
+        low = np.minimum(least[a], least[b])
+        after = least.copy()
+        for places in (a, b, least[a], least[b]):
+            np.minimum.at(after, places, low)
+        after = after[after]
+        if (after == least).all():
+            held = np.flatnonzero(least != np.arange(size))
+            return held, least[held]
+        least = after
+
+
+def _neighbours(threshold: float, window: int, shift: int, kind: str):
+    """Links of a sorted stream: within windows, and within all of each stretch, or part of one, that is longer; as stars."""
+
+    def links(rows: np.ndarray, unit: np.ndarray, stretch: np.ndarray, seen: int) -> list[np.ndarray]:
+        a, b = _window_links(unit, seen, window, threshold)
+        held, least = _forest(a, b, len(rows))
+        found = [np.stack([rows[held], rows[least]])] if len(held) else []
+        cuts = [seen, *(np.flatnonzero((stretch[seen + 1 :] != stretch[seen:-1]).any(axis=1)) + seen + 1).tolist(), len(rows)]
+        for start, end in zip(cuts, cuts[1:]):
+            if end - start > window + 1:
+                linked = unit[start:end] @ unit[start:end].T >= threshold
+                np.fill_diagonal(linked, False)
+                found += _stars(linked, rows[start:end]) if linked.any() else []
+        return found
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows, unit = None, [], []
+        # vectors waiting for the end of their stretch, after ``seen`` that are done and only serve as neighbours
+        held, seen = None, 0
+        rows, unit, stretch = np.zeros(0, np.int64), np.zeros((0, 1)), np.zeros((0, 2), np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("pass", "dim", "name", "part")], axis=1)
-            named, found = np.asarray(batch.column("row")), []
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-            dims = [0, *(np.flatnonzero(keys[1:, 1] != keys[:-1, 1]) + 1).tolist(), len(keys)]
-            matrices = [(a, b, _unit(_matrix(batch.column("v").slice(a, b - a)))) for a, b in zip(dims, dims[1:])]
-            at = 0
+            order = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("pass", "dim")], axis=1)
+            own = np.stack([np.asarray(batch.column("name")) >> shift, np.asarray(batch.column("part"))], axis=1)
+            cuts = [0, *(np.flatnonzero((order[1:] != order[:-1]).any(axis=1)) + 1).tolist(), len(order)]
+            found = []
             for a, b in zip(cuts, cuts[1:]):
-                key = tuple(keys[a].tolist())
-                if key != held:
-                    found += stars(rows, unit)
-                    held, rows, unit = key, [], []
-                while a >= matrices[at][1]:
-                    at += 1
-                rows.append(named[a:b])
-                unit.append(matrices[at][2][a - matrices[at][0] : b - matrices[at][0]])
+                more = _unit(_matrix(batch.column("v").slice(a, b - a), kind))
+                if held != tuple(order[a].tolist()):
+                    if len(rows) > seen:
+                        found += links(rows, unit, stretch, seen)
+                    held, seen = tuple(order[a].tolist()), 0
+                    rows, unit, stretch = rows[:0], more[:0], stretch[:0]
+                rows = np.concatenate([rows, np.asarray(batch.column("row"))[a:b]])
+                unit, stretch = np.concatenate([unit, more]), np.concatenate([stretch, own[a:b]])
+                ended = np.flatnonzero((stretch != stretch[-1]).any(axis=1))
+                done = int(ended[-1]) + 1 if len(ended) else 0
+                if done > seen:
+                    found += links(rows[:done], unit[:done], stretch[:done], seen)
+                    start = max(0, done - window)
+                    rows, unit, stretch, seen = rows[start:], unit[start:], stretch[start:], done - start
             yield _pairs(found)
-        yield _pairs(stars(rows, unit))
+        if len(rows) > seen:
+            yield _pairs(links(rows, unit, stretch, seen))
 
     return run
 
 
-def _across(threshold: float):
+def _across(threshold: float, kind: str):
     """Links between the two tiles of a pair, or within the tile of a pair of one, as stars."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pair in grouped(batches, ["pass", "dim", "name", "i", "j"]):
+        for pair in grouped(batches, ["pass", "dim", "stretch", "i", "j"]):
             ours = np.asarray(pair.column("side")) == 0
-            unit, rows = _unit(_matrix(pair.column("v"))), np.asarray(pair.column("row"))
+            unit, rows = _unit(_matrix(pair.column("v"), kind)), np.asarray(pair.column("row"))
             if ours.all():
                 yield _pairs(_stars(unit @ unit.T >= threshold, rows))
             else:
@@ -167,36 +210,36 @@ def _across(threshold: float):
     return run
 
 
-def _across_tiles(distinct: DataFrame, members: DataFrame, roots: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """``a, b``: links within large buckets, between vectors not known to hang together.
+def _across_tiles(distinct: DataFrame, members: DataFrame, roots: DataFrame, threshold: float, kind: str, scratch: Scratch) -> DataFrame:
+    """``a, b``: links within large stretches, between vectors not known to hang together.
 
-    ``members`` has ``pass, dim, name, row`` of the buckets, ``roots`` what is known. Tiles are cut along the roots, so a pair of tiles of one and the same root is left out.
+    ``members`` has ``pass, dim, stretch, row`` of them, ``roots`` what is known. Tiles are cut along the roots, so a pair of tiles of one and the same root is left out.
     """
-    bucket = ["pass", "dim", "name"]
+    within = ["pass", "dim", "stretch"]
     members = members.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
-    placed = with_row_index(members, ["root", "row"], within=bucket, name="place")
-    placed = scratch.keep(placed.withColumn("tile", F.floor(F.col("place") / LARGE)).drop("place"), "bucket-tiles")
-    tiles = placed.groupBy(*bucket, "tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    first = tiles.select(*bucket, F.col("tile").alias("i"), "lo", "hi")
-    second = tiles.select(*bucket, F.col("tile").alias("j"), F.col("lo").alias("lo_j"), F.col("hi").alias("hi_j"))
+    placed = with_row_index(members, ["root", "row"], within=within, name="place")
+    placed = scratch.keep(placed.withColumn("tile", F.floor(F.col("place") / LARGE)).drop("place"), "stretch-tiles")
+    tiles = placed.groupBy(*within, "tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    first = tiles.select(*within, F.col("tile").alias("i"), "lo", "hi")
+    second = tiles.select(*within, F.col("tile").alias("j"), F.col("lo").alias("lo_j"), F.col("hi").alias("hi_j"))
     known = "lo = hi and lo = lo_j and lo = hi_j"
-    pairs = first.join(second, bucket).where(f"i <= j and not ({known})").select(*bucket, "i", "j")
-    pairs = scratch.keep(pairs, "bucket-tile-pairs")
-    placed = placed.select(*bucket, "row", "tile").join(distinct.select("row", "v"), "row")
-    columns = [*bucket, "i", "j", "side", "row", "v"]
-    left = placed.withColumnRenamed("tile", "i").join(pairs, [*bucket, "i"]).withColumn("side", F.lit(0))
-    right = placed.withColumnRenamed("tile", "j").join(pairs.where("i < j"), [*bucket, "j"]).withColumn("side", F.lit(1))
+    pairs = first.join(second, within).where(f"i <= j and not ({known})").select(*within, "i", "j")
+    pairs = scratch.keep(pairs, "stretch-tile-pairs")
+    placed = placed.select(*within, "row", "tile").join(distinct.select("row", "v"), "row")
+    columns = [*within, "i", "j", "side", "row", "v"]
+    left = placed.withColumnRenamed("tile", "i").join(pairs, [*within, "i"]).withColumn("side", F.lit(0))
+    right = placed.withColumnRenamed("tile", "j").join(pairs.where("i < j"), [*within, "j"]).withColumn("side", F.lit(1))
     dealt = left.select(*columns).union(right.select(*columns)).repartition(*columns[:5]).sortWithinPartitions(*columns[:7])
-    return scratch.keep(dealt.mapInArrow(_across(threshold), "a long, b long").distinct(), "bucket-links")
+    return scratch.keep(dealt.mapInArrow(_across(threshold, kind), "a long, b long").distinct(), "stretch-links")
 
 
-def _count(threshold: float):
+def _count(threshold: float, kind: str):
     """Links of each vector of the first side of a pair of tiles."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in grouped(batches, ["root", "dim", "i", "j"]):
             side = np.array(tile.column("side").to_pylist())
-            unit, weight = _unit(_matrix(tile.column("v"))), np.array(tile.column("copies").to_pylist(), np.int64)
+            unit, weight = _unit(_matrix(tile.column("v"), kind)), np.array(tile.column("copies").to_pylist(), np.int64)
             rows = np.array(tile.column("row").to_pylist(), np.int64)
             ours, theirs = side == 0, (side == 1) if (side == 1).any() else (side == 0)
             linked = unit[ours] @ unit[theirs].T >= threshold
@@ -213,7 +256,7 @@ def near_duplicates(
 
     ``component_id`` is the smallest key that found links reach, the row's own included, and the row whose key it is is kept.
     Vectors that are null, of length zero, or hold a null or non-finite component link with nothing. Vectors of different lengths do not link.
-    Equal vectors are one while links are sought and count with their number. A null key is never the smallest
+    Equal vectors (by 128 bits of digest) are one while links are sought and count with their number. A null key is never the smallest
     unless the whole component has none; such a row is kept if it links with nothing. Repeated keys are rows of their own.
     """
     spark = vectors.sparkSession
@@ -222,35 +265,40 @@ def near_duplicates(
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     # -0.0 becomes 0.0, so that equal vectors have equal digests
     given = given.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
-    digest = F.xxhash64("v", F.lit(1))
-    rows = given.select("key", F.when(F.coalesce(fine, F.lit(False)), digest).alias("row"), "v")
-    distinct = rows.where("row is not null").groupBy("row").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("copies"))
-    as_bytes = distinct.mapInArrow(_as_bytes, "row long, v binary, copies long")
-    distinct = scratch.keep(as_bytes, "distinct-vectors")
+    # floats stay floats on the way; all arithmetic is in double precision
+    kind = "<f4" if vectors.select(F.explode(vectors[f"`{vector}`"])).dtypes[0][1] == "float" else "<f8"
+    named = ["digest", "second"]
+    sound = F.coalesce(fine, F.lit(False))
+    rows = given.select("key", *[F.when(sound, F.xxhash64(F.lit(k), "v")).alias(n) for k, n in enumerate(named)], "v")
+    distinct = rows.where("digest is not null").groupBy(*named).agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("copies"))
+    # row numbers are fixed by writing them
+    distinct = distinct.select(F.monotonically_increasing_id().alias("row"), *named, "copies", "v")
+    distinct = scratch.keep(distinct.mapInArrow(_as_bytes(kind), "row long, digest long, second long, copies long, v binary"), "distinct-vectors")
     count = distinct.count()
     passes, bits = passes_for(count, threshold, window, recall), bits_for(count, window)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bucket = ["pass", "dim", "name"]
+    within, stretch = ["pass", "dim", "stretch"], F.shiftright("name", BITS - bits).alias("stretch")
     found, large = [], []
     for number in range(0, passes, PASSES_AT_ONCE):
         some = range(number, min(passes, number + PASSES_AT_ONCE))
-        named = distinct.select("row", "v").mapInArrow(_names(some, bits), "pass int, dim int, name long, row long, v binary")
-        short = distinct.select("row", "v").mapInArrow(_names(some, bits, False), "pass int, dim int, name long, row long")
-        sizes = short.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE)
+        sorts = distinct.select("row", "v").mapInArrow(_names(some, kind), "pass int, dim int, name long, row long, v binary").select("*", stretch)
+        short = distinct.select("row", "v").mapInArrow(_names(some, kind, False), "pass int, dim int, name long, row long").select("*", stretch)
+        sizes = short.groupBy(*within).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE)
         # at most one row for LARGE rows of a pass, hence the broadcasts
-        sizes = scratch.keep(sizes.select(*bucket, F.ceil(F.col("n") / LARGE).alias("parts")), "large-buckets")
+        sizes = scratch.keep(sizes.select(*within, F.ceil(F.col("n") / LARGE).alias("parts")), "large-stretches")
         part = F.lit(0)
         if sizes.head(1):
-            large.append(scratch.keep(short.join(F.broadcast(sizes), bucket).drop("parts"), "large-bucket-rows"))
-            named = named.join(F.broadcast(sizes), bucket, "left")
+            large.append(scratch.keep(short.join(F.broadcast(sizes), within).drop("parts", "name"), "large-stretch-rows"))
+            sorts = sorts.join(F.broadcast(sizes), within, "left")
             part = F.pmod(F.xxhash64("row", "pass"), F.coalesce("parts", F.lit(1)))
-        named = named.select(*bucket, part.cast("long").alias("part"), "row", "v")
-        dealt = named.repartition(parts, *bucket, "part").sortWithinPartitions(*bucket, "part")
-        found.append(scratch.keep(dealt.mapInArrow(_buckets(threshold), "a long, b long").distinct(), "bucket-links"))
+        sorts = sorts.select(*within, part.cast("long").alias("part"), "name", "row", "v")
+        # equal keys share a partition, so no stretch is cut; windows that reach over a partition's edge end there
+        dealt = sorts.repartitionByRange(parts, *within, "part").sortWithinPartitions(*within, "part", "name", "row").drop("stretch")
+        found.append(scratch.keep(dealt.mapInArrow(_neighbours(threshold, window, BITS - bits, kind), "a long, b long").distinct(), "window-links"))
     links = functools.reduce(DataFrame.union, found)
     roots = scratch.keep(components(links, "a", "b").withColumnRenamed("node", "row"), "roots")
     if large:
-        more = _across_tiles(distinct, functools.reduce(DataFrame.union, large), roots, threshold, scratch)
+        more = _across_tiles(distinct, functools.reduce(DataFrame.union, large), roots, threshold, kind, scratch)
         known = roots.select(F.col("row").alias("a"), F.col("root").alias("b")).where("a != b")
         roots = scratch.keep(components(known.union(more), "a", "b").withColumnRenamed("node", "row"), "roots")
     linked = scratch.keep(distinct.join(roots, "row").withColumn("dim", F.octet_length("v")), "linked-vectors")
@@ -263,9 +311,9 @@ def near_duplicates(
     first = sized.select(*columns, F.col("tile").alias("i"), other.alias("j"), F.lit(0).alias("side"))
     second = sized.select(*columns, other.alias("i"), F.col("tile").alias("j"), F.lit(1).alias("side")).where("i != j")
     dealt = first.union(second).repartition("root", "dim", "i", "j").sortWithinPartitions("root", "dim", "i", "j", "side", "row")
-    counts = dealt.mapInArrow(_count(threshold), "row long, links long").groupBy("row").agg(F.sum("links").alias("links"))
-    known = distinct.select("row", "copies").join(roots, "row", "left").join(counts, "row", "left")
-    placed = rows.drop("v").join(known, "row", "left").withColumn("root", F.coalesce("root", "row"))
+    counts = dealt.mapInArrow(_count(threshold, kind), "row long, links long").groupBy("row").agg(F.sum("links").alias("links"))
+    known = distinct.select("row", *named, "copies").join(roots, "row", "left").join(counts, "row", "left")
+    placed = rows.drop("v").join(known, named, "left").drop(*named).withColumn("root", F.coalesce("root", "row"))
     placed = scratch.keep(placed, "placed-vectors")
     smallest = placed.where("root is not null").groupBy("root").agg(F.min("key").alias("least"))
     least = F.coalesce("least", "key")
@@ -277,7 +325,11 @@ def near_duplicates(
     )
 
 
-def _as_bytes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raw = [np.array(v, np.float64).tobytes() for v in batch.column("v").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(raw, pa.binary()), batch.column("copies")], names=["row", "v", "copies"])
+def _as_bytes(kind: str):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [np.array(v, kind).tobytes() for v in batch.column("v").to_pylist()]
+            others = ["row", "digest", "second", "copies"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(raw, pa.binary())], names=[*others, "v"])
+
+    return run

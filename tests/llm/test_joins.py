@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -287,3 +288,53 @@ def test_tiles_of_short_texts_have_bounded_rows(spark, monkeypatch):
     assert len(found) == 3000 and {r["component_id"] for r in found} == {0}
     sizes = [r["count"] for r in kept["tiles"].groupBy("group", "tile").count().collect()]
     assert sum(sizes) == 3000 and max(sizes) <= 2048
+
+
+def test_windows_of_a_sorted_stream():
+    draw = np.random.default_rng(7)
+    for size, window, seen in [(1, 3, 0), (7, 3, 0), (40, 4, 9), (64, 8, 8), (65, 8, 0)]:
+        unit = embed_dedup._unit(draw.standard_normal((size, 3)))
+        a, b = embed_dedup._window_links(unit, seen, window, 0.8)
+        near = unit @ unit.T >= 0.8
+        wanted = {(i, j) for i in range(seen, size) for j in range(max(0, i - window), i) if near[i, j]}
+        assert set(zip(a.tolist(), b.tolist())) == wanted and len(a) == len(wanted)
+        groups = Groups()
+        for i, j in wanted:
+            groups.join(i, j)
+        held, least = embed_dedup._forest(a, b, size)
+        assert dict(zip(held.tolist(), least.tolist())) == {k: groups.root(k) for k in range(size) if groups.root(k) != k}
+
+
+@pytest.mark.parametrize("batch", [1, 5, 37, 400])
+def test_neighbours_do_not_depend_on_batches(batch):
+    draw = np.random.default_rng(8)
+    window, shift, size = 6, 40, 200
+    vectors = np.repeat(draw.standard_normal((40, 4)), 5, axis=0) + 0.3 * draw.standard_normal((size, 4))
+    order = sorted((int(p), int(draw.choice([0, 0, 0, 1, 2, 3])) << shift, k) for k, p in enumerate(draw.integers(0, 2, size)))
+    table = pa.table({
+        "pass": pa.array([p for p, _, _ in order], pa.int32()), "dim": pa.array([32] * size, pa.int32()),
+        "part": pa.array([0] * size, pa.int64()), "name": pa.array([n for _, n, _ in order], pa.int64()),
+        "row": pa.array([k for _, _, k in order], pa.int64()), "v": pa.array([vectors[k].tobytes() for _, _, k in order], pa.binary()),
+    })
+    run = embed_dedup._neighbours(0.9, window, shift, "<f8")
+    found, wanted = Groups(), Groups()
+    for part in run(iter(table.to_batches(max_chunksize=batch))):
+        for a, b in zip(part.column("a").to_pylist(), part.column("b").to_pylist()):
+            found.join(a, b)
+    unit = embed_dedup._unit(vectors)
+    for i, (p, name, a) in enumerate(order):
+        for j, (q, other, b) in enumerate(order[:i]):
+            if p == q and (name == other or i - j <= window) and unit[a] @ unit[b] >= 0.9:
+                wanted.join(a, b)
+    assert [found.root(k) for k in range(size)] == [wanted.root(k) for k in range(size)]
+
+
+def test_planted_pairs_at_the_threshold_are_found(spark):
+    draw = np.random.default_rng(9)
+    half = embed_dedup._unit(draw.standard_normal((300, 64)))
+    side = draw.standard_normal((300, 64))
+    side = embed_dedup._unit(side - (side * half).sum(axis=1, keepdims=True) * half)
+    vectors = np.concatenate([half, 0.905 * half + math.sqrt(1 - 0.905**2) * side, draw.standard_normal((4000, 64))])
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = {r["vec_id"]: r["component_id"] for r in embed_dedup.near_duplicates(frame).where("n_links > 0").collect()}
+    assert sum(found.get(300 + k) == k for k in range(300)) >= 294
