@@ -5,7 +5,8 @@ segments of ``length x ((difference of means)² + (difference of deviations)²)`
 ``length x (product of means + product of deviations)``. Few long segments give a loose bound for all candidates, more and shorter
 ones a tighter bound for those left, and only what survives all of them gets its exact score.
 
-All candidates are cut into groups of blocks; every block of queries meets every group, and a group hands on its best k per query.
+All candidates are cut into groups of blocks; every block of queries meets every group, and a group hands on its best k per query. A block of
+queries meets a block of candidates in one matrix product per level; a candidate that no query of the block needs any more leaves it.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lathework.llm.common import Scratch, grouped
+from lathework.llm.common import Scratch, grouped, whole_numbers
 
 #: Segments of the levels, coarse to fine.
 LEVELS = (1, 4, 16)
@@ -62,7 +63,7 @@ def _segments(vectors: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Block:
-    """Candidates with their statistics at all levels."""
+    """Vectors with their statistics at all levels."""
 
     def __init__(self, rows: int, ids: bytes, vectors: bytes):
         self.row, self.name = np.frombuffer(ids, np.int64).reshape(rows, 2).T
@@ -70,27 +71,59 @@ class Block:
         self.largest = float(np.abs(self.vectors).max(initial=0))
         self.levels = [np.hstack(_segments(self.vectors, n)) for n in LEVELS] if self.vectors.shape[1] else []
 
-    def scores(self, query: np.ndarray, which: np.ndarray) -> list[int] | np.ndarray:
-        """Exact scores; whole numbers beyond double precision are added up as such."""
-        if self.largest * float(np.abs(query).max(initial=0)) * max(1, len(query)) < EXACT:
-            return (self.vectors[which] @ query).astype(np.int64)
-        whole = [int(x) for x in query]
-        return [sum(int(a) * b for a, b in zip(self.vectors[k], whole)) for k in which]
-
-
-def best_of(block: Block, stats: list[np.ndarray], query: np.ndarray, row: int, k: int, floor: float) -> list[tuple]:
-    """``(-score, name, row)`` of a block's candidates that can be among the best ``k``, given the k-th best score so far."""
-    alive = np.flatnonzero(block.row != row)
-    slack = 1e-9 * (1 + float(np.sqrt((query * query).sum())) * float(np.sqrt(len(query))) * block.largest)
-    for level, own in zip(block.levels, stats):
-        bound = level[alive] @ own + slack
-        if len(alive) > 4 * k:
-            # the exact scores of the most promising raise the floor first
-            first = alive[np.argpartition(-bound, k)[:k]]
-            floor = max(floor, float(min(block.scores(query, first))))
-        alive = alive[bound >= floor]
-    scores = block.scores(query, alive)
-    return [(-int(s), int(block.name[c]), int(block.row[c])) for s, c in zip(scores, alive) if s >= floor]
+
+class Best:
+    """The best ``k`` candidates so far of each query of a block: more score first, then the smaller name, then the smaller row."""
+
+    def __init__(self, asked: Block, k: int):
+        self.asked, self.k = asked, k
+        self.query, self.score, self.name, self.row = (np.zeros(0, np.int64) for _ in range(4))
+        #: k-th best score of each query, none yet if it has fewer candidates
+        self.floors = np.full(len(asked.row), -np.inf)
+
+    def meet(self, block: Block) -> None:
+        asked, k = self.asked, self.k
+        norms = np.sqrt((asked.vectors * asked.vectors).sum(axis=1))
+        slack = 1e-9 * (1 + norms * np.sqrt(asked.vectors.shape[1]) * block.largest)
+        exact = block.largest * asked.largest * max(1, asked.vectors.shape[1]) < EXACT
+        floors, fresh = self.floors, bool(np.isneginf(self.floors).any())
+        alive, which = block.row[:, None] != asked.row[None, :], np.arange(len(block.row))
+        for level, own in zip(block.levels, asked.levels):
+            bound = level[which] @ own.T + slack
+            if fresh and exact and len(which) > 4 * k:
+                # the exact scores of the most promising raise the floors first
+                first = np.argpartition(np.where(alive, -bound, np.inf), k, axis=0)[:k]
+                found = np.einsum("kqd,qd->kq", block.vectors[which[first]], asked.vectors)
+                sure = np.take_along_axis(alive, first, axis=0).all(axis=0)
+                floors = np.maximum(floors, np.where(sure, found.min(axis=0), -np.inf))
+            # a bound that is no number rules nothing out
+            alive &= ~(bound < floors)
+            needed = alive.any(axis=1)
+            which, alive = which[needed], alive[needed]
+        if exact:
+            scores = (block.vectors[which] @ asked.vectors.T).astype(np.int64)
+            c, q = np.nonzero(alive & (scores >= floors))
+            self._add(q, scores[c, q], block.name[which[c]], block.row[which[c]])
+        else:
+            # whole numbers beyond double precision are added up as such
+            c, q = np.nonzero(alive)
+            ours = {i: [int(x) for x in block.vectors[i]] for i in which.tolist()}
+            theirs = [[int(x) for x in v] for v in asked.vectors]
+            sums = [sum(a * b for a, b in zip(ours[i], theirs[j])) for i, j in zip(which[c].tolist(), q.tolist())]
+            scores = np.array([max(-(2**63), min(2**63 - 1, x)) for x in sums], np.int64)
+            self._add(q, scores, block.name[which[c]], block.row[which[c]])
+
+    def _add(self, query: np.ndarray, score: np.ndarray, name: np.ndarray, row: np.ndarray) -> None:
+        query, score = np.concatenate([self.query, query]), np.concatenate([self.score, score])
+        name, row = np.concatenate([self.name, name]), np.concatenate([self.row, row])
+        # ~score turns the order round without leaving the range of a long
+        order = np.lexsort((row, name, ~score, query))
+        place = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+        order, place = order[place < self.k], place[place < self.k]
+        self.query, self.score, self.name, self.row = query[order], score[order], name[order], row[order]
+        last = place == self.k - 1
+        self.floors = np.full(len(self.floors), -np.inf)
+        self.floors[self.query[last]] = self.score[last]
 
 
 def search(
@@ -98,21 +131,20 @@ def search(
 ) -> DataFrame:
     """``query_id, rank, key, score`` (int rank from 1) of each query row's ``k`` largest inner products, of all other rows.
 
-    Components count as ``floor(scale x component)`` in double precision. Ties go to the smaller key. Rows whose key or vector is null, or whose
-    vector has a null or non-finite component, take no part; vectors of other lengths than the query's are no candidates of
+    Components count as ``floor(scale x component)`` in double precision. Ties go to the smaller key; keys are read as longs, and
+    one that is no number ends the job if the session is in ANSI mode. Rows whose key or vector is null, or whose vector has a null or non-finite component, or one
+    that the scale makes so, take no part; vectors of other lengths than the query's are no candidates of
     it. Repeated keys are rows of their own: a query never meets its own row, but may meet another with its key. Scores beyond a long are
-    set to its limits. Only ``key``, ``vector`` and what ``is_query`` reads are read.
+    set to its limits before they are ranked. Only ``key``, ``vector`` and what ``is_query`` reads are read.
     """
     scratch = Scratch(vectors.sparkSession)
-    parts = F.col("v")
     rows = vectors.select(
         vectors[f"`{key}`"].cast("long").alias("name"), vectors[f"`{vector}`"].cast("array<double>").alias("v"),
         F.coalesce(is_query, F.lit(False)).alias("asks"),
     ).where("name is not null and v is not null")
-    rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    whole = F.transform(parts, lambda x: F.floor(x.cast("double") * scale).cast("double"))
+    rows = rows.withColumn("v", whole_numbers("v", scale)).where("v is not null")
     # row numbers are fixed by writing them
-    rows = scratch.keep(rows.select(F.monotonically_increasing_id().alias("row"), "name", whole.alias("v"), "asks"), "vectors")
+    rows = scratch.keep(rows.select(F.monotonically_increasing_id().alias("row"), "name", "v", "asks"), "vectors")
     queries = scratch.keep(
         rows.where("asks").select("row", "name", "v").mapInArrow(lambda b: _pack(b, QUERY_BLOCK), _BLOB), "query-blocks"
     )
@@ -137,18 +169,11 @@ def search(
                 if kind == 0:
                     candidates.append(Block(count, ids, data))
                     continue
-                asked, found = Block(count, ids, data), []
-                for n in range(count):
-                    query, best = asked.vectors[n], []
-                    stats = [level[n] for level in asked.levels]
-                    for block in candidates:
-                        floor = -float(best[k - 1][0]) if len(best) >= k else -np.inf
-                        best = sorted(best + best_of(block, stats, query, int(asked.row[n]), k, floor))[:k]
-                    found += [(int(asked.row[n]), int(asked.name[n]), b[1], max(-(2**63), min(2**63 - 1, -b[0]))) for b in best]
-                columns = list(zip(*found)) or [()] * 4
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()) for c in columns], names=["row", "query_id", "name", "score"]
-                )
+                best = Best(Block(count, ids, data), k)
+                for block in candidates:
+                    best.meet(block)
+                columns = [best.asked.row[best.query], best.asked.name[best.query], best.name, best.score]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["row", "query_id", "name", "score"])
 
     dealt = met.repartition(groups, "group").sortWithinPartitions("group", "dim", "kind", "ids")
     best = dealt.mapInArrow(meet, "row long, query_id long, name long, score long")

@@ -197,10 +197,32 @@ def test_topk(spark, monkeypatch):
     assert topk_search.search(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def block_of(rows):
+    ids = np.array([[k, name] for k, name, _ in rows], np.int64)
+    return topk_search.Block(len(rows), ids.tobytes(), np.array([v for _, _, v in rows], np.float64).tobytes())
+
+
+@pytest.mark.parametrize(("low", "high", "dim"), [(-3, 3, 16), (-1000, 1000, 64), (0, 1, 3), (-(10**9), 10**9, 5), (-(10**12), 10**12, 2)])
+def test_blocks_of_queries_meet_blocks_of_candidates(low, high, dim):
+    draw = random.Random(dim)
+    rows = [(k, draw.randint(0, 60), [draw.randint(low, high) for _ in range(dim)]) for k in range(300)]
+    rows = [(k, name, rows[5][2] if k % 9 == 0 else v) for k, name, v in rows]
+    queries, k = rows[:24], 7
+    best = topk_search.Best(block_of(queries), k)
+    for start in range(0, len(rows), 100):
+        best.meet(block_of(rows[start : start + 100]))
+    capped = lambda x: max(-(2**63), min(2**63 - 1, x))
+    wanted = []
+    for n, (row, _, q) in enumerate(queries):
+        scores = [(-capped(sum(a * b for a, b in zip(q, v))), name, other) for other, name, v in rows if other != row]
+        wanted += [(n, -s, name, other) for s, name, other in sorted(scores)[:k]]
+    assert list(zip(*(c.tolist() for c in (best.query, best.score, best.name, best.row)))) == wanted
+
+
 def test_scores_beyond_double_precision():
-    big = np.array([[3e9, 1.0], [3e9, 2.0]])
-    block = topk_search.Block(2, np.array([[0, 5], [1, 6]]).tobytes(), big.tobytes())
-    assert block.scores(np.array([3e9, 3.0]), np.array([0, 1])) == [9 * 10**18 + 3, 9 * 10**18 + 6]
+    best = topk_search.Best(block_of([(2, 7, [3e9, 3.0])]), 2)
+    best.meet(block_of([(0, 5, [3e9, 1.0]), (1, 6, [3e9, 2.0])]))
+    assert best.score.tolist() == [9 * 10**18 + 6, 9 * 10**18 + 3] and best.name.tolist() == [6, 5]
 
 
 def test_embedding_links(spark, monkeypatch):
