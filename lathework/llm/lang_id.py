@@ -18,6 +18,8 @@ MAX_LANGUAGES = 512
 UNDETERMINED = "und"
 #: N-grams times languages that are scored together.
 _PRODUCT_CELLS = 4_000_000
+#: Texts of fewer n-grams, some ten words, are too short to be told from noise and are never taken for it.
+LEAST_GRAMS = 200
 _CODE_POINTS = 0x110000
 
 
@@ -32,18 +34,20 @@ def _alphabet() -> np.ndarray:
     return fold
 
 
-def gram_buckets(text: str, buckets: int = BUCKETS, longest: int = LONGEST_GRAM) -> np.ndarray:
-    """Bucket of each n-gram of a text, in no order; empty for a text without letters.
-
-    Runs of characters that are no letters count as one blank, also before the first word and after the last.
-    """
+def _letters(text: str) -> np.ndarray:
+    """Lower-cased code points of a text, each run of others as one blank, and a blank on either side; empty without letters."""
     points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
     letters = _alphabet()[points]
     spoken = letters != 32
     if not spoken.any():
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     spoken[1:] |= spoken[:-1].copy()
-    padded = np.concatenate([[np.uint64(32)], letters[spoken], [np.uint64(32)]]).astype(np.uint64)
+    return np.concatenate([[np.uint64(32)], letters[spoken], [np.uint64(32)]]).astype(np.uint64)
+
+
+def _hashed(padded: np.ndarray, buckets: int = BUCKETS, longest: int = LONGEST_GRAM) -> np.ndarray:
+    if not len(padded):
+        return np.zeros(0, np.int64)
     shift = np.uint64(64 - (buckets.bit_length() - 1))
     found = []
     for n in range(1, min(longest, len(padded)) + 1):
@@ -54,6 +58,14 @@ def gram_buckets(text: str, buckets: int = BUCKETS, longest: int = LONGEST_GRAM)
     return np.concatenate(found)
 
 
+def gram_buckets(text: str, buckets: int = BUCKETS, longest: int = LONGEST_GRAM) -> np.ndarray:
+    """Bucket of each n-gram of a text, in no order; empty for a text without letters.
+
+    Runs of characters that are no letters count as one blank, also before the first word and after the last.
+    """
+    return _hashed(_letters(text), buckets, longest)
+
+
 def gram_counts(text: str, buckets: int = BUCKETS, longest: int = LONGEST_GRAM) -> np.ndarray:
     """How often each bucket's n-grams occur in a text; empty for a text without letters."""
     found = gram_buckets(text, buckets, longest)
@@ -75,7 +87,18 @@ class NaiveBayes:
 
     def predict_all(self, texts: Sequence[str | None]) -> list[tuple[str, float]]:
         """The same for many texts: their counts are a sparse matrix (texts x buckets), multiplied by the log probabilities a stretch at a time."""
-        out: list[tuple[str, float]] = []
+        return [(self.languages[k] if n else UNDETERMINED, share) for k, share, _, n in self._score_all(texts)]
+
+    def identified(self, texts: Sequence[str | None], bounds: np.ndarray, min_score: float) -> list[bool]:
+        """Whether each text has letters, a likely enough language, and is not noise by that language's bound on an n-gram's log probability."""
+        return [
+            n > 0 and share >= min_score and (n < LEAST_GRAMS or total >= n * bounds[k])
+            for k, share, total, n in self._score_all(texts)
+        ]
+
+    def _score_all(self, texts: Sequence[str | None]) -> list[tuple[int, float, float, int]]:
+        """Language, posterior, log probability of the n-grams and their number; all 0 for a text that says nothing."""
+        out: list[tuple[int, float, float, int]] = []
         held: list[np.ndarray] = []
         size = 0
         for text in texts:
@@ -86,10 +109,10 @@ class NaiveBayes:
                 held, size = [], 0
         return out + self._scored(held)
 
-    def _scored(self, grams: list[np.ndarray]) -> list[tuple[str, float]]:
+    def _scored(self, grams: list[np.ndarray]) -> list[tuple[int, float, float, int]]:
         sizes = np.array([len(g) for g in grams], np.int64)
         spoken = np.flatnonzero(sizes)
-        out = [(UNDETERMINED, 0.0)] * len(grams)
+        out = [(0, 0.0, 0.0, 0)] * len(grams)
         if not len(spoken):
             return out
         row = np.repeat(np.arange(len(spoken)), sizes[spoken])
@@ -102,8 +125,9 @@ class NaiveBayes:
         best = np.argmax(scores, axis=1)
         top = scores[np.arange(len(spoken)), best]
         share = 1.0 / np.exp(scores - top[:, None]).sum(axis=1)
-        for place, k, p in zip(spoken.tolist(), best.tolist(), share.tolist()):
-            out[place] = (self.languages[k], p)
+        fit = top - self.prior_log[best]
+        for place, *said in zip(spoken.tolist(), best.tolist(), share.tolist(), fit.tolist(), sizes[spoken].tolist()):
+            out[place] = tuple(said)
         return out
 
 
@@ -167,6 +191,33 @@ def predict(docs: DataFrame, model: NaiveBayes, text: str = "text") -> DataFrame
     return out.select(*[F.col("row").getField(c).alias(c) for c in others], "said.lang_pred", "said.score")
 
 
+def noise_bounds(docs: DataFrame, model: NaiveBayes, text: str = "text", lang: str = "lang") -> np.ndarray:
+    """For each language the log probability of an n-gram half way between its texts and the same texts with their letters shuffled.
+
+    Taken from every row with a text and a language; the driver gets one row per language.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        place = {lang: k for k, lang in enumerate(known.languages)}
+        sums = np.zeros((len(place), 3))
+        for batch in batches:
+            for said, spoken in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                letters = _letters(said)
+                mixed, own = letters.copy(), np.flatnonzero(letters != 32)
+                mixed[own] = letters[np.random.default_rng(len(own)).permutation(own)]
+                logs = known.gram_log[place[spoken]]
+                sums[place[spoken]] += len(_hashed(letters)), logs[_hashed(letters)].sum(), logs[_hashed(mixed)].sum()
+        yield pa.RecordBatch.from_arrays([pa.array(known.languages, pa.string()), *map(pa.array, sums.T)], names=["lang", "n", "own", "noise"])
+
+    rows = docs.select(docs[f"`{text}`"].alias("text"), docs[f"`{lang}`"].cast("string").alias("lang"))
+    rows = rows.where("text is not null and lang is not null").mapInArrow(gather, "lang string, n double, own double, noise double")
+    sums = {r["lang"]: r for r in rows.groupBy("lang").agg(*[F.sum(c).alias(c) for c in ("n", "own", "noise")]).collect()}
+    # a language without any letters rules nothing out
+    return np.array([(sums[k]["own"] + sums[k]["noise"]) / 2 / sums[k]["n"] if k in sums and sums[k]["n"] else -np.inf for k in model.languages])
+
+
 def fold_of(key: str = "doc_id", folds: int = 5):
     """Remainder of the checksum of a key's text."""
     return F.crc32(F.col(f"`{key}`").cast("string").cast("binary")) % folds
@@ -186,12 +237,21 @@ def held_out_predictions(docs: DataFrame, key: str = "doc_id", text: str = "text
 def keep_identified(docs: DataFrame, text: str = "text", lang: str = "lang", min_score: float = 0.3) -> DataFrame:
     """The documents whose language can be told, with their own columns.
 
-    Rejected are texts without letters (null and empty ones among them) and those for which no language
-    reaches ``min_score``. With up to three languages the best always has a third, and with a few the posterior of a text of some
-    length is close to 1, so in practice only texts without letters go: noise and texts in no learned language stay. Without any labelled document nothing can be learned, and only texts without letters go.
+    Rejected are texts without letters (null and empty ones among them), those for which no language reaches ``min_score``, and noise: texts whose
+    n-grams are less likely in their likeliest language than its ``noise_bounds``; with fewer than ``LEAST_GRAMS`` n-grams none goes for that. Texts in a language that was not learned go if its letters follow each other unlike those of all learned ones.
+    Without any labelled document nothing can be learned, and only texts without letters go.
     """
     model = train(docs, text, lang)
-    told = predict(docs.select(F.struct("*").alias("row"), docs[f"`{text}`"].alias("text")), model)
-    spoken = F.col("lang_pred") != UNDETERMINED if model.languages else F.col("text").rlike(r"\p{L}")
-    enough = F.col("score") >= min_score if model.languages else F.lit(True)
-    return told.where(spoken & enough).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    told = docs.select(F.struct("*").alias("row"), docs[f"`{text}`"].alias("text"))
+    stays = F.col("text").rlike(r"\p{L}")
+    if model.languages:
+        bounds = noise_bounds(docs, model, text, lang)
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+
+        @F.pandas_udf("boolean")
+        def identified(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for batch in texts:
+                yield pd.Series(shared.value.identified(list(batch), bounds, min_score), dtype=bool)
+
+        stays = identified("text")
+    return told.where(stays).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -111,6 +111,18 @@ def test_equal_posteriors_go_to_the_smaller_name():
     assert model.predict_all(["ab", None, "q r s", ""]) == [("x", 0.5), ("und", 0.0), ("x", 0.5), ("und", 0.0)]
 
 
+def test_noise_is_rejected_and_clean_documents_stay(spark, sf_small):
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet").select("doc_id", "text", "lang")
+    draw = random.Random(4)
+    word = lambda letters: "".join(draw.choice(letters) for _ in range(draw.randint(2, 9)))
+    noise = [(10**9 + k, " ".join(word("abcdefghijklmnopqrstuvwxyz") for _ in range(60)), None) for k in range(40)]
+    foreign = [(2 * 10**9 + k, " ".join(word("αβγδεζηθικλμνξοπρστυφχψω") for _ in range(60)), None) for k in range(10)]
+    short = [(3 * 10**9 + k, t, None) for k, t in enumerate(["ok", "Zq x", "The."])]
+    kept = {r["doc_id"] for r in lang_id.keep_identified(docs.union(spark.createDataFrame(noise + foreign + short, docs.schema))).collect()}
+    spoken = {r["doc_id"] for r in docs.where(r"text rlike '[a-zA-Z]'").collect()}
+    assert kept == spoken | {k for k, *_ in short}
+
+
 def test_too_many_languages_are_refused(spark):
     docs = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "doc_id long, text string, lang string")
     with pytest.raises(ValueError, match="more than 1"):
