@@ -144,8 +144,8 @@ def read_wholetext(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "texts")
     docs = table(spark, folder, "documents", costly=True)
     named = docs.select(F.concat_ws("\n", F.col("doc_id").cast("string"), "text").alias("text"))
-    named.write.option("maxRecordsPerFile", 1).text(path)
-    texts = readers.read_documents(spark, path)
+    writers.write_texts(named, path, "text")
+    texts = readers.read_documents(spark, path, recursive=True)
     head = F.substring_index("text", "\n", 1)
     # the writer ends each file with a line break
     body = F.substr("text", F.length(head) + 2, F.length("text") - F.length(head) - 2)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -9,13 +10,39 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lathework.operators.ordering import with_row_index
-from lathework.session import path_children, path_object
+from lathework.session import path_object
 
 
-def refuse_other_kinds(spark: SparkSession, path: str, kinds: Sequence[str]) -> None:
+def _name(status) -> str:
+    return status.getPath().getName()
+
+
+def _other_names(spark: SparkSession, path: str, kinds: Sequence[str], recursive: bool) -> list[str]:
+    """Names in a folder that end in none of ``kinds``; folders are looked into if ``recursive``.
+
+    A folder whose names all fit is told by two counts, however many files it holds: only of other folders do names come to Python.
+    """
+    files, folder = path_object(spark, path)
+    if not files.exists(folder):
+        return []
+    glob = spark.sparkContext._jvm.org.apache.hadoop.fs.GlobFilter
+    seen, fit = glob("[^._]*"), glob("{" + ",".join("*" + re.sub(r"([^\w.])", r"\\\1", kind) for kind in kinds) + "}")
+    there = files.listStatus(folder, seen)
+    if len(there) == len(files.listStatus(folder, glob("[^._]*", fit))):
+        return []
+    other = []
+    for status in there:
+        name = _name(status)
+        if recursive and status.isDirectory():
+            other += _other_names(spark, status.getPath().toString(), kinds, recursive)
+        elif not name.endswith(tuple(kinds)):
+            other.append(name)
+    return other
+
+
+def refuse_other_kinds(spark: SparkSession, path: str, kinds: Sequence[str], recursive: bool = False) -> None:
     """An error if a folder holds a file whose name ends in none of ``kinds``; names that begin with a dot or an underscore do not count."""
-    names = [name for name in path_children(spark, path) if not name.startswith((".", "_"))]
-    other = sorted(name for name in names if not name.endswith(tuple(kinds)))
+    other = sorted(_other_names(spark, path, kinds, recursive))
     if other:
         raise ValueError(f"{len(other)} files are none of {', '.join(kinds)}: {', '.join(other[:5])}")
 
@@ -84,10 +111,10 @@ def read_table(
     return spark.read.csv(path, schema=schema, sep=sep, header=header, multiLine=multi_line, escape='"')
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """``path, text`` of each ``.txt`` file; a file of another kind is an error."""
-    refuse_other_kinds(spark, path, [".txt"])
-    texts = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True)
+def read_documents(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """``path, text`` of each ``.txt`` file, with ``recursive`` those in folders below too; a file of another kind is an error."""
+    refuse_other_kinds(spark, path, [".txt"], recursive)
+    texts = spark.read.option("pathGlobFilter", "*.txt").option("recursiveFileLookup", recursive).text(path, wholetext=True)
     return texts.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 

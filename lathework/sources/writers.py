@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+import uuid
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lathework.session import path_object
+
 
 def write_jsonl(df: DataFrame, path: str) -> None:
     """JSON Lines with explicit nulls."""
@@ -24,6 +29,37 @@ def write_csv_quoted(df: DataFrame, path: str) -> None:
     df.write.option("quoteAll", "true").option("escape", '"').csv(path, header=True)
 
 
+def write_texts(df: DataFrame, path: str, text: str) -> None:
+    """One ``.txt`` file per row: the text and a line break, in a folder for each task.
+
+    Files are created through ``pyarrow.fs`` (local or mounted folders, S3, GCS, HDFS with its client library), as Hadoop's local file system starts a
+    process for the mode of each. A task writes to a folder of its attempt; those of attempts that won, and that alone, lose their underscore.
+    """
+    spark = df.sparkSession
+    files, folder = path_object(spark, path)
+    base = folder.makeQualified(files.getUri(), files.getWorkingDirectory()).toString().rstrip("/")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri("file:///" + base[6:].lstrip("/") if base.startswith("file:/") else base)
+        name, n = f"_{uuid.uuid4().hex}", 0
+        for batch in batches:
+            if not n:
+                store.create_dir(f"{root}/{name}", recursive=True)
+            for start in range(0, len(batch), 64):
+                for value in batch.column(0).slice(start, 64).to_pylist():
+                    with store.open_output_stream(f"{root}/{name}/{n:09}.txt") as out:
+                        out.write(f"{value or ''}\n".encode())
+                    n += 1
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.string())], names=["name"])
+
+    files.mkdirs(folder)
+    won = df.select(F.col(text).alias("text")).mapInArrow(run, "name string").collect()  # a row per task
+    for name in (row["name"] for row in won):
+        if not files.rename(path_object(spark, f"{path}/{name}")[1], path_object(spark, f"{path}/{name[1:]}")[1]):
+            raise OSError(f"{path}/{name} could not be renamed")
+
+
 def write_tsv(df: DataFrame, path: str) -> None:
     """Tab-separated without a header."""
     df.write.csv(path, sep="\t", header=False)

@@ -280,3 +280,31 @@ def test_a_run_reads_the_ledger_and_no_published_rows(spark, tmp_path):
     S.publish_settled(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), 0, later)
     files = S.ledger(spark, str(tmp_path / "out")).inputFiles()
     assert files and all("/_ledger/" in f for f in files)
+
+
+def test_texts_come_back_whole_from_a_folder_for_each_task(spark, tmp_path):
+    rows = [(1, "a\n\nb"), (2, ""), (3, "Ünï 🙂\r\n"), (4, None), (1, "a\n\nb")]
+    df = spark.createDataFrame(rows, "id int, t string").repartition(3)
+    writers.write_texts(df, str(tmp_path / "texts"), "t")
+    found = sorted(r["text"] for r in readers.read_documents(spark, str(tmp_path / "texts"), recursive=True).collect())
+    assert found == sorted((t or "") + "\n" for _, t in rows)
+    assert all(f.suffix == ".txt" for f in tmp_path.glob("texts/*/[!.]*"))
+    nested = tmp_path / "texts" / "more"
+    nested.mkdir()
+    (nested / "x.pdf").write_bytes(b"%PDF")
+    with pytest.raises(ValueError, match="1 files .* x.pdf"):
+        readers.read_documents(spark, str(tmp_path / "texts"), recursive=True)
+
+
+def test_names_of_fitting_files_stay_in_the_jvm(spark, tmp_path, monkeypatch):
+    for n in range(3):
+        (tmp_path / f"{n}.txt").write_text("x")
+    listed = []
+    monkeypatch.setattr(readers, "_name", lambda status: listed.append(1) or status.getPath().getName())
+    readers.refuse_other_kinds(spark, str(tmp_path), [".txt"])
+    assert not listed
+    (tmp_path / "a+b.pdf").write_text("x")
+    readers.refuse_other_kinds(spark, str(tmp_path), [".txt", "+b.pdf"])
+    assert not listed
+    with pytest.raises(ValueError, match="a.b.pdf"):
+        readers.refuse_other_kinds(spark, str(tmp_path), [".txt"])
