@@ -6,10 +6,12 @@ from collections.abc import Callable, Sequence
 from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lathework.functions.templates import render
 from lathework.functions.text import strip
@@ -19,10 +21,19 @@ from lathework.session import materialize
 
 BLOCK_BYTES = 64 << 20  # vectors of one side that a task holds
 _SCAN_CELLS = 4_000_000  # scores a task holds at a time
+_TILE = 512, 2048  # questions and items whose products of single precision a task holds at a time
+_EXACT = 1 << 16  # pairs whose vectors a task gathers at a time
+_PAIRS_PER_CORE = 4  # pairs of blocks, if the blocks get no smaller than this:
+_LEAST_BLOCK = 1024
 
 
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    return np.stack(vectors.to_numpy()).astype("float64") if len(vectors) else np.zeros((0, 0))
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows of doubles; they do not become Python objects. A null component is not a number."""
+    widths = pc.unique(pc.list_value_length(vectors)).to_pylist()
+    if len(widths) > 1:
+        raise ValueError(f"vectors of different lengths: {sorted(widths)[:5]}")
+    flat = pc.list_flatten(vectors).to_numpy().astype("float64")
+    return flat.reshape(len(vectors), widths[0]) if widths else np.zeros((0, 0))
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -37,6 +48,15 @@ def _nothing() -> Best:
     return np.empty(0, dtype="int64"), np.empty(0, dtype="int64"), np.empty(0)
 
 
+def _kept(found: Best, k: int) -> Best:
+    """Best score first, then smallest id, and the first ``k`` of each question."""
+    row, item, score = found
+    order = np.lexsort((item, -score, row))
+    row, item, score = row[order], item[order], score[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[kept], item[kept], score[kept]
+
+
 def _better(best: Best, questions: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, digits: int) -> Best:
     """The best ``k`` items per question of those so far and some more, scored a bounded number at a time."""
     step = max(64, _SCAN_CELLS // max(1, len(questions)))
@@ -47,18 +67,57 @@ def _better(best: Best, questions: np.ndarray, ids: np.ndarray, vectors: np.ndar
         else:
             row, column = np.nonzero(np.ones(scores.shape, dtype=bool))
         found = row, ids[start : start + step][column], scores[row, column]
-        row, item, score = (np.concatenate(pair) for pair in zip(best, found))
-        # best score first, then smallest id, and the first k of each question
-        order = np.lexsort((item, -score, row))
-        row, item, score = row[order], item[order], score[order]
-        kept = np.arange(len(row)) - np.searchsorted(row, row) < k
-        best = row[kept], item[kept], score[kept]
+        best = _kept(tuple(np.concatenate(pair) for pair in zip(best, found)), k)
     return best
 
 
-def _as_frame(question_ids: np.ndarray, best: Best) -> pd.DataFrame:
+def _first_copies(ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
+    """Places of the items that may be among any question's best ``k``: of equal vectors the ``k`` with the smallest ids."""
+    same = np.unique(np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.itemsize * vectors.shape[1]))).ravel(), return_inverse=True)[1]
+    order = np.lexsort((ids, same))
+    same = same[order]
+    return order[np.arange(len(same)) - np.searchsorted(same, same) < k]
+
+
+def _search(questions: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, digits: int) -> Best:
+    """The best ``k`` items per question. Products of single precision, with a bound on their error, rule items out; the rest are scored in double precision.
+
+    Both sides go by tiles, so memory does not grow with their product.
+    """
+    largest = max(np.abs(questions).max(initial=0), np.abs(vectors).max(initial=0)) if vectors.shape[1] else np.inf
+    if not largest < 1e15:  # missing or huge components: the plain way
+        return _better(_nothing(), questions, ids, vectors, k, digits)
+    kept = _first_copies(ids, vectors, k)
+    ids, vectors = ids[kept], vectors[kept]
+    asked, stored = questions.astype("float32"), vectors.astype("float32")
+    norms = np.sqrt((questions * questions).sum(axis=1)) * np.sqrt((vectors * vectors).sum(axis=1).max(initial=0))
+    slack = (vectors.shape[1] + 8) * 2.0**-23 * norms + 10.0**-digits + 1e-30
+    parts = [_nothing()]
+    for first in range(0, len(questions), _TILE[0]):
+        rows = slice(first, first + _TILE[0])
+        best = _nothing()
+        floors = np.full(len(asked[rows]), -np.inf)
+        for start in range(0, len(ids), _TILE[1]):
+            scores = asked[rows] @ stored[start : start + _TILE[1]].T
+            if start == 0 and scores.shape[1] > k:
+                floors = np.partition(scores, -k, axis=1)[:, -k] - slack[rows]
+            bounds = np.nextafter((floors - slack[rows]).astype("float32"), np.float32(-np.inf))
+            hit = np.flatnonzero(scores >= bounds[:, None])
+            for piece in range(0, len(hit), _EXACT):
+                row, column = np.divmod(hit[piece : piece + _EXACT], scores.shape[1])
+                column += start
+                exact = np.round(np.einsum("ij,ij->i", questions[rows][row], vectors[column]), digits)
+                best = _kept(tuple(np.concatenate(pair) for pair in zip(best, (row, ids[column], exact))), k)
+            if len(best[0]) == k * len(floors):
+                floors = best[2][k - 1 :: k]
+        parts.append((best[0] + first, *best[1:]))
+    return tuple(np.concatenate(column) for column in zip(*parts))
+
+
+def _as_table(asked: pa.Table, best: Best, schema: pa.Schema) -> pa.Table:
     row, item, score = best
-    return pd.DataFrame({"question_id": question_ids[row], "item_id": item, "score": score})
+    columns = asked["question_id"].take(pa.array(row)), pa.array(item, from_pandas=True), pa.array(score, from_pandas=True)
+    return pa.Table.from_arrays([c.cast(field.type) for c, field in zip(columns, schema)], schema=schema)
 
 
 def _block_pairs(
@@ -75,20 +134,32 @@ def _block_pairs(
     left = questions.withColumn("q", block("question_id", banks)).withColumn("i", every(blocks))
     right = items.withColumn("i", block("item_id", blocks)).withColumn("q", every(banks))
 
-    def run(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
+    arrow = to_arrow_schema(schema)
+
+    def run(asked: pa.Table, stored: pa.Table) -> pa.Table:
         best = _nothing()
         if len(asked) and len(stored):
             vectors = prepare(_matrix(stored["vector"]))
-            best = _better(best, prepare(_matrix(asked["vector"])), stored["item_id"].to_numpy(), vectors, k, digits)
-        return _as_frame(asked["question_id"].to_numpy(), best)
+            best = _search(prepare(_matrix(asked["vector"])), stored["item_id"].to_numpy(), vectors, k, digits)
+        return _as_table(asked, best, arrow)
 
-    return left.groupBy("q", "i").cogroup(right.groupBy("q", "i")).applyInPandas(run, schema)
+    return left.groupBy("q", "i").cogroup(right.groupBy("q", "i")).applyInArrow(run, schema)
 
 
-def _blocks(side: DataFrame, block_bytes: int) -> int:
-    """Blocks of a table of vectors, twice as many as its doubles fill, as blocks are even on average only."""
-    rows, width = side.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
-    return max(1, -(-2 * rows * max(1, width) * 8 // block_bytes))
+def _blocks(asked: DataFrame, stored: DataFrame, block_bytes: int) -> list[int]:
+    """Blocks of two tables of vectors: twice as many as their doubles fill, as blocks are even on average only, and enough pairs for all cores."""
+    counts, parts = [], []
+    for side in (asked, stored):
+        rows, width = side.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
+        counts.append(rows)
+        parts.append(max(1, -(-2 * rows * max(1, width) * 8 // block_bytes)))
+    wanted = _PAIRS_PER_CORE * asked.sparkSession.sparkContext.defaultParallelism
+    while parts[0] * parts[1] < wanted:
+        longer = 0 if counts[0] // parts[0] > counts[1] // parts[1] else 1
+        if counts[longer] // parts[longer] < 2 * _LEAST_BLOCK:
+            break
+        parts[longer] += 1
+    return parts
 
 
 def nearest(
@@ -119,7 +190,7 @@ def nearest(
     schema = T.StructType([asked.schema["question_id"], stored.schema["item_id"], T.StructField("score", T.DoubleType())])
     prepare = _unit if cosine else np.asarray
     asked, stored = materialize(asked, "questions"), stored if items_written else materialize(stored, "items")
-    banks, blocks = (_blocks(side, block_bytes) for side in (asked, stored))
+    banks, blocks = _blocks(asked, stored, block_bytes)
     candidates = _block_pairs(asked, banks, stored, blocks, schema, prepare, k, digits)
     best = Window.partitionBy("question_id").orderBy(F.col("score").desc(), F.col("item_id"))
     return candidates.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

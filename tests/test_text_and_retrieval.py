@@ -132,3 +132,30 @@ def test_tokenizers(spark):
     assert out == {1: [1, 2], 2: []}
     counted = df.select(inference.token_counts(F.col("t"), lambda t: len(t.split())).alias("n")).collect()
     assert [r["n"] for r in counted] == [2, 0]
+
+
+def test_tiles_search_exactly_and_in_bounded_memory():
+    """Copies, ties, vectors of length zero and near misses; as whole products of double precision find them."""
+    import tracemalloc
+
+    draw = np.random.default_rng(4)
+    items = retrieval._unit(draw.normal(size=(6000, 8)))
+    items[1000:3000] = items[7]
+    items[3000:3010] = items[7] + 1e-8 * draw.normal(size=(10, 8))
+    items[5] = 0
+    ids = draw.permutation(6000)
+    questions = items[::5]
+    expected = retrieval._better(retrieval._nothing(), questions, ids, items, 5, 9)
+    tracemalloc.start()
+    found = retrieval._search(questions, ids, items, 5, 9)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20
+    assert all((a == b).all() for a, b in zip(found[:2], expected[:2]))
+    assert found[2] == pytest.approx(expected[2], abs=1e-9)
+
+
+def test_small_tables_are_paired_by_all_cores(spark):
+    v = spark.range(20_000).select("id", F.array(F.col("id") % 7).alias("vector"))
+    banks, blocks = retrieval._blocks(v, v, 64 << 20)
+    assert banks * blocks >= 2 * spark.sparkContext.defaultParallelism
