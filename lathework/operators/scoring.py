@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,15 +27,32 @@ _ORDERS = range(1, BLEU_ORDER + 1)
 _MATCHES = T.StructType([T.StructField(f"match_{n}", T.LongType()) for n in _ORDERS])
 
 
-@F.pandas_udf(_MATCHES)
-def _clipped_matches(prediction: pd.Series, references: pd.Series) -> pd.DataFrame:
-    """Count the n-grams of a whole Arrow batch at once: tokens and then grams become integer codes."""
-    rows = len(prediction)
-    texts = [*prediction, *(text for group in references for text in group)]
-    owner = np.concatenate([np.arange(rows), np.repeat(np.arange(rows), [len(group) for group in references])])
-    text_of = np.repeat(np.arange(len(texts)), [len(text) for text in texts])
-    codes = pd.factorize(np.concatenate([np.asarray(text, dtype=object) for text in texts]))[0].astype("int64")
-    matches = {}
+_SLICE_TOKENS = 1 << 18  # tokens whose n-grams are counted at a time, or those of one row
+
+
+@F.arrow_udf(_MATCHES)
+def _clipped_matches(prediction: pa.Array, references: pa.Array) -> pa.Array:
+    """Count the n-grams of stretches of an Arrow batch; no token becomes a Python object."""
+    ends = np.cumsum(np.diff(prediction.offsets)) + np.cumsum(np.diff(references.flatten().offsets.take(references.offsets)))
+    found, start = [np.zeros((0, len(_ORDERS)), "int64")], 0
+    while start < len(prediction):
+        limit = _SLICE_TOKENS + (ends[start - 1] if start else 0)
+        stop = max(start + 1, int(np.searchsorted(ends, limit, side="right")))
+        found.append(_matches_of(prediction.slice(start, stop - start), references.slice(start, stop - start)))
+        start = stop
+    counts = np.concatenate(found)
+    return pa.StructArray.from_arrays([pa.array(c) for c in counts.T], names=[f"match_{n}" for n in _ORDERS])
+
+
+def _matches_of(prediction: pa.Array, references: pa.Array) -> np.ndarray:
+    """Clipped matches by row and order: tokens and then grams become integer codes."""
+    rows, others = len(prediction), references.flatten()
+    owner = np.concatenate([np.arange(rows), np.repeat(np.arange(rows), references.value_lengths().to_numpy())])
+    sizes = np.concatenate([prediction.value_lengths().to_numpy(), others.value_lengths().to_numpy()])
+    text_of = np.repeat(np.arange(len(sizes)), sizes)
+    tokens = pa.concat_arrays([prediction.flatten(), others.flatten()])
+    codes = tokens.dictionary_encode().indices.to_numpy().astype("int64")
+    matches = []
     gram = codes
     for n in _ORDERS:
         if n > 1:
@@ -46,9 +64,8 @@ def _clipped_matches(prediction: pd.Series, references: pd.Series) -> pd.DataFra
         predicted = seen // width < rows
         allowed = pd.Series(times[~predicted]).groupby(key[~predicted]).max()
         clipped = np.minimum(times[predicted], allowed.reindex(key[predicted], fill_value=0).to_numpy())
-        counts = np.bincount(seen[predicted] // width, weights=clipped, minlength=rows)
-        matches[f"match_{n}"] = counts.astype("int64")
-    return pd.DataFrame(matches)
+        matches.append(np.bincount(seen[predicted] // width, weights=clipped, minlength=rows).astype("int64"))
+    return np.stack(matches, axis=1)
 
 
 def bleu_counts(df: DataFrame, key: str, prediction: str, references: str, keep: Sequence[str] = ()) -> DataFrame:

@@ -224,3 +224,23 @@ def test_embedding_is_called_once_and_never_with_a_missing_text(spark):
     assert sorted(r["embedding"] or [] for r in out.collect()) == [[], [1.0], [2.0]]
     plan = out.where("embedding is not null")._jdf.queryExecution().toString().split("Physical Plan")[1]
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_bleu_counts_in_stretches_hold_no_token_as_an_object(monkeypatch):
+    """400,000 tokens a side: fewer objects than tokens, and the counts of stretches are those of the whole."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    draw = np.random.default_rng(6)
+    texts = [[str(w) for w in draw.integers(0, 900, size=n)] for n in (0, 3, 200_000, 1, 0, 199_996)]
+    prediction = pa.array(texts, pa.list_(pa.string()))
+    references = pa.array([[t[::-1], t[:5]] if t else [] for t in texts], pa.list_(pa.list_(pa.string())))
+    whole = scoring._matches_of(prediction, references)
+    count = scoring._clipped_matches.func
+    tracemalloc.start()
+    assert count(prediction, references).to_pylist() == [dict(zip(("match_1", "match_2", "match_3", "match_4"), row)) for row in whole.tolist()]
+    assert tracemalloc.get_traced_memory()[1] < 80 << 20
+    tracemalloc.stop()
+    monkeypatch.setattr(scoring, "_SLICE_TOKENS", 5)
+    assert [list(r.values()) for r in count(prediction[1:], references[1:]).to_pylist()] == whole[1:].tolist()
