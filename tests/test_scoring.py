@@ -244,3 +244,11 @@ def test_bleu_counts_in_stretches_hold_no_token_as_an_object(monkeypatch):
     tracemalloc.stop()
     monkeypatch.setattr(scoring, "_SLICE_TOKENS", 5)
     assert [list(r.values()) for r in count(prediction[1:], references[1:]).to_pylist()] == whole[1:].tolist()
+
+
+def test_requests_become_objects_a_few_at_a_time():
+    import pyarrow as pa
+
+    batch = pa.array(["x"] * 1000)
+    parts = inference._stretches(batch, 64)
+    assert len(next(parts)) == 64 and sum(map(len, parts)) == 936

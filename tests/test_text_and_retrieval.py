@@ -159,3 +159,11 @@ def test_small_tables_are_paired_by_all_cores(spark):
     v = spark.range(20_000).select("id", F.array(F.col("id") % 7).alias("vector"))
     banks, blocks = retrieval._blocks(v, v, 64 << 20)
     assert banks * blocks >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_tokenizing_holds_few_texts_at_a_time(spark):
+    """Each stretch of texts leaves as a batch of its own, and large keys stay exact beside missing ones."""
+    df = spark.createDataFrame([(None if i == 3 else (1 << 60) + i, "a bc") for i in range(200)], "id long, t string").coalesce(1)
+    out = inference.tokenize(df, "id", "t", lambda t: [len(w) for w in t.split()])
+    assert {r["id"] for r in out.collect()} == {None if i == 3 else (1 << 60) + i for i in range(200)}
+    assert "MapInArrow" in out._jdf.queryExecution().toString()
