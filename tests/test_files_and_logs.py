@@ -308,3 +308,18 @@ def test_names_of_fitting_files_stay_in_the_jvm(spark, tmp_path, monkeypatch):
     assert not listed
     with pytest.raises(ValueError, match="a.b.pdf"):
         readers.refuse_other_kinds(spark, str(tmp_path), [".txt"])
+
+
+def test_random_texts_are_made_a_few_at_a_time(spark):
+    """As Arrow batches; the text is that of the digests, one by one."""
+    import base64
+    import hashlib
+
+    def plain(key, characters):
+        drawn = "".join(base64.b64encode(hashlib.md5(f"{key}:{b}".encode()).digest())[:21].decode() for b in range(100))
+        return drawn.replace("+", " ").replace("/", "")[:characters]
+
+    keys = spark.createDataFrame([("a",), ("é",)], "k string")
+    made = keys.select("k", synthetic.random_text(F.col("k"), 700).alias("t"))
+    assert {r["k"]: r["t"] for r in made.collect()} == {k: plain(k, 700) for k in ("a", "é")}
+    assert "ArrowEvalPython" in made._jdf.queryExecution().toString()
