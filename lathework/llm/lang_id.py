@@ -1,10 +1,9 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams."""
 
 import functools
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +15,10 @@ BUCKETS = 1 << 14
 #: A model of more languages than this is refused, so what is broadcast has a fixed bound (16 MB per 128 languages).
 MAX_LANGUAGES = 512
 UNDETERMINED = "und"
+#: Texts that are Python objects at a time.
+_TEXTS = 64
 #: N-grams times languages that are scored together.
-_PRODUCT_CELLS = 4_000_000
+_PRODUCT_CELLS = 1_000_000
 #: Texts of fewer n-grams, some ten words, are too short to be told from noise and are never taken for it.
 LEAST_GRAMS = 200
 _CODE_POINTS = 0x110000
@@ -85,18 +86,18 @@ class NaiveBayes:
         """The likeliest language of one text, ties to the smaller name, and its posterior probability."""
         return self.predict_all([text])[0]
 
-    def predict_all(self, texts: Sequence[str | None]) -> list[tuple[str, float]]:
+    def predict_all(self, texts: Iterable[str | None]) -> list[tuple[str, float]]:
         """The same for many texts: their counts are a sparse matrix (texts x buckets), multiplied by the log probabilities a stretch at a time."""
         return [(self.languages[k] if n else UNDETERMINED, share) for k, share, _, n in self._score_all(texts)]
 
-    def identified(self, texts: Sequence[str | None], bounds: np.ndarray, min_score: float) -> list[bool]:
+    def identified(self, texts: Iterable[str | None], bounds: np.ndarray, min_score: float) -> list[bool]:
         """Whether each text has letters, a likely enough language, and is not noise by that language's bound on an n-gram's log probability."""
         return [
             n > 0 and share >= min_score and (n < LEAST_GRAMS or total >= n * bounds[k])
             for k, share, total, n in self._score_all(texts)
         ]
 
-    def _score_all(self, texts: Sequence[str | None]) -> list[tuple[int, float, float, int]]:
+    def _score_all(self, texts: Iterable[str | None]) -> list[tuple[int, float, float, int]]:
         """Language, posterior, log probability of the n-grams and their number; all 0 for a text that says nothing."""
         out: list[tuple[int, float, float, int]] = []
         held: list[np.ndarray] = []
@@ -131,16 +132,22 @@ class NaiveBayes:
         return out
 
 
+def _stretches(batch: pa.RecordBatch | pa.Array) -> Iterator[pa.RecordBatch | pa.Array]:
+    """A batch a few texts at a time, so that only these become Python objects."""
+    return (batch.slice(start, _TEXTS) for start in range(0, len(batch), _TEXTS))
+
+
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per language of this partition: counts by bucket; bucket -1 counts texts."""
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
-        for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts = gram_counts(text)
-            total = sums.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
-            total[BUCKETS] += 1
-            if len(counts):
-                total[:BUCKETS] += counts
+        for part in _stretches(batch):
+            for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                counts = gram_counts(text)
+                total = sums.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
+                total[BUCKETS] += 1
+                if len(counts):
+                    total[:BUCKETS] += counts
     for lang, total in sums.items():
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
@@ -179,11 +186,13 @@ def predict(docs: DataFrame, model: NaiveBayes, text: str = "text") -> DataFrame
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def tell(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double")
+    def tell(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = shared.value
         for batch in texts:
-            yield pd.DataFrame(known.predict_all(list(batch)), columns=["lang_pred", "score"])
+            said = known.predict_all(t for part in _stretches(batch) for t in part.to_pylist())
+            columns = pa.array([k for k, _ in said], pa.string()), pa.array([share for _, share in said], pa.float64())
+            yield pa.StructArray.from_arrays(columns, names=["lang_pred", "score"])
 
     said = tell.asNondeterministic()(docs[f"`{text}`"])  # so that a filter on it does not run it twice
     others = [c for c in docs.columns if c not in ("lang_pred", "score")]
@@ -203,12 +212,13 @@ def noise_bounds(docs: DataFrame, model: NaiveBayes, text: str = "text", lang: s
         place = {lang: k for k, lang in enumerate(known.languages)}
         sums = np.zeros((len(place), 3))
         for batch in batches:
-            for said, spoken in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                letters = _letters(said)
-                mixed, own = letters.copy(), np.flatnonzero(letters != 32)
-                mixed[own] = letters[np.random.default_rng(len(own)).permutation(own)]
-                logs = known.gram_log[place[spoken]]
-                sums[place[spoken]] += len(_hashed(letters)), logs[_hashed(letters)].sum(), logs[_hashed(mixed)].sum()
+            for part in _stretches(batch):
+                for said, spoken in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    letters = _letters(said)
+                    mixed, own = letters.copy(), np.flatnonzero(letters != 32)
+                    mixed[own] = letters[np.random.default_rng(len(own)).permutation(own)]
+                    logs = known.gram_log[place[spoken]]
+                    sums[place[spoken]] += len(_hashed(letters)), logs[_hashed(letters)].sum(), logs[_hashed(mixed)].sum()
         yield pa.RecordBatch.from_arrays([pa.array(known.languages, pa.string()), *map(pa.array, sums.T)], names=["lang", "n", "own", "noise"])
 
     rows = docs.select(docs[f"`{text}`"].alias("text"), docs[f"`{lang}`"].cast("string").alias("lang"))
@@ -248,10 +258,11 @@ def keep_identified(docs: DataFrame, text: str = "text", lang: str = "lang", min
         bounds = noise_bounds(docs, model, text, lang)
         shared = docs.sparkSession.sparkContext.broadcast(model)
 
-        @F.pandas_udf("boolean")
-        def identified(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf("boolean")
+        def identified(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for batch in texts:
-                yield pd.Series(shared.value.identified(list(batch), bounds, min_score), dtype=bool)
+                said = (t for part in _stretches(batch) for t in part.to_pylist())
+                yield pa.array(shared.value.identified(said, bounds, min_score), pa.bool_())
 
         stays = identified("text")
     return told.where(stays).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
