@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +27,18 @@ def whole_numbers(vector: str, scale: float) -> Column:
     return F.when(sound, F.transform(scaled, lambda y: F.when(F.abs(y) >= 1 << 53, y).otherwise(F.floor(y).cast("double"))))
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go when it ends; else they stay until the driver happens to collect its garbage."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 class Scratch:
     """Tables written to the shared scratch folder, so that a lost executor never loses them.
 
@@ -39,7 +52,8 @@ class Scratch:
 
     def keep(self, df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
         path = scratch_path(self.spark, label)
-        df.write.parquet(path, compression=compression)
+        with shuffles_removed(self.spark):
+            df.write.parquet(path, compression=compression)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = (out, path)
         return out

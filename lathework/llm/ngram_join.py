@@ -1,18 +1,20 @@
 """N-gram Jaccard join: all links of at least a similarity, exact, as a blocked product of the document by n-gram matrix.
 
 The matrix is cut along both sides. Along the n-grams (ordered by hash) a document's row falls into blocks, one more than
-the number of n-grams in which two linked documents of its size class can differ, and two to spare. So the rows of linked documents
-are equal in one whole block at least, and only documents that share such a block can link. Along the documents, those
-that hang together by shared blocks are cut into tiles of a bounded number of n-grams and of documents, ordered by size. Each
+the number of n-grams in which two linked documents of its size class can differ, and some to spare. So the rows of linked documents
+are equal in a known number of whole blocks, one more than the spare ones. Of its blocks each document leaves out the most popular ones, one
+fewer than it must share: linked documents still share one, while a passage that many have makes no candidates. Along the documents, those
+that hang together by shared blocks are cut into tiles of a bounded number of n-grams and of documents, ordered by size. A
 pair of tiles whose sizes allow a link is one product: overlap counts add up over slices of the n-grams, and pairs
-that cannot reach their bound any more are discarded on the way.
+that cannot reach their bound any more are discarded on the way. In groups of many tiles each one first meets
+itself and the next one; then the tiles are cut anew along the components found, and those meet that are not inside one component.
 
 Before that, rows that cannot link go: those with more n-grams of their own than a link allows. Own n-grams are counted over a
 fixed slice of the hash range, which is enough to tell: what a slice lacks, the whole lacks too. Each task sends its
 n-grams of the slice as arrays by hash range.
 
 Documents with equal sets are one row of the matrix, however many there are. A product returns a spanning forest of its
-links, not all pairs, so a group of near copies costs rows in proportion to its members (times its tiles).
+links, not all pairs, so a group of near copies costs rows in proportion to its members (times its tiles, where they do not hang together).
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lathework.llm.common import Forest, Scratch, components, grouped
@@ -33,9 +35,11 @@ from lathework.operators.ordering import with_row_index
 TILE_GRAMS = 1 << 17
 #: Documents of one tile, however short: the dense arrays of a product take some 40 bytes for each pair of documents.
 TILE_ROWS = 2048
+#: Groups of so many tiles have all pairs of them multiplied at once.
+FEW_TILES = 8
 #: N-grams of one slice of a product.
 SLICE_GRAMS = 4096
-#: Blocks beyond those that a linked pair can spoil: so many empty ones need no signature; one more for each 16 blocks.
+#: Blocks beyond those that a linked pair can spoil: so many, empty ones first, a document can leave out; one more for each 2 blocks.
 SPARE_BLOCKS = 2
 #: Largest ratio of sizes in one class, about: wider classes have more blocks for their small members, narrower ones more
 #: members that belong to two.
@@ -110,7 +114,7 @@ class Bounds:
         while len(self._starts) <= number + 1:
             self.size_class(self._starts[-1])
         most = 2 * (self._starts[number + 1] - 1) * (100 - self.percent) // (100 + self.percent)
-        spare = SPARE_BLOCKS + most // 16
+        spare = SPARE_BLOCKS + most // 2
         return (most + 1 + spare, spare) if most else (0, 0)
 
     def slice_share(self) -> float:
@@ -124,14 +128,13 @@ class Bounds:
         return [own, own + 1] if 100 * size >= self.percent * self._starts[own + 1] else [own]
 
 
-def signatures(grams: np.ndarray, bounds: Bounds) -> np.ndarray:
-    """One hash for each block of a set's row, per size class that it belongs to.
+def class_signatures(grams: np.ndarray, bounds: Bounds) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Per size class that a set's row belongs to: its number, one hash for each block, and how many of them a linked set must share.
 
-    Blocks are even ranges of the hash. Empty blocks have no signature unless there are more than the spare ones: of a linked
-    pair's equal blocks, one at least is then not empty, or both sides name their empty ones.
+    Blocks are even ranges of the hash. A linked pair has one equal block more than there are spare ones. Empty blocks have no signature,
+    and count as shared, unless there are more than the spare ones: then a partner may have left out as many, and one is what must be shared.
     """
     sums = np.concatenate([[np.uint64(0)], np.cumsum(_mix(grams ^ _A), dtype=np.uint64)])
-    out = []
     for number in bounds.classes(len(grams)):
         blocks, spare = bounds.blocks(number)
         if not blocks:
@@ -141,7 +144,13 @@ def signatures(grams: np.ndarray, bounds: Bounds) -> np.ndarray:
         place = np.arange(blocks, dtype=np.uint64) + np.uint64(number << 32)
         signs = _mix(_mix(sums[cuts[1:]] - sums[cuts[:-1]]) + place * _A)
         full = cuts[1:] > cuts[:-1]
-        out.append(signs[full] if blocks - full.sum() <= spare else signs)
+        empty = int(blocks - full.sum())
+        yield (number, spare + 1 - empty, signs[full]) if empty <= spare else (number, 1, signs)
+
+
+def signatures(grams: np.ndarray, bounds: Bounds) -> np.ndarray:
+    """The block hashes of all size classes of a set."""
+    out = [signs for _, _, signs in class_signatures(grams, bounds)]
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -212,8 +221,16 @@ def ngram_components(
         shingles, bounds = Shingles(width), Bounds(percent)
         for batch in batches:
             sets = shingles.sets(batch.column("text").to_pylist())
-            signs = pa.array([signatures(s, bounds).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), signs], names=["node", "signs"])
+            found = [(node, *x) for node, s in zip(batch.column("node").to_pylist(), sets) for x in class_signatures(s, bounds)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([x[0] for x in found], pa.int64()),
+                    pa.array([x[1] for x in found], pa.int32()),
+                    pa.array([x[2] for x in found], pa.int32()),
+                    pa.array([x[3].view(np.int64) for x in found], pa.list_(pa.int64())),
+                ],
+                names=["node", "class", "need", "signs"],
+            )
 
     rows = docs.select(
         docs[f"`{key}`"].alias("key"), docs[f"`{text}`"].alias("text"), F.xxhash64(docs[f"`{key}`"], docs[f"`{text}`"]).alias("row")
@@ -231,12 +248,21 @@ def ngram_components(
     # a merge join whatever the sizes: texts move once, in proportion to the input
     texts = rows.join(sets.select("row", "node", "n").hint("merge"), "row").dropDuplicates(["row"])
     texts = scratch.keep(texts.select("node", "n", "text"), "linkable-texts")
-    signs = texts.select("node", "text").mapInArrow(sign, "node long, signs array<long>")
-    signs = scratch.keep(signs.select("node", F.explode("signs").alias("sign")), "signatures")
-    shared = signs.groupBy("sign").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub < other")
-    met = signs.join(shared.select("sign", "hub"), "sign").where("node > hub").select("node", "hub")
+    signs = texts.select("node", "text").mapInArrow(sign, "node long, class int, need int, signs array<long>")
+    signs = signs.select("node", "class", "need", F.explode("signs").alias("sign"))
+    # one shuffle of the signatures, and only those of several sets are written
+    signs = signs.withColumn("copies", F.count(F.lit(1)).over(Window.partitionBy("sign"))).where("copies > 1")
+    signs = scratch.keep(signs, "signatures")
+    popular = Window.partitionBy("node", "class").orderBy(F.col("copies").desc(), "sign")
+    rare = signs.withColumn("rank", F.row_number().over(popular)).where("rank >= need").select("node", "sign")
+    rare = scratch.keep(rare, "rare-signatures")
+    scratch.drop(signs)
+    shared = rare.groupBy("sign").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub < other")
+    met = rare.join(shared.select("sign", "hub"), "sign").where("node > hub").select("node", "hub")
     near = components(met, "node", "hub").withColumnRenamed("root", "group")
+    scratch.drop(rare)
     links = _products(texts, near, width, percent, scratch)
+    scratch.drop(texts)
     roots = components(links, "a", "b")
     placed = described.select("key", "n", "node").join(roots, "node", "left")
     placed = placed.withColumn("root", F.coalesce("root", "node"))
@@ -328,28 +354,53 @@ def _own_grams(texts: DataFrame, width: int, bounds: Bounds) -> DataFrame:
 
 
 def _products(texts: DataFrame, near: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
-    """``a, b``: a spanning forest of the links of each pair of tiles; a tile's sizes are within a factor of two.
+    """``a, b``: links that hold together what any links of a group hold together; a tile's sizes are within a factor of two.
 
     ``texts`` has one text for each set, ``near`` the group in which it may link.
     """
-    bounds = Bounds(percent)
     members = texts.select("node", "n").join(near, "node").withColumn("klass", F.floor(F.log2("n")))
-    placed = with_row_index(members, ["n", "node"], within=["group", "klass"], name="place")
+    placed = _tiles(members, ["n", "node"], scratch, "tiles")
+    tiles = placed.groupBy("group", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    tiles = tiles.withColumn("at", F.row_number().over(Window.partitionBy("group").orderBy("tile")))
+    tiles = scratch.keep(tiles.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("group"))), "tile-sizes")
+    last = F.when(F.col("many") > FEW_TILES, F.col("at") + 1).otherwise(F.col("many"))
+    beside = tiles.select("group", F.explode(F.sequence("at", F.greatest("at", last))).alias("at"), F.col("tile").alias("i"), F.col("hi").alias("hi_i"))
+    pairs = beside.join(tiles.select("group", "at", F.col("tile").alias("j"), F.col("lo").alias("lo_j")), ["group", "at"])
+    pairs = scratch.keep(pairs.where(100 * F.col("hi_i") >= percent * F.col("lo_j")).select("group", "i", "j"), "tile-pairs")
+    links = scratch.keep(_met(texts, placed, pairs, width, percent), "links")
+    large = tiles.where((F.col("at") == 1) & (F.col("many") > FEW_TILES)).select("group")
+    if not large.head(1):
+        return links
+    roots = components(links, "a", "b")
+    members = placed.join(large, "group").select("node", "n", "group", "klass").join(roots, "node", "left")
+    members = members.withColumn("root", F.coalesce("root", "node"))
+    placed = _tiles(members, ["root", "n", "node"], scratch, "component-tiles")
+    one = F.when(F.min("root") == F.max("root"), F.min("root"))
+    tiles = placed.groupBy("group", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), one.alias("one"))
+    first = tiles.select("group", F.col("tile").alias("i"), F.col("lo").alias("lo_i"), F.col("hi").alias("hi_i"), F.col("one").alias("one_i"))
+    second = tiles.select("group", F.col("tile").alias("j"), F.col("lo").alias("lo_j"), F.col("hi").alias("hi_j"), F.col("one").alias("one_j"))
+    pairs = first.join(second, "group").where((F.col("i") <= F.col("j")) & ~F.coalesce(F.col("one_i") == F.col("one_j"), F.lit(False)))
+    sized = (100 * F.col("hi_i") >= percent * F.col("lo_j")) & (100 * F.col("hi_j") >= percent * F.col("lo_i"))
+    pairs = scratch.keep(pairs.where(sized).select("group", "i", "j"), "component-pairs")
+    return links.union(scratch.keep(_met(texts, placed, pairs, width, percent), "component-links"))
+
+
+def _tiles(members: DataFrame, order: list[str], scratch: Scratch, label: str) -> DataFrame:
+    """``members`` with the ``tile`` of their group that they fall into, in the given order within sizes of a factor of two."""
+    placed = with_row_index(members, order, within=["group", "klass"], name="place")
     tall = F.greatest(F.lit(1), F.floor(F.lit(TILE_GRAMS) / F.pow(F.lit(2.0), F.col("klass") + 1)))
     tall = F.least(F.lit(TILE_ROWS), tall).cast("long")
-    placed = scratch.keep(placed.withColumn("tile", F.struct("klass", F.floor(F.col("place") / tall).alias("k"))), "tiles")
-    tiles = placed.groupBy("group", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    first = tiles.select("group", F.col("tile").alias("i"), F.col("hi").alias("hi_i"))
-    second = tiles.select("group", F.col("tile").alias("j"), F.col("lo").alias("lo_j"))
-    pairs = first.join(second, "group").where((F.col("i") <= F.col("j")) & (100 * F.col("hi_i") >= percent * F.col("lo_j")))
-    pairs = scratch.keep(pairs.select("group", "i", "j"), "tile-pairs")
-    texts = texts.select("node", "text").join(placed.select("node", "group", "tile"), "node")
-    left = texts.join(pairs, (texts["group"] == pairs["group"]) & (texts["tile"] == pairs["i"]))
-    right = texts.join(pairs.where("i < j"), (texts["group"] == pairs["group"]) & (texts["tile"] == pairs["j"]))
-    columns = [texts["group"].alias("g"), F.xxhash64("i", "j").alias("pair")]
-    sided = left.select(*columns, F.lit(0).alias("side"), "node", "text").union(
-        right.select(*columns, F.lit(1).alias("side"), "node", "text")
-    )
+    return scratch.keep(placed.withColumn("tile", F.struct("klass", F.floor(F.col("place") / tall).alias("k"))), label)
+
+
+def _met(texts: DataFrame, placed: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``a, b``: a spanning forest of the links of each pair of tiles. Sides are told by node, so that a text moves once before it is dealt out."""
+    bounds = Bounds(percent)
+    left = placed.join(pairs, (placed["group"] == pairs["group"]) & (placed["tile"] == pairs["i"]))
+    right = placed.join(pairs.where("i < j"), (placed["group"] == pairs["group"]) & (placed["tile"] == pairs["j"]))
+    columns = [placed["group"].alias("g"), F.xxhash64("i", "j").alias("pair")]
+    sides = left.select(*columns, F.lit(0).alias("side"), "node").union(right.select(*columns, F.lit(1).alias("side"), "node"))
+    sided = texts.select("node", "text").join(sides, "node").select("g", "pair", "side", "node", "text")
 
     def multiply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
@@ -364,7 +415,7 @@ def _products(texts: DataFrame, near: DataFrame, width: int, percent: int, scrat
                 )
 
     dealt = sided.repartition("g", "pair").sortWithinPartitions("g", "pair", "side", "node")
-    return scratch.keep(dealt.mapInArrow(multiply, "a long, b long"), "links")
+    return dealt.mapInArrow(multiply, "a long, b long")
 
 
 def keep_representatives(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -98,6 +99,77 @@ def test_signatures_agree_somewhere_for_every_link():
                 assert np.intersect1d(ngram_join.signatures(a, bounds), ngram_join.signatures(b, bounds)).size
 
 
+def test_linked_sets_share_as_many_signatures_as_both_need():
+    draw = np.random.default_rng(4)
+    for percent, size in [(80, 5), (80, 12), (80, 40), (80, 300), (80, 2000), (90, 30), (90, 400)]:
+        bounds, most = ngram_join.Bounds(percent), (100 - percent) / (2 * percent)
+        for _ in range(20):
+            both = np.unique(draw.integers(0, 2**64, size, dtype=np.uint64))
+            more = [np.unique(draw.integers(0, 2**64, int(size * most), dtype=np.uint64)) for _ in range(2)]
+            a, b = (np.unique(np.concatenate([both, x])) for x in more)
+            if not bounds.links(len(np.intersect1d(a, b)), len(a), len(b)) or np.array_equal(a, b):
+                continue
+            left = {number: (need, signs) for number, need, signs in ngram_join.class_signatures(a, bounds)}
+            right = {number: (need, signs) for number, need, signs in ngram_join.class_signatures(b, bounds)}
+            shared = [(len(np.intersect1d(left[k][1], right[k][1])), left[k][0], right[k][0]) for k in left.keys() & right.keys()]
+            assert any(n >= max(ours, theirs) for n, ours, theirs in shared) and all(x >= 1 for y in shared for x in y[1:])
+
+
+def watched_scratch(monkeypatch):
+    kept, real = {}, ngram_join.Scratch.keep
+
+    def keep(self, df, label):
+        kept[label] = real(self, df, label)
+        return kept[label]
+
+    monkeypatch.setattr(ngram_join.Scratch, "keep", keep)
+    return kept
+
+
+def test_a_passage_that_many_have_makes_no_group(spark, monkeypatch):
+    """Pairs of near copies, all with one passage: linked are the pairs alone, and their texts meet no others."""
+    draw = random.Random(11)
+    passage = " ".join(f"p{n}" for n in range(60))
+    texts = []
+    for n in range(80):
+        words = [f"w{draw.randrange(10**6)}" for _ in range(draw.randrange(180, 220))]
+        texts += [" ".join([*words, passage]), " ".join([*words[:-1], f"e{n}", passage])]
+    rows = list(enumerate(texts))
+    kept = watched_scratch(monkeypatch)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = ngram_join.ngram_components(docs, width=5, percent=80)
+    assert sorted(str(tuple(r)) for r in found.collect()) == brute_components(rows, 5, 80)
+    sizes = [r["count"] for r in kept["tiles"].groupBy("group").count().collect()]
+    assert sum(sizes) == 160 and max(sizes) <= 8
+
+
+def test_tiles_inside_one_component_do_not_meet_again(spark, monkeypatch):
+    """A large group of near copies costs products in proportion to its tiles."""
+    monkeypatch.setattr(ngram_join, "TILE_GRAMS", 1 << 9)
+    rows = list(enumerate(near_copies(12, 240, 80, 1)))
+    kept = watched_scratch(monkeypatch)
+    found = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=80)
+    assert sorted(str(tuple(r)) for r in found.collect()) == brute_components(rows, 3, 80)
+    tiles = kept["tiles"].select("group", "tile").distinct().count()
+    assert tiles >= 15 and kept["tile-pairs"].count() <= 2 * tiles and kept["component-pairs"].count() == 0
+
+
+def test_written_tables_leave_no_shuffle(spark):
+    """Its files go when the table is written, not when the driver collects its garbage."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {n for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles()) if (n := f.getName()).startswith("shuffle_")}
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, there = spark.conf.get(setting, "false"), shuffled()
+    rows = spark.range(1000).repartition(4, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    table = ngram_join.Scratch(spark).keep(rows, "counts")
+    for _ in range(50):
+        if not shuffled() - there:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - there and spark.conf.get(setting, "false") == before
+    assert sum(r["count"] for r in table.collect()) == 1000
+
+
 def test_representatives_keep_one_row_of_each_group(edge_docs):
     kept = ngram_join.keep_representatives(edge_docs)
     assert kept.columns == edge_docs.columns
