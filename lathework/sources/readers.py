@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lathework.operators.ordering import with_row_index
-from lathework.session import path_object
+from lathework.session import materialize, path_object
+
+#: A task that reads whole files gets about so many bytes, and so many files.
+_TASK_BYTES, _TASK_FILES = 1 << 25, 1 << 13
+#: Bytes of files that become one Arrow batch, about.
+_BATCH_BYTES = 1 << 22
 
 
 def _name(status) -> str:
@@ -44,7 +52,11 @@ def refuse_other_kinds(spark: SparkSession, path: str, kinds: Sequence[str], rec
     """An error if a folder holds a file whose name ends in none of ``kinds``; names that begin with a dot or an underscore do not count."""
     other = sorted(_other_names(spark, path, kinds, recursive))
     if other:
-        raise ValueError(f"{len(other)} files are none of {', '.join(kinds)}: {', '.join(other[:5])}")
+        raise _refused(len(other), kinds, other[:5])
+
+
+def _refused(count: int, kinds: Sequence[str], names: Sequence[str]) -> ValueError:
+    return ValueError(f"{count} files are none of {', '.join(kinds)}: {', '.join(names)}")
 
 
 def read_json_dir(
@@ -112,12 +124,107 @@ def read_table(
 
 
 def read_documents(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """``path, text`` of each ``.txt`` file, with ``recursive`` those in folders below too; a file of another kind is an error."""
+    """``path, text`` of each ``.txt`` file that is not empty, with ``recursive`` those in folders below too; a file of another kind is an error.
+
+    Folders are listed by tasks, a task for each folder at most, into a written table, and files are opened through ``pyarrow.fs``, so that the driver
+    holds no file names. Where ``pyarrow.fs`` has no such file system, or the path is a pattern or a file, Spark lists the files in the driver.
+    """
+    files, folder = path_object(spark, path)
+    if files.exists(folder) and files.getFileStatus(folder).isDirectory():
+        base = folder.makeQualified(files.getUri(), files.getWorkingDirectory()).toString().rstrip("/")
+        if _opens(base):
+            shown = re.sub("^file:/+", "file:/", files.getFileStatus(folder).getPath().toUri().toString().rstrip("/"))
+            return _read_files(spark, base, shown, ".txt", recursive)
     refuse_other_kinds(spark, path, [".txt"], recursive)
     texts = spark.read.option("pathGlobFilter", "*.txt").option("recursiveFileLookup", recursive).text(path, wholetext=True)
     return texts.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def _store(base: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a qualified path, and the path in it."""
+    return (fs.LocalFileSystem(), "/" + base[5:].lstrip("/")) if base.startswith("file:/") else fs.FileSystem.from_uri(base)
+
+
+def _opens(base: str) -> bool:
+    try:
+        store, root = _store(base)
+        return store.get_file_info(root).type == fs.FileType.Directory
+    except (OSError, pa.ArrowException):
+        return False
+
+
+def _listing(spark: SparkSession, base: str, kind: str, recursive: bool) -> DataFrame:
+    """``name, size, what, passed`` of what is in a folder, by paths relative to it: ``file`` (ends in ``kind``), ``other`` or ``folder``.
+
+    Names that Spark takes for hidden ones are left out. ``passed``: below a name with an underscore, where other kinds do not matter.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _store(base)
+        for batch in batches:
+            for above, passed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                place = f"{above}/" if above else ""
+                found = store.get_file_info(fs.FileSelector(f"{root}/{above}".rstrip("/") or "/"))
+                for start in range(0, len(found), 4096):
+                    rows = []
+                    for info in found[start : start + 4096]:
+                        name, inside = info.base_name, info.type == fs.FileType.Directory
+                        if name.startswith(".") or (name.startswith("_") and "=" not in name):
+                            continue
+                        below = passed or name.startswith("_")
+                        if inside and recursive:
+                            rows.append((place + name, 0, "folder", below))
+                        elif not inside and name.endswith(kind) and info.size != 0:
+                            rows.append((place + name, info.size or 0, "file", below))
+                        elif not below and not name.endswith(kind):
+                            rows.append((place + name, 0, "other", below))
+                    columns = zip(*rows) if rows else [()] * 4
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.bool_()))],
+                        names=["name", "size", "what", "passed"],
+                    )
+
+    folders = spark.createDataFrame([("", False)], "name string, passed boolean")
+    found = None
+    while True:
+        here = materialize(folders.mapInArrow(run, "name string, size long, what string, passed boolean"), "listing")
+        found = here if found is None else found.unionByName(here)
+        folders = here.where("what = 'folder'").select("name", "passed")
+        if not folders.head(1):
+            return found
+        folders = folders.repartition(2 * spark.sparkContext.defaultParallelism)
+
+
+def _read_files(spark: SparkSession, base: str, shown: str, kind: str, recursive: bool) -> DataFrame:
+    found = _listing(spark, base, kind, recursive)
+    is_file = F.col("what") == "file"
+    sums = found.agg(F.count_if(F.col("what") == "other").alias("other"), F.count_if(is_file).alias("n"), F.sum("size").alias("bytes")).first()
+    if sums["other"]:
+        last = F.substring_index("name", "/", -1).alias("name")
+        names = found.where("what = 'other'").select(last).orderBy("name").limit(5).collect()
+        raise _refused(sums["other"], [kind], [row["name"] for row in names])
+    parts = max(-(-(sums["bytes"] or 0) // _TASK_BYTES), -(-sums["n"] // _TASK_FILES), min(sums["n"], spark.sparkContext.defaultParallelism), 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _store(base)
+        for batch in batches:
+            paths, texts, held = [], [], 0
+            for name in batch.column(0).to_pylist():
+                with store.open_input_stream(f"{root.rstrip('/')}/{name}", compression=None) as file:
+                    texts.append(file.read())
+                # as a Java URI shows it
+                paths.append("".join(c if c > "\x9f" and not c.isspace() else quote(c, safe="/_-!.~'()*,;:$&+=@") for c in f"/{name}"))
+                held += len(texts[-1])
+                if held >= _BATCH_BYTES or len(texts) >= 1024:
+                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.binary())], names=["path", "text"])
+                    paths, texts, held = [], [], 0
+            if texts:
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.binary())], names=["path", "text"])
+
+    read = found.where(is_file).select("name").repartition(int(parts)).mapInArrow(run, "path string, text binary")
+    return read.select(F.concat(F.lit(shown), "path").alias("path"), F.col("text").cast("string").alias("text"))
+
+
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     """``path, line_number, line`` in file order.
 

@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
@@ -296,6 +297,31 @@ def test_texts_come_back_whole_from_a_folder_for_each_task(spark, tmp_path):
         readers.read_documents(spark, str(tmp_path / "texts"), recursive=True)
 
 
+def test_the_driver_holds_no_names_of_documents(spark, tmp_path):
+    """Files are listed and opened by tasks; paths are shown as Spark shows them, hidden and empty files are left out."""
+    for folder in ("a/b c", "_x=1", "_h", ".q", "d.txt"):
+        (tmp_path / folder).mkdir(parents=True)
+    fit = ["1.txt", "a b.txt", "é#%41.txt", "_a=b.txt", "a/x.txt", "a/b c/[y].txt", "_x=1/z.txt", "d.txt/i.txt"]
+    for name in [*fit, "_z.txt", ".h.txt", "_h/n.txt", ".q/n.txt", "_p.pdf", "_x=1/q.pdf"]:
+        (tmp_path / name).write_bytes(f"text of {name}\r\n".encode() + b"\xff")
+    (tmp_path / "empty.txt").write_bytes(b"")
+    found = readers.read_documents(spark, str(tmp_path), recursive=True)
+    assert not [name for name in found.inputFiles() if name.endswith(".txt")]
+    listed = spark.read.option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True).text(str(tmp_path), wholetext=True)
+    wanted = sorted((r["p"], bytes(r["t"])) for r in listed.select(F.col("_metadata.file_path").alias("p"), F.col("value").cast("binary").alias("t")).collect())
+    assert sorted((r["path"], bytes(r["t"])) for r in found.select("path", F.col("text").cast("binary").alias("t")).collect()) == wanted
+    assert [t for _, t in wanted] and sorted(t for _, t in wanted) == sorted(f"text of {name}\r\n".encode() + b"\xff" for name in fit)
+    none = tmp_path / "a" / "none"
+    none.mkdir()
+    assert readers.read_documents(spark, str(none)).count() == 0
+    assert readers.read_documents(spark, str(tmp_path / "1.txt")).count() == 1
+    for recursive in (False, True):
+        with pytest.raises(AnalysisException):
+            readers.read_documents(spark, str(tmp_path / "missing"), recursive)
+    with pytest.raises(ValueError, match="2 files .* b c, none"):
+        readers.read_documents(spark, str(tmp_path / "a"))
+
+
 def test_names_of_fitting_files_stay_in_the_jvm(spark, tmp_path, monkeypatch):
     for n in range(3):
         (tmp_path / f"{n}.txt").write_text("x")
