@@ -64,15 +64,17 @@ class Shingles:
         self._words: dict[bytes, int] = {}
 
     def sets(self, texts: Iterable[str | None]) -> list[np.ndarray]:
-        rows = [t.encode("utf-8", "replace").lower().split() if t else [] for t in texts]
+        return [self._set(self._hashes(t.encode("utf-8", "replace").lower().split() if t else [])) for t in texts]
+
+    def _hashes(self, row: list[bytes]) -> np.ndarray:
+        """Of the words of one text: those of a whole batch would be Python objects of many times its size."""
         known = self._words
         if len(known) > 500_000:
             known.clear()
-        for row in rows:
-            for word in row:
-                if word not in known:
-                    known[word] = xxhash.xxh3_64_intdigest(word)
-        return [self._set(np.array([known[w] for w in row], np.uint64)) for row in rows]
+        for word in row:
+            if word not in known:
+                known[word] = xxhash.xxh3_64_intdigest(word)
+        return np.array([known[w] for w in row], np.uint64)
 
     def _set(self, words: np.ndarray) -> np.ndarray:
         if not len(words):
