@@ -44,6 +44,9 @@ SPARE_BLOCKS = 2
 #: Largest ratio of sizes in one class, about: wider classes have more blocks for their small members, narrower ones more
 #: members that belong to two.
 CLASS_RATIO = 1.4
+#: Texts that become Python objects at once, and words whose hashes a task remembers.
+TEXTS_AT_ONCE = 1024
+KNOWN_WORDS = 1 << 17
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -52,6 +55,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * _C
 
 
+def _few(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(start, TEXTS_AT_ONCE) for batch in batches for start in range(0, batch.num_rows, TEXTS_AT_ONCE))
+
+
 class Shingles:
     """Sets of word n-gram hashes (sorted, 64 bits) of texts.
 
@@ -69,7 +76,7 @@ class Shingles:
     def _hashes(self, row: list[bytes]) -> np.ndarray:
         """Of the words of one text: those of a whole batch would be Python objects of many times its size."""
         known = self._words
-        if len(known) > 500_000:
+        if len(known) > KNOWN_WORDS:
             known.clear()
         for word in row:
             if word not in known:
@@ -208,7 +215,7 @@ def ngram_components(
 
     def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
-        for batch in batches:
+        for batch in _few(batches):
             sets = shingles.sets(batch.column("text").to_pylist())
             columns = [
                 batch.column("key"),
@@ -221,7 +228,7 @@ def ngram_components(
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, bounds = Shingles(width), Bounds(percent)
-        for batch in batches:
+        for batch in _few(batches):
             sets = shingles.sets(batch.column("text").to_pylist())
             found = [(node, *x) for node, s in zip(batch.column("node").to_pylist(), sets) for x in class_signatures(s, bounds)]
             yield pa.RecordBatch.from_arrays(
@@ -291,7 +298,7 @@ def _own_grams(texts: DataFrame, width: int, bounds: Bounds) -> DataFrame:
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
-        for batch in batches:
+        for batch in _few(batches):
             found = {_name(s): s[: np.searchsorted(s, np.uint64(limit))] for s in shingles.sets(batch.column(0).to_pylist()) if len(s)}
             if not found:
                 continue
@@ -349,9 +356,10 @@ def _own_grams(texts: DataFrame, width: int, bounds: Bounds) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(own)], names=["node", "own"])
 
     sent = texts.mapInArrow(deal, "part int, grams binary, owner binary, names binary")
-    dealt = sent.repartition(parts, "part").sortWithinPartitions("part")
+    # a task gets one part: hashed, some tasks would get several
+    dealt = sent.repartitionById(parts, F.col("part")).sortWithinPartitions("part")
     counted = dealt.mapInArrow(count, "shard int, names binary, counts binary")
-    met = counted.repartition(parts, "shard").sortWithinPartitions("shard")
+    met = counted.repartitionById(parts, F.col("shard")).sortWithinPartitions("shard")
     return met.mapInArrow(total, "node long, own long")
 
 
