@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+import ctypes
+import gc
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -86,6 +88,22 @@ def grouped(batches: Iterable[pa.RecordBatch], keys: Sequence[str]) -> Iterator[
         yield pa.Table.from_batches(held)
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, with freed memory given back at the end of its task: workers stay alive, idle ones too, beside what runs next."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 class Forest:
     """Union-find over the rows of one task."""
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lathework.llm.common import Forest, Scratch, components, grouped
+from lathework.llm.common import Forest, Scratch, components, grouped, lean
 from lathework.operators.ordering import with_row_index
 
 #: N-grams of the documents of one tile.
@@ -245,7 +245,7 @@ def ngram_components(
         docs[f"`{key}`"].alias("key"), docs[f"`{text}`"].alias("text"), F.xxhash64(docs[f"`{key}`"], docs[f"`{text}`"]).alias("row")
     )
     schema = f"key {kind}, row long, n long, node long, proof long"
-    described = scratch.keep(rows.mapInArrow(describe, schema), "shingle-sets")
+    described = scratch.keep(rows.mapInArrow(lean(describe), schema), "shingle-sets")
     sets = described.where("node is not null").groupBy("node").agg(
         F.min("row").alias("row"), F.min("n").alias("n"), F.min("proof").alias("a"), F.max("proof").alias("b")
     )
@@ -257,7 +257,7 @@ def ngram_components(
     # a merge join whatever the sizes: texts move once, in proportion to the input
     texts = rows.join(sets.select("row", "node", "n").hint("merge"), "row").dropDuplicates(["row"])
     texts = scratch.keep(texts.select("node", "n", "text"), "linkable-texts")
-    signs = texts.select("node", "text").mapInArrow(sign, "node long, class int, need int, signs array<long>")
+    signs = texts.select("node", "text").mapInArrow(lean(sign), "node long, class int, need int, signs array<long>")
     signs = signs.select("node", "class", "need", F.explode("signs").alias("sign"))
     # one shuffle of the signatures, and only those of several sets are written
     signs = signs.withColumn("copies", F.count(F.lit(1)).over(Window.partitionBy("sign"))).where("copies > 1")
@@ -355,12 +355,12 @@ def _own_grams(texts: DataFrame, width: int, bounds: Bounds) -> DataFrame:
             own = np.bincount(place, counts, len(node)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(own)], names=["node", "own"])
 
-    sent = texts.mapInArrow(deal, "part int, grams binary, owner binary, names binary")
+    sent = texts.mapInArrow(lean(deal), "part int, grams binary, owner binary, names binary")
     # a task gets one part: hashed, some tasks would get several
     dealt = sent.repartitionById(parts, F.col("part")).sortWithinPartitions("part")
-    counted = dealt.mapInArrow(count, "shard int, names binary, counts binary")
+    counted = dealt.mapInArrow(lean(count), "shard int, names binary, counts binary")
     met = counted.repartitionById(parts, F.col("shard")).sortWithinPartitions("shard")
-    return met.mapInArrow(total, "node long, own long")
+    return met.mapInArrow(lean(total), "node long, own long")
 
 
 def _products(texts: DataFrame, near: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -425,7 +425,7 @@ def _met(texts: DataFrame, placed: DataFrame, pairs: DataFrame, width: int, perc
                 )
 
     dealt = sided.repartition("g", "pair").sortWithinPartitions("g", "pair", "side", "node")
-    return dealt.mapInArrow(multiply, "a long, b long")
+    return dealt.mapInArrow(lean(multiply), "a long, b long")
 
 
 def keep_representatives(
