@@ -50,7 +50,9 @@ def _matches_of(prediction: pa.Array, references: pa.Array) -> np.ndarray:
     owner = np.concatenate([np.arange(rows), np.repeat(np.arange(rows), references.value_lengths().to_numpy())])
     sizes = np.concatenate([prediction.value_lengths().to_numpy(), others.value_lengths().to_numpy()])
     text_of = np.repeat(np.arange(len(sizes)), sizes)
-    tokens = pa.concat_arrays([prediction.flatten(), others.flatten()])
+    # a side without tokens may come with no offsets to join
+    sides = [side for side in (prediction.flatten(), others.flatten()) if len(side)]
+    tokens = pa.concat_arrays(sides) if sides else pa.array([], pa.string())
     codes = tokens.dictionary_encode().indices.to_numpy().astype("int64")
     matches = []
     gram = codes
